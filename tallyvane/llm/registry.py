@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from tallyvane.llm import mixing, pii, sharding
+from tallyvane.llm import mixing, packing, pii, sharding
 
 QUERIES = {
+    "op1_packing": packing.op1_packing,
     "op2_pii": pii.op2_pii,
     "op3_mixing": mixing.op3_mixing,
     "op10_sharding": sharding.op10_sharding,
