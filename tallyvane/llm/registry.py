@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from tallyvane.llm import mixing, packing, pii, sharding
+from tallyvane.llm import mixing, packing, pii, sharding, toxicity
 
 QUERIES = {
     "op1_packing": packing.op1_packing,
     "op2_pii": pii.op2_pii,
     "op3_mixing": mixing.op3_mixing,
+    "op7_toxicity": toxicity.op7_toxicity,
     "op10_sharding": sharding.op10_sharding,
 }
 ORACLE_SQL = {"op3_mixing": mixing.ORACLE_SQL}
