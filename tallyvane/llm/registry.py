@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from tallyvane.llm import mixing, packing, pii, sharding, toxicity
+from tallyvane.llm import audio, mixing, packing, pii, sharding, topk, toxicity
 
 QUERIES = {
     "op1_packing": packing.op1_packing,
     "op2_pii": pii.op2_pii,
     "op3_mixing": mixing.op3_mixing,
+    "op4_topk": topk.op4_topk,
     "op7_toxicity": toxicity.op7_toxicity,
+    "op9_audio": audio.op9_audio,
     "op10_sharding": sharding.op10_sharding,
 }
-ORACLE_SQL = {"op3_mixing": mixing.ORACLE_SQL}
+ORACLE_SQL = {"op4_topk": topk.ORACLE_SQL, "op3_mixing": mixing.ORACLE_SQL}
