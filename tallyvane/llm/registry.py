@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from tallyvane.llm import audio, mixing, packing, pii, sharding, topk, toxicity
+from tallyvane.llm import audio, jaccard, mixing, packing, pii, sharding, topk, toxicity
 
 QUERIES = {
     "op1_packing": packing.op1_packing,
     "op2_pii": pii.op2_pii,
     "op3_mixing": mixing.op3_mixing,
     "op4_topk": topk.op4_topk,
+    "op5_jaccard": jaccard.op5_jaccard,
     "op7_toxicity": toxicity.op7_toxicity,
     "op9_audio": audio.op9_audio,
     "op10_sharding": sharding.op10_sharding,
