@@ -23,7 +23,7 @@ BUCKETS, DIMS, BITS = 256, 3, 16
 #: Tokens that a range partition should hold, and how many partitions there may be.
 PARTITION_TOKENS, MAX_PARTITIONS = 8_000_000, 100_000
 #: Bounds of the caches: entries of a generation, characters of an entry.
-CACHE_WORDS, CACHE_RUNS, CACHE_CHARS = 100_000, 200_000, 40
+CACHE_WORDS, CACHE_RUNS, CACHE_CHARS = 250_000, 250_000, 40
 
 
 def default_tokenizer() -> str:
@@ -70,24 +70,27 @@ class WordTokenizer:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.specials = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.specials = re.compile("|".join(re.escape(t.content) for t in self.tokenizer.get_added_tokens_decoder().values()) or "(?!)")
         letters = byte_letters()
         self.mapped = {ord(c): "".join(letters[b] for b in c.encode()) for c in map(chr, range(0xC0, 0x100))}
         self.words, self.runs = Generations(CACHE_WORDS), Generations(CACHE_RUNS)
 
+    def run(self, run: str) -> bytes:
+        """Ids of a lower-case run that the tokenizer's pattern does not cut."""
+        if (ids := self.runs.get(run)) is None:
+            found = self.tokenizer.model.tokenize(run if run.isascii() else run.translate(self.mapped))
+            ids = struct.pack(f"<{len(found)}I", *[t.id for t in found])
+            if len(run) <= CACHE_CHARS:
+                self.runs.young[run] = ids
+        return ids
+
     def word(self, word: str) -> bytes:
         """Ids of a word as little-endian unsigned 32-bit numbers."""
-        if not self.PLAIN.fullmatch(word) or any(s in word for s in self.specials):
+        if word.isascii() and word.isalpha():
+            return self.run(word.lower())
+        if not self.PLAIN.fullmatch(word) or self.specials.search(word):
             return np.array(self.tokenizer.encode(word, add_special_tokens=False).ids, dtype="<u4").tobytes()
-        out = []
-        for run in self.RUNS.findall(word.lower()):
-            if (ids := self.runs.get(run)) is None:
-                found = self.tokenizer.model.tokenize(run if run.isascii() else run.translate(self.mapped))
-                ids = struct.pack(f"<{len(found)}I", *(t.id for t in found))
-                if len(run) <= CACHE_CHARS:
-                    self.runs.young[run] = ids
-            out.append(ids)
-        return b"".join(out)
+        return b"".join([self.run(run) for run in self.RUNS.findall(word.lower())])
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Ids of each text; null has none."""
