@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tallyvane.llm import audio, jaccard, mixing, packing, pii, sharding, topk, toxicity
+from tallyvane.llm import audio, jaccard, mixing, packing, pii, sharding, substring, topk, toxicity
 
 QUERIES = {
     "op1_packing": packing.op1_packing,
@@ -11,6 +11,7 @@ QUERIES = {
     "op4_topk": topk.op4_topk,
     "op5_jaccard": jaccard.op5_jaccard,
     "op7_toxicity": toxicity.op7_toxicity,
+    "op8_substring": substring.op8_substring,
     "op9_audio": audio.op9_audio,
     "op10_sharding": sharding.op10_sharding,
 }
