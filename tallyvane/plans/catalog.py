@@ -1,7 +1,8 @@
-"""Named queries over the driver's tables, each with SQL for the same rows where SQL can express them."""
+"""All queries of the core library."""
 
 from __future__ import annotations
 
-FLAGSHIP = "chm_by_cycle"
-QUERIES: dict = {}
-ORACLE_SQL: dict[str, str] = {}
+from tallyvane.plans import aggregates, decisions, episodes, relations, sampling, texts  # noqa: F401  (they register themselves)
+from tallyvane.plans.queries import ORACLE_SQL, QUERIES  # noqa: F401
+
+FLAGSHIP = "a4_a5_hallucination_chm"
