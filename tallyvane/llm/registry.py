@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tallyvane.llm import audio, jaccard, mixing, packing, pii, sharding, substring, topk, toxicity
+from tallyvane.llm import audio, jaccard, mixing, packing, pii, scoring, sharding, substring, topk, toxicity
 
 QUERIES = {
     "op1_packing": packing.op1_packing,
@@ -10,6 +10,7 @@ QUERIES = {
     "op3_mixing": mixing.op3_mixing,
     "op4_topk": topk.op4_topk,
     "op5_jaccard": jaccard.op5_jaccard,
+    "op6_scoring": scoring.op6_scoring,
     "op7_toxicity": toxicity.op7_toxicity,
     "op8_substring": substring.op8_substring,
     "op9_audio": audio.op9_audio,
