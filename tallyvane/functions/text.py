@@ -55,17 +55,17 @@ def cot_answer(text: Column) -> Column:
     return F.when(F.contains(text, F.lit("Answer:")), F.trim(F.element_at(F.split(text, "Answer:"), -1))).when(suffix != "", F.trim(suffix)).otherwise(F.trim(text))
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body of value, with value computed once however often body, or a lambda in it, refers to it."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def exact_match(prediction: Column, gold: Column) -> Column:
     return (normalise(prediction) == normalise(gold)).cast("double")
 
 
 def any_exact_match(prediction: Column, golds: Column) -> Column:
-    return F.coalesce(F.exists(golds, lambda g: normalise(g) == normalise(prediction)).cast("double"), F.lit(0.0))
-
-
-def let(value: Column, body: Callable[[Column], Column]) -> Column:
-    """body of value, with value computed once however often body, or a lambda in it, refers to it."""
-    return F.element_at(F.transform(F.array(value), body), 1)
+    return let(normalise(prediction), lambda p: F.coalesce(F.exists(golds, lambda g: normalise(g) == p).cast("double"), F.lit(0.0)))
 
 
 def token_f1(prediction: Column, gold: Column) -> Column:

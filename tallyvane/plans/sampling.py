@@ -33,9 +33,10 @@ def disjoint_split(spark: SparkSession, d: str) -> DataFrame:
     return splits.disjoint_split(kept, "doc_id", (("calibration", 0.1), ("evaluation", 0.2), ("training", 0.7)))
 
 
-@query("d4_union_sets", "SELECT substr(text, 1, 20) AS k, list_sort(list_distinct(list(source))) AS sources FROM documents GROUP BY 1".replace("list_sort(list_distinct(list(source)))", "array_to_string(list_sort(list_distinct(list(source))), ',')"))
+@query("d4_union_sets", f"SELECT {_CID} AS cid, array_to_string(list_sort(list_distinct(list(source))), ',') AS sources FROM documents GROUP BY 1")
 def union_sets(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "documents").groupBy(F.substring("text", 1, 20).alias("k")).agg(F.array_join(F.array_sort(F.collect_set("source")), ",").alias("sources"))
+    """The sources of each content id."""
+    return table(spark, d, "documents").groupBy(content_id(F.col("text")).alias("cid")).agg(F.array_join(F.array_sort(F.collect_set("source")), ",").alias("sources"))
 
 
 @query("d5_set_operations", "SELECT (SELECT count(*) FROM (SELECT doc_id FROM documents INTERSECT SELECT doc_id FROM labels)) AS both_n, (SELECT count(*) FROM (SELECT doc_id FROM documents EXCEPT SELECT doc_id FROM labels)) AS only_n")

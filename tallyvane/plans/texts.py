@@ -17,10 +17,10 @@ _NW = lambda x: f"array_to_string({_WORDS(f'regexp_replace(lower({x}), $$[^a-z0-
 
 #: Answers with the markers that the extractors look for, made from documents.
 ANSWERS_SQL = """SELECT doc_id, text, CASE doc_id % 8
- WHEN 0 THEN concat('Reasoning: it supports the claim. ', 'Answer: ', substr(text, 1, 20)) WHEN 1 THEN 'So, the answer is Paris. Also more.'
+ WHEN 0 THEN concat('Reasoning: it supports the claim. ', 'Answer: ', text) WHEN 1 THEN 'So, the answer is Paris. Also more.'
  WHEN 2 THEN concat('At first it supports it, but it is refuted by ', lang) WHEN 3 THEN 'There is not enough info to say yes'
  WHEN 4 THEN concat('Answer: (', CASE doc_id % 5 WHEN 0 THEN 'A' WHEN 1 THEN 'B' WHEN 2 THEN 'C' WHEN 3 THEN 'D' ELSE 'E' END, ') foo') WHEN 5 THEN 'Reasoning: no. Yes. Therefore 3'
- WHEN 6 THEN concat('Answer: ', 'Answer: Yes, ', source) ELSE substr(text, 1, 60) END AS answer FROM documents"""
+ WHEN 6 THEN concat('Answer: ', 'Answer: Yes, ', source) ELSE text END AS answer FROM documents"""
 
 
 def answers(spark: SparkSession, d: str) -> DataFrame:
@@ -48,24 +48,31 @@ def cot_answer(spark: SparkSession, d: str) -> DataFrame:
     return answers(spark, d).select("doc_id", T.cot_answer(F.col("answer")).alias("cot"))
 
 
+_TURNS = "SELECT a.conv_id, a.turn, a.text AS pred, b.text AS gold FROM conversations a JOIN conversations b ON b.conv_id = a.conv_id AND b.turn = a.turn + 1"
+
+
+def turns(spark: SparkSession, d: str) -> DataFrame:
+    """Each turn with the one after it."""
+    said = table(spark, d, "conversations").select("conv_id", "turn", "text")
+    return said.withColumnRenamed("text", "pred").join(said.select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("text").alias("gold")), ["conv_id", "turn"])
+
+
 @query(
     "f3_f5_match_f1",
-    f"WITH p AS (SELECT a.doc_id, {_NORM('substr(a.text, 1, 200)')} AS p, {_NORM('substr(b.text, 1, 200)')} AS g FROM documents a JOIN documents b ON b.doc_id = a.doc_id + 1), "
-    f"t AS (SELECT doc_id, p, g, {_WORDS('p')} AS pt, {_WORDS('g')} AS gt FROM p), "
+    f"WITH j AS ({_TURNS}), p AS (SELECT conv_id, turn, {_NORM('pred')} AS p, {_NORM('gold')} AS g FROM j), "
+    f"t AS (SELECT conv_id, turn, p, g, {_WORDS('p')} AS pt, {_WORDS('g')} AS gt FROM p), "
     "c AS (SELECT *, COALESCE(list_sum(list_transform(list_distinct(pt), lambda x: least(len(list_filter(pt, lambda y: y = x)), len(list_filter(gt, lambda y: y = x))))), 0) AS common FROM t) "
-    "SELECT doc_id, CASE WHEN p = g THEN 1e0 ELSE 0e0 END AS em, CASE WHEN len(pt) = 0 AND len(gt) = 0 THEN 1e0 WHEN len(pt) = 0 OR len(gt) = 0 THEN 0e0 ELSE 2e0 * common / (len(pt) + len(gt)) END AS f1 FROM c",
+    "SELECT conv_id, turn, CASE WHEN p = g THEN 1e0 ELSE 0e0 END AS em, CASE WHEN len(pt) = 0 AND len(gt) = 0 THEN 1e0 WHEN len(pt) = 0 OR len(gt) = 0 THEN 0e0 ELSE 2e0 * common / (len(pt) + len(gt)) END AS f1 FROM c",
 )
 def match_f1(spark: SparkSession, d: str) -> DataFrame:
-    docs = table(spark, d, "documents").select("doc_id", F.substring("text", 1, 200).alias("p"))
-    pairs = docs.join(docs.select((F.col("doc_id") - 1).alias("doc_id"), F.col("p").alias("g")), "doc_id")
-    return pairs.select("doc_id", T.exact_match(F.col("p"), F.col("g")).alias("em"), T.token_f1(F.col("p"), F.col("g")).alias("f1"))
+    return turns(spark, d).select("conv_id", "turn", T.exact_match(F.col("pred"), F.col("gold")).alias("em"), T.token_f1(F.col("pred"), F.col("gold")).alias("f1"))
 
 
-@query("f4_f6_any_match", f"WITH a AS (SELECT doc_id, {_NORM('substr(text, 1, 40)')} AS p, [substr(text, 1, 40), upper(lang), source] AS golds FROM documents) SELECT doc_id, CASE WHEN len(list_filter(list_transform(golds, lambda g: {_NORM('g')}), lambda g: g = p)) > 0 THEN 1e0 ELSE 0e0 END AS em FROM a")
+@query("f4_f6_any_match", f"WITH a AS (SELECT doc_id, {_NORM('text')} AS p, CASE WHEN doc_id % 2 = 0 THEN [lang, concat('The ', text, '!')] ELSE [lang, source] END AS golds FROM documents) SELECT doc_id, CASE WHEN len(list_filter(list_transform(golds, lambda g: {_NORM('g')}), lambda g: g = p)) > 0 THEN 1e0 ELSE 0e0 END AS em FROM a")
 def any_match(spark: SparkSession, d: str) -> DataFrame:
-    docs = table(spark, d, "documents")
-    golds = F.array(F.substring("text", 1, 40), F.upper("lang"), F.col("source"))
-    return docs.select("doc_id", T.any_exact_match(F.substring("text", 1, 40), golds).alias("em"))
+    """Every text against two golds; every other document has itself, dressed up, among them."""
+    golds = F.when(F.col("doc_id") % 2 == 0, F.array("lang", F.concat(F.lit("The "), "text", F.lit("!")))).otherwise(F.array("lang", "source"))
+    return table(spark, d, "documents").select("doc_id", T.any_exact_match(F.col("text"), golds).alias("em"))
 
 
 _LAST = lambda pat: f"regexp_extract(answer, '(?is)^.*({pat})', 1)"
@@ -106,7 +113,7 @@ def unstorable(spark: SparkSession, d: str) -> DataFrame:
 @query("f26_entities")
 def entities(spark: SparkSession, d: str) -> DataFrame:
     runs = T.title_runs(F.col("text"))
-    return table(spark, d, "documents").filter("lang = 'en'").select("doc_id", F.size(runs).alias("n"), F.md5(F.array_join(runs, "|")).alias("entities"))
+    return table(spark, d, "documents").select("doc_id", F.size(runs).alias("n"), F.md5(F.array_join(runs, "|")).alias("entities"))
 
 
 @query("f28_atomic_facts", f"WITH l AS (SELECT doc_id, list_filter(list_transform(string_split(text, chr(10)), lambda x: trim(regexp_replace(x, '^\\s*(?:[-*]|[0-9]+[.)])\\s*', ''))), lambda x: len({_WORDS('x')}) >= 4) AS k FROM documents) SELECT doc_id, len(list_filter(k, lambda x, i: list_position(list_transform(k, lambda y: lower(y)), lower(x)) = i))::INT AS n_facts FROM l")
@@ -170,6 +177,4 @@ def rouge(spark: SparkSession, d: str) -> DataFrame:
     """Longest-common-subsequence F1 of each user turn and the answer after it."""
     from tallyvane.operators.loops import rouge_l
 
-    turns = table(spark, d, "conversations").select("conv_id", "turn", "text")
-    after = turns.select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("text").alias("gold"))
-    return rouge_l(turns.join(after, ["conv_id", "turn"]), "text", "gold").select("conv_id", "turn", "rouge_l")
+    return rouge_l(turns(spark, d), "pred", "gold").select("conv_id", "turn", "rouge_l")
