@@ -7,6 +7,7 @@ import re
 import struct
 from collections.abc import Iterator
 from functools import cache
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -22,8 +23,10 @@ END_ID = 1
 BUCKETS, DIMS, BITS = 256, 3, 16
 #: Tokens that a range partition should hold, and how many partitions there may be.
 PARTITION_TOKENS, MAX_PARTITIONS = 8_000_000, 100_000
-#: Bounds of the caches: entries of a generation, characters of an entry.
+#: Bounds of the caches within a task: entries of a generation, characters of an entry.
 CACHE_WORDS, CACHE_RUNS, CACHE_CHARS = 250_000, 250_000, 40
+#: What a worker keeps of either cache from one task to the next.
+KEPT_WORDS = 50_000
 
 
 def default_tokenizer() -> str:
@@ -54,6 +57,10 @@ class Generations:
         if len(self.young) > self.size:
             self.old, self.young = self.young, {}
 
+    def shrink(self, size: int) -> None:
+        """Keep the entries that came first, which are those of frequent words."""
+        self.young, self.old = dict(islice(self.young.items(), size)), {}
+
 
 class WordTokenizer:
     """Ids of whole texts by a tokenizer that drops white space and never joins what stands on its two sides.
@@ -185,6 +192,8 @@ def tokenize(docs: DataFrame, path: str) -> DataFrame:
                     ],
                     names=["doc_id", "curve_key", "tie", "n_tokens", "ids"],
                 )
+        words.words.shrink(KEPT_WORDS)
+        words.runs.shrink(KEPT_WORDS)
 
     # equal texts share a key: the tie, fixed once staged, lets a range boundary fall between them
     tied = docs.select(F.col("doc_id").cast("long"), "text").withColumn("tie", F.xxhash64("doc_id", F.monotonically_increasing_id()))

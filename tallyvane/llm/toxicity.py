@@ -32,7 +32,8 @@ BATCH, LEAST_STEPS = 128, 200
 #: The bounded sample of labelled documents that training takes: of each class, and the longest text in it.
 TRAIN_POSITIVE, TRAIN_NEGATIVE, TRAIN_CHARS = 1500, 3000, 20_000
 THRESHOLD = 0.5
-CACHE_WORDS = 200_000
+#: Words whose scores a task keeps, words whose n-grams are made at once.
+CACHE_WORDS, PIECE = 100_000, 20_000
 WORDS = re.compile(r"\w+")
 
 
@@ -118,9 +119,13 @@ def fit(texts: list[str | None], labels: list[int], stands_for: tuple[float, flo
     words = np.array([vocabulary[w] for ws in split for w in ws], dtype=np.int64)
     lengths = np.array([len(ws) for ws in split])
     starts = np.concatenate([[0], np.cumsum(lengths)])
-    owner, bucket = subwords(list(vocabulary))
-    order = np.argsort(owner, kind="stable")
-    bucket, n_sub = bucket[order], np.bincount(owner, minlength=len(vocabulary))
+    listed, parts, numbers = list(vocabulary), [], []
+    for k in range(0, len(listed), PIECE):  # piece by piece: the n-grams of all words at once would be most of the driver's memory
+        owner, found = subwords(listed[k : k + PIECE])
+        parts.append(found[np.argsort(owner, kind="stable")].astype(np.uint16))
+        numbers.append(np.bincount(owner, minlength=len(listed[k : k + PIECE])))
+    del listed, vocabulary
+    bucket, n_sub = np.concatenate(parts), np.concatenate(numbers)
     sub_at = np.concatenate([[0], np.cumsum(n_sub)])
 
     def bags(spans: list[tuple[int, int]]) -> np.ndarray:
@@ -159,9 +164,11 @@ def fit(texts: list[str | None], labels: list[int], stands_for: tuple[float, flo
 
     def windows() -> tuple[np.ndarray, np.ndarray]:
         per_bucket = (vectors @ (softmax[:, 1] - softmax[:, 0])).astype(np.float64)
-        sums = np.concatenate([[0.0], np.cumsum(per_bucket[bucket])])
-        score = (sums[sub_at[1:]] - sums[sub_at[:-1]]) / np.maximum(1, n_sub)
-        return worst_windows(score[words], lengths)
+        score = np.empty(len(n_sub))
+        for k in range(0, len(n_sub), PIECE):
+            a, b = sub_at[k], sub_at[min(k + PIECE, len(n_sub))]
+            score[k : k + PIECE] = np.add.reduceat(per_bucket[bucket[a:b]], sub_at[k : min(k + PIECE, len(n_sub))] - a)
+        return worst_windows((score / n_sub)[words], lengths)
 
     rounds = max(rounds, LEAST_STEPS * BATCH // len(training))
     for turn in range(rounds):
@@ -220,8 +227,8 @@ def score_documents(docs: DataFrame, model: Model, text: str = "text", score: st
         for batch in batches:
             split = [word_list(t) for t in batch.column(at).to_pylist()]
             if missing := list(set().union(*split) - known.keys()):
-                for k in range(0, len(missing), 20_000):
-                    part = missing[k : k + 20_000]
+                for k in range(0, len(missing), PIECE):
+                    part = missing[k : k + PIECE]
                     known.update(zip(part, shared.value.word_scores(part).tolist(), strict=True))
             lengths = np.array([len(ws) for ws in split], dtype=np.int64)
             flat = np.fromiter((known[w] for ws in split for w in ws), np.float64, int(lengths.sum()))
