@@ -24,12 +24,17 @@ from tallyvane.llm.common import join_bounded, stage, table
 from tallyvane.operators.graph import connected_components
 
 #: Classes, and n-grams, in a block of a candidate group.
-BLOCK_SETS, BLOCK_GRAMS = 512, 500_000
+BLOCK_SETS, BLOCK_GRAMS = 1024, 1_000_000
 #: Groups up to this size compare pairs one by one; larger ones multiply matrices of so many n-grams at a time.
 SMALL_GROUP, COLUMNS = 24, 4096
 #: An empty signature is skipped where a signature covers at most this many n-grams on average: there it would join a large
 #: part of all documents, and similar sets agree on many other signatures.
 THIN = 5
+#: Where no difference is allowed within a partition, from so many partitions on two are taken together: a signature then
+#: covers twice the n-grams, and documents that merely share a passage rarely meet. Of the halved number some agree for
+#: similar sets all the same: at the limit of similarity each does with probability of about exp(-2), so that none of 30
+#: does with about one in a hundred, and of 100 with less than one in a million; above the limit far less often.
+PAIRED = 60
 
 
 def gram_hashes(text: bytes | None, words: int) -> np.ndarray:
@@ -79,6 +84,8 @@ class PartEnum:
                 if k == 0:
                     continue  # only equal sets are similar
                 n1 = -(-(k + 1) // (self.k2 + 1))
+                if self.k2 == 0 and n1 >= PAIRED:
+                    n1 //= 2
                 n2 = self.n2
                 cell = ((mixed >> np.uint64(3)) % np.uint64(n1)).astype(np.int64) * n2 + ((mixed >> np.uint64(40)) % np.uint64(n2)).astype(np.int64)
                 sums = np.zeros(n1 * n2, np.uint64)
