@@ -34,6 +34,8 @@ TRAIN_POSITIVE, TRAIN_NEGATIVE, TRAIN_CHARS = 1500, 3000, 20_000
 THRESHOLD = 0.5
 #: Words whose scores a task keeps, words whose n-grams are made at once.
 CACHE_WORDS, PIECE = 100_000, 20_000
+#: Texts whose words a task holds at once.
+SLICE = 256
 WORDS = re.compile(r"\w+")
 
 
@@ -224,7 +226,7 @@ def score_documents(docs: DataFrame, model: Model, text: str = "text", score: st
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: dict[str, float] = {}
-        for batch in batches:
+        for batch in (b.slice(k, SLICE) for b in batches for k in range(0, b.num_rows, SLICE)):
             split = [word_list(t) for t in batch.column(at).to_pylist()]
             if missing := list(set().union(*split) - known.keys()):
                 for k in range(0, len(missing), PIECE):
