@@ -5,6 +5,11 @@ band or in neighbouring ones. For a band with largest size r, similar sets diffe
 into n1 partitions by hash, so that in one of them they differ in at most k2 elements; that partition is cut again into n2
 parts, and every choice of n2 - k2 of these gives a signature. Similar sets share one.
 
+Where a signature covers few n-grams (k2 = 0), an empty one would join a large part of all documents, so there are SPARE
+partitions more than k + 1: a set with fewer empty partitions than spare ones agrees with each similar set on a signature
+that is not empty. A set with more of them adds signatures by another hash. Sets that merely share a passage meet there as
+well; pairs that met are compared by sketches first, which tell surely that sets differ too much.
+
 Equal sets are one class throughout. Classes that share signatures form candidate groups; within a group every pair is
 compared exactly, in blocks of bounded size, and what leaves a block pair is a spanning forest and counts, never the pairs.
 """
@@ -12,6 +17,7 @@ compared exactly, in blocks of bounded size, and what leaves a block pair is a s
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -27,14 +33,11 @@ from tallyvane.operators.graph import connected_components
 BLOCK_SETS, BLOCK_GRAMS = 1024, 1_000_000
 #: Groups up to this size compare pairs one by one; larger ones multiply matrices of so many n-grams at a time.
 SMALL_GROUP, COLUMNS = 24, 4096
-#: An empty signature is skipped where a signature covers at most this many n-grams on average: there it would join a large
-#: part of all documents, and similar sets agree on many other signatures.
-THIN = 5
-#: Where no difference is allowed within a partition, from so many partitions on two are taken together: a signature then
-#: covers twice the n-grams, and documents that merely share a passage rarely meet. Of the halved number some agree for
-#: similar sets all the same: at the limit of similarity each does with probability of about exp(-2), so that none of 30
-#: does with about one in a hundred, and of 100 with less than one in a million; above the limit far less often.
-PAIRED = 60
+#: Partitions beyond those that the differences can hit, in percent, and hashes that a set with too many empty partitions
+#: tries; by the last of them its empty signatures count too.
+SPARE, HASHES = 10, 6
+#: Classes of a bucket up to which each pair is compared by sketches; the classes of a larger one are linked at once.
+SMALL_BUCKET = 12
 
 
 def gram_hashes(text: bytes | None, words: int) -> np.ndarray:
@@ -76,29 +79,57 @@ class PartEnum:
             return np.zeros(0, np.uint64)
         own = self.band(len(grams))
         out = []
+        for band in (own, own + 1):
+            k = 2 * self.top(band) * (100 - self.percent) // (100 + self.percent)
+            if k == 0:
+                continue  # only equal sets are similar
+            n1 = -(-(k + 1) // (self.k2 + 1))
+            if self.k2:
+                out.append(self._choices(grams, band, n1, 0)[0].reshape(-1))
+                continue
+            spare = -(-n1 * SPARE // 100)
+            for seed in range(HASHES):
+                sig, chosen = self._choices(grams, band, n1 + spare, seed)
+                # of two similar sets, both get to the first hash by which either has few empty partitions
+                few = np.count_nonzero(chosen == 0) <= spare
+                out.append(sig[chosen != 0] if few or seed < HASHES - 1 else sig.reshape(-1))
+                if few:
+                    break
+        return np.concatenate(out) if out else np.zeros(0, np.uint64)
+
+    def _choices(self, grams: np.ndarray, band: int, n1: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
+        """Signatures by one hash, and the sums of the n-grams they cover: 0 where there are none."""
+        n2 = self.n2
         with np.errstate(over="ignore"):
-            mixed = grams * np.uint64(0xD6E8FEB86659FD93)
+            mixed = grams * np.uint64((0xD6E8FEB86659FD93 + seed * 0x9E3779B97F4A7C16) % (1 << 64))
             mixed ^= mixed >> np.uint64(32)
-            for band in (own, own + 1):
-                k = 2 * self.top(band) * (100 - self.percent) // (100 + self.percent)
-                if k == 0:
-                    continue  # only equal sets are similar
-                n1 = -(-(k + 1) // (self.k2 + 1))
-                if self.k2 == 0 and n1 >= PAIRED:
-                    n1 //= 2
-                n2 = self.n2
-                cell = ((mixed >> np.uint64(3)) % np.uint64(n1)).astype(np.int64) * n2 + ((mixed >> np.uint64(40)) % np.uint64(n2)).astype(np.int64)
-                sums = np.zeros(n1 * n2, np.uint64)
-                np.add.at(sums, cell, mixed * np.uint64(0xC2B2AE3D27D4EB4F) | np.uint64(1))
-                sums = sums.reshape(n1, n2)
-                chosen = sums.sum(axis=1, keepdims=True, dtype=np.uint64) - sums if self.k2 else sums
-                place = np.arange(n1 * n2, dtype=np.uint64).reshape(n1, n2) + np.uint64((band + 1) << 32)
-                sig = (chosen ^ (place * np.uint64(0x9E3779B97F4A7C15))) * np.uint64(0xFF51AFD7ED558CCD)
-                sig = sig ^ (sig >> np.uint64(33))
-                if len(grams) * (n2 - self.k2) / (n1 * n2) <= THIN and len(grams) >= 4 * THIN:
-                    sig = sig[chosen != 0]
-                out.append(sig.reshape(-1))
-        return np.concatenate(out) if out else np.zeros(0, np.uint64)
+            cell = ((mixed >> np.uint64(3)) % np.uint64(n1)).astype(np.int64) * n2 + ((mixed >> np.uint64(40)) % np.uint64(n2)).astype(np.int64)
+            sums = np.zeros(n1 * n2, np.uint64)
+            np.add.at(sums, cell, mixed * np.uint64(0xC2B2AE3D27D4EB4F) | np.uint64(1))
+            sums = sums.reshape(n1, n2)
+            chosen = sums.sum(axis=1, keepdims=True, dtype=np.uint64) - sums if self.k2 else sums
+            place = np.arange(n1 * n2, dtype=np.uint64).reshape(n1, n2) + np.uint64((seed << 56) + ((band + 1) << 32))
+            sig = (chosen ^ (place * np.uint64(0x9E3779B97F4A7C15))) * np.uint64(0xFF51AFD7ED558CCD)
+            return sig ^ (sig >> np.uint64(33)), chosen
+
+
+def sketch(grams: np.ndarray) -> bytes:
+    """Parities of the numbers of n-grams in 2^j cells, about one cell an n-gram; each difference of two sets flips one."""
+    cells = 1 << max(8, len(grams).bit_length())
+    with np.errstate(over="ignore"):
+        cell = (grams * np.uint64(0xC2B2AE3D27D4EB4F) >> np.uint64(24)) & np.uint64(cells - 1)
+    return np.packbits((np.bincount(cell.astype(np.int64), minlength=cells) & 1).astype(np.uint8), bitorder="little").tobytes()
+
+
+def least_difference(a: bytes, b: bytes) -> int:
+    """A number of n-grams in which the sets of two sketches differ at least."""
+    if len(a) > len(b):
+        a, b = b, a
+    x, y, bits = int.from_bytes(a, "little"), int.from_bytes(b, "little"), 8 * len(b)
+    while bits > 8 * len(a):
+        bits //= 2
+        y = (y >> bits) ^ (y & ((1 << bits) - 1))
+    return (x ^ y).bit_count()
 
 
 def _signed(x: np.ndarray) -> pa.Array:
@@ -110,9 +141,9 @@ def _keys(sets: list[np.ndarray]) -> tuple[pa.Array, pa.Array]:
     return _signed(digests[:, 0].copy()), _signed(digests[:, 1].copy())
 
 
-def shingle_sets(docs: DataFrame, words: int, with_grams: bool) -> DataFrame:
-    """doc_id, n_shingles, key_lo, key_hi (a 128-bit digest of the set) and, if asked for, the n-grams as bytes."""
-    schema = "doc_id long, n_shingles long, key_lo long, key_hi long" + ", grams binary" * with_grams
+def shingle_sets(docs: DataFrame, words: int, with_grams: bool, with_sketch: bool = False) -> DataFrame:
+    """doc_id, n_shingles, key_lo, key_hi (a 128-bit digest of the set) and, if asked for, the n-grams as bytes and a sketch."""
+    schema = "doc_id long, n_shingles long, key_lo long, key_hi long" + ", grams binary" * with_grams + ", sketch binary" * with_sketch
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -122,6 +153,8 @@ def shingle_sets(docs: DataFrame, words: int, with_grams: bool) -> DataFrame:
                 columns = [part.column("doc_id"), pa.array([len(x) for x in sets], pa.int64()), *_keys(sets)]
                 if with_grams:
                     columns.append(pa.array([x.tobytes() for x in sets], pa.binary()))
+                if with_sketch:
+                    columns.append(pa.array([sketch(x) for x in sets], pa.binary()))
                 yield pa.RecordBatch.from_arrays(columns, names=[x.split()[0] for x in schema.split(", ")])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.encode("text", "UTF-8").alias("body")).mapInArrow(run, schema)
@@ -145,6 +178,61 @@ def signature_rows(docs: DataFrame, words: int, percent: int) -> DataFrame:
     return docs.select(F.encode("text", "UTF-8").alias("body")).mapInArrow(run, "sig long, cls long")
 
 
+def bucket_links(sigs: DataFrame) -> DataFrame:
+    """(u, v, sure): the classes that meet in a bucket, as pairs in a small one, else linked to its first (sure). sigs has a
+    bucket's rows together, sorted by class; at most SMALL_BUCKET rows of it and one batch are kept in memory."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sig, cls, linked = np.zeros(0, np.int64), np.zeros(0, np.int64), False  # the open bucket; whether it is linked so far
+        for batch in chain(batches, [None]):
+            if batch is not None:
+                sig = np.concatenate([sig, batch.column("sig").to_numpy()])
+                cls = np.concatenate([cls, batch.column("cls").to_numpy()])
+            if not len(sig):
+                continue
+            fresh = np.concatenate([[True], (sig[1:] != sig[:-1]) | (cls[1:] != cls[:-1])])
+            sig, cls = sig[fresh], cls[fresh]
+            starts = np.flatnonzero(np.concatenate([[True], sig[1:] != sig[:-1]]))
+            sizes = np.diff(np.append(starts, len(sig)))
+            large = sizes > SMALL_BUCKET
+            large[0] |= linked
+            small = ~large
+            if batch is not None:
+                small[-1] = False  # it may go on
+            place = np.arange(len(sig)) - np.repeat(starts, sizes)
+            at = np.flatnonzero(np.repeat(large, sizes) & (place > 0))
+            u, v, n_sure = [cls[at]], [cls[at - place[at]]], len(at)
+            of_small = np.repeat(small, sizes)
+            for back in range(1, SMALL_BUCKET):
+                at = np.flatnonzero(of_small & (place >= back))
+                if not len(at):
+                    break
+                u.append(cls[at])
+                v.append(cls[at - back])
+            us, vs = np.concatenate(u), np.concatenate(v)
+            yield pa.RecordBatch.from_arrays([pa.array(us), pa.array(vs), pa.array(np.arange(len(us)) < n_sure)], names=["u", "v", "sure"])
+            linked = bool(large[-1])
+            last = slice(starts[-1], starts[-1] + 1 if linked else None)
+            sig, cls = sig[last], cls[last]
+
+    return sigs.mapInArrow(run, "u long, v long, sure boolean")
+
+
+def likely_links(sets: DataFrame, met: DataFrame, percent: int) -> DataFrame:
+    """(u, v) of met, without the pairs whose sketches show that their sets are not similar."""
+    sketches = sets.filter("n_shingles > 0").select("key_lo", "n_shingles", "sketch").distinct()
+    of = lambda c: sketches.select(F.col("key_lo").alias(c), F.col("n_shingles").alias(f"n_{c}"), F.col("sketch").alias(f"sketch_{c}"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n = batch.column("n_u").to_numpy() + batch.column("n_v").to_numpy()
+            least = np.fromiter(map(least_difference, batch.column("sketch_u").to_pylist(), batch.column("sketch_v").to_pylist()), np.int64, len(n))
+            yield batch.select(["u", "v"]).filter(pa.array((100 + percent) * least <= (100 - percent) * n))
+
+    compared = met.filter("not sure").select("u", "v").join(of("u"), "u").join(of("v"), "v")
+    return met.filter("sure").select("u", "v").union(compared.mapInArrow(run, "u long, v long"))
+
+
 def link_labels(linked: np.ndarray) -> np.ndarray:
     """The least index of each row's component in a symmetric boolean matrix with a true diagonal."""
     labels = np.arange(len(linked))
@@ -216,11 +304,17 @@ def jaccard_components(docs: DataFrame, words: int = 5, percent: int = 80) -> Da
     other; other columns are ignored; an empty table gives no rows.
     """
     docs = docs.select("doc_id", "text")
-    sets = stage(shingle_sets(docs, words, False), "jaccard-sets")
+    wide = PartEnum(percent).k2 > 0  # signatures cover so many n-grams that sets rarely meet without being similar
+    sets = stage(shingle_sets(docs, words, False, not wide), "jaccard-sets")
     sigs = signature_rows(docs, words, percent).repartition("sig")
-    # the first class of a bucket stands for it: links run to it alone, and nothing but the row before is kept in memory
-    in_bucket = F.first("cls").over(Window.partitionBy("sig").orderBy("cls").rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    edges = sigs.select("cls", in_bucket.alias("rep")).filter("cls <> rep").select(F.col("cls").alias("u"), F.col("rep").alias("v"))
+    if wide:
+        # the first class of a bucket stands for it: links run to it alone, and nothing but the row before is kept in memory
+        in_bucket = F.first("cls").over(Window.partitionBy("sig").orderBy("cls").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+        edges = sigs.select("cls", in_bucket.alias("rep")).filter("cls <> rep").select(F.col("cls").alias("u"), F.col("rep").alias("v"))
+    else:
+        met = stage(bucket_links(sigs.sortWithinPartitions("sig", "cls")).distinct(), "jaccard-met")
+        edges = likely_links(sets, met, percent)
+        sets = sets.drop("sketch")
     groups = stage(connected_components(edges, stage).select(F.col("node").alias("key_lo"), F.col("component").alias("comp")), "jaccard-groups")
     n_grouped = groups.count()
     # one document of each class in a group brings its n-grams

@@ -275,6 +275,40 @@ def test_similar_sets_share_a_signature(percent):
             assert len(np.intersect1d(scheme.signatures(a), scheme.signatures(b)))
 
 
+def test_no_similar_sets_of_any_size_miss_each_other():
+    rng = np.random.default_rng(8)
+    scheme = jaccard.PartEnum(80)
+    missed = []
+    for size in [25] * 4000 + [286] * 2500:  # the smaller set lies in the band below, so that they share one band only
+        a = np.unique(rng.integers(0, 1 << 63, size, dtype=np.uint64))
+        b = np.sort(rng.permutation(a)[: -(-size * 80 // 100)])  # at the limit of similarity
+        if not len(np.intersect1d(scheme.signatures(a), scheme.signatures(b))):
+            missed.append(size)
+    assert not missed
+
+
+def test_sketches_never_overstate_a_difference():
+    rng = np.random.default_rng(9)
+    for size in (1, 5, 200, 255, 256, 300, 1000, 3000):
+        for share in (1.0, 0.9, 0.8, 0.4, 0.0):
+            a = np.unique(rng.integers(0, 1 << 63, size, dtype=np.uint64))
+            b = np.unique(np.concatenate([a[rng.random(len(a)) < share], rng.integers(0, 1 << 63, int(rng.integers(0, 1 + size // 9)), dtype=np.uint64)]))
+            assert jaccard.least_difference(jaccard.sketch(a), jaccard.sketch(b)) <= len(np.setxor1d(a, b))
+
+
+def test_buckets_over_batches(spark):
+    small, large = jaccard.SMALL_BUCKET, jaccard.SMALL_BUCKET + 40
+    buckets = {1: 1, 2: 2, 3: small, 4: small + 1, 5: large, 6: 3}
+    rows = [(s, 100 * s + c) for s, n in buckets.items() for c in range(n) for _ in range(2)]
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "5")
+    try:
+        met = jaccard.bucket_links(spark.createDataFrame(rows, "sig long, cls long").coalesce(1).sortWithinPartitions("sig", "cls")).collect()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    wanted = {(100 * s + c, 100 * s + (d if n <= small else 0), n > small) for s, n in buckets.items() for c in range(n) for d in range(c)}
+    assert {tuple(r) for r in met} == wanted
+
+
 def test_linked_pairs_of_large_groups_equal_small_ones():
     rng = np.random.default_rng(6)
     base = np.unique(rng.integers(0, 1 << 63, 60, dtype=np.uint64))
