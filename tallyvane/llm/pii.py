@@ -5,7 +5,8 @@ same pattern gives the stretches between them, and sums over both lengths give c
 
 The patterns below are those of the contract with look-behinds and possessive quantifiers added. A run of one character
 class is then tried from its start only (or from the end of the match before, \\G), which finds the same leftmost matches
-in linear time, however long the run.
+in linear time, however long the run. An account number's end is not settled by the pattern, which matches its first four
+characters and looks ahead at up to 34: each end of a group there is tried, see account_number.
 """
 
 from __future__ import annotations
@@ -23,9 +24,17 @@ PATTERNS = {
     "ip": r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++",
     "card": r"(?<![0-9])(?<![0-9][\x20-])[0-9](?:[\x20-]?+[0-9]){13,18}+(?![\x20-]?[0-9])",
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
-    "iban": r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?+[A-Z0-9]){11,30}+(?![A-Za-z0-9])",
+    "iban": r"(?<![A-Za-z0-9])(?=([A-Z]{2}[0-9]{2}(?:\x20?+[A-Z0-9]){11,30}+[A-Za-z0-9]?+))[A-Z]{2}[0-9]{2}",
     "ssn": r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])",
 }
+#: Kinds whose pattern matches so many characters and has what it looks ahead at as its first group.
+HEAD = {"iban": 4}
+#: Lengths of account numbers by country.
+IBAN_LENGTHS = (
+    "AD24 AE23 AL28 AT20 AZ28 BA20 BE16 BG22 BH22 BI27 BR29 BY28 CH21 CR22 CY28 CZ24 DE22 DJ27 DK18 DO28 EE20 EG29 ES24 FI18 FK18 FO18 FR27 GB22 GE22 GI23 "
+    "GL18 GR27 GT28 HN28 HR21 HU28 IE22 IL23 IQ23 IS26 IT27 JO30 KW30 KZ20 LB28 LC32 LI21 LT20 LU20 LV21 LY25 MC27 MD24 ME22 MK19 MN20 MR27 MT31 MU30 NI28 "
+    "NL18 NO15 OM23 PK24 PL28 PS29 PT25 QA29 RO24 RS22 RU33 SA24 SC31 SD18 SE24 SI19 SK24 SM27 SO23 ST25 SV28 TL23 TN24 TR26 UA29 VA22 VG24 XK20 YE30"
+)
 #: Score before context; base spans are reported whatever they score, added ones from THRESHOLD.
 PRIOR = {"email": 0.9, "ip": 0.6, "card": 0.8, "phone": 0.6, "iban": 0.7, "ssn": 0.3}
 CONTEXT = {
@@ -71,6 +80,33 @@ def mod97(match: Column) -> Column:
     return F.aggregate(F.sequence(F.lit(1), F.length(turned)), F.lit(0), add) == 1
 
 
+def account_number(ahead: Column) -> Column:
+    """The account number at the start of a run of groups, or null: of the ends of groups that pass, one of the country's
+    length, else the last."""
+    groups = F.split(ahead, " ")
+    starts = F.transform(F.sequence(F.lit(1), F.size(groups)), lambda n: F.array_join(F.slice(groups, 1, n), " "))
+    good = F.filter(starts, lambda x: F.replace(x, F.lit(" "), F.lit("")).rlike("^[A-Z0-9]{15,34}$") & mod97(x))
+
+    def ranked(x: Column) -> Column:
+        n = F.length(F.replace(x, F.lit(" "), F.lit("")))
+        return F.struct(F.lit(IBAN_LENGTHS).contains(F.concat(F.substring(x, 1, 2), n.cast("string"))).alias("listed"), n.alias("n"), x.alias("x"))
+
+    return F.array_max(F.transform(good, ranked))["x"]
+
+
+def _apart(raw: Column) -> Column:
+    """Matches at their places, without those that start inside of one before."""
+    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<m:string,s:int>>").alias("out"))
+
+    def step(a: Column, x: Column) -> Column:
+        fresh = x["s"] >= a["at"]
+        return F.struct(
+            F.when(fresh, x["s"] + F.length(x["m"])).otherwise(a["at"]).alias("at"), F.when(fresh, F.concat(a["out"], F.array(x))).otherwise(a["out"]).alias("out")
+        )
+
+    return F.aggregate(raw, start, step, lambda a: a["out"])
+
+
 def confirmed(kind: str, match: Column) -> Column:
     """The validator of a kind."""
     if kind == "ip":
@@ -81,7 +117,7 @@ def confirmed(kind: str, match: Column) -> Column:
     if kind == "phone":
         return F.length(_digits(match)).between(10, 15)
     if kind == "iban":
-        return F.length(F.replace(match, F.lit(" "), F.lit(""))).between(15, 34) & mod97(match)
+        return match.isNotNull()  # by account_number
     if kind == "ssn":
         return ~match.rlike("^(?:000|666|9)|-00-|-0000$")
     return F.lit(True)
@@ -115,7 +151,10 @@ def _kind_spans(kind: str, rank: int, body: Column) -> Column:
         )
 
     raw = F.zip_with(F.col(f"_m_{kind}"), F.col(f"_s_{kind}"), lambda m, s: F.struct(m.alias("m"), s.alias("s")))
-    part = F.transform(F.filter(raw, lambda x: confirmed(kind, x["m"])), scored)
+    if kind == "iban":
+        raw = F.transform(raw, lambda x: F.struct(account_number(x["m"]).alias("m"), x["s"].alias("s")))
+    good = F.filter(raw, lambda x: confirmed(kind, x["m"]))
+    part = F.transform(_apart(good) if kind in HEAD else good, scored)
     if kind in ADDED:
         part = F.filter(part, lambda x: x["score"] >= THRESHOLD)
     return F.when(F.size(f"_m_{kind}") > 0, part).otherwise(F.array())
@@ -135,11 +174,12 @@ def find_spans(docs: DataFrame, text: str = "text", spans: str = "pii") -> DataF
     """
     kinds = (*BASE, *ADDED)
     body = F.coalesce(F.col(text), F.lit(""))
-    found = docs.withColumns({f"_m_{k}": F.regexp_extract_all(body, F.lit(PATTERNS[k]), F.lit(0)) for k in kinds})
+    found = docs.withColumns({f"_m_{k}": F.regexp_extract_all(body, F.lit(PATTERNS[k]), F.lit(int(k in HEAD))) for k in kinds})
     gaps = lambda k: F.transform(F.split(body, PATTERNS[k], -1), F.length)
     found = found.withColumns({f"_g_{k}": F.when(F.size(f"_m_{k}") > 0, gaps(k)) for k in kinds})
     # start of match i = lengths of gaps 0..i and of matches 0..i-1
-    lengths = lambda k: F.zip_with(F.slice(F.col(f"_g_{k}"), 2, F.size(f"_m_{k}")), F.col(f"_m_{k}"), lambda g, m: g + F.length(m))
+    taken = lambda k, m: F.lit(HEAD[k]) if k in HEAD else F.length(m)
+    lengths = lambda k: F.zip_with(F.slice(F.col(f"_g_{k}"), 2, F.size(f"_m_{k}")), F.col(f"_m_{k}"), lambda g, m: g + taken(k, m))
     found = found.withColumns({f"_s_{k}": F.when(F.size(f"_m_{k}") > 0, _sums_before(lengths(k))) for k in kinds})
     parts = [_kind_spans(k, rank, body) for rank, k in enumerate(kinds)]
     found = found.withColumn("_all", F.array_sort(F.concat(*parts)))

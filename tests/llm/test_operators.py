@@ -151,6 +151,35 @@ def test_pii_added_kinds_and_redaction(spark):
     assert pii.redact(frame).columns == ["text", "k"]
 
 
+def plain_ibans(text):
+    out, at = [], 0
+    for m in re.finditer(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}", text):
+        good = []
+        for end in range(m.end(), min(len(text), m.start() + 67) + 1):
+            piece = text[m.start() : end]
+            packed = piece.replace(" ", "")
+            if not re.fullmatch(r"[A-Z0-9]+(?: [A-Z0-9]+)*", piece) or re.match("[A-Za-z0-9]", text[end : end + 1]) or not 15 <= len(packed) <= 34:
+                continue
+            if int("".join(str(int(c, 36)) for c in packed[4:] + packed[:4])) % 97 == 1:
+                good.append((f"{packed[:2]}{len(packed)}" in pii.IBAN_LENGTHS, len(packed), end))
+        if good and m.start() >= at:
+            at = max(good)[2]
+            out.append((m.start(), at))
+    return out
+
+
+def test_pii_account_numbers_before_other_words(spark):
+    number = "GB82 WEST 1234 5698 7654 32"
+    texts = [f"iban {number}{x}" for x in (" Please pay", " OK", " 2024-01-01", " DE89 3704 0044 0532 0130 00 A", "OK", ", NO93 8601 1117 947 X", " " + "A1B2 " * 9)]
+    rng = random.Random(4)
+    parts = [number, "GB82WEST12345698765432", "NO9386011117947", "DE89 3704 0044 0532 0130 00", "DE89370400440532013000", " ", " ", " ", "  ", "OK", "Ok", "2024", "-", "\U0001f600", "AB12", "AB12 CD34"]
+    texts += ["".join(rng.choice(parts) for _ in range(14)) for _ in range(300)] + ["AB12 " * 3000]
+    got = pii.find_spans(spark.createDataFrame([(t,) for t in texts], "text string")).collect()
+    for r in got:
+        assert [(x["start"], x["end"]) for x in r["pii"] if x["kind"] == "iban"] == plain_ibans(r["text"]), r["text"]
+    assert [len(plain_ibans(t)) for t in texts[:7]] == [1, 1, 1, 2, 0, 2, 1]
+
+
 # --- mixing
 
 
