@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -13,6 +10,7 @@ from tallyvane.operators.vector import knn_join
 from tallyvane.plans.queries import query
 from tallyvane.sources.fixtures import MEMORY_SQL, table
 from tallyvane.sources.fixtures import memory as entries_of
+from tallyvane.sources.staging import Scratch
 from tallyvane.streaming import cycles
 
 ME = f"WITH m AS ({MEMORY_SQL})"
@@ -20,18 +18,6 @@ _DOT = lambda a, b: f"list_sum(list_transform(list_zip({a}, {b}), lambda p: p[1]
 _SP = r"[ \t\n\r\x0b\x0c]+"
 
 
-def write_shared(df: DataFrame, name: str) -> DataFrame:
-    """A table in the folder that driver and executors share, read back."""
-    spark = df.sparkSession
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = tempfile.mkdtemp(prefix="shared-")
-        spark.conf.set("spark.checkpoint.dir", base)
-    path = f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 @query("c1_chunks", f"WITH w AS (SELECT doc_id, list_filter(regexp_split_to_array(text, '{_SP}'), lambda x: x <> '') AS w FROM documents), c AS (SELECT doc_id, unnest(range(0, (len(w) - 10) // 90 + 1)) AS i, w FROM w WHERE len(w) >= 10) SELECT doc_id, i::INT AS chunk_no, md5(array_to_string(w[i * 90 + 1:i * 90 + 100], ' ')) AS chunk FROM c")
 def chunks(spark: SparkSession, d: str) -> DataFrame:
     return corpus.chunks(table(spark, d, "documents"), "doc_id", "text").withColumn("chunk", F.md5("chunk"))
@@ -96,7 +82,7 @@ def retroverify(spark: SparkSession, d: str) -> DataFrame:
  SELECT root, count(*) AS n, CASE WHEN count(DISTINCT answer) > 1 THEN 'answer_mismatch' WHEN max(u_stored) - min(u_stored) > 0.15e0 THEN 'u_spread' ELSE 'merged' END AS outcome, arg_max(entry_id, {{'a': u_stored, 'b': -storage_cycle, 'c': -entry_id}}) AS keeper FROM c JOIN m ON m.entry_id = c.node GROUP BY root""")
 def consolidate(spark: SparkSession, d: str) -> DataFrame:
     """Near entries of one pool in groups; the similarity fits these vectors."""
-    return memory.consolidate(entries_of(spark, d), write_shared, near=0.35)
+    return memory.consolidate(entries_of(spark, d), Scratch(spark), near=0.35)
 
 
 @query("m8_t4_force_queue", f"{ME} SELECT entry_id, hit_counter FROM m WHERE hit_counter >= 10")
