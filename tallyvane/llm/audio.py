@@ -14,7 +14,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyvane.llm.common import stage, table
+from tallyvane.llm.common import table
+from tallyvane.sources.staging import stage
 
 #: Payloads are padded with FILL to a positive multiple of UNIT.
 UNIT, FILL = 576, b"\xff"
@@ -174,39 +175,45 @@ def store_audio(docs: DataFrame) -> DataFrame:
 
 
 def audio_features(stored: DataFrame) -> DataFrame:
-    """What is read back from a media column: doc_id, n_bytes, media, payload digests, segments and tensors.
+    """What is read back from a media column: doc_id, n_bytes, media, digests, segments and tensors.
 
-    Adds payload_bytes, payload_sha256, tail_crc32 (of the last 32 bytes), n_frames, segments (array of struct<begin_s, end_s>)
-    and tensors (an Arrow stream of fixed-shape log-mel tensors with time spans). Rows are independent of each other.
+    Adds media_bytes, media_sha256, payload_bytes, payload_sha256, tail_crc32 (of the last 32 bytes), n_frames, segments (array
+    of struct<begin_s, end_s>) and tensors (an Arrow stream of fixed-shape log-mel tensors with time spans). Rows are
+    independent of each other; repeated rows get the same values.
     """
-    schema = "doc_id long, n_bytes long, media binary, payload_bytes long, payload_sha256 string, tail_crc32 long, n_frames long, segments array<struct<begin_s:double,end_s:double>>, tensors binary"
+    schema = "doc_id long, n_bytes long, media binary, media_bytes long, media_sha256 string, payload_bytes long, payload_sha256 string, tail_crc32 long, n_frames long, segments array<struct<begin_s:double,end_s:double>>, tensors binary"
     span = pa.list_(pa.struct([("begin_s", pa.float64()), ("end_s", pa.float64())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
-                out: list[list] = [[] for _ in range(6)]
+                out: list[list] = [[] for _ in range(8)]
                 for media in part.column("media").to_pylist():
                     rate, payload = from_wav(media)
                     mel, found = features_of(payload, rate)
                     second = rate * UP / DOWN
                     spans = [{"begin_s": a * HOP / second, "end_s": ((b - 1) * HOP + FRAME) / second} for a, b in found.tolist()]
-                    values = (len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-32:]), len(mel), spans, to_tensors(mel, rate))
+                    values = (len(media), hashlib.sha256(media).hexdigest(), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-32:]), len(mel), spans, to_tensors(mel, rate))
                     for column, value in zip(out, values, strict=True):
                         column.append(value)
-                kinds = (pa.int64(), pa.string(), pa.int64(), pa.int64(), span, pa.binary())
+                kinds = (pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64(), pa.int64(), span, pa.binary())
                 yield pa.RecordBatch.from_arrays([*part.columns, *map(pa.array, out, kinds)], names=[x.split(" ")[0] for x in schema.split(", ")])
 
     return stored.select("doc_id", "n_bytes", "media").mapInArrow(run, schema)
 
 
+def store_features(stored: DataFrame) -> DataFrame:
+    """The features of a media column, tensors and time spans among them, as a table of their own beside it, read back."""
+    return stage(audio_features(stored).drop("media"), "audio-features", compression="zstd")
+
+
 def op9_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Digests and features of every document stored as audio."""
-    found = audio_features(store_audio(table(spark, sf_dir, "documents")))
+    """Digests and features of every document stored as audio; both tables are written and read back."""
+    found = store_features(store_audio(table(spark, sf_dir, "documents")))
     active = F.aggregate("segments", F.lit(0.0), lambda s, x: s + x["end_s"] - x["begin_s"])
     feature = F.format_string("frames=%d;segments=%d;active=%.3f;tensors=%s", F.col("n_frames"), F.size("segments"), active, F.md5("tensors"))
     return found.select(
         "doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32",
-        F.length("media").cast("long").alias("media_bytes"), F.sha2("media", 256).alias("media_sha256"), feature.alias("feature"),
+        "media_bytes", "media_sha256", feature.alias("feature"),
     )

@@ -7,7 +7,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tallyvane.llm.common import WORD, join_bounded, n_words, stage, table
+from tallyvane.llm.common import WORD, join_bounded, n_words, table, unused
+from tallyvane.sources.staging import stage
 
 #: No source may be repeated more often than this.
 MAX_RATE = 3
@@ -49,26 +50,30 @@ def plan_mix(docs: DataFrame, seed: str = SEED) -> DataFrame:
 
     A null text has size 0 and is emitted like any other document of its source; a null source is a source of its own, last
     in order; a source without words has rate 0. Repeated rows of one doc_id share a draw. Columns of docs that have the
-    names of the new ones are replaced; an empty table gives no rows.
+    names of the new ones are replaced, others are kept; an empty table gives no rows. Sources are ranked in one task, a row
+    a source: they are expected to be named collections, not hosts or pages.
     """
     docs = docs.drop("size", "source_size", "target", "copies").withColumn("size", n_words(F.col("text")))
     sums = stage(docs.groupBy("source").agg(F.sum("size").alias("source_size")), "mix-sources")
-    n_sources = sums.count()
-    targets = source_targets(sums)
+    n_sources, name = sums.count(), unused(docs, "target_source")
+    right = source_targets(sums).withColumnRenamed("source", name)
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
-    right = targets.withColumnRenamed("source", "target_source")
     return (
-        join_bounded(docs, right, docs["source"].eqNullSafe(right["target_source"]), "inner", n_sources)
-        .drop("target_source")
+        join_bounded(docs, right, docs["source"].eqNullSafe(right[name]), "inner", n_sources)
+        .drop(name)
         .withColumn("copies", (F.floor(rate) + (uniform(F.col("doc_id"), seed) < rate - F.floor(rate)).cast("long")).cast("long"))
     )
 
 
 def mix(docs: DataFrame, seed: str = SEED) -> DataFrame:
-    """The mixed corpus: each row of docs as often as its source's rate says, with the columns of docs alone."""
-    columns = docs.columns
-    planned = plan_mix(docs.select("*"), seed).filter("copies > 0")
-    return planned.withColumn("copy_no", F.explode(F.sequence(F.lit(1), F.col("copies")))).select(*columns)
+    """The mixed corpus: each row of docs as often as its source's rate says, with the columns of docs as they are.
+
+    Nulls, repeated rows and empty tables are treated as by plan_mix; each row travels as a struct, so that none of its
+    columns meets one of the plan's.
+    """
+    planned = plan_mix(docs.select("doc_id", "source", "text", F.struct("*").alias("row")), seed).filter("copies > 0")
+    of = F.col("row").getField
+    return planned.select("row", F.explode(F.sequence(F.lit(1), F.col("copies")))).select(*(of(c).alias(c) for c in docs.columns))
 
 
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

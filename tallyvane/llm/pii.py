@@ -164,38 +164,41 @@ def _count(kind: str) -> Column:
     return F.size(F.filter("pii", lambda x: x["kind"] == kind)).cast("long").alias(f"n_{kind}")
 
 
-def find_spans(docs: DataFrame, text: str = "text", spans: str = "pii") -> DataFrame:
-    """docs with an array of struct<kind, start, end, score> in column `spans`, by start, then kind as listed.
-
-    Offsets count code points, ends are exclusive. Each kind's matches are leftmost and do not overlap one another; those of
-    different kinds may. A null or empty text has an empty array. Rows are independent of each other: repeated rows get
-    the same answer, and no column but `text` is read. A column of docs named `spans` is replaced. Cost is linear in a
-    text's length.
-    """
-    kinds = (*BASE, *ADDED)
-    body = F.coalesce(F.col(text), F.lit(""))
-    found = docs.withColumns({f"_m_{k}": F.regexp_extract_all(body, F.lit(PATTERNS[k]), F.lit(int(k in HEAD))) for k in kinds})
+def _with_spans(docs: DataFrame, text: str) -> DataFrame:
+    """(row, body, pii): each row of docs as a struct, so that no name in it meets one made here, its text and the spans."""
+    kinds, body = (*BASE, *ADDED), F.col("body")
+    found = docs.select(F.struct("*").alias("row"), F.coalesce(F.col(text), F.lit("")).alias("body"))
+    found = found.withColumns({f"_m_{k}": F.regexp_extract_all(body, F.lit(PATTERNS[k]), F.lit(int(k in HEAD))) for k in kinds})
     gaps = lambda k: F.transform(F.split(body, PATTERNS[k], -1), F.length)
     found = found.withColumns({f"_g_{k}": F.when(F.size(f"_m_{k}") > 0, gaps(k)) for k in kinds})
     # start of match i = lengths of gaps 0..i and of matches 0..i-1
     taken = lambda k, m: F.lit(HEAD[k]) if k in HEAD else F.length(m)
     lengths = lambda k: F.zip_with(F.slice(F.col(f"_g_{k}"), 2, F.size(f"_m_{k}")), F.col(f"_m_{k}"), lambda g, m: g + taken(k, m))
     found = found.withColumns({f"_s_{k}": F.when(F.size(f"_m_{k}") > 0, _sums_before(lengths(k))) for k in kinds})
-    parts = [_kind_spans(k, rank, body) for rank, k in enumerate(kinds)]
-    found = found.withColumn("_all", F.array_sort(F.concat(*parts)))
+    found = found.withColumn("_all", F.array_sort(F.concat(*(_kind_spans(k, rank, body) for rank, k in enumerate(kinds)))))
     listed = F.transform(F.col("_all"), lambda x: F.struct(x["kind"].alias("kind"), x["start"].alias("start"), x["end"].alias("end"), x["score"].alias("score")))
-    return found.withColumn(spans, listed).drop("_all", *(f"_{c}_{k}" for c in "mgs" for k in kinds))
+    return found.select("row", "body", listed.alias("pii"))
+
+
+def find_spans(docs: DataFrame, text: str = "text", spans: str = "pii") -> DataFrame:
+    """docs with an array of struct<kind, start, end, score> in column `spans`, by start, then kind as listed.
+
+    Offsets count code points, ends are exclusive. Each kind's matches are leftmost and do not overlap one another; those of
+    different kinds may. A null or empty text has an empty array. Rows are independent of each other: repeated rows get
+    the same answer, and no column but `text` is read. A column of docs named `spans` is replaced, every other one is kept
+    as it is; an empty table gives no rows. Cost is linear in a text's length.
+    """
+    kept = [F.col("row").getField(c).alias(c) for c in docs.columns if c != spans]
+    return _with_spans(docs, text).select(*kept, F.col("pii").alias(spans))
 
 
 def redact(docs: DataFrame, text: str = "text") -> DataFrame:
     """docs with every span of personal data in `text` replaced by its kind in square brackets.
 
-    Overlapping spans are merged and take the name of the first. A null text stays null, an empty one empty; other columns
-    and the number of rows do not change.
+    Overlapping spans are merged and take the name of the first. A null text stays null, an empty one empty; other columns,
+    whatever their names, and the number of rows do not change; an empty table gives no rows.
     """
-    columns = docs.columns
-    found = find_spans(docs, text, "_pii")
-    body = F.col(text)
+    body = F.col("body")
     start = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out"))
 
     def step(s: Column, x: Column) -> Column:
@@ -203,8 +206,10 @@ def redact(docs: DataFrame, text: str = "text") -> DataFrame:
         piece = F.concat(F.substring(body, s["at"] + 1, x["start"] - s["at"]), F.lit("["), x["kind"], F.lit("]"))
         return F.struct(F.greatest(s["at"], x["end"]).alias("at"), F.when(fresh, F.concat(s["out"], F.array(piece))).otherwise(s["out"]).alias("out"))
 
-    whole = F.aggregate(F.col("_pii"), start, step, lambda s: F.concat(F.array_join(s["out"], ""), F.substring(body, s["at"] + 1, F.length(body))))
-    return found.withColumn(text, F.when(F.size("_pii") > 0, whole).otherwise(body)).select(*columns)
+    whole = F.aggregate(F.col("pii"), start, step, lambda s: F.concat(F.array_join(s["out"], ""), F.substring(body, s["at"] + 1, F.length(body))))
+    of = F.col("row").getField
+    changed = F.when(F.size("pii") > 0, whole).otherwise(of(text))
+    return _with_spans(docs, text).select(*((changed if c == text else of(c)).alias(c) for c in docs.columns))
 
 
 def _joined(spans: Column) -> Column:

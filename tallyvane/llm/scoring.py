@@ -1,9 +1,9 @@
 """Stupid-backoff language-model scores: n-gram counts over all documents in tables partitioned by hash, joined to the
 documents' own n-grams and summed per document.
 
-A document is scored by what the others say: its own counts are taken off first. A word after another scores their bigram's
-count over the first word's; where no other document has the bigram, BACKOFF times the word's share of all words; a word that
-no other document has counts as one.
+A document is scored by what the others say: its own counts are taken off first. A word scores the count of the n-gram that
+it ends, of the model's order, over that of the n-gram without it; where no other document has that n-gram, BACKOFF times its
+score by the next shorter one, down to the word's share of all words; a word that no other document has counts as one.
 
 Rows of n-grams would be many times the text. So documents are taken in blocks of bounded size: a block sends each partition
 of the count table its distinct n-grams once, sorted and packed, and gets back only the counts that other blocks add to.
@@ -21,11 +21,14 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyvane.llm.common import stage, table
+from tallyvane.llm.common import table
+from tallyvane.sources.staging import Scratch
 
 BACKOFF = 0.4
+#: Longest n-gram.
+ORDER = 2
 #: Words in a block, n-grams in a partition of the count table.
-BLOCK_WORDS, TABLE_GRAMS = 1_500_000, 2_000_000
+BLOCK_WORDS, TABLE_GRAMS = 1_000_000, 2_000_000
 
 
 def _mix(a: np.ndarray, b: np.ndarray | np.uint64) -> np.ndarray:
@@ -69,18 +72,28 @@ class Block:
         words = np.frombuffer(data, np.int32, total, at + 16 * n + 8 * v)
         return cls(ids, np.frombuffer(data, np.int8, n, at + 16 * n + 8 * v + 4 * total), lengths, vocabulary, words)
 
-    def grams(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """Sorted distinct hashes of all n-grams, their counts here, and each word's place for its unigram and its bigram
-        with the word before (-1 at a document's start)."""
-        single = _mix(self.vocabulary, np.uint64(1))[self.words]
-        pairs = _mix(self.vocabulary[self.words[:-1]], self.vocabulary[self.words[1:]])
-        first = np.zeros(len(self.words) + 1, bool)
-        first[np.cumsum(self.lengths) - self.lengths] = True
-        inner = ~first[1 : len(self.words)]
-        every, place, counts = np.unique(np.concatenate([single, pairs[inner]]), return_inverse=True, return_counts=True)
-        bigram = np.full(len(self.words), -1, np.int64)
-        bigram[1:][inner] = place[len(single) :]
-        return every, counts, place[: len(single)], bigram
+    def grams(self, order: int) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
+        """Sorted distinct hashes of all n-grams up to an order, their counts here, and for each n each word's place for the
+        n-gram that it ends (-1 where its document has too few words before it)."""
+        n = len(self.words)
+        place = np.arange(n) - np.repeat(np.cumsum(self.lengths) - self.lengths, self.lengths)
+        raw = self.vocabulary[self.words]
+        hashes, ends, whole = [_mix(self.vocabulary, np.uint64(1))[self.words]], [np.arange(n)], raw
+        for k in range(2, order + 1):
+            longer = np.zeros(n, np.uint64)
+            longer[1:] = _mix(whole[:-1], raw[1:])
+            whole = longer
+            at = np.flatnonzero(place >= k - 1)
+            hashes.append(whole[at])
+            ends.append(at)
+        every, where, counts = np.unique(np.concatenate(hashes), return_inverse=True, return_counts=True)
+        places, begin = [], 0
+        for at in ends:
+            own = np.full(n, -1, np.int64)
+            own[at] = where[begin : begin + len(at)]
+            places.append(own)
+            begin += len(at)
+        return every, counts, places
 
 
 def partition_of(grams: np.ndarray, n_tables: int) -> np.ndarray:
@@ -88,12 +101,12 @@ def partition_of(grams: np.ndarray, n_tables: int) -> np.ndarray:
     return ((grams >> np.uint64(32)) * np.uint64(n_tables)) >> np.uint64(32)
 
 
-def _blocks(docs: DataFrame) -> DataFrame:
+def _blocks(docs: DataFrame, order: int, scratch: Scratch) -> DataFrame:
     """(block, n_words, n_grams, body)."""
 
     def row(number: int, ids: list, texts: list) -> pa.RecordBatch:
         block = Block.of(ids, texts)
-        values = [[number], [int(block.lengths.sum())], [len(block.grams()[0])], [block.dump()]]
+        values = [[number], [int(block.lengths.sum())], [len(block.grams(order)[0])], [block.dump()]]
         return pa.RecordBatch.from_arrays([*(pa.array(v, pa.int64()) for v in values[:3]), pa.array(values[3], pa.binary())], names=["block", "n_words", "n_grams", "body"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -110,17 +123,17 @@ def _blocks(docs: DataFrame) -> DataFrame:
             yield row(number, ids, texts)
 
     whole = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.encode("text", "UTF-8").alias("body"))
-    return stage(whole.mapInArrow(run, "block long, n_words long, n_grams long, body binary"), "lm-blocks")
+    return scratch(whole.mapInArrow(run, "block long, n_words long, n_grams long, body binary"), "lm-blocks")
 
 
-def _requests(blocks: DataFrame, n_tables: int) -> DataFrame:
+def _requests(blocks: DataFrame, n_tables: int, order: int) -> DataFrame:
     """(part, block, grams, counts): a block's sorted distinct n-grams of one partition, as differences of `width` bytes."""
     schema = "part long, block long, grams binary, counts binary"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for number, body in zip(batch.column("block").to_pylist(), batch.column("body").to_pylist(), strict=True):
-                grams, counts, _, _ = Block.load(body).grams()
+                grams, counts, _ = Block.load(body).grams(order)
                 cuts = np.searchsorted(partition_of(grams, n_tables), np.arange(n_tables + 1, dtype=np.uint64)).tolist()
                 parts = [(p, a, b) for p, (a, b) in enumerate(zip(cuts, cuts[1:], strict=False)) if b > a]
                 yield pa.RecordBatch.from_arrays(
@@ -175,53 +188,60 @@ def _answers(requests: DataFrame) -> DataFrame:
     return requests.groupBy("part").applyInArrow(count, "block long, part long, at binary, totals binary")
 
 
-def score_block(block: Block, totals: np.ndarray, n_all: int) -> tuple[np.ndarray, np.ndarray]:
+def score_block(block: Block, totals: np.ndarray, n_all: int, order: int) -> tuple[np.ndarray, np.ndarray]:
     """Log scores summed per document, and how many of its words had to back off, given the counts of the block's n-grams."""
-    _, _, single, bigram = block.grams()
+    _, _, places = block.grams(order)
     doc = np.repeat(np.arange(len(block.lengths)), block.lengths)
-    n_grams = len(totals)
-
-    def others(place: np.ndarray, doc: np.ndarray) -> np.ndarray:
-        """Counts of n-grams without what each position's own document has."""
-        _, at, own = np.unique(doc * n_grams + place, return_inverse=True, return_counts=True)
-        return totals[place] - own[at]
-
-    one = others(single, doc)
-    before = np.concatenate([[0], one[:-1]])
-    inner = bigram >= 0
-    two = np.zeros(len(bigram), np.int64)
-    two[inner] = others(bigram[inner], doc[inner])
+
+    def others(place: np.ndarray) -> np.ndarray:
+        """Counts of n-grams without what each position's own document has; 0 where there is none."""
+        out, at = np.zeros(len(place), np.int64), np.flatnonzero(place >= 0)
+        _, which, own = np.unique(doc[at] * len(totals) + place[at], return_inverse=True, return_counts=True)
+        out[at] = totals[place[at]] - own[which]
+        return out
+
+    shorter = others(places[0])
     rest = np.maximum(1, n_all - block.lengths)[doc]
-    seen = two > 0
-    score = np.where(seen, np.log(np.maximum(two, 1)) - np.log(np.maximum(before, 1)), np.log(BACKOFF) + np.log(np.maximum(one, 1)) - np.log(rest))
+    score = np.log(np.maximum(shorter, 1)) - np.log(rest)
+    seen = np.zeros(len(doc), bool)
+    for k in range(1, order):
+        longer = others(places[k])
+        before = np.concatenate([[0], shorter[:-1]])  # of the n-gram that ends a word earlier
+        seen = longer > 0
+        score = np.where(seen, np.log(np.maximum(longer, 1)) - np.log(np.maximum(before, 1)), np.log(BACKOFF) + score)
+        shorter = longer
     n = len(block.lengths)
     return np.bincount(doc, weights=score, minlength=n), np.bincount(doc, weights=~seen, minlength=n).astype(np.int64)
 
 
-def score_documents(docs: DataFrame) -> DataFrame:
-    """doc_id, n_words, log_score (natural, summed), n_backoff for each row of docs (doc_id, text).
+def score_documents(docs: DataFrame, order: int = ORDER) -> DataFrame:
+    """doc_id, n_words, log_score (natural, summed), n_backoff for each row of docs (doc_id, text), by n-grams up to `order`.
 
     Words are lower-cased (A-Z) runs between ASCII white space. A null or empty text has no words and scores 0; a null doc_id
     stays null; repeated rows count and are scored each, as documents of their own; other columns are ignored; an empty
-    table gives no rows.
+    table gives no rows. n_backoff counts the words whose n-gram of the model's order no other document has.
     """
-    blocks = _blocks(docs)
+    if order < 1:
+        raise ValueError("the order is 1 at least")
+    scratch = Scratch(docs.sparkSession)
+    blocks = _blocks(docs, order, scratch)
     size = blocks.agg(F.coalesce(F.sum("n_words"), F.lit(0)).alias("w"), F.coalesce(F.sum("n_grams"), F.lit(0)).alias("g")).first()
     n_all, n_tables = size["w"], max(1, -(-size["g"] // TABLE_GRAMS))
-    answers = _answers(_requests(blocks, n_tables))
+    answers = scratch(_answers(_requests(blocks, n_tables, order)), "lm-answers")
     schema = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("log_score", pa.float64()), ("n_backoff", pa.int64())])
 
     def score(own: pa.Table, told: pa.Table) -> pa.Table:
         out = []
         for body in own.column("body").to_pylist():
             block = Block.load(body)
-            grams, counts, _, _ = block.grams()
+            grams, counts, _ = block.grams(order)
             totals = counts.astype(np.int64)
             starts = np.searchsorted(partition_of(grams, n_tables), np.arange(n_tables + 1, dtype=np.uint64))
+            del grams, counts
             for part, at, more in zip(*(told.column(c).to_pylist() for c in ("part", "at", "totals")), strict=True):
                 places = np.cumsum(np.frombuffer(zstandard.decompress(at), np.int32), dtype=np.int64)
                 totals[starts[part] + places] = np.frombuffer(zstandard.decompress(more), np.int64)
-            logs, backed = score_block(block, totals, n_all) if len(block.words) else (np.zeros(len(block.ids)), np.zeros(len(block.ids), np.int64))
+            logs, backed = score_block(block, totals, n_all, order) if len(block.words) else (np.zeros(len(block.ids)), np.zeros(len(block.ids), np.int64))
             out.append(pa.table([pa.array(block.ids, mask=block.known == 0), pa.array(block.lengths), pa.array(logs), pa.array(backed)], schema=schema))
         return pa.concat_tables(out) if out else schema.empty_table()
 

@@ -13,7 +13,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tallyvane.llm.common import inline_rows, stage, table
+from tallyvane.llm.common import inline_rows, table
+from tallyvane.sources.staging import stage
 
 N_SLOTS = 8192
 #: The map is kept on the driver while it is edited, and broadcast; this bounds it.
@@ -104,6 +105,25 @@ def store_map(spark: SparkSession, rows: list[dict]) -> DataFrame:
     return stage(inline_rows(spark, rows, MAP_SCHEMA).coalesce(1), "slot-map")
 
 
+def load_map(stored: DataFrame) -> list[dict]:
+    """The rows of one stored version, at most MAX_SLOTS of them."""
+    rows = [r.asDict() for r in stored.select("version", "slot", "shard", "bytes", "n_rows", "first_row").limit(MAX_SLOTS + 1).collect()]
+    if len(rows) > MAX_SLOTS or len({r["version"] for r in rows}) > 1:
+        raise ValueError("not one version of a map")
+    return sorted(rows, key=lambda r: r["slot"])
+
+
+def edit_map(stored: DataFrame, records: DataFrame, n_shards: int, more: bool) -> DataFrame:
+    """The version after a stored one, stored in turn: one more shard, or the same ones rebalanced, by the records' loads now."""
+    old, loads = load_map(stored), slot_loads(records)
+    return store_map(stored.sparkSession, grow(old, loads, n_shards) if more else rebalance(old, loads, n_shards))
+
+
+def place(records: DataFrame, stored: DataFrame) -> DataFrame:
+    """records (v_slot, ...) with the shard and version of a stored map."""
+    return records.join(F.broadcast(stored.select(F.col("slot").alias("v_slot"), "shard", "version")), "v_slot")  # at most MAX_SLOTS rows
+
+
 def slot_loads(records: DataFrame) -> dict[int, tuple[int, int]]:
     """Bytes and rows of each slot; at most one row a slot comes to the driver."""
     return {r["v_slot"]: (r["b"], r["n"]) for r in records.groupBy("v_slot").agg(F.sum("size").alias("b"), F.count("*").alias("n")).collect()}
@@ -113,7 +133,7 @@ def shard_documents(docs: DataFrame, n_shards: int = 40, n_slots: int = N_SLOTS)
     """Place each record of docs (doc_id, text) in a shard so that the shards' bytes are near equal.
 
     Returns doc_id, size, text_crc32, shard, position (in the shard, gapless from 0), v_slot, version. A null text counts no
-    bytes but the record's own and has a null crc; a null doc_id is hashed by its text; repeated rows are records of their
+    bytes but the record's own and has a null crc; a null doc_id is hashed by its text, or by its place without one; repeated rows are records of their
     own, next to each other; other columns are ignored; an empty table gives no rows. The text itself is read once and never
     shuffled: only (doc_id, size, crc, slot) is.
     """
@@ -125,7 +145,8 @@ def shard_documents(docs: DataFrame, n_shards: int = 40, n_slots: int = N_SLOTS)
             F.col("doc_id"),
             (F.coalesce(F.octet_length(text), F.lit(0)) + RECORD_BYTES).cast("long").alias("size"),
             F.crc32(text).alias("text_crc32"),
-        ).withColumn("v_slot", slot_of(F.col("doc_id"), F.col("text_crc32"), n_slots)),
+            # rows that have neither id nor text are alike: their place spreads them, fixed once they are staged
+        ).withColumn("v_slot", slot_of(F.col("doc_id"), F.coalesce("text_crc32", F.monotonically_increasing_id()), n_slots)),
         "shard-records",
     )
     mapped = store_map(docs.sparkSession, first_map(slot_loads(records), n_slots, n_shards))

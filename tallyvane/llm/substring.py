@@ -17,9 +17,9 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
-from tallyvane.llm.common import stage, table
+from tallyvane.llm.common import table
+from tallyvane.sources.staging import Scratch, stage
 
 WINDOW, GRAM = 50, 16
 #: Runs that an index may have before they are merged.
@@ -97,7 +97,8 @@ class FingerprintIndex:
         spread = self.rows().groupBy("fp").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).filter("lo < hi").select("fp")
         if len(self.runs) > 1:
             spread = spread.join(batch.select("fp").distinct(), "fp", "left_semi")
-        return self.rows().join(spread, "fp", "left_semi")
+        # staged, so that the join can be split where one fingerprint is very common
+        return self.rows().join(stage(spread, "fp-spread"), "fp", "left_semi")
 
     def compact(self) -> None:
         """Merge all runs into one when there are too many."""
@@ -108,13 +109,13 @@ class FingerprintIndex:
 
 
 def _stretches(docs: DataFrame, shared: DataFrame) -> DataFrame:
-    """(fp, rs, doc_id, pos, hashes): stretches of windows of one shared fingerprint; rs is a hash of the whole stretch."""
+    """(fp, rs, doc_id, pos, n, hashes): stretches of windows of one shared fingerprint; rs is a hash of the whole stretch."""
     wanted = shared.groupBy("doc_id").agg(F.collect_list("fp").alias("fps"))  # a document's own fingerprints, far fewer than its words
-    schema = "fp long, rs long, doc_id long, pos long, hashes binary"
+    schema = "fp long, rs long, doc_id long, pos long, n long, hashes binary"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in (x for b in batches for x in _slices(b)):
-            out: list[list] = [[] for _ in range(5)]
+            out: list[list] = [[] for _ in range(6)]
             for doc_id, body, fps in zip(*(part.column(c).to_pylist() for c in ("doc_id", "body", "fps")), strict=True):
                 fp, whole = window_hashes((body or b"").split())
                 if not len(fp):
@@ -124,9 +125,9 @@ def _stretches(docs: DataFrame, shared: DataFrame) -> DataFrame:
                 keep = np.isin(fp[begin].view(np.int64), np.array(fps, np.int64))
                 for a, b in zip(begin[keep].tolist(), end[keep].tolist(), strict=True):
                     raw = whole[a:b].tobytes()
-                    for column, value in zip(out, (int(fp[a].view(np.int64)), xxhash.xxh3_64_intdigest(raw) - (1 << 63), doc_id, a, raw), strict=True):
+                    for column, value in zip(out, (int(fp[a].view(np.int64)), xxhash.xxh3_64_intdigest(raw) - (1 << 63), doc_id, a, b - a, raw), strict=True):
                         column.append(value)
-            yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in out[:4]), pa.array(out[4], pa.binary())], names=[x.split()[0] for x in schema.split(", ")])
+            yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in out[:5]), pa.array(out[5], pa.binary())], names=[x.split()[0] for x in schema.split(", ")])
 
     return _body(docs).join(wanted, "doc_id").select("doc_id", "body", "fps").mapInArrow(run, schema)
 
@@ -150,14 +151,18 @@ def repeated_windows(docs: DataFrame, shared: DataFrame) -> DataFrame:
     """(doc_id, pos, n): n windows from pos on that also start in a document of smaller id.
 
     A whole stretch seen in a smaller document is settled at once. Only the first document of each distinct stretch goes on
-    to be compared window by window, with the other distinct ones. Both steps keep one row of a group at a time.
+    to be compared window by window, with the other distinct ones. Either step takes the least document of a group by partial
+    aggregates and joins it back, so that no group of equal passages is bound to one task.
     """
-    first = F.first("doc_id").over(Window.partitionBy("fp", "rs").orderBy("doc_id").rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    ranked = stage(_stretches(docs, shared).withColumn("first_doc", first), "stretches", compression="zstd")
-    settled = ranked.filter("first_doc < doc_id").select("doc_id", "pos", (F.length("hashes") / 8).cast("long").alias("n"))
-    least = F.first("doc_id").over(Window.partitionBy("fp", "hash").orderBy("doc_id").rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    windows = _windows(ranked.filter("first_doc = doc_id").select("fp", "doc_id", "pos", "hashes")).withColumn("first_doc", least)
-    return settled.union(windows.filter("first_doc < doc_id").select("doc_id", "pos", F.lit(1).cast("long")))
+    scratch = Scratch(docs.sparkSession)
+    stretches = scratch(_stretches(docs, shared), "stretches", compression="zstd")
+    firsts = scratch(stretches.groupBy("fp", "rs").agg(F.min("doc_id").alias("first_doc")), "first-stretches")
+    again = stretches.select("fp", "rs", "doc_id", "pos", "n").join(firsts, ["fp", "rs"]).filter("first_doc < doc_id").select("doc_id", "pos", "n")
+    distinct = stretches.join(firsts.withColumnRenamed("first_doc", "doc_id"), ["fp", "rs", "doc_id"], "left_semi")
+    windows = scratch(_windows(distinct.select("fp", "doc_id", "pos", "hashes")), "windows", compression="zstd")
+    least = scratch(windows.groupBy("fp", "hash").agg(F.min("doc_id").alias("first_doc")), "first-windows")
+    single = windows.join(least, ["fp", "hash"]).filter("first_doc < doc_id").select("doc_id", "pos", F.lit(1).cast("long").alias("n"))
+    return again.union(single)
 
 
 def cut(docs: DataFrame, repeated: DataFrame) -> DataFrame:
@@ -198,19 +203,20 @@ def ingest(index: FingerprintIndex, history: DataFrame, batch: DataFrame) -> Dat
     return cut(batch, stage(repeated, "repeated"))
 
 
-def remove_repeats(docs: DataFrame, batches: int = BATCHES) -> DataFrame:
+def remove_repeats(docs: DataFrame, batches: int = BATCHES, max_runs: int = MAX_RUNS) -> DataFrame:
     """doc_id, n_words, n_removed, kept for each row of docs (doc_id, text): words in windows that also start in a document
     of smaller id are removed; windows are judged on the texts as given.
 
     A null or empty text has no words; a null doc_id is neither smaller nor larger than others, so its text is left alone; a
     doc_id is expected to name one text, and repeated rows of it are not each other's sources; other columns are ignored;
-    an empty table gives no rows. The documents go in as `batches` batches in order of their ids.
+    an empty table gives no rows. The documents go in as `batches` batches in order of their ids, and the index is compacted
+    whenever it has more than max_runs runs.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     points = [k / batches for k in range(1, batches)]
     edges = docs.agg(F.percentile_approx("doc_id", points, 1000)).first()[0] if points else []
     edges = sorted(set(edges or []))
-    index, out = FingerprintIndex(), []
+    index, out = FingerprintIndex(max_runs), []
     for low, high in zip([None, *edges], [*edges, None], strict=True):
         part = docs
         history = docs.limit(0) if low is None else docs.filter(F.col("doc_id") <= low)
@@ -227,5 +233,5 @@ def remove_repeats(docs: DataFrame, batches: int = BATCHES) -> DataFrame:
 
 def op8_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What is left of every document when passages of 50 words repeated from smaller ids are removed."""
-    left = remove_repeats(table(spark, sf_dir, "documents"))
+    left = remove_repeats(table(spark, sf_dir, "documents"), max_runs=1)
     return left.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))

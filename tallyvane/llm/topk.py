@@ -9,20 +9,21 @@ left, or no segment is, those are scored exactly.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tallyvane.llm.common import stage, table
+from tallyvane.llm.common import join_bounded, table
+from tallyvane.sources.staging import Scratch
 
 SCALE = 256
 K = 5
 #: Rows in a block of the index, queries in a block, levels of quantised impact.
 BLOCK_ROWS, BLOCK_QUERIES, LEVELS = 4096, 512, 64
+#: Blocks of either kind that one task takes.
+MEET_ROWS, MEET_QUERIES = 4, 8
 #: Thresholds at which a query looks for proof, as shares of its largest impact.
 STEPS = (0.1, 0.03, 0.0)
 #: Share of a block that may be left for exact scores.
@@ -105,23 +106,32 @@ def _usable(vectors: DataFrame) -> DataFrame:
     return kept.filter(F.col("vec_id").isNotNull() & F.col("v").isNotNull() & (F.size("v") > 0) & ~F.exists("v", bad))
 
 
-def _blocks(vectors: DataFrame, rows: int) -> DataFrame:
-    """(block, dims, ids, values): integer vectors of one length, about `rows` at a time, as packed bytes."""
-    sizes = {r["dims"]: r["n"] for r in vectors.groupBy(F.size("v").alias("dims")).agg(F.count("*").alias("n")).collect()}
-    count = F.lit(1)
-    for dims, n in sizes.items():
-        count = F.when(F.size("v") == dims, F.lit(-(-n // rows))).otherwise(count)
-    dealt = vectors.withColumn("dims", F.size("v")).withColumn("block", F.pmod(F.xxhash64(F.monotonically_increasing_id()), count))
+def _packed(values: np.ndarray) -> bytes:
+    """Integers in as few bytes as the largest needs, the width before them."""
+    for width in (2, 4):
+        if not values.size or np.abs(values).max() < 1 << (8 * width - 1):
+            return bytes([width]) + values.astype(f"<i{width}").tobytes()
+    return bytes([8]) + values.astype("<i8").tobytes()
+
+
+def _unpacked(raw: bytes) -> np.ndarray:
+    return np.frombuffer(raw, f"<i{raw[0]}", offset=1).astype(np.int64)
+
+
+def _blocks(vectors: DataFrame, rows: int, scratch: Scratch, name: str) -> DataFrame:
+    """(dims, block, ids, body): integer vectors of one length, about `rows` at a time, as packed bytes."""
+    sized = vectors.withColumn("dims", F.size("v"))
+    counts = scratch(sized.groupBy("dims").agg(F.ceil(F.count("*") / rows).cast("long").alias("n_blocks")), f"{name}-counts")
+    dealt = join_bounded(sized, counts, ["dims"], "inner", counts.count())
+    dealt = dealt.withColumn("block", F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.col("n_blocks")))
 
     def pack(group: pa.Table) -> pa.Table:
-        dims = group.column("dims")[0].as_py()
         flat = group.column("v").combine_chunks().flatten().to_numpy(zero_copy_only=False)
         values = np.floor(SCALE * flat).astype(np.int64)
-        ids = group.column("vec_id").to_numpy()
-        out = {"block": [group.column("block")[0].as_py()], "dims": [dims], "ids": [ids.astype("<i8").tobytes()], "body": [values.astype("<i8").tobytes()]}
-        return pa.table(out, schema=pa.schema([("block", pa.int64()), ("dims", pa.int32()), ("ids", pa.binary()), ("body", pa.binary())]))
+        out = {"dims": [group.column("dims")[0].as_py()], "block": [group.column("block")[0].as_py()], "ids": [_packed(group.column("vec_id").to_numpy())], "body": [_packed(values)]}
+        return pa.table(out, schema=pa.schema([("dims", pa.int32()), ("block", pa.int64()), ("ids", pa.binary()), ("body", pa.binary())]))
 
-    return dealt.groupBy("dims", "block").applyInArrow(pack, "block long, dims int, ids binary, body binary")
+    return scratch(dealt.select("dims", "block", "vec_id", "v").groupBy("dims", "block").applyInArrow(pack, "dims int, block long, ids binary, body binary"), name)
 
 
 def top_k(vectors: DataFrame, is_query: Column, k: int = K) -> DataFrame:
@@ -130,41 +140,43 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = K) -> DataFrame:
 
     Components become floor(256 x). Rows whose id or vector is null, or whose vector is empty or holds null or non-finite
     components, take no part; vectors of different lengths are not compared; repeated rows are candidates of their own, but
-    never those with the query's own id; an empty table gives no rows. Scores must fit a long. Queries and rows meet in
-    blocks, so neither side is ever held whole anywhere.
+    never those with the query's own id, and ask once; an id is expected to name one vector; other columns are ignored; an empty table gives no rows. Scores must fit a long.
+
+    A task takes MEET_ROWS blocks of the index and MEET_QUERIES blocks of queries; each side is sent as often as the other has
+    such groups, so neither is ever held whole anywhere and no key has more than one task's blocks.
     """
-    usable = _usable(vectors)
-    index = stage(_blocks(usable, BLOCK_ROWS), "impact-index")
-    queries = stage(_blocks(usable.filter(is_query), BLOCK_QUERIES).withColumnsRenamed({"block": "q_block", "ids": "q_ids", "body": "q_body"}), "impact-queries")
-    pairs = index.join(queries, "dims").repartition(F.col("dims"), F.col("q_block"), (F.col("block") / 4).cast("long"))
-    schema = "query_id long, vec_id long, score long"
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last: tuple | None = None
+    usable, scratch = _usable(vectors), Scratch(vectors.sparkSession)
+    index = _blocks(usable, BLOCK_ROWS, scratch, "index")
+    queries = _blocks(usable.filter(is_query).dropDuplicates(["vec_id", "v"]), BLOCK_QUERIES, scratch, "queries")
+    group = lambda size: F.floor(F.col("block") / size).cast("long")
+    groups = lambda side, size, name: side.groupBy("dims").agg((F.max(group(size)) + 1).alias(name))
+    counts = scratch(groups(index, MEET_ROWS, "n_r").join(groups(queries, MEET_QUERIES, "n_q"), "dims"), "groups")
+    each = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
+    n_lengths = counts.count()
+    left = join_bounded(index.withColumn("r", group(MEET_ROWS)), counts, ["dims"], "inner", n_lengths).withColumn("q", each("n_q"))
+    right = join_bounded(queries.withColumn("q", group(MEET_QUERIES)), counts, ["dims"], "inner", n_lengths).withColumn("r", each("n_r"))
+    schema = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.int64())])
+
+    def search(rows: pa.Table, asked: pa.Table) -> pa.Table:
         best: dict[int, tuple[np.ndarray, np.ndarray]] = {}
-        for batch in batches:
-            for dims, block, ids, body, q_ids, q_body in zip(*(batch.column(c).to_pylist() for c in ("dims", "block", "ids", "body", "q_ids", "q_body")), strict=True):
-                if last is None or last[0] != (dims, block):
-                    last = (dims, block), ImpactIndex(np.frombuffer(ids, "<i8"), np.frombuffer(body, "<i8").reshape(-1, dims))
-                for q, vector in zip(np.frombuffer(q_ids, "<i8").tolist(), np.frombuffer(q_body, "<i8").reshape(-1, dims), strict=True):
-                    so_far = best.get(q)
-                    least = int(so_far[1][-1]) if so_far is not None and len(so_far[1]) == k else None
-                    found, scores = last[1].search(vector, q, k, least)
-                    if so_far is not None:
-                        found, scores = np.concatenate([so_far[0], found]), np.concatenate([so_far[1], scores])
-                    best[q] = best_of(found, scores, k)
-            if len(best) > 64 * BLOCK_QUERIES:
-                yield _found(best)
-                best = {}
-        yield _found(best)
-
-    def _found(best: dict[int, tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
+        wanted = [(_unpacked(i), _unpacked(b)) for i, b in zip(asked.column("ids").to_pylist(), asked.column("body").to_pylist(), strict=True)]
+        for raw_ids, body in zip(rows.column("ids").to_pylist(), rows.column("body").to_pylist(), strict=True):
+            ids = _unpacked(raw_ids)
+            block = ImpactIndex(ids, _unpacked(body).reshape(len(ids), -1))
+            for q, vector in ((q, v) for qs, vs in wanted for q, v in zip(qs.tolist(), vs.reshape(len(qs), -1), strict=True)):
+                so_far = best.get(q)
+                least = int(so_far[1][-1]) if so_far is not None and len(so_far[1]) == k else None
+                found, scores = block.search(vector, q, k, least)
+                if so_far is not None:
+                    found, scores = np.concatenate([so_far[0], found]), np.concatenate([so_far[1], scores])
+                best[q] = best_of(found, scores, k)
         lengths = [len(ids) for ids, _ in best.values()]
         flat = [np.concatenate([np.zeros(0, np.int64), *(x[side] for x in best.values())]) for side in (0, 1)]
-        return pa.RecordBatch.from_arrays([pa.array(np.repeat(np.array(list(best), np.int64), lengths)), pa.array(flat[0]), pa.array(flat[1])], names=["query_id", "vec_id", "score"])
+        return pa.table([np.repeat(np.array(list(best), np.int64), lengths), *flat], schema=schema)
 
+    left, right = (x.select("dims", "q", "r", "ids", "body").groupBy("dims", "q", "r") for x in (left, right))
+    found = left.cogroup(right).applyInArrow(search, "query_id long, vec_id long, score long")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), F.asc("vec_id"))
-    found = pairs.select("dims", "block", "ids", "body", "q_ids", "q_body").mapInArrow(run, schema)
     return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 

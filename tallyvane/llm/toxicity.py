@@ -18,7 +18,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tallyvane.llm.common import table
+from tallyvane.llm.common import join_bounded, table, unused
+from tallyvane.sources.staging import stage
 
 BUCKETS, DIMS = 1 << 15, 16
 #: Lengths of n-grams, in bytes of UTF-8 with a mark at either end of the word.
@@ -50,7 +51,7 @@ def subwords(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
     number = np.repeat(np.arange(len(raw)), [len(x) for x in raw])
     owners, hashes = [], []
     starts = np.concatenate([[0], np.cumsum([len(x) for x in raw])]).astype(np.int64)
-    powers = np.cumprod(np.full(len(text) + 1, 0x01000193, np.uint32))
+    powers = np.cumprod(np.full(len(text) + 1, 0x01000193, np.uint32), dtype=np.uint32)
     with np.errstate(over="ignore"):
         sums = np.concatenate([[np.uint32(0)], np.cumsum(text * powers[:-1], dtype=np.uint32)])
         for n in NGRAMS:
@@ -63,7 +64,7 @@ def subwords(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
             owners.append(number[: len(text) - n + 1][inside])
             hashes.append(h[inside])
         inverse = np.uint32(pow(0x01000193, -1, 1 << 32))
-        shifts = np.cumprod(np.full(len(text) + 1, inverse, np.uint32))
+        shifts = np.cumprod(np.full(len(text) + 1, inverse, np.uint32), dtype=np.uint32)
         if len(raw):
             owners.append(np.arange(len(raw)))
             hashes.append((sums[starts[1:]] - sums[starts[:-1]]) * shifts[starts[:-1]] + np.uint32(7))
@@ -116,10 +117,10 @@ def fit(texts: list[str | None], labels: list[int], stands_for: tuple[float, flo
     y = np.array(labels, dtype=np.float64)
     if not 0 < y.sum() < len(y):
         return Model(np.zeros(BUCKETS))
-    split = [word_list(t) for t in texts]
-    vocabulary = {w: i for i, w in enumerate(dict.fromkeys(w for ws in split for w in ws))}
-    words = np.array([vocabulary[w] for ws in split for w in ws], dtype=np.int64)
-    lengths = np.array([len(ws) for ws in split])
+    vocabulary: dict[str, int] = {}
+    each = [np.array([vocabulary.setdefault(w, len(vocabulary)) for w in word_list(t)], dtype=np.int32) for t in texts]  # text by text: all words as strings would be most of the driver's memory
+    words, lengths = np.concatenate(each), np.array([len(x) for x in each])
+    del each
     starts = np.concatenate([[0], np.cumsum(lengths)])
     listed, parts, numbers = list(vocabulary), [], []
     for k in range(0, len(listed), PIECE):  # piece by piece: the n-grams of all words at once would be most of the driver's memory
@@ -196,19 +197,17 @@ def fit(texts: list[str | None], labels: list[int], stands_for: tuple[float, flo
 
 
 def training_sample(docs: DataFrame, labels: DataFrame) -> tuple[list[str], list[int], tuple[float, float]]:
-    """Texts, labels, and what one of each class stands for: at most about TRAIN_POSITIVE and TRAIN_NEGATIVE labelled texts, chosen by a hash of their id among those whose
-    crc32(doc_id) mod 5 is not 0."""
-    usable = labels.select("doc_id", F.col("toxic").cast("int").alias("toxic")).filter("toxic in (0, 1) and doc_id is not null and crc32(cast(doc_id as string)) % 5 <> 0")
+    """Texts, labels, and what one of each class stands for: at most about TRAIN_POSITIVE and TRAIN_NEGATIVE of the labelled
+    texts up to TRAIN_CHARS characters, chosen by a hash of their id among those whose crc32(doc_id) mod 5 is not 0."""
+    labelled = labels.select("doc_id", F.col("toxic").cast("int").alias("toxic")).filter("toxic in (0, 1) and doc_id is not null and crc32(cast(doc_id as string)) % 5 <> 0")
+    fits = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").filter(F.length("text") <= TRAIN_CHARS)
+    usable = stage(join_bounded(fits.select("doc_id"), labelled, ["doc_id"], "inner", labelled.count()).select("doc_id", "toxic"), "labelled")
     counts = {r["toxic"]: r["n"] for r in usable.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     share = F.lit(0.0)
     for value, most in ((0, TRAIN_NEGATIVE), (1, TRAIN_POSITIVE)):
         share = F.when(F.col("toxic") == value, F.lit(min(1.0, most / max(1, counts.get(value, 0))))).otherwise(share)
-    chosen = usable.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < share * (1 << 20))
-    rows = (
-        docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").filter(F.length("text") <= TRAIN_CHARS)
-        .join(F.broadcast(chosen), "doc_id")  # as many ids as the sample has
-        .select("doc_id", "text", "toxic").collect()
-    )
+    chosen = usable.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < share * (1 << 20)).distinct()
+    rows = fits.join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "toxic").collect()  # as many ids as the sample has
     rows = sorted(rows, key=lambda r: (r["doc_id"], r["toxic"], r["text"]))
     shares = (max(1.0, counts.get(0, 0) / TRAIN_NEGATIVE), max(1.0, counts.get(1, 0) / TRAIN_POSITIVE))
     return [r["text"] for r in rows], [r["toxic"] for r in rows], shares
@@ -248,8 +247,13 @@ def train(docs: DataFrame, labels: DataFrame) -> Model:
 
 
 def drop_toxic(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFrame:
-    """The rows of docs that score below threshold, with the columns of docs."""
-    return score_documents(docs, model, score="_toxicity").filter(F.col("_toxicity") < threshold).drop("_toxicity")
+    """The rows of docs that score below threshold, with the columns of docs, whatever their names.
+
+    A null or empty text has the score of no evidence and stays if that is below threshold; repeated rows go or stay
+    together; null ids make no difference; an empty table gives no rows.
+    """
+    score = unused(docs, "toxicity")
+    return score_documents(docs, model, score=score).filter(F.col(score) < threshold).drop(score)
 
 
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

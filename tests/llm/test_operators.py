@@ -10,6 +10,7 @@ import struct
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -88,7 +89,27 @@ def test_packing_puts_copies_together(docs, rows):
 @given(st.text(alphabet=st.characters(blacklist_categories=("Cs",)), max_size=60))
 def test_word_tokenizer_equals_the_whole(text):
     words = packing._tokenizer(packing.default_tokenizer())
-    assert words.encode([text])[0] == np.array(words.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+    texts = [text, None, "", text + " plain Über <|endoftext|> don't", "x" * 50 + text]
+    ids, lengths = words.encode(pa.array(texts, pa.string()))
+    wanted = [words.tokenizer.encode(t or "", add_special_tokens=False).ids for t in texts]
+    assert [x.tolist() for x in np.split(ids, np.cumsum(lengths)[:-1])] == wanted
+
+
+def test_tokenizer_on_long_and_foreign_texts(monkeypatch):
+    monkeypatch.setattr(packing, "CACHE_RUNS", 20)
+    monkeypatch.setattr(packing, "KEPT", 5)
+    words = packing.WordTokenizer(packing.default_tokenizer())
+    rng = random.Random(4)
+    texts = [" ".join(rng.choice(["naïve", "東京", "𝛼", "re-do", "a'll", "ÀÉ", "x\x0by", "\u00a0", "e\u0301", "123"]) + str(rng.randrange(99)) for _ in range(20_000)), "z" * 30_000]
+    ids, lengths = words.encode(pa.array(texts))
+    wanted = [words.tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
+    assert [x.tolist() for x in np.split(ids, np.cumsum(lengths)[:-1])] == wanted
+
+
+def test_slices_hold_every_row_once():
+    batch = pa.RecordBatch.from_arrays([pa.array(["ab", None, "x" * 50, "", "c", "y" * 9])], names=["text"])
+    parts = [x.column("text").to_pylist() for x in packing.slices(batch, "text", 10)]
+    assert [x for p in parts for x in p] == batch.column("text").to_pylist() and len(parts) > 2
 
 
 def test_hilbert_curve_is_one_path():
@@ -215,6 +236,18 @@ def test_mixing_targets_and_copies(docs, rows, nothing):
     assert mixing.mix(nothing).count() == 0
 
 
+CLASHING = "doc_id long, text string, source string, size int, source_size string, target string, copies long, copy_no string, target_source string, row int, body string, pii string, _all string, _m_email string, toxicity string"
+
+
+def test_no_column_of_the_corpus_is_lost_or_changed(spark):
+    rows = [(i, t, "s", -1, "b", "t", -7, "keep", "u", i, "body", "pii", "all", "m", "x") for i, t in enumerate(["hello there", None, "", "plain words"])]
+    frame = spark.createDataFrame(rows, CLASHING)
+    for done in (mixing.mix(frame), pii.redact(frame), toxicity.drop_toxic(frame, toxicity.fit([], []))):
+        assert done.schema.names == frame.schema.names and sorted(map(tuple, done.collect())) == rows
+    found = pii.find_spans(frame, spans="copies").collect()
+    assert sorted(tuple(r)[:6] for r in found) == [r[:6] for r in rows] and all(r["copies"] == [] and r["_all"] == "all" for r in found)
+
+
 def test_mixing_comes_near_its_targets(spark):
     frame = spark.range(6000).select(F.col("id").alias("doc_id"), F.element_at(F.array(*map(F.lit, "abcd")), (F.col("id") % 4 + 1).cast("int")).alias("source"), F.lit("w x y z").alias("text"))
     for r in mixing.plan_mix(frame).groupBy("source").agg(F.sum(F.col("size") * F.col("copies")).alias("t"), F.first("target").alias("target")).collect():
@@ -224,17 +257,24 @@ def test_mixing_comes_near_its_targets(spark):
 # --- top k
 
 
-def test_topk_equals_brute_force(spark):
+@pytest.mark.parametrize("rows,asked", [(4096, 512), (37, 2)])
+def test_topk_equals_brute_force(spark, monkeypatch, rows, asked):
+    monkeypatch.setattr(topk, "BLOCK_ROWS", rows)
+    monkeypatch.setattr(topk, "BLOCK_QUERIES", asked)
+    monkeypatch.setattr(topk, "MEET_ROWS", 3 if rows < 100 else 4)
+    monkeypatch.setattr(topk, "MEET_QUERIES", 2)
     rng = np.random.default_rng(2)
     vectors = [(i, rng.normal(size=8).astype(np.float32).tolist()) for i in range(300)]
     vectors += [(300, vectors[0][1]), (301, vectors[0][1]), (302, None), (303, [float("nan")] * 8), (304, [1.0, None] + [0.0] * 6), (305, []), (None, vectors[0][1]), (306, vectors[1][1])]
-    frame = spark.createDataFrame(vectors, "vec_id long, embedding array<float>")
+    vectors += [(400, [9e4, -7e4]), (401, [1.0, 2.0]), (402, [0.5, 0.5])] + [vectors[50]] * 2 + [vectors[7]] * 2
+    frame = spark.createDataFrame([(i, v, 1, "x", 0, 2) for i, v in vectors], "vec_id long, embedding array<float>, dims int, block string, q int, v int")
     got = collections.defaultdict(list)
     for r in topk.top_k(frame, F.col("vec_id") % 50 == 0).orderBy("query_id", "rank").collect():
         got[r["query_id"]].append((r["vec_id"], r["score"]))
     usable = {i: np.floor(256 * np.array(v, dtype=np.float64)).astype(np.int64) for i, v in vectors if i is not None and v and all(x is not None and math.isfinite(x) for x in v)}
+    copies = collections.Counter(i for i, _ in vectors)
     for q in (i for i in usable if i % 50 == 0):
-        scores = sorted(((-int(usable[q] @ v), i) for i, v in usable.items() if i != q))[:5]
+        scores = sorted((-int(usable[q] @ v), i) for i, v in usable.items() if i != q and len(v) == len(usable[q]) for _ in range(copies[i]))[:5]
         assert got.pop(q) == [(i, -s) for s, i in scores]
     assert not got
     assert topk.top_k(frame.limit(0), F.lit(True)).count() == 0
@@ -331,11 +371,48 @@ def test_buckets_over_batches(spark):
     rows = [(s, 100 * s + c) for s, n in buckets.items() for c in range(n) for _ in range(2)]
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "5")
     try:
-        met = jaccard.bucket_links(spark.createDataFrame(rows, "sig long, cls long").coalesce(1).sortWithinPartitions("sig", "cls")).collect()
+        met = jaccard.bucket_pairs(spark.createDataFrame(rows, "sig long, cls long").coalesce(1).sortWithinPartitions("sig", "cls")).collect()
     finally:
         spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
-    wanted = {(100 * s + c, 100 * s + (d if n <= small else 0), n > small) for s, n in buckets.items() for c in range(n) for d in range(c)}
-    assert {tuple(r) for r in met} == wanted
+    wanted = {(s, 100 * s + c, 100 * s + d) for s, n in buckets.items() if n <= small for c in range(n) for d in range(c)}
+    wanted |= {(s, 100 * s + c, None) for s, n in buckets.items() if n > small for c in range(n)}
+    assert {tuple(r) for r in met} == wanted and len(met) == len(wanted)
+
+
+def test_sketches_in_blocks_equal_those_in_pairs():
+    rng = np.random.default_rng(10)
+    base = np.unique(rng.integers(0, 1 << 63, 900, dtype=np.uint64))
+    sets = [np.unique(np.concatenate([base[: int(n)][rng.random(int(n)) < keep], rng.integers(0, 1 << 63, int(rng.integers(0, 40)), dtype=np.uint64)])) for n in (5, 150, 250, 300, 600, 900) for keep in (0.5, 0.9, 0.95, 1.0)]
+    sizes, sketches = np.array([len(x) for x in sets]), [jaccard.sketch(x) for x in sets]
+    got = jaccard.may_link(sizes, sketches, 80)
+    for i in range(len(sets)):
+        for j in range(len(sets)):
+            fits = 180 * jaccard.least_difference(sketches[i], sketches[j]) <= 20 * (sizes[i] + sizes[j])
+            assert got[i, j] == (i == j or bool(fits and 100 * min(sizes[i], sizes[j]) >= 80 * max(sizes[i], sizes[j])))
+
+
+def test_long_near_copies_in_many_blocks_equal_brute_force(spark, monkeypatch):
+    """Sets of 500 to 2,000 n-grams around a similarity of 0.8, a large bucket of them, a passage in common, small blocks."""
+    monkeypatch.setattr(jaccard, "BLOCK_SETS", 7)
+    monkeypatch.setattr(jaccard, "BLOCK_GRAMS", 9_000)
+    rng = np.random.default_rng(11)
+    new = lambda n: [f"w{x}" for x in rng.integers(0, 10**9, n)]
+    passage, texts = new(300), []
+    for size in (500, 900, 2000):
+        base = new(size)
+        for share in (1.0, 0.93, 0.9, 0.89, 0.88, 0.8):  # words of the base that a copy keeps at its front
+            texts += [base[: int(size * share)] + new(size - int(size * share)) for _ in range(2)]
+    base = new(510)
+    texts += [base + new(k) for k in range(20)] + [passage + new(310) for _ in range(20)]
+    rows = [(i, " ".join(t)) for i, t in enumerate(texts)]
+    got = collections.Counter(tuple(r) for r in jaccard.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string"), 5, 80).collect())
+    assert got == plain_components(rows, 5, 80)
+
+
+def test_near_copies_keep_every_column(spark):
+    rows = [(1, "a b c d e f", "x", 7, "k"), (2, "a b c d e f", "y", 8, "k"), (3, "other words here", "z", 9, None)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, marked_id string, component_id long, goes string")
+    assert sorted(tuple(r) for r in jaccard.drop_near_duplicates(frame).collect()) == [rows[0], rows[2]]
 
 
 def test_linked_pairs_of_large_groups_equal_small_ones():
@@ -358,24 +435,30 @@ def test_drop_near_duplicates_keeps_one(spark):
 # --- language model
 
 
-def test_scoring_equals_brute_force(docs, rows, nothing, monkeypatch):
-    got = collections.Counter((r["doc_id"], r["n_words"], round(r["log_score"], 6), r["n_backoff"]) for r in scoring.score_documents(docs).collect())
+@pytest.mark.parametrize("order,block", [(2, 1_000_000), (2, 700), (3, 700), (1, 10**6)])
+def test_scoring_equals_brute_force(docs, rows, nothing, monkeypatch, order, block):
+    monkeypatch.setattr(scoring, "BLOCK_WORDS", block)
+    monkeypatch.setattr(scoring, "TABLE_GRAMS", block)
+    got = collections.Counter((r["doc_id"], r["n_words"], round(r["log_score"], 6), r["n_backoff"]) for r in scoring.score_documents(docs, order).collect())
     cut = [(r[0], (r[1] or "").encode().lower().split()) for r in rows]
-    one = collections.Counter(w for _, x in cut for w in x)
-    two = collections.Counter(p for _, x in cut for p in zip(x, x[1:], strict=False))
-    total, wanted = sum(one.values()), collections.Counter()
+    grams = lambda x: collections.Counter(tuple(x[i : i + k]) for k in range(1, order + 1) for i in range(len(x) - k + 1))
+    every = sum((grams(x) for _, x in cut), collections.Counter())
+    total, wanted = sum(len(x) for _, x in cut), collections.Counter()
     for key, x in cut:
-        own1, own2, score, backed = collections.Counter(x), collections.Counter(zip(x, x[1:], strict=False)), 0.0, 0
-        for k, w in enumerate(x):
-            seen = two[x[k - 1], w] - own2[x[k - 1], w] if k else 0
-            if seen > 0:
-                score += math.log(seen / max(1, one[x[k - 1]] - own1[x[k - 1]]))
+        own, score, backed = grams(x), 0.0, 0
+        left = lambda g: every[g] - own[g]  # noqa: B023, E731
+        for i in range(len(x)):
+            factor, at = 1.0, order
+            while at > 1 and (i < at - 1 or left(tuple(x[i - at + 1 : i + 1])) <= 0):
+                factor, at = factor * 0.4, at - 1
+            backed += order == 1 or at < order
+            if at > 1:
+                score += math.log(factor * left(tuple(x[i - at + 1 : i + 1])) / left(tuple(x[i - at + 1 : i])))
             else:
-                backed += 1
-                score += math.log(0.4 * max(1, one[w] - own1[w]) / max(1, total - len(x)))
+                score += math.log(factor * max(1, left((x[i],))) / max(1, total - len(x)))
         wanted[key, len(x), round(score, 6), backed] += 1
     assert got == wanted
-    assert scoring.score_documents(nothing).count() == 0
+    assert order != 3 or scoring.score_documents(nothing).count() == 0
 
 
 @given(st.lists(st.integers(0, 2**64 - 1), min_size=1, max_size=50, unique=True))
@@ -387,6 +470,41 @@ def test_sorted_packing(values):
 # --- toxicity
 
 
+def test_worst_windows_and_word_scores_equal_plain_ones():
+    rng = np.random.default_rng(3)
+    lengths = np.array([0, 1, 2, 3, 4, 50, 0, 7])
+    scores = rng.normal(size=int(lengths.sum()))
+    best, at = toxicity.worst_windows(scores, lengths)
+    begin = 0
+    for k, n in enumerate(lengths.tolist()):
+        x, w = scores[begin : begin + n], min(n, toxicity.WINDOW)
+        means = [x[i : i + w].mean() for i in range(n - w + 1)] if n else [0.0]
+        assert best[k] == pytest.approx(max(means)) and at[k] - begin == (int(np.argmax(means)) if n else 0)
+        begin += n
+    model = toxicity.Model(rng.normal(size=toxicity.BUCKETS))
+    for word in ("a", "abc", "über", "東京", "x" * 40):
+        raw = b"<" + word.encode() + b">"
+        _, alone = toxicity.subwords([word])
+        _, among = toxicity.subwords(["other", word, "more"])
+        owner, _ = toxicity.subwords(["other", word, "more"])
+        assert sorted(alone.tolist()) == sorted(among[owner == 1].tolist())
+        assert len(alone) == 1 + sum(max(0, len(raw) - n + 1) for n in toxicity.NGRAMS)
+        assert model.word_scores([word])[0] == pytest.approx(model.weights[alone].mean())
+
+
+def test_scores_of_documents_equal_plain_ones(spark):
+    rng = np.random.default_rng(4)
+    model = toxicity.Model(rng.normal(size=toxicity.BUCKETS), 2.0, -1.0)
+    texts = ["one two three four five", "", None, "Ünï x", "word " * 25_000 + "bad"] + [" ".join(rng.choice(WORDS, 30)) for _ in range(20)]
+    got = {r["doc_id"]: r["score"] for r in toxicity.score_documents(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), model).collect()}
+    for i, t in enumerate(texts):
+        words = re.findall(r"\w+", (t or "").lower())
+        x = [model.weights[toxicity.subwords([w])[1]].mean() for w in words]
+        w = min(len(x), 3)
+        worst = max((float(np.mean(x[k : k + w])) for k in range(len(x) - w + 1)), default=0.0) if x else 0.0
+        assert got[i] == pytest.approx(1 / (1 + math.exp(-(2.0 * worst - 1.0))))
+
+
 def test_toxicity_learns_and_generalises(spark):
     rng = random.Random(7)
     clean = ["river", "stone", "window", "garden", "paper", "music", "market", "winter", "bottle", "silver"]
@@ -476,6 +594,33 @@ def test_audio_round_trip(docs, rows, nothing):
     assert audio.audio_features(audio.store_audio(nothing)).count() == 0
 
 
+def test_log_mel_equals_plain_sums_block_by_block(spark, monkeypatch):
+    monkeypatch.setattr(audio, "BLOCK", audio.HOP * audio.DOWN * 3)
+    payload = bytes(np.random.default_rng(1).integers(0, 256, 9 * 576, dtype=np.uint8))
+    mel, spans = audio.features_of(payload, audio.RATE)
+    rate = audio.RATE * audio.UP // audio.DOWN
+    x = audio.resample((np.frombuffer(payload, np.uint8).astype(np.float32) - 128) / 128).astype(np.float64)
+    hann = [0.5 - 0.5 * math.cos(2 * math.pi * i / (audio.FRAME - 1)) for i in range(audio.FRAME)]
+    top = 2595 * math.log10(1 + rate / 2 / 700)
+    edges = [700 * (10 ** (top * k / (audio.MELS + 1) / 2595) - 1) for k in range(audio.MELS + 2)]
+    for f in range(len(mel)):
+        frame = np.zeros(audio.FRAME)
+        part = x[f * audio.HOP : f * audio.HOP + audio.FRAME]
+        frame[: len(part)] = part
+        turn = np.exp(-2j * math.pi * np.outer(np.arange(audio.FRAME // 2 + 1), np.arange(audio.FRAME)) / audio.FRAME)
+        power = np.abs(turn @ (frame * hann)) ** 2
+        for m in range(audio.MELS):
+            weights = [max(0.0, min((b * rate / audio.FRAME - edges[m]) / (edges[m + 1] - edges[m]), (edges[m + 2] - b * rate / audio.FRAME) / (edges[m + 2] - edges[m + 1]))) for b in range(audio.FRAME // 2 + 1)]
+            assert mel[f, m] == pytest.approx(math.log10(float(np.dot(weights, power)) + audio.FLOOR), abs=2e-3)
+    assert len(mel) == max(1, -(-max(0, len(x) - audio.FRAME) // audio.HOP) + 1) and (spans[:, 0] < spans[:, 1]).all()
+    frame = spark.createDataFrame([(1, "some text " * 200), (2, None)], "doc_id long, text string")
+    stored = audio.store_features(audio.store_audio(frame)).collect()
+    for r in stored:
+        mel = audio.features_of((("some text " * 200).encode() if r["doc_id"] == 1 else b"").ljust(r["payload_bytes"], b"\xff"), audio.RATE)[0]
+        flat = np.concatenate([np.asarray(t.as_py()).reshape(-1) for t in audio.from_tensors(bytes(r["tensors"]))["log_mel"].combine_chunks().storage])
+        assert np.allclose(flat[: mel.size], mel.reshape(-1)) and r["media_sha256"] == hashlib.sha256(audio.to_wav((("some text " * 200).encode() if r["doc_id"] == 1 else b"").ljust(r["payload_bytes"], b"\xff"))).hexdigest()
+
+
 def test_resampling_is_a_filtered_signal():
     x = np.random.default_rng(0).normal(size=3000).astype(np.float32)
     taps = audio._phases(audio.UP, audio.DOWN, audio.TAPS)
@@ -534,3 +679,25 @@ def test_map_edits():
     for r in again:
         after[r["shard"]] += r["bytes"]
     assert max(after.values()) <= 1.1 * min(after.values()) and sum(a["shard"] != b["shard"] for a, b in zip(first, again, strict=True)) < 100
+
+
+def test_a_stored_map_is_loaded_and_edited(spark):
+    records = spark.createDataFrame([(i, i % 64, 10 + i % 7) for i in range(1000)], "doc_id long, v_slot int, size long")
+    first = sharding.store_map(spark, sharding.first_map(sharding.slot_loads(records), 64, 4))
+    second = sharding.edit_map(first, records, 4, more=True)
+    a, b = sharding.load_map(first), sharding.load_map(second)
+    assert {r["version"] for r in a} == {1} and {r["version"] for r in b} == {2} and [r["slot"] for r in a] == [r["slot"] for r in b] == list(range(64))
+    moved = {y["shard"] for x, y in zip(a, b, strict=True) if x["shard"] != y["shard"]}
+    assert moved == {4}
+    before, after = ({r["doc_id"]: r["shard"] for r in sharding.place(records, m).collect()} for m in (first, second))
+    assert all(after[i] in (s, 4) for i, s in before.items()) and set(after.values()) == {0, 1, 2, 3, 4}
+    third = sharding.edit_map(second, records.union(records.filter("v_slot < 5")), 5, more=False)
+    assert sharding.load_map(third)[0]["version"] == 3
+    with pytest.raises(ValueError):
+        sharding.load_map(first.union(second))
+
+
+def test_rows_without_id_and_text_spread(spark):
+    frame = spark.createDataFrame([(None, None)] * 200, "doc_id long, text string")
+    got = sharding.shard_documents(frame, 4, 64).collect()
+    assert len(got) == 200 and len({r["v_slot"] for r in got}) > 20 and {r["text_crc32"] for r in got} == {None}
