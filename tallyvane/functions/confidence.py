@@ -83,23 +83,92 @@ def composite(signals: Mapping[str, Column], knots: Mapping[str, Sequence[tuple[
     return F.when(n == 0, 0.5).otherwise(sigmoid(scaled))
 
 
-#: Weights of the composite without a fit.
-FALLBACK = {"u_internal": 0.2, "p_entail": 0.25, "p_ground_max": 0.3, "q_a_relevance": 0.25}
+# Weights of the composite without a fit; h_norm, an entropy, counts by what it leaves to 1.
+FALLBACK = {
+    "p_ground_mean": 0.22, "p_ground_max": 0.18, "p_ground_atomic": 0.06, "p_entail": 0.14, "q_a_relevance": 0.20, "s_avg": 0.10, "u_internal": 0.08, "h_norm": 0.02,
+}
 
 
 def weighted_composite(signals: Mapping[str, Column], weights: Mapping[str, float] = FALLBACK) -> Column:
+    """Weighted sum of signals, held to [0, 1]; one without a value counts one half."""
     total = F.lit(0.0)
     for name, w in weights.items():
-        total = total + F.coalesce(signals[name], F.lit(0.5)) * w
+        value = F.coalesce(signals[name], F.lit(0.5))
+        total = total + (1.0 - value if name == "h_norm" else value) * w
     return clip(total)
 
 
-def envelope(decision: Column, u_stored: Column) -> Column:
-    """struct<tag, show, confidence> for an answer on its way out; an unknown decision has no tag."""
-    tag = F.when(decision == "STORE", "verified").when(decision == "DEFERRED", "tentative").when(decision == "ABSTAIN", "withheld").when(decision == "DISCARD", "unverified")
-    return F.struct(tag.alias("tag"), F.coalesce(decision != "ABSTAIN", F.lit(False)).alias("show"), clip(u_stored).alias("confidence"))
+# Tag, label and icon of each decision, and what users are told.
+ENVELOPES = {
+    "STORE": ("verified", "high", "check"), "DEFERRED": ("provisional", "moderate", "tilde"), "DISCARD": ("conflicting", "low", "warning"), "ABSTAIN": ("insufficient", "very_low", "cross"),
+}
+DISCARD_CAVEAT = "Evidence exists but some signals disagree \u2014 independent verification is recommended."
+DEFERRED_CAVEAT = "I'll reconsider this at my next learning cycle. Please ask again later for an updated answer."
+CADENCES = {
+    "nightly": "in my nightly learning cycle. Please ask again tomorrow", "hourly": "in my next hourly update. Please ask again in about an hour",
+    "continuous": "shortly as my learning queue clears. Please ask again in a few minutes", "shortly": "shortly. Please check back in a few minutes",
+}
 
 
-def drift(delta: Column, warn: float = 0.02, fail: float = 0.05) -> Column:
-    """Three-way class of a difference."""
-    return F.when(F.abs(delta) < warn, "ok").when(F.abs(delta) < fail, "warn").otherwise("fail")
+def deferred_caveat(eta: Column, cadence: Column) -> Column:
+    """When an answer will be looked at again: by a stated time, else by a cadence, else in general."""
+    known = F.create_map(*[F.lit(x) for pair in CADENCES.items() for x in pair])
+    phrase = F.coalesce(F.try_element_at(known, cadence), F.concat(F.lit("in my "), cadence, F.lit(" learning cycle. Please check back soon")))
+    return (
+        F.when(F.coalesce(eta, F.lit("")) != "", F.concat(F.lit("I'll reconsider this around "), eta, F.lit(". Please ask again then.")))
+        .when(F.coalesce(cadence, F.lit("")) != "", F.concat(F.lit("I'll reconsider this "), phrase, F.lit("."))).otherwise(DEFERRED_CAVEAT)
+    )
+
+
+def envelope(answer: Column, u_stored: Column, decision: Column, eta: Column | None = None, cadence: Column | None = None) -> Column:
+    """struct<answer, confidence, tag, label, icon, show_answer, caveat, decision> for an answer on its way out; null for an
+    unknown decision. A withheld answer is null."""
+    nothing = F.lit(None).cast("string")
+    pick = lambda k: F.try_element_at(F.create_map(*[F.lit(x) for d, e in ENVELOPES.items() for x in (d, e[k])]), decision)
+    caveat = F.when(decision == "DISCARD", DISCARD_CAVEAT).when(decision == "DEFERRED", deferred_caveat(nothing if eta is None else eta, nothing if cadence is None else cadence))
+    made = F.struct(
+        F.when(decision != "ABSTAIN", answer).alias("answer"), clip(u_stored).alias("confidence"), pick(0).alias("tag"), pick(1).alias("label"), pick(2).alias("icon"),
+        (decision != "ABSTAIN").alias("show_answer"), caveat.alias("caveat"), decision.alias("decision"),
+    )
+    return F.when(decision.isin(*ENVELOPES), made)
+
+
+def drift(worst: Column, safe: float = 1e-3, warn: float = 1e-2) -> Column:
+    """Gate of a largest absolute difference; a bound itself belongs to the better side."""
+    return F.when(worst > warn, "UNSAFE").when(worst > safe, "WARN").otherwise("SAFE")
+
+
+def relevance(logit_: Column) -> Column:
+    """Probability of a relevance logit held to [-30, 30]; one half without a finite one."""
+    finite = logit_.isNotNull() & ~F.isnan(logit_) & (F.abs(logit_) != float("inf"))
+    return F.when(finite, sigmoid(clip(logit_, -30.0, 30.0))).otherwise(0.5)
+
+
+def uncertainty(positive: Column, negative: Column) -> Column:
+    """How near one half both of two scores are: 1 at it, falling twice as fast beyond a tenth."""
+    far = F.greatest(F.abs(positive - 0.5), F.abs(negative - 0.5))
+    return clip(1.0 - F.when(far > 0.10, 4.0).otherwise(2.0) * far)
+
+
+def directional(label: Column, pos_max: Column, pos_mean: Column, neg_max: Column, neg_mean: Column) -> Column:
+    """struct<p_ground_max, p_ground_mean> by what an answer says of its claim: scores of the claim for "supports", of its
+    negation for "refutes", nearness of both to one half for "not enough info"; null without a label, or where the claim
+    has no negation and one is needed."""
+    needs = label.isin("refutes", "not enough info")
+    pick = lambda pos, neg: F.when(label == "supports", pos).when(label == "refutes", neg).otherwise(uncertainty(pos, neg))
+    made = F.struct(pick(pos_max, neg_max).alias("p_ground_max"), pick(pos_mean, neg_mean).alias("p_ground_mean"))
+    return F.when((label == "supports") | (needs & neg_max.isNotNull()), made)
+
+
+def explain_route(u_pre: Column, similarity: Column, u_stored: Column, floor: float = 0.38, share: float = 0.7, tier1: float = 0.9, tier2: float = 0.75) -> Column:
+    """A sentence or two on why a query goes to its tier."""
+    score = share * similarity + (1 - share) * u_stored
+    f = lambda x, places=4: F.format_string(f"%.{places}f", x)
+    t = lambda x: F.lit(f"{x:.2f}")
+    unsafe = F.concat(F.lit("u_pre="), f(u_pre), F.lit(" is below the safety floor "), t(floor), F.lit(": tier 3 whatever the match."))
+    head = F.concat(F.lit("u_pre="), f(u_pre), F.lit(" is safe (floor "), t(floor), F.lit("). Score "), t(share), F.lit(" x "), f(similarity), F.lit(" + "), t(1 - share), F.lit(" x "), f(u_stored), F.lit(" = "), f(score))
+    first = F.concat(head, F.lit(" reaches "), t(tier1), F.lit(": tier 1, direct retrieval."))
+    second = F.concat(head, F.lit(" misses "), t(tier1), F.lit(", similarity exceeds "), t(tier2), F.lit(": tier 2, guided generation."))
+    third = F.concat(head, F.lit(" misses "), t(tier1), F.lit(", similarity does not exceed "), t(tier2), F.lit(": tier 3, full retrieval."))
+    tier = route(similarity, u_stored, u_pre, F.lit(floor), share, tier1, tier2)
+    return F.when(u_pre < floor, unsafe).when(tier == 1, first).when(tier == 2, second).otherwise(third)

@@ -140,7 +140,7 @@ def csqa_letter(answer: Column) -> Column:
 
 
 def uniform_score(benchmark: Column, prediction: Column, golds: Column, gold_label: Column) -> Column:
-    """struct<em, lenient_em> by each benchmark's rule; null em where there is no uniform rule."""
+    """struct<em, lenient_em> by each benchmark's rule. A benchmark without a uniform rule is refused: the row raises an error."""
     line = final_answer_line(prediction)
     plain = norm_words(line)
     label = F.lower(F.trim(F.coalesce(gold_label, F.element_at(golds, 1), F.lit(""))))
@@ -155,6 +155,7 @@ def uniform_score(benchmark: Column, prediction: Column, golds: Column, gold_lab
         .when(benchmark == "strategyqa", (first.isin("yes", "no") & (first == label)).cast("double"))
         .when(benchmark == "commonsense_qa", F.coalesce(csqa_letter(line) == F.upper(label), F.lit(False)).cast("double"))
         .when(benchmark.isin("triviaqa", "natural_questions"), strict)
+        .otherwise(F.raise_error(F.concat(F.lit("no uniform rule for "), F.coalesce(benchmark, F.lit("null")))).cast("double"))
     )
     lenient = F.when(benchmark.isin("triviaqa", "natural_questions"), F.greatest(strict, F.coalesce(inside, F.lit(False)).cast("double")))
     return F.struct(em.alias("em"), lenient.alias("lenient_em"))
@@ -166,6 +167,11 @@ def is_unstorable(answer: Column) -> Column:
     return (body == "") | body.rlike(any_of(TEMPLATE_LEAK)) | body.rlike(any_of(EVASIVE))
 
 
+def question_hash(question: Column) -> Column:
+    """First 16 hex digits of the SHA-256 of a trimmed question, by which pools are compared; null stays null."""
+    return F.substring(F.sha2(F.regexp_replace(question, r"^\s+|\s+\z", ""), 256), 1, 16)
+
+
 def content_id(question: Column) -> Column:
     """First 16 hex digits of the SHA-256 of the first 500 characters of the trimmed question; a missing one is empty."""
     return F.substring(F.sha2(F.substring(F.trim(F.coalesce(question, F.lit(""))), 1, 500), 256), 1, 16)
@@ -182,50 +188,7 @@ def distinct_ngram_ratio(tokens: Column, n: int = 4) -> Column:
     return let(tokens, ratio)
 
 
-def options(query: Column) -> Column:
-    """map<letter, text> of a "(A) foo (B) bar" block."""
-    letters = F.regexp_extract_all(query, F.lit(r"\(([A-E])\)\s*[^(]*"), F.lit(1))
-    texts = F.regexp_extract_all(query, F.lit(r"\([A-E]\)\s*([^(]*)"), F.lit(1))
-    clean = F.transform(texts, lambda t: F.regexp_replace(F.trim(F.regexp_replace(t, r"\s+", " ")), r"[.,; ]+$", ""))
-    pairs = F.filter(F.arrays_zip(letters.alias("k"), clean.alias("v")), lambda p: p["v"] != "")
-    return F.map_from_entries(F.transform(pairs, lambda p: F.struct(p["k"], p["v"])))
-
-
-def title_runs(text: Column) -> Column:
-    """Runs of capitalised words, the default entities of a text."""
-    return F.regexp_extract_all(text, F.lit(r"\b([A-Z][a-z]+(?: [A-Z][a-z]+)*)\b"), F.lit(1))
-
-
-def atomic_facts(text: Column, least_words: int = 4) -> Column:
-    """Lines of at least so many words, bullets stripped, first of equal ones (regardless of case) in order."""
-    lines = F.transform(F.split(F.coalesce(text, F.lit("")), "\n"), lambda x: F.trim(F.regexp_replace(x, r"^\s*(?:[-*]|[0-9]+[.)])\s*", "")))
-    kept = F.filter(lines, lambda x: F.size(F.filter(F.split(x, SPACE), lambda w: w != "")) >= least_words)
-
-    def first_ones(x: Column) -> Column:
-        return F.filter(x["kept"], lambda line, i: F.array_position(x["keys"], F.lower(line)) == i + 1)
-
-    return let(F.struct(kept.alias("kept"), F.transform(kept, F.lower).alias("keys")), first_ones)
-
-
-def question_features(question: Column) -> dict[str, Column]:
-    """Length, cue flags and a one-hot of the question word."""
-    q = F.coalesce(question, F.lit(""))
-    low = F.lower(F.trim(q))
-    out = {
-        "q_token_len": F.size(words(q)).cast("double"),
-        "negation_present": q.rlike(r"(?i)\b(?:not|never|no|none)\b").cast("double"),
-        "temporal_cue": q.rlike(r"(?i)\b(?:when|year|date|before|after|during)\b").cast("double"),
-        "numerical_cue": q.rlike(r"[0-9]").cast("double"),
-    }
-    before = F.lit(False)
-    for word in ("who", "what", "when", "where", "why", "how"):
-        out[f"interrog_{word}"] = (low.startswith(word) & ~before).cast("double")
-        before = before | low.startswith(word)
-    out["interrog_yesno"] = (~before & low.rlike(r"^(?:is|are|was|were|do|does|did|can|could|has|have|will)\b")).cast("double")
-    return out
-
-
-#: Task family of each benchmark that names its own.
+# Task family of each benchmark that names its own.
 TASKS = {
     "fever": "fever", "strategyqa": "strategyqa", "arc_challenge": "arc", "arc": "arc", "commonsense_qa": "csqa", "csqa": "csqa",
     "hotpotqa": "hotpotqa", "hotpot_qa": "hotpotqa", "triviaqa": "open", "natural_questions": "open", "truthfulqa": "open", "asqa": "open",

@@ -14,8 +14,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 LEAST_ROWS = 50
-#: Scores are counted on this grid before a temperature is fitted: a group is at most so many rows, whatever its size.
-GRID = 10_000
+#: Scores are counted on a grid of log odds, so many steps a unit, before a temperature is fitted: a group is a bounded number
+#: of rows, whatever its size.
+GRID = 1_000
 
 
 def _golden(loss, low: float, high: float, steps: int = 60) -> float:
@@ -48,7 +49,9 @@ def temperature_of(p: np.ndarray, y: np.ndarray, n: np.ndarray) -> float:
 
 def fit_temperatures(rows: DataFrame, score: str, label: str, by: str, least: int = 20) -> DataFrame:
     """temperature for each group; groups of fewer than `least` rows or of one class take that of all rows."""
-    p = F.round(F.greatest(F.lit(1e-6), F.least(F.lit(1 - 1e-6), F.col(score))) * GRID) / GRID
+    held = F.greatest(F.lit(1e-6), F.least(F.lit(1 - 1e-6), F.col(score)))
+    # the grid is even in log odds, where the temperature works, so that extreme scores keep their distance
+    p = 1.0 / (1.0 + F.exp(-F.round(F.log(held / (1.0 - held)) * GRID) / GRID))
     counted = rows.filter(F.col(score).isNotNull()).groupBy(by, p.alias("p"), F.coalesce(label, F.lit(0.0)).alias("y")).agg(F.count("*").alias("n"))
 
     def fit(part: pd.DataFrame) -> pd.DataFrame:
@@ -88,3 +91,39 @@ def fit_logistic(rows: DataFrame, features: list[str], label: str, c: float = 1.
     model = LogisticRegression(weightCol="weight", regParam=1.0 / (n * c), standardization=False, maxIter=50).fit(made)
     values = [*map(float, model.coefficients), float(model.intercept)]
     return rows.sparkSession.createDataFrame(list(zip([*features, "intercept"], values, strict=True)), "name string, weight double")
+
+
+def shrunk_knots(rows: DataFrame, signals: list[str], label: str, by: str, alpha: float = 0.6, masks: dict[str, tuple[str, ...]] | None = None) -> DataFrame:
+    """by, signal, x, y: each group's own isotonic knots, drawn towards the curve of all rows: alpha of the former, the rest of
+    the latter, held to [0.02, 0.98]. `masks` names signals that a group leaves out; a signal without a pooled curve stays.
+
+    Groups are benchmarks, few and named; knots, not rows, reach the driver.
+    """
+    if not 0.0 <= alpha <= 1.0:
+        raise ValueError("alpha must lie in [0, 1]")
+    pooled: dict[str, tuple[list[float], list[float]]] = {}
+    for r in isotonic_knots(rows, signals, label).orderBy("signal", "x").collect():
+        xs, ys = pooled.setdefault(r["signal"], ([], []))
+        xs.append(r["x"])
+        ys.append(r["y"])
+    out = []
+    for (group,) in rows.select(by).distinct().orderBy(by).collect():
+        own = [s for s in signals if s not in (masks or {}).get(group, ())]
+        for r in isotonic_knots(rows.filter(F.col(by).eqNullSafe(F.lit(group))), own, label).collect():
+            y = r["y"]
+            if r["signal"] in pooled:
+                y = min(0.98, max(0.02, alpha * y + (1 - alpha) * float(np.interp(r["x"], *pooled[r["signal"]]))))
+            out.append((group, r["signal"], r["x"], float(y)))
+    return rows.sparkSession.createDataFrame(out, f"`{by}` string, signal string, x double, y double")
+
+
+def fit_platt(rows: DataFrame, raw: str, target: str, by: list[str], eps: float = 1e-6) -> DataFrame:
+    """by, n, a, b, rho, mae_logit, mae_probability: the least-squares line logit(target) = a logit(raw) + b and how well it
+    fits. Rows without either are left out. Two passes of partial sums."""
+    held = lambda c: F.greatest(F.lit(eps), F.least(F.lit(1.0 - eps), F.col(c)))
+    odds = lambda p: F.log(p / (1.0 - p))
+    known = rows.filter(F.col(raw).isNotNull() & F.col(target).isNotNull()).select(*by, odds(held(raw)).alias("x"), odds(held(target)).alias("y"), F.col(target).alias("t"))
+    line = known.groupBy(*by).agg(F.regr_slope("y", "x").alias("a"), F.regr_intercept("y", "x").alias("b"), F.corr("x", "y").alias("rho"))
+    z = F.col("a") * F.col("x") + F.col("b")
+    fitted = known.join(line, by).groupBy(*by, "a", "b", "rho")
+    return fitted.agg(F.count("*").alias("n"), F.avg(F.abs(z - F.col("y"))).alias("mae_logit"), F.avg(F.abs(1.0 / (1.0 + F.exp(-z)) - F.col("t"))).alias("mae_probability"))

@@ -32,9 +32,9 @@ def flag_loops(texts: DataFrame) -> DataFrame:
     measured = texts.withColumn("_s", stripped).withColumn("_t", T.words(F.col("_s")))
     measured = measured.withColumn("distinct4", T.distinct_ngram_ratio(F.col("_t"))).withColumn("_n", F.size("_t")).drop("_t", "text")
     settled = (F.col("_n") < LEAST_TOKENS) | (F.col("distinct4") < LEAST_DISTINCT)
-    sure = measured.filter(settled).withColumn("is_loop", F.col("_n") >= LEAST_TOKENS)
-    open_ = measured.filter(~settled).withColumn("is_loop", compression_ratio("_s") < LEAST_RATIO)
-    return sure.unionByName(open_).drop("_s", "_n")
+    # one pass: a settled text goes to Python as null, which costs nothing there
+    ratio = compression_ratio(F.when(~settled, F.col("_s")))
+    return measured.withColumn("_r", ratio).withColumn("is_loop", F.when(settled, F.col("_n") >= LEAST_TOKENS).otherwise(F.col("_r") < LEAST_RATIO)).drop("_s", "_n", "_r")
 
 
 def lcs_length(a: list[str], b: list[str]) -> int:
@@ -50,16 +50,34 @@ def lcs_length(a: list[str], b: list[str]) -> int:
     return int(row[-1])
 
 
+def lcs_f1(prediction: str | None, gold: str | None) -> float:
+    p, g = (prediction or "").split(), (gold or "").split()
+    n = lcs_length(p, g)
+    return 2 * n / (len(p) + len(g)) if n else float(not p and not g)
+
+
 @F.pandas_udf(DoubleType())
 def _rouge(a: pd.Series, b: pd.Series) -> pd.Series:
-    def score(x: str, y: str) -> float:
-        p, g = x.split(), y.split()
-        n = lcs_length(p, g)
-        return 2 * n / (len(p) + len(g)) if n else float(not p and not g)
+    return pd.Series([lcs_f1(x, y) for x, y in zip(a, b, strict=True)], dtype="float64")
 
-    return pd.Series([score(x or "", y or "") for x, y in zip(a, b, strict=True)])
+
+@F.pandas_udf(DoubleType())
+def _best_rouge(a: pd.Series, b: pd.Series) -> pd.Series:
+    return pd.Series([max((lcs_f1(x, y) for y in ys), default=0.0) for x, ys in zip(a, b, strict=True)], dtype="float64")
 
 
 def rouge_l(rows: DataFrame, prediction: str, gold: str) -> DataFrame:
     """rows with the LCS F1 of two normalised texts in column rouge_l; two empty ones score 1."""
     return rows.withColumn("rouge_l", _rouge(T.normalise(F.col(prediction)), T.normalise(F.col(gold))))
+
+
+def best_rouge_l(rows: DataFrame, prediction: str, golds: str) -> DataFrame:
+    """rows with the highest LCS F1 over an array of golds in column rouge_l; 0 without any."""
+    return rows.withColumn("rouge_l", _best_rouge(T.normalise(F.col(prediction)), F.transform(F.coalesce(F.col(golds), F.array().cast("array<string>")), T.normalise)))
+
+
+def spaced_rouge_l(rows: DataFrame, prediction: str, gold: str) -> DataFrame:
+    """rows with the LCS F1 of two texts in which punctuation is a space and articles stay; an empty one scores 0."""
+    spaced = lambda c: F.regexp_replace(F.lower(F.coalesce(F.col(c), F.lit(""))), r"(?U)[^\w\s]", " ")
+    some = (F.size(T.words(spaced(prediction))) > 0) & (F.size(T.words(spaced(gold))) > 0)
+    return rows.withColumn("rouge_l", F.when(some, _rouge(spaced(prediction), spaced(gold))).otherwise(0.0))

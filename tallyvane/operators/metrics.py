@@ -79,8 +79,9 @@ def routing_distribution(samples: DataFrame, by: list[str]) -> DataFrame:
     )
 
 
-def auroc(rows: DataFrame, score: str, label: str, by: list[str]) -> DataFrame:
-    """Area under the ROC curve from counts per distinct score: ties count half; one class alone gives 0.5.
+def auroc(rows: DataFrame, score: str, label: str, by: list[str], one_class: float | None = 0.5) -> DataFrame:
+    """Area under the ROC curve from counts per distinct score: ties count half; one class alone gives `one_class`, which may
+    be null.
 
     Sorting happens on distinct scores, never on all rows of a group.
     """
@@ -91,7 +92,7 @@ def auroc(rows: DataFrame, score: str, label: str, by: list[str]) -> DataFrame:
     ranked = counts.withColumn("below", F.coalesce(F.sum("neg").over(before), F.lit(0)))
     wins = F.sum(F.col("pos") * (F.col("below") * 2 + F.col("neg")))
     both = F.sum("pos") * F.sum("neg")
-    return ranked.groupBy(*by).agg(F.sum("pos").alias("n_pos"), F.sum("neg").alias("n_neg"), F.coalesce(wins / F.nullif(both * 2, F.lit(0)), F.lit(0.5)).alias("auroc"))
+    return ranked.groupBy(*by).agg(F.sum("pos").alias("n_pos"), F.sum("neg").alias("n_neg"), F.coalesce(wins / F.nullif(both * 2, F.lit(0)), F.lit(one_class).cast("double")).alias("auroc"))
 
 
 def reliability_bins(rows: DataFrame, score: str, label: str, n_bins: int = 10) -> DataFrame:
@@ -112,6 +113,67 @@ def expected_calibration_error(rows: DataFrame, score: str, label: str, n_bins:
     return bins.agg((F.sum(F.col("n") * F.abs(F.col("conf") - F.col("acc"))) / F.sum("n")).alias("ece"), F.sum("n").alias("n"))
 
 
+def edge_calibration_error(rows: DataFrame, score: str, label: str, by: list[str], n_bins: int = 15) -> DataFrame:
+    """by, n, ece over bins [i/n, (i+1)/n), the last one closed: a score beyond [0, 1] counts in n but lies in no bin."""
+    edges = [i / n_bins for i in range(1, n_bins)]
+    c = F.col(score)
+    bin_ = F.when((c >= 0) & (c <= 1), sum(((c >= e).cast("int") for e in edges), F.lit(0)))
+    bins = rows.filter(c.isNotNull() & F.col(label).isNotNull()).groupBy(*by, bin_.alias("bin")).agg(F.count("*").alias("k"), F.avg(score).alias("conf"), F.avg(label).alias("acc"))
+    gap = F.when(F.col("bin").isNotNull(), F.col("k") * F.abs(F.col("acc") - F.col("conf"))).otherwise(0.0)
+    return bins.groupBy(*by).agg(F.sum("k").alias("n"), (F.sum(gap) / F.sum("k")).alias("ece"))
+
+
+def floor_fit(rows: DataFrame, score: str, label: str, by: str, pooled: float = 0.38, target: float = 0.5, least: int = 20) -> DataFrame:
+    """by, floor: the smallest of 0.00, 0.01 ... 1.00 from which at least the target share of rows is right; `pooled` with
+    fewer than `least` rows, or where fewer than max(10, least / 2) are left before the target is reached.
+
+    One pass: rows are counted by the highest step that they reach, and sums from above give what each step keeps.
+    """
+    # the steps are i * 0.01 as floats have them, so a row's step is the last that it reaches, not a quotient
+    u = F.col(score).cast("double")
+    guess = F.floor(u * 100).cast("int")
+    at = lambda i: i.cast("double") * F.lit(0.01)
+    step = F.when(u >= at(guess + 1), guess + 1).when(u >= at(guess), guess).otherwise(guess - 1)
+    held = F.greatest(F.lit(-1), F.least(F.lit(100), step))
+    known = rows.filter(u.isNotNull() & ~F.isnan(u) & (F.abs(u) != float("inf")) & F.col(by).isNotNull() & F.col(label).isNotNull())
+    counts = known.groupBy(by, held.alias("step")).agg(F.count("*").alias("n"), F.count(F.when(F.col(label) != 0, 1)).alias("hits"))
+    listed = counts.groupBy(by).agg(F.sum("n").alias("total"), F.collect_list(F.struct("step", "n", "hits")).alias("s"))  # at most 102 steps
+    steps = listed.select(by, "total", F.explode(F.sequence(F.lit(0), F.lit(100))).alias("i"), "s")
+    from_ = lambda c: F.aggregate(F.filter("s", lambda x: x["step"] >= F.col("i")), F.lit(0).cast("long"), lambda a, x: a + x[c])
+    judged = steps.select(by, "total", "i", from_("n").alias("kept"), from_("hits").alias("right"))
+    thin = F.min(F.when(F.col("kept") < max(10, least // 2), F.col("i")))
+    good = F.min(F.when((F.col("kept") > 0) & (F.col("right") / F.col("kept") >= target), F.col("i")))
+    fitted = judged.groupBy(by).agg(F.max("total").alias("total"), thin.alias("thin"), good.alias("good"))
+    fits = (F.col("total") >= least) & F.col("good").isNotNull() & (F.col("thin").isNull() | (F.col("good") < F.col("thin")))
+    return fitted.select(by, F.when(fits, at(F.col("good"))).otherwise(pooled).alias("floor"))
+
+
+def ces_axes(samples: DataFrame, by: list[str], n_bins: int = 10) -> DataFrame:
+    """by, n_samples, n_conf, acc, epi, cal for each group: mean em, 1 less the composite of hallucination, and 1 less twice the
+    calibration error, held to one half. What has no rows to be measured on is null."""
+    u, em = F.col("u_stored"), F.col("em")
+    bin_ = F.least(F.floor(F.greatest(F.lit(0.0), F.least(F.lit(1.0), u)) / F.lit(1.0 / n_bins)), F.lit(n_bins - 1))
+    bins = samples.filter(u.isNotNull() & em.isNotNull()).groupBy(*by, bin_.alias("bin")).agg(F.count("*").alias("k"), F.avg("u_stored").alias("conf"), F.avg("em").alias("hit"))
+    error = F.sum(F.col("k") * F.abs(F.col("conf") - F.col("hit"))) / F.sum("k")
+    cal = bins.groupBy(*by).agg((1.0 - 2.0 * F.least(error, F.lit(0.5))).alias("cal"))
+    plain = samples.groupBy(*by).agg(F.count("em").alias("n_samples"), F.count("u_stored").alias("n_conf"), F.avg("em").alias("acc"))
+    chm = hallucination_table(samples, by).select(*by, (1.0 - F.col("chm")).alias("epi"))
+    return plain.join(chm, by, "left").join(cal, by, "left")
+
+
+def roll_up_axes(axes: DataFrame, by: list[str], eps: float = 0.01) -> DataFrame:
+    """Axes of several benchmarks (acc, epi, ret, cal, ver with n_samples and n_conf) as one: means weighed by samples, cal by
+    scored samples, without what is null; ces is made of the means, a null axis counting eps."""
+
+    def mean(axis: str, weight: str) -> Column:
+        w = F.when(F.col(axis).isNotNull() & (F.col(weight) > 0), F.col(weight))
+        return (F.sum(F.col(axis) * w) / F.sum(w)).alias(axis)
+
+    names = ("acc", "epi", "ret", "cal", "ver")
+    rolled = axes.groupBy(*by).agg(*(mean(a, "n_conf" if a == "cal" else "n_samples") for a in names), F.sum("n_samples").alias("n_samples"), F.sum("n_conf").alias("n_conf"))
+    return rolled.withColumn("ces", geometric_score(*(F.coalesce(a, F.lit(eps)) for a in names), eps=eps))
+
+
 def geometric_score(*axes: Column, eps: float = 0.01) -> Column:
     """Geometric mean of axes, each held to [eps, 1]."""
     product = F.lit(1.0)
@@ -120,6 +182,15 @@ def geometric_score(*axes: Column, eps: float = 0.01) -> Column:
     return F.pow(product, F.lit(1.0 / len(axes)))
 
 
+def concatenated_d(rows: DataFrame, signal: str, label: str, by: list[str]) -> DataFrame:
+    """by, d: the difference of class means over the deviation of both classes taken together, held from 1e-6 up; 0 where a
+    class is empty."""
+    value, y = F.col(signal), F.col(label)
+    both = F.when(y.isin(0.0, 1.0), value)
+    stats = rows.groupBy(*by).agg(F.avg(F.when(y == 1.0, value)).alias("m1"), F.avg(F.when(y == 0.0, value)).alias("m0"), F.stddev_samp(both).alias("sd"))
+    return stats.select(*by, F.coalesce((F.col("m1") - F.col("m0")) / F.greatest(F.coalesce("sd", F.lit(0.0)), F.lit(1e-6)), F.lit(0.0)).alias("d"))
+
+
 def cohens_d(rows: DataFrame, signal: str, label: str, by: list[str]) -> DataFrame:
     """Difference of class means over the pooled deviation; null where a class has fewer than two rows."""
     one, zero = F.col(label) == 1.0, F.col(label) == 0.0

@@ -21,24 +21,72 @@ def spearman(rows: DataFrame, x: str, y: str, by: list[str]) -> DataFrame:
 
     Ranks come from counts of distinct values by partial sums, so a value shared by many rows is sorted once.
     """
-    known = rows.filter(F.col(x).isNotNull() & F.col(y).isNotNull()).groupBy(*by, x, y).agg(F.count("*").alias("w"))
+    known = rows.filter(F.col(x).isNotNull() & F.col(y).isNotNull()).groupBy(*by, x, y).agg(F.count("*").alias("_w"))
 
     def ranked(side: str, name: str) -> DataFrame:
-        counts = known.groupBy(*by, side).agg(F.sum("w").alias("c"))
+        counts = known.groupBy(*by, side).agg(F.sum("_w").alias("_c"))
         before = Window.partitionBy(*by).orderBy(side).rowsBetween(Window.unboundedPreceding, -1)
-        return counts.select(*by, side, (F.coalesce(F.sum("c").over(before), F.lit(0)) + (F.col("c") + 1) / 2.0).alias(name))
+        return counts.select(*by, side, (F.coalesce(F.sum("_c").over(before), F.lit(0)) + (F.col("_c") + 1) / 2.0).alias(name))
 
-    both = known.join(ranked(x, "rx"), [*by, x]).join(ranked(y, "ry"), [*by, y])
-    w = F.col("w")
+    both = known.join(ranked(x, "_rx"), [*by, x]).join(ranked(y, "_ry"), [*by, y])
+    w = F.col("_w")
     sums = both.groupBy(*by).agg(
-        F.sum(w).alias("n"), F.sum(w * F.col("rx")).alias("sx"), F.sum(w * F.col("ry")).alias("sy"),
-        F.sum(w * F.col("rx") * F.col("rx")).alias("xx"), F.sum(w * F.col("ry") * F.col("ry")).alias("yy"), F.sum(w * F.col("rx") * F.col("ry")).alias("xy"),
+        F.sum(w).alias("n"), F.sum(w * F.col("_rx")).alias("sx"), F.sum(w * F.col("_ry")).alias("sy"),
+        F.sum(w * F.col("_rx") * F.col("_rx")).alias("xx"), F.sum(w * F.col("_ry") * F.col("_ry")).alias("yy"), F.sum(w * F.col("_rx") * F.col("_ry")).alias("xy"),
     )
     top = F.col("n") * F.col("xy") - F.col("sx") * F.col("sy")
     vx, vy = F.col("n") * F.col("xx") - F.col("sx") * F.col("sx"), F.col("n") * F.col("yy") - F.col("sy") * F.col("sy")
     return sums.select(*by, F.when((vx <= 0) | (vy <= 0), 0.0).otherwise(top / F.sqrt(vx) / F.sqrt(vy)).alias("rho"))
 
 
+def signal_matrix(rows: DataFrame, signals: list[str]) -> DataFrame:
+    """a, b, rho for each pair of signals: rank correlation over rows that have both; null where a side is constant."""
+    one, out = rows.withColumn("_all", F.lit(1)), None
+    for i, a in enumerate(signals):
+        for b in signals[i + 1 :]:
+            varied = rows.filter(F.col(a).isNotNull() & F.col(b).isNotNull()).agg((F.min(a) != F.max(a)).alias("va"), (F.min(b) != F.max(b)).alias("vb"))
+            found = spearman(one, a, b, ["_all"]).crossJoin(F.broadcast(varied))  # one row
+            pair = found.select(F.lit(a).alias("a"), F.lit(b).alias("b"), F.when(F.col("va") & F.col("vb"), F.col("rho")).alias("rho"))
+            out = pair if out is None else out.unionByName(pair)
+    return out
+
+
+def signal_clusters(matrix: DataFrame, signals: list[str], limit: float) -> DataFrame:
+    """signal, cluster: signals that pairs of correlation from `limit`, either way, hold together; the cluster is its first.
+
+    The matrix has a row a pair of signals, so it is read on the driver.
+    """
+    root = {s: s for s in signals}
+    for r in matrix.filter(F.abs("rho") >= limit).select("a", "b").collect():
+        low, high = sorted((root[r["a"]], root[r["b"]]), key=signals.index)
+        root = {s: low if c == high else c for s, c in root.items()}
+    return matrix.sparkSession.createDataFrame(list(root.items()), "signal string, cluster string")
+
+
+def wilcoxon(pairs: DataFrame, difference: str, by: list[str]) -> DataFrame:
+    """by, n, w, z of the signed-rank test: differences of 0 are dropped, ties share ranks, w is the smaller rank sum, z its
+    normal approximation with the ties' correction. Without a difference n is 0, w 0 and z 0. wilcoxon_p adds p.
+
+    Sizes of differences are counted first, so ranks come from one row a distinct size.
+    """
+    d = F.col(difference)
+    sizes = pairs.filter(d != 0).groupBy(*by, F.abs(d).alias("size")).agg(F.count(F.when(d > 0, 1)).alias("up"), F.count(F.when(d < 0, 1)).alias("down"))
+    before = Window.partitionBy(*by).orderBy("size").rowsBetween(Window.unboundedPreceding, -1)
+    t = F.col("up") + F.col("down")
+    ranked = sizes.withColumn("rank", F.coalesce(F.sum(t).over(before), F.lit(0)) + (t + 1) / 2.0)
+    sums = ranked.groupBy(*by).agg(F.sum(t).alias("n"), F.sum(F.col("rank") * F.col("up")).alias("r_up"), F.sum(F.col("rank") * F.col("down")).alias("r_down"), F.sum((t * t * t - t).cast("double")).alias("ties"))
+    n = F.col("n").cast("double")
+    spread = F.sqrt((n * (n + 1) * (2 * n + 1) - F.col("ties") / 2) / 24)
+    tested = sums.select(*by, "n", F.least("r_up", "r_down").alias("w"), ((F.least("r_up", "r_down") - n * (n + 1) / 4) / spread).alias("z"))
+    every = pairs.filter(d.isNotNull()).select(*by).distinct()
+    return every.join(tested, by, "left").na.fill(0, ["n"]).na.fill(0.0, ["w", "z"])
+
+
+def wilcoxon_p(tested: DataFrame) -> DataFrame:
+    """tested with the two-sided p of its z; 1 without a difference."""
+    return tested.withColumn("p", F.when(F.col("n") == 0, 1.0).otherwise(chi2_p(F.col("z") * F.col("z"))))
+
+
 def mcnemar(pairs: DataFrame, a: str, b: str, by: list[str]) -> DataFrame:
     """Discordant counts and the chi-square with continuity correction; 0 without disagreement."""
     n10 = F.count(F.when((F.col(a) == 1) & (F.col(b) == 0), 1))

@@ -283,3 +283,88 @@ def macro_by_scope(spark: SparkSession, d: str) -> DataFrame:
 def text_diagnostics(spark: SparkSession, d: str) -> DataFrame:
     n = F.length("text").cast("long")
     return table(spark, d, "documents").groupBy("source").agg(F.min(n).alias("lo"), F.max(n).alias("hi"), F.round(F.avg(n), 6).alias("mean"), F.count(F.when(n < 100, 1)).alias("short_n"))
+
+
+_AXES = f"""{S}, h AS (SELECT cycle, benchmark, count(*) AS n, count(em) AS n_samples, count(u_stored) AS n_conf, avg(em) AS acc, {_HITS} FROM s GROUP BY ALL),
+ b AS (SELECT cycle, benchmark, least(floor(greatest(0e0, least(1e0, u_stored)) / 0.1e0), 9) AS bin, count(*) AS k, avg(u_stored) AS conf, avg(em) AS hit FROM s WHERE em IS NOT NULL AND u_stored IS NOT NULL GROUP BY ALL),
+ c AS (SELECT cycle, benchmark, 1 - 2 * least(sum(k * abs(conf - hit)) / sum(k), 0.5e0) AS cal FROM b GROUP BY ALL),
+ r AS (SELECT cycle, avg(em) FILTER (benchmark = 'commonsense_qa') AS mmlu FROM s GROUP BY cycle), z AS (SELECT mmlu AS base FROM r WHERE cycle = 0),
+ a AS (SELECT cycle, benchmark, n_samples, n_conf, acc, 1 - {_CHM} AS epi, cal, CASE WHEN base > 0 THEN least(mmlu / base, 1e0) END AS ret, 0.5e0 AS ver FROM h LEFT JOIN c USING (cycle, benchmark) LEFT JOIN r USING (cycle), z)"""
+_CES = "round(pow(" + " * ".join(f"least(greatest(COALESCE({x}, 0.01e0), 0.01e0), 1e0)" for x in ("acc", "epi", "ret", "cal", "ver")) + ", 1 / 5e0), 9)"
+_WMEAN = lambda x, w: f"sum({x} * CASE WHEN {x} IS NOT NULL AND {w} > 0 THEN {w} END) / sum(CASE WHEN {x} IS NOT NULL AND {w} > 0 THEN {w} END) AS {x}"
+
+
+@query(
+    "a18_ces_axes",
+    f"{_AXES}, w AS (SELECT cycle, {', '.join(_WMEAN(x, 'n_conf' if x == 'cal' else 'n_samples') for x in ('acc', 'epi', 'ret', 'cal', 'ver'))}, sum(n_samples)::BIGINT AS n_samples, sum(n_conf)::BIGINT AS n_conf FROM a GROUP BY cycle) "
+    f"SELECT cycle, {', '.join(f'round({x}, 9) AS {x}' for x in ('acc', 'epi', 'ret', 'cal', 'ver'))}, n_samples, n_conf, {_CES} AS ces FROM w",
+)
+def ces_axes(spark: SparkSession, d: str) -> DataFrame:
+    """The five axes of each cycle over all benchmarks and their score; one benchmark stands in for the retention probe."""
+    s = samples(spark, d)
+    probe = s.groupBy("cycle").agg(F.avg(F.when(F.col("benchmark") == "commonsense_qa", F.col("em"))).alias("mmlu"))
+    base = probe.filter("cycle = 0").select(F.col("mmlu").alias("base"))
+    ret = probe.crossJoin(F.broadcast(base)).select("cycle", F.when(F.col("base") > 0, F.least(F.col("mmlu") / F.col("base"), F.lit(1.0))).alias("ret"))  # one row
+    axes = M.ces_axes(s, ["cycle", "benchmark"]).join(ret, "cycle", "left").withColumn("ver", F.lit(0.5))
+    rolled = M.roll_up_axes(axes, ["cycle"])
+    return rolled.select("cycle", *(F.round(c, 9).alias(c) for c in ("acc", "epi", "ret", "cal", "ver")), "n_samples", "n_conf", F.round("ces", 9).alias("ces"))
+
+
+@query("t6_ablation_ranking", f"{_AXES}, e AS (SELECT benchmark, cycle, {_CES} AS ces FROM a WHERE NOT (benchmark = 'strategyqa' AND cycle = 3)), f AS (SELECT benchmark, cycle, ces FROM e UNION ALL SELECT 'strategyqa', 3, NULL), d AS (SELECT f.cycle AS variant, avg(f.ces) AS ces, avg(f.ces) - (SELECT avg(ces) FROM f WHERE cycle = 0) AS delta, bool_or(f.ces IS NULL) AS partial FROM f GROUP BY f.cycle), n AS (SELECT variant, CASE WHEN partial THEN NULL ELSE round(delta, 9) END AS delta FROM d) SELECT variant, delta, row_number() OVER (ORDER BY delta DESC NULLS LAST, variant)::INT AS rank FROM n")
+def ablation_ranking(spark: SparkSession, d: str) -> DataFrame:
+    """Variants, here cycles, by their score's difference from the full one; one that lacks a measurement comes last."""
+    s = samples(spark, d)
+    probe = s.groupBy("cycle").agg(F.avg(F.when(F.col("benchmark") == "commonsense_qa", F.col("em"))).alias("mmlu"))
+    base = probe.filter("cycle = 0").select(F.col("mmlu").alias("base"))
+    ret = probe.crossJoin(F.broadcast(base)).select("cycle", F.when(F.col("base") > 0, F.least(F.col("mmlu") / F.col("base"), F.lit(1.0))).alias("ret"))  # one row
+    axes = M.ces_axes(s, ["cycle", "benchmark"]).join(ret, "cycle", "left").withColumn("ver", F.lit(0.5))
+    each = M.roll_up_axes(axes, ["cycle", "benchmark"]).select("cycle", F.when((F.col("benchmark") == "strategyqa") & (F.col("cycle") == 3), None).otherwise(F.round("ces", 9)).alias("ces"))
+    per = each.groupBy(F.col("cycle").alias("variant")).agg(F.avg("ces").alias("ces"), F.bool_or(F.col("ces").isNull()).alias("partial"))
+    full = per.filter("variant = 0").select(F.col("ces").alias("full"))
+    deltas = per.crossJoin(F.broadcast(full)).select("variant", F.when(~F.col("partial"), F.round(F.col("ces") - F.col("full"), 9)).alias("delta"))
+    return deltas.withColumn("rank", F.row_number().over(Window.orderBy(F.col("delta").desc_nulls_last(), "variant")))  # a row a variant
+
+
+@query("a11b_auroc_one_class", f"{S}, c AS (SELECT benchmark, decision, tier, u_stored, count(*) FILTER (em = 1) AS pos, count(*) FILTER (em IS DISTINCT FROM 1) AS neg FROM s WHERE tier <> 2 OR em = 1 GROUP BY ALL), r AS (SELECT *, COALESCE(sum(neg) OVER (PARTITION BY benchmark, decision, tier ORDER BY u_stored ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS below FROM c) SELECT benchmark, decision, tier, sum(pos)::BIGINT AS n_pos, sum(neg)::BIGINT AS n_neg, round(sum(pos * (below * 2 + neg)) / nullif(sum(pos) * sum(neg) * 2e0, 0), 9) AS auroc FROM r GROUP BY ALL")
+def auroc_one_class(spark: SparkSession, d: str) -> DataFrame:
+    """Areas of small groups, null where all rows are right or none is; at one tier all are."""
+    rows = samples(spark, d).filter("tier <> 2 or em = 1")
+    return M.auroc(rows, "u_stored", "em", ["benchmark", "decision", "tier"], one_class=None).withColumn("auroc", F.round("auroc", 9))
+
+
+_EDGE = " + ".join(f"CASE WHEN c >= {i}e0 / 15 THEN 1 ELSE 0 END" for i in range(1, 15))
+
+
+@query("a13b_edge_ece", f"{S}, k AS (SELECT benchmark, u_stored * 1.05e0 - 0.02e0 AS c, em FROM s WHERE em IS NOT NULL), b AS (SELECT benchmark, CASE WHEN c >= 0 AND c <= 1 THEN {_EDGE} END AS bin, count(*) AS n, avg(c) AS conf, avg(em) AS acc FROM k GROUP BY ALL) SELECT benchmark, sum(n)::BIGINT AS n, round(sum(CASE WHEN bin IS NULL THEN 0 ELSE n * abs(acc - conf) END) / sum(n), 9) AS ece FROM b GROUP BY benchmark")
+def edge_ece(spark: SparkSession, d: str) -> DataFrame:
+    """Calibration error over fifteen half-open bins; some scores lie beyond them."""
+    rows = samples(spark, d).withColumn("c", F.expr("u_stored * 1.05e0 - 0.02e0"))
+    return M.edge_calibration_error(rows, "c", "em", ["benchmark"]).withColumn("ece", F.round("ece", 9))
+
+
+@query("a23b_concatenated_d", f"{S} SELECT benchmark, tier, round(COALESCE((avg(latency_ms) FILTER (em = 1) - avg(latency_ms) FILTER (em = 0)) / greatest(COALESCE(stddev_samp(latency_ms) FILTER (em IN (0, 1)), 0e0), 1e-6), 0e0), 6) AS d FROM s WHERE tier <> 3 OR em = 1 GROUP BY ALL")
+def concatenated_d(spark: SparkSession, d: str) -> DataFrame:
+    return M.concatenated_d(samples(spark, d).filter("tier <> 3 or em = 1"), "latency_ms", "em", ["benchmark", "tier"]).withColumn("d", F.round("d", 6))
+
+
+@query("a40_floor_fit", f"{S}, k AS (SELECT concat(benchmark, '/', cycle) AS b, u_stored AS u, em FROM s WHERE em IS NOT NULL AND (cycle <> 4 OR okey % 97 = 0)), g AS (SELECT r AS i, r * 0.01e0 AS t FROM range(101) x(r)), p AS (SELECT b, i, t, count(*) FILTER (u >= t) AS kept, count(*) FILTER (u >= t AND em <> 0) AS hits FROM k, g GROUP BY ALL), f AS (SELECT b, min(CASE WHEN kept < 10 THEN i END) AS thin, min(CASE WHEN kept > 0 AND hits::DOUBLE / kept >= 0.4e0 THEN i END) AS good FROM p GROUP BY b), n AS (SELECT b, count(*) AS n FROM k GROUP BY b) SELECT b AS key, CASE WHEN n >= 20 AND good IS NOT NULL AND (thin IS NULL OR good < thin) THEN good * 0.01e0 ELSE 0.38e0 END AS floor FROM f JOIN n USING (b)")
+def floor_fit(spark: SparkSession, d: str) -> DataFrame:
+    """The safety floor of each benchmark and cycle for a precision of 0.4; the records of one cycle are thin."""
+    rows = samples(spark, d).filter("cycle <> 4 or okey % 97 = 0").withColumn("key", F.concat("benchmark", F.lit("/"), "cycle"))
+    return M.floor_fit(rows, "u_stored", "em", "key", target=0.4)
+
+
+@query("k8_wide_summary", f"{S}, b AS (SELECT cycle, benchmark, avg(COALESCE(em, 0e0)) AS em, count(*) FILTER (tier = 1)::DOUBLE / count(*) AS t1, count(*) FILTER (decision = 'STORE')::DOUBLE / count(*) AS sr, avg(u_stored) AS u, avg(latency_ms) AS l, avg(em) FILTER (benchmark = 'commonsense_qa') AS x FROM s GROUP BY ALL), m AS (SELECT cycle, max(x) AS mmlu FROM b GROUP BY cycle), z AS (SELECT mmlu AS base FROM m WHERE cycle = 0) SELECT cycle, benchmark, round(em, 4) AS em, round(t1 * 100, 2) AS tier1_frac_pct, round(sr * 100, 2) AS storage_rate_pct, round(u, 4) AS mean_u_stored, round(l, 1) AS mean_latency_ms, CASE WHEN row_number() OVER (PARTITION BY cycle ORDER BY benchmark) = 1 THEN round(mmlu * 100, 2) END AS mmlu_retention_pct, CASE WHEN row_number() OVER (PARTITION BY cycle ORDER BY benchmark) = 1 AND base > 0 THEN round(mmlu / base * 100, 2) END AS mmlu_retention_ratio_pct FROM b JOIN m USING (cycle), z")
+def wide_summary(spark: SparkSession, d: str) -> DataFrame:
+    """A row a cycle and benchmark; what is measured once a cycle stands on the first benchmark's row alone."""
+    s = samples(spark, d)
+    probe = F.avg(F.when(F.col("benchmark") == "commonsense_qa", F.col("em")))
+    b = s.groupBy("cycle", "benchmark").agg(F.avg(F.coalesce("em", F.lit(0.0))).alias("em"), M.rate(F.col("tier") == 1).alias("t1"), M.rate(F.col("decision") == "STORE").alias("sr"), F.avg("u_stored").alias("u"), F.avg("latency_ms").alias("l"), probe.alias("x"))
+    per = Window.partitionBy("cycle")
+    rows = b.withColumns({"mmlu": F.max("x").over(per), "first": F.row_number().over(per.orderBy("benchmark")) == 1})
+    base = b.filter("cycle = 0").agg(F.max("x").alias("base"))
+    pct = lambda c: F.round(c * 100, 2)
+    return rows.crossJoin(F.broadcast(base)).select(  # one row
+        "cycle", "benchmark", F.round("em", 4).alias("em"), pct(F.col("t1")).alias("tier1_frac_pct"), pct(F.col("sr")).alias("storage_rate_pct"), F.round("u", 4).alias("mean_u_stored"), F.round("l", 1).alias("mean_latency_ms"),
+        F.when(F.col("first"), pct(F.col("mmlu"))).alias("mmlu_retention_pct"), F.when(F.col("first") & (F.col("base") > 0), pct(F.col("mmlu") / F.col("base"))).alias("mmlu_retention_ratio_pct"),
+    )

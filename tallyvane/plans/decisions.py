@@ -4,14 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from tallyvane.functions import confidence as C
 from tallyvane.functions.text import is_unstorable
-from tallyvane.operators import calibration
+from tallyvane.operators import calibration, trajectory
 from tallyvane.operators import metrics as M
 from tallyvane.plans.queries import query
-from tallyvane.sources.fixtures import SAMPLES_SQL, samples
+from tallyvane.sources.fixtures import SAMPLES_SQL, samples, table
 
 S = f"WITH s AS ({SAMPLES_SQL})"
 _CLIP = lambda x: f"greatest(0e0, least(1e0, {x}))"
@@ -61,25 +60,59 @@ def withheld(spark: SparkSession, d: str) -> DataFrame:
     return samples(spark, d).groupBy("benchmark").agg(F.count(F.when((F.col("decision") == "ABSTAIN") | F.contains("prediction", F.lit("<abstain>")), 1)).alias("withheld"))
 
 
-@query("f39_envelope", f"{S} SELECT CASE decision WHEN 'STORE' THEN 'verified' WHEN 'DEFERRED' THEN 'tentative' WHEN 'ABSTAIN' THEN 'withheld' ELSE 'unverified' END AS tag, decision <> 'ABSTAIN' AS show, count(*) AS n, round(avg(greatest(0e0, least(1e0, u_stored))), 9) AS confidence FROM s GROUP BY ALL")
+_PICK = lambda k: "CASE decision " + " ".join(f"WHEN '{d}' THEN '{e[k]}'" for d, e in C.ENVELOPES.items()) + " END"
+_Q = lambda x: "'" + x.replace("'", "''") + "'"
+_ETA = "CASE WHEN cycle = 1 THEN '6am tomorrow' END"
+_CADENCE = "CASE cycle WHEN 2 THEN 'nightly' WHEN 3 THEN 'shortly' WHEN 4 THEN 'weekly' END"
+_PHRASE = "CASE cadence " + " ".join(f"WHEN '{k}' THEN {_Q(v)}" for k, v in C.CADENCES.items()) + " ELSE concat('in my ', cadence, ' learning cycle. Please check back soon') END"
+_CAVEAT = f"CASE decision WHEN 'DISCARD' THEN {_Q(C.DISCARD_CAVEAT)} WHEN 'DEFERRED' THEN CASE WHEN eta IS NOT NULL THEN concat('I''ll reconsider this around ', eta, '. Please ask again then.') WHEN cadence IS NOT NULL THEN concat('I''ll reconsider this ', {_PHRASE}, '.') ELSE {_Q(C.DEFERRED_CAVEAT)} END END"
+
+
+@query("f39_envelope", f"{S}, k AS (SELECT *, {_ETA} AS eta, {_CADENCE} AS cadence FROM s) SELECT {_PICK(0)} AS tag, {_PICK(1)} AS label, {_PICK(2)} AS icon, decision <> 'ABSTAIN' AS show_answer, {_CAVEAT} AS caveat, count(*) AS n, count(CASE WHEN decision <> 'ABSTAIN' THEN prediction END) AS answers, round(avg(greatest(0e0, least(1e0, u_stored))), 9) AS confidence FROM k GROUP BY ALL")
 def envelope(spark: SparkSession, d: str) -> DataFrame:
-    e = samples(spark, d).select(C.envelope(F.col("decision"), F.col("u_stored")).alias("e")).select("e.*")
-    return e.groupBy("tag", "show").agg(F.count("*").alias("n"), F.round(F.avg("confidence"), 9).alias("confidence"))
+    """What users get of each answer, with every kind of caveat."""
+    e = samples(spark, d).select(C.envelope(F.col("prediction"), F.col("u_stored"), F.col("decision"), F.expr(_ETA), F.expr(_CADENCE)).alias("e")).select("e.*")
+    return e.groupBy("tag", "label", "icon", "show_answer", "caveat").agg(F.count("*").alias("n"), F.count("answer").alias("answers"), F.round(F.avg("confidence"), 9).alias("confidence"))
 
 
-@query("f43_drift", f"{S}, b AS (SELECT benchmark, avg(COALESCE(em, 0e0)) FILTER (cycle = 5) - avg(COALESCE(em, 0e0)) FILTER (cycle = 0) AS delta FROM s GROUP BY benchmark) SELECT benchmark, round(delta, 9) AS delta, CASE WHEN abs(delta) < 0.02e0 THEN 'ok' WHEN abs(delta) < 0.05e0 THEN 'warn' ELSE 'fail' END AS drift FROM b")
+@query("f43_drift", f"{S}, b AS (SELECT benchmark, cycle, max(abs(u_stored - p_ground_max)) / 100 AS worst FROM s GROUP BY ALL UNION ALL SELECT * FROM (VALUES ('edge', 0, 0.001e0), ('edge', 1, 0.01e0), ('none', 0, 0e0)) v) SELECT benchmark, cycle, round(worst, 9) AS worst, CASE WHEN worst > 0.01e0 THEN 'UNSAFE' WHEN worst > 0.001e0 THEN 'WARN' ELSE 'SAFE' END AS gate FROM b")
 def drift(spark: SparkSession, d: str) -> DataFrame:
-    at = lambda c: F.avg(F.when(F.col("cycle") == c, F.coalesce("em", F.lit(0.0))))
-    b = samples(spark, d).groupBy("benchmark").agg((at(5) - at(0)).alias("delta"))
-    return b.select("benchmark", F.round("delta", 9).alias("delta"), C.drift(F.col("delta")).alias("drift"))
+    """The gate of the largest differences, and of differences at its very bounds."""
+    b = samples(spark, d).groupBy("benchmark", "cycle").agg((F.max(F.abs(F.col("u_stored") - F.col("p_ground_max"))) / 100).alias("worst"))
+    edges = spark.createDataFrame([("edge", 0, 0.001), ("edge", 1, 0.01), ("none", 0, 0.0)], "benchmark string, cycle int, worst double")
+    return b.union(edges).select("benchmark", "cycle", F.round("worst", 9).alias("worst"), C.drift(F.col("worst")).alias("gate"))
 
 
-@query("ml7_weighted_composite", f"{S} SELECT cycle, round(avg(greatest(0e0, least(1e0, u_internal * 0.2e0 + COALESCE(p_entail, 0.5e0) * 0.25e0 + p_ground_max * 0.3e0 + COALESCE(q_a_relevance, 0.5e0) * 0.25e0))), 9) AS mean_u FROM s GROUP BY cycle")
+#: Signals that the records lack, made from their keys.
+_MORE = {"p_ground_mean": "p_ground_max * 0.8e0", "s_avg": "(okey % 9) / 8e0", "h_norm": "(okey % 5) / 4e0"}
+_TERMS = " + ".join(f"{'(1e0 - ' if n == 'h_norm' else ''}COALESCE({_MORE.get(n, n)}, 0.5e0){')' if n == 'h_norm' else ''} * {w}e0" for n, w in C.FALLBACK.items())
+
+
+@query("ml7_weighted_composite", f"{S} SELECT cycle, round(avg(greatest(0e0, least(1e0, {_TERMS}))), 9) AS mean_u FROM s GROUP BY cycle")
 def weighted(spark: SparkSession, d: str) -> DataFrame:
-    u = C.weighted_composite({c: F.col(c) for c in C.FALLBACK})
+    u = C.weighted_composite({c: F.expr(_MORE.get(c, c)) for c in C.FALLBACK})
     return samples(spark, d).groupBy("cycle").agg(F.round(F.avg(u), 9).alias("mean_u"))
 
 
+_LOGIT = "CASE WHEN okey % 17 = 0 THEN NULL ELSE (u_stored - 0.5e0) * (okey % 90) END"
+
+
+@query("v6_relevance", f"{S}, l AS (SELECT cycle, {_LOGIT} AS z FROM s) SELECT cycle, round(avg(CASE WHEN z IS NULL THEN 0.5e0 ELSE 1e0 / (1e0 + exp(-greatest(-30e0, least(30e0, z)))) END), 9) AS relevance FROM l GROUP BY cycle")
+def relevance(spark: SparkSession, d: str) -> DataFrame:
+    return samples(spark, d).groupBy("cycle").agg(F.round(F.avg(C.relevance(F.expr(_LOGIT))), 9).alias("relevance"))
+
+
+_F4 = lambda x: f"printf('%.4f', {x})"
+_SC = "(0.7e0 * p_ground_max + (1e0 - 0.7e0) * u_stored)"
+_HEAD = f"concat('u_pre=', {_F4('u_internal')}, ' is safe (floor 0.38). Score 0.70 x ', {_F4('p_ground_max')}, ' + 0.30 x ', {_F4('u_stored')}, ' = ', {_F4(_SC)})"
+
+
+@query("r4_explain_route", f"{S} SELECT CASE WHEN u_internal < 0.38e0 THEN concat('u_pre=', {_F4('u_internal')}, ' is below the safety floor 0.38: tier 3 whatever the match.') WHEN {_SC} >= 0.9e0 THEN concat({_HEAD}, ' reaches 0.90: tier 1, direct retrieval.') WHEN p_ground_max > 0.75e0 THEN concat({_HEAD}, ' misses 0.90, similarity exceeds 0.75: tier 2, guided generation.') ELSE concat({_HEAD}, ' misses 0.90, similarity does not exceed 0.75: tier 3, full retrieval.') END AS reason, count(*) AS n FROM s GROUP BY 1")
+def explain_route(spark: SparkSession, d: str) -> DataFrame:
+    """Why each record would go to its tier, counted by reason."""
+    return samples(spark, d).groupBy(C.explain_route(F.col("u_internal"), F.col("p_ground_max"), F.col("u_stored")).alias("reason")).agg(F.count("*").alias("n"))
+
+
 _KNOT = lambda x: f"CASE WHEN {x} <= 0.1e0 THEN 0.2e0 WHEN {x} < 0.5e0 THEN 0.2e0 + ({x} - 0.1e0) * ((0.4e0 - 0.2e0) / (0.5e0 - 0.1e0)) WHEN {x} < 0.9e0 THEN 0.4e0 + ({x} - 0.5e0) * ((0.9e0 - 0.4e0) / (0.9e0 - 0.5e0)) ELSE 0.9e0 END"
 KNOTS = {c: ((0.1, 0.2), (0.5, 0.4), (0.9, 0.9)) for c in ("p_ground_max", "p_entail")}
 
@@ -111,18 +144,42 @@ def logistic(spark: SparkSession, d: str) -> DataFrame:
     return calibration.fit_logistic(samples(spark, d), ["u_stored", "p_ground_max", "u_internal"], "em")
 
 
-_HALT = "collapse >= 0.95e0"
+_HALT = f"{S}, a AS (SELECT cycle, benchmark, avg(CASE WHEN decision = 'STORE' AND benchmark <> 'fever' THEN 1e0 ELSE 0e0 END) AS rate FROM s GROUP BY ALL), w AS (SELECT DISTINCT cycle FROM s ORDER BY cycle DESC LIMIT 2), z AS (SELECT benchmark FROM a JOIN w USING (cycle) GROUP BY benchmark HAVING count(rate) = 2 AND max(rate) = 0)"
+
+
+@query("p7_halt_triggers", f"{_HALT}, k AS (SELECT unnest([0.5e0, 0.95e0, NULL]) AS collapse) SELECT collapse, CASE WHEN collapse >= 0.95e0 THEN 'halt' WHEN (SELECT count(*) FROM z) > 0 THEN 'relax_alpha' ELSE 'continue' END AS action, CASE WHEN collapse >= 0.95e0 THEN '' ELSE (SELECT string_agg(benchmark, ',' ORDER BY benchmark) FROM z) END AS relax FROM k")
+def halt_triggers(spark: SparkSession, d: str) -> DataFrame:
+    """What to do after the last cycle, for three scores of collapse; one benchmark admits nothing here."""
+    stored = ((F.col("decision") == "STORE") & (F.col("benchmark") != "fever")).cast("double")
+    rates = samples(spark, d).groupBy("cycle", "benchmark").agg(F.avg(stored).alias("rate"))
+    scores = spark.createDataFrame([(5, 0.5), (5, 0.95), (5, None)], "cycle int, collapse double")
+    return trajectory.halt(rates, scores).select("collapse", "action", F.array_join("relax", ",").alias("relax"))
+
+
+@query("p8_early_stop", f"{S}, c AS (SELECT cycle, round(avg(u_stored), 4) AS ces, avg(CASE WHEN decision = 'STORE' THEN 1e0 ELSE 0e0 END) - 0.35e0 AS rate, avg(COALESCE(em, 0e0)) + 0.6e0 AS retention FROM s GROUP BY cycle), d AS (SELECT *, abs(ces - lag(ces) OVER w) AS g, abs(lag(ces) OVER w - lag(ces, 2) OVER w) AS h, lag(retention) OVER w AS r FROM c WINDOW w AS (ORDER BY cycle)), f AS (SELECT cycle, COALESCE(g < 0.002e0 AND h < 0.002e0, FALSE) AS flat, COALESCE(rate < 0.05e0, FALSE) AS saturated, COALESCE(retention <= 0.93e0 AND r <= 0.93e0, FALSE) AS retained FROM d) SELECT *, flat::INT + saturated::INT + retained::INT >= 2 AS should_stop FROM f")
+def early_stop(spark: SparkSession, d: str) -> DataFrame:
+    """The three signals after each cycle and whether two of them agree; scores stand in for the measured series."""
+    c = samples(spark, d).groupBy("cycle").agg(F.round(F.avg("u_stored"), 4).alias("ces"), (M.rate(F.col("decision") == "STORE") - 0.35).alias("storage_rate"), (F.avg(F.coalesce("em", F.lit(0.0))) + 0.6).alias("retention"))
+    return trajectory.early_stop(c).select("cycle", "flat", "saturated", "retained", "should_stop")
 
 
-@query("p7_p8_halt_and_stop", f"{S}, c AS (SELECT cycle, count(*) FILTER (decision = 'STORE')::DOUBLE / count(*) AS rate, avg(COALESCE(em, 0e0)) AS em FROM s GROUP BY cycle), d AS (SELECT cycle, rate, abs(em - lag(em) OVER w) AS move, abs(lag(em) OVER w - lag(em, 2) OVER w) AS move_before FROM c WINDOW w AS (ORDER BY cycle)) SELECT cycle, rate, (CASE WHEN move < 0.02e0 AND move_before < 0.02e0 THEN 1 ELSE 0 END) + (CASE WHEN rate < 0.5e0 THEN 1 ELSE 0 END) AS votes FROM d")
-def halt_and_stop(spark: SparkSession, d: str) -> DataFrame:
-    """Votes to stop after each cycle: two small moves in a row, and little stored. One row a cycle meets in the window."""
-    c = samples(spark, d).groupBy("cycle").agg(M.rate(F.col("decision") == "STORE").alias("rate"), F.avg(F.coalesce("em", F.lit(0.0))).alias("em"))
-    w = Window.orderBy("cycle")
-    move = F.abs(F.col("em") - F.lag("em").over(w))
-    c = c.withColumns({"move": move, "before": F.abs(F.lag("em").over(w) - F.lag("em", 2).over(w))})
-    small = F.coalesce((F.col("move") < 0.02) & (F.col("before") < 0.02), F.lit(False)).cast("int")
-    return c.select("cycle", "rate", (small + (F.col("rate") < 0.5).cast("int")).alias("votes"))
+@query("ml6_shrunk_knots")
+def shrunk(spark: SparkSession, d: str) -> DataFrame:
+    """Isotonic knots of each benchmark, drawn towards those of all; one benchmark leaves a signal out."""
+    return calibration.shrunk_knots(samples(spark, d), ["u_stored", "p_entail"], "em", "benchmark", masks={"fever": ("p_entail",)})
+
+
+@query("ml13_platt", f"{S}, k AS (SELECT benchmark, p_ground_max AS t, ln(greatest(1e-6, least(1 - 1e-6, p_entail)) / (1e0 - greatest(1e-6, least(1 - 1e-6, p_entail)))) AS x, ln(greatest(1e-6, least(1 - 1e-6, p_ground_max)) / (1e0 - greatest(1e-6, least(1 - 1e-6, p_ground_max)))) AS y FROM s WHERE p_entail IS NOT NULL AND p_ground_max IS NOT NULL), l AS (SELECT benchmark, regr_slope(y, x) AS a, regr_intercept(y, x) AS b, corr(x, y) AS rho FROM k GROUP BY benchmark) SELECT benchmark, count(*) AS n, round(any_value(a), 6) AS a, round(any_value(b), 6) AS b, round(any_value(rho), 6) AS rho, round(avg(abs(a * x + b - y)), 6) AS mae_logit, round(avg(abs(1e0 / (1e0 + exp(-(a * x + b))) - t)), 6) AS mae_probability FROM k JOIN l USING (benchmark) GROUP BY benchmark")
+def platt(spark: SparkSession, d: str) -> DataFrame:
+    fitted = calibration.fit_platt(samples(spark, d), "p_entail", "p_ground_max", ["benchmark"])
+    return fitted.select("benchmark", "n", *(F.round(c, 6).alias(c) for c in ("a", "b", "rho", "mae_logit", "mae_probability")))
+
+
+@query("r5_tier_batches", "WITH k AS (SELECT event_id AS ordinal, CASE WHEN value > 60 THEN 1 WHEN value > 20 THEN 2 ELSE 3 END AS tier FROM events), r AS (SELECT *, row_number() OVER (PARTITION BY tier ORDER BY ordinal) - 1 AS k FROM k) SELECT ordinal, tier, k // 64 AS batch, (k % 64)::INT AS slot FROM r")
+def tier_batches(spark: SparkSession, d: str) -> DataFrame:
+    """The batch and place of each query, in the order in which they came."""
+    tier = F.when(F.col("value") > 60, 1).when(F.col("value") > 20, 2).otherwise(3)
+    return trajectory.tier_batches(table(spark, d, "events").select(F.col("event_id").alias("ordinal"), tier.alias("tier")), 64)
 
 
 @query("p9_retention", f"{S}, r AS (SELECT benchmark, avg(COALESCE(em, 0e0)) FILTER (cycle = 5) / nullif(avg(COALESCE(em, 0e0)) FILTER (cycle = 0), 0) AS ratio FROM s GROUP BY benchmark) SELECT count(*) FILTER (ratio < 0.93e0) > 0 AS abort, min_by(benchmark, ratio) AS worst, round(min(ratio), 9) AS worst_ratio FROM r")
@@ -135,8 +192,6 @@ def retention(spark: SparkSession, d: str) -> DataFrame:
 @query("v4_v5_grounding", "WITH f AS (SELECT l_orderkey AS okey, l_linenumber AS fact, l_quantity / 50e0 AS score FROM lineitem), m AS (SELECT okey, fact, max(score) AS best FROM f GROUP BY ALL) SELECT m.okey, min(best) AS atomic, (SELECT NULL) AS unused, max(best) AS top FROM m GROUP BY m.okey".replace("(SELECT NULL) AS unused, ", ""))
 def grounding(spark: SparkSession, d: str) -> DataFrame:
     """Atomic grounding: least over facts of the most over passages. Both levels aggregate on the answer's key."""
-    from tallyvane.sources.fixtures import table
-
     facts = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("okey"), F.col("l_linenumber").alias("fact"), (F.col("l_quantity") / 50).alias("score"))
     return facts.groupBy("okey", "fact").agg(F.max("score").alias("best")).groupBy("okey").agg(F.min("best").alias("atomic"), F.max("best").alias("top"))
 

@@ -6,8 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from tallyvane.operators import joins, stats
 from tallyvane.operators import metrics as M
-from tallyvane.operators import stats
 from tallyvane.plans.queries import query
 from tallyvane.sources.fixtures import SAMPLES_SQL, samples, table
 
@@ -92,10 +92,59 @@ def spearman(spark: SparkSession, d: str) -> DataFrame:
     return stats.spearman(samples(spark, d), "latency_ms", "u_stored", ["benchmark"]).withColumn("rho", F.round("rho", 9))
 
 
-@query("w3_signal_correlation", f"{S} SELECT round(corr(u_stored, p_ground_max), 9) AS u_g, round(corr(u_stored, p_entail), 9) AS u_e, round(corr(p_ground_max, p_entail), 9) AS g_e FROM s")
+_SIGNALS = ["u_stored", "p_ground_max", "p_entail", "u_internal", "p_twin"]
+_TWIN = "p_ground_max * 0.5e0 + (okey % 2) / 50e0"
+_RHO = " UNION ALL ".join(
+    f"SELECT '{a}' AS a, '{b}' AS b, CASE WHEN min({a}) <> max({a}) AND min({b}) <> max({b}) THEN round(corr(ra, rb), 9) END AS rho FROM (SELECT {a}, {b}, rank() OVER (ORDER BY {a}) + (count(*) OVER (PARTITION BY {a}) - 1) / 2e0 AS ra, rank() OVER (ORDER BY {b}) + (count(*) OVER (PARTITION BY {b}) - 1) / 2e0 AS rb FROM t WHERE {a} IS NOT NULL AND {b} IS NOT NULL) q"
+    for i, a in enumerate(_SIGNALS) for b in _SIGNALS[i + 1 :]
+)
+_MATRIX = f"{S}, t AS (SELECT *, {_TWIN} AS p_twin FROM s), m AS ({_RHO})"
+
+
+def _matrix(spark: SparkSession, d: str) -> DataFrame:
+    return stats.signal_matrix(samples(spark, d).withColumn("p_twin", F.expr(_TWIN)), _SIGNALS)
+
+
+@query("w3_signal_correlation", f"{_MATRIX} SELECT a, b, rho, COALESCE(abs(rho) >= 0.5e0, FALSE) AS over FROM m")
 def signal_correlation(spark: SparkSession, d: str) -> DataFrame:
-    pairs = {"u_g": ("u_stored", "p_ground_max"), "u_e": ("u_stored", "p_entail"), "g_e": ("p_ground_max", "p_entail")}
-    return samples(spark, d).agg(*(F.round(F.corr(a, b), 9).alias(n) for n, (a, b) in pairs.items()))
+    """Rank correlation of each pair of signals and whether it reaches one half."""
+    return _matrix(spark, d).select("a", "b", F.round("rho", 9).alias("rho"), F.coalesce(F.abs("rho") >= 0.5, F.lit(False)).alias("over"))
+
+
+@query("w3_signal_clusters", f"{_MATRIX.replace('WITH', 'WITH RECURSIVE', 1)}, e AS (SELECT a AS u, b AS v FROM m WHERE abs(rho) >= 0.5e0 UNION SELECT b, a FROM m WHERE abs(rho) >= 0.5e0), n AS (SELECT unnest([{', '.join(repr(x) for x in _SIGNALS)}]) AS signal, unnest(range({len(_SIGNALS)})) AS i), r AS (SELECT signal, signal AS root FROM n UNION SELECT e.v, r.root FROM r JOIN e ON r.signal = e.u) SELECT r.signal, arg_min(r.root, n.i) AS cluster FROM r JOIN n ON n.signal = r.root GROUP BY r.signal")
+def signal_clusters(spark: SparkSession, d: str) -> DataFrame:
+    return stats.signal_clusters(_matrix(spark, d), _SIGNALS, 0.5)
+
+
+@query("ml2_wilcoxon", "WITH p AS (SELECT event_type, round(value - 40, 0) AS d FROM events), z AS (SELECT event_type, abs(d) AS s, count(*) FILTER (d > 0) AS up, count(*) FILTER (d < 0) AS down FROM p WHERE d <> 0 GROUP BY ALL), r AS (SELECT *, up + down AS t, COALESCE(sum(up + down) OVER (PARTITION BY event_type ORDER BY s ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) + (up + down + 1) / 2e0 AS rk FROM z), g AS (SELECT event_type, sum(t)::BIGINT AS n, sum(rk * up) AS u, sum(rk * down) AS v, sum((t * t * t - t)::DOUBLE) AS ties FROM r GROUP BY event_type) SELECT event_type, n, least(u, v)::DOUBLE AS w, round((least(u, v) - n * (n + 1) / 4e0) / sqrt((n * (n + 1) * (2e0 * n + 1) - ties / 2) / 24), 9) AS z FROM g")
+def wilcoxon(spark: SparkSession, d: str) -> DataFrame:
+    """The signed-rank test of whole differences from 40, by kind of event."""
+    pairs = table(spark, d, "events").select("event_type", F.round(F.col("value") - 40, 0).alias("d"))
+    return stats.wilcoxon(pairs, "d", ["event_type"]).select("event_type", "n", "w", F.round("z", 9).alias("z"))
+
+
+@query("j5_label_overlay", "SELECT e.event_id, e.event_type, CASE WHEN e.value > 50 THEN 1e0 ELSE 0e0 END AS em_stored, CASE WHEN e.value * 2 > 70 THEN 1e0 ELSE 0e0 END AS em FROM events e")
+def label_overlay(spark: SparkSession, d: str) -> DataFrame:
+    """Records under their final labels; a record without one would raise an error."""
+    e = table(spark, d, "events")
+    rows = e.select("event_id", "event_type", (F.col("value") > 50).cast("double").alias("em"))
+    return joins.overlay(rows, e.select("event_id", (F.col("value") * 2 > 70).cast("double").alias("label")), "event_id", "em", "label")
+
+
+@query("j14_chain_pairs", "WITH t AS (SELECT conv_id, list(text ORDER BY turn) AS x FROM conversations GROUP BY conv_id), i AS (SELECT conv_id, x, unnest(range(1, len(x) + 1)) AS i FROM t), p AS (SELECT conv_id, x, i, unnest(range(i + 1, len(x) + 1)) AS j FROM i) SELECT conv_id, (i - 1)::INT AS i, (j - 1)::INT AS j, md5(concat(x[i], '|', x[j])) AS pair FROM p")
+def chain_pairs(spark: SparkSession, d: str) -> DataFrame:
+    """Every two turns of a conversation, as chains of one query meet for entailment."""
+    turns = table(spark, d, "conversations").groupBy("conv_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("turn", "text"))), lambda x: x["text"]).alias("x"))
+    pairs = joins.pairs_within(turns, "conv_id", "x")
+    return pairs.select("conv_id", "i", "j", F.md5(F.concat("left", F.lit("|"), "right")).alias("pair"))
+
+
+@query("d12_demonstrations", "WITH p AS (SELECT source, doc_id, trim(text) AS q, md5(concat('demo|', doc_id::VARCHAR)) AS h FROM documents WHERE trim(text) <> '' AND trim(lang) <> '' AND doc_id NOT IN (SELECT doc_id FROM labels)), r AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY h, doc_id) AS shot FROM p) SELECT source, doc_id, shot::INT AS shot, md5(q) AS question FROM r WHERE shot <= 5")
+def demonstrations(spark: SparkSession, d: str) -> DataFrame:
+    """Five demonstrations of each source, chosen by a hash, among what is not evaluated, here the labelled documents."""
+    docs = table(spark, d, "documents").select("source", "doc_id", F.col("text").alias("question"), F.col("lang").alias("gold"))
+    shots = joins.demonstrations(docs, table(spark, d, "labels").select("doc_id"), "source", "doc_id", 5, "demo")
+    return shots.select("source", "doc_id", "shot", F.md5("question").alias("question"))
 
 
 @query("w4_holm", "WITH p AS (SELECT n_nationkey AS k, n_regionkey AS family, (n_nationkey % 7 + 1) / 100e0 AS p FROM nation), r AS (SELECT *, row_number() OVER (PARTITION BY family ORDER BY p, k) AS rn, count(*) OVER (PARTITION BY family) AS m FROM p) SELECT k, family, max(least(1e0, p * (m - rn + 1))) OVER (PARTITION BY family ORDER BY rn) AS p_holm FROM r")

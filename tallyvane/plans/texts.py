@@ -15,18 +15,17 @@ _NORM = lambda x: f"array_to_string(list_filter(regexp_split_to_array(translate(
 _WORDS = lambda x: f"list_filter(regexp_split_to_array({x}, '{_SP}'), lambda w: w <> '')"
 _NW = lambda x: f"array_to_string({_WORDS(f'regexp_replace(lower({x}), $$[^a-z0-9 ]$$, $$ $$, $$g$$)')}, ' ')"
 
-#: Answers with the markers that the extractors look for, made from documents.
-ANSWERS_SQL = """SELECT doc_id, text, CASE doc_id % 8
- WHEN 0 THEN concat('Reasoning: it supports the claim. ', 'Answer: ', text) WHEN 1 THEN 'So, the answer is Paris. Also more.'
- WHEN 2 THEN concat('At first it supports it, but it is refuted by ', lang) WHEN 3 THEN 'There is not enough info to say yes'
- WHEN 4 THEN concat('Answer: (', CASE doc_id % 5 WHEN 0 THEN 'A' WHEN 1 THEN 'B' WHEN 2 THEN 'C' WHEN 3 THEN 'D' ELSE 'E' END, ') foo') WHEN 5 THEN 'Reasoning: no. Yes. Therefore 3'
- WHEN 6 THEN concat('Answer: ', 'Answer: Yes, ', source) ELSE text END AS answer FROM documents"""
+#: Answers with the markers that the extractors look for, each around a document's whole text.
+ANSWERS_SQL = """SELECT doc_id, text, lang, source, CASE doc_id % 8
+ WHEN 0 THEN concat('Reasoning: it supports the claim. ', 'Answer: ', text) WHEN 1 THEN concat(text, ' So, the answer is Paris. Also more.')
+ WHEN 2 THEN concat('At first it supports it, but it is refuted by ', text) WHEN 3 THEN concat(text, ' There is not enough info to say yes')
+ WHEN 4 THEN concat(text, ' Answer: (', CASE doc_id % 5 WHEN 0 THEN 'A' WHEN 1 THEN 'B' WHEN 2 THEN 'C' WHEN 3 THEN 'D' ELSE 'E' END, ') foo') WHEN 5 THEN concat('Reasoning: no. ', text, chr(10), 'Yes. Therefore 3')
+ WHEN 6 THEN concat(text, chr(10), 'Answer: ', 'Answer: Yes, ', source) ELSE text END AS answer FROM documents"""
 
 
 def answers(spark: SparkSession, d: str) -> DataFrame:
-    made = ANSWERS_SQL.split("FROM documents")[0].removeprefix("SELECT ")
     table(spark, d, "documents").createOrReplaceTempView("answer_documents")
-    return spark.sql(f"SELECT {made} FROM answer_documents")
+    return spark.sql(ANSWERS_SQL.replace("FROM documents", "FROM answer_documents"))
 
 
 @query("f1_normalise", f"SELECT doc_id, md5({_NORM('text')}) AS norm FROM documents")
@@ -42,10 +41,10 @@ def norm_words(spark: SparkSession, d: str) -> DataFrame:
 @query(
     "f2_cot_answer",
     f"WITH a AS ({ANSWERS_SQL}), m AS (SELECT doc_id, answer, regexp_extract(answer, '(?i)(?:^|[^A-Za-z0-9_])(?:so|therefore)?,?\\s*the\\s+answer\\s+is[:\\s]+(.+?)(?:[.!?](?:\\s|$)|$)', 1) AS suffix FROM a) "
-    "SELECT doc_id, CASE WHEN contains(answer, 'Answer:') THEN trim(string_split(answer, 'Answer:')[-1]) WHEN suffix <> '' THEN trim(suffix) ELSE trim(answer) END AS cot FROM m",
+    "SELECT doc_id, md5(CASE WHEN contains(answer, 'Answer:') THEN trim(string_split(answer, 'Answer:')[-1]) WHEN suffix <> '' THEN trim(suffix) ELSE trim(answer) END) AS cot FROM m",
 )
 def cot_answer(spark: SparkSession, d: str) -> DataFrame:
-    return answers(spark, d).select("doc_id", T.cot_answer(F.col("answer")).alias("cot"))
+    return answers(spark, d).select("doc_id", F.md5(T.cot_answer(F.col("answer"))).alias("cot"))
 
 
 _TURNS = "SELECT a.conv_id, a.turn, a.text AS pred, b.text AS gold FROM conversations a JOIN conversations b ON b.conv_id = a.conv_id AND b.turn = a.turn + 1"
@@ -87,18 +86,39 @@ def labels(spark: SparkSession, d: str) -> DataFrame:
     return answers(spark, d).select("doc_id", T.fever_label(F.col("answer")).alias("fever"), T.strategyqa_label(F.col("answer")).alias("strategy"))
 
 
-@query("f11_f12_f14_choices")
+_ANS = lambda x: f"CASE WHEN contains({x}, 'Answer:') THEN trim(string_split({x}, 'Answer:')[-1]) WHEN suffix <> '' THEN trim(suffix) ELSE trim({x}) END"
+_SUFFIX = "regexp_extract(answer, '(?i)(?:^|[^A-Za-z0-9_])(?:so|therefore)?,?\\s*the\\s+answer\\s+is[:\\s]+(.+?)(?:[.!?](?:\\s|$)|$)', 1)"
+_MARKED = "regexp_extract_all(answer, '(?i)answer\\s*:\\s*([^\\n]*)', 1)"
+_LINE = f"CASE WHEN len({_MARKED}) > 0 THEN regexp_replace(trim({_MARKED}[-1]), '(?i)^(?:answer\\s*:\\s*)+', '') ELSE string_split(regexp_replace(regexp_replace(answer, '(?i)^\\s*reasoning\\s*:\\s*', ''), '^\\s+|\\s+\\z', '', 'g'), chr(10))[-1] END"
+_LETTER = "CASE WHEN first <> '' AND len(list_distinct(list_append(regexp_extract_all(a, '(?:^|[\\s(\\[|,/])([A-E])(?:[\\s)\\].:,|/]|\\z)', 1), first))) = 1 THEN first END"
+_LINED = f"SELECT *, {_LINE} AS line FROM ({ANSWERS_SQL}) q"
+_LETTERED = f"SELECT *, {_LETTER} AS letter FROM (SELECT *, trim(line) AS a, upper(regexp_extract(trim(line), '^\\(?\\[?([A-Ea-e])\\)?\\]?(?:[\\s.:)\\-].*)?$', 1)) AS first FROM ({_LINED}) l) m"
+
+
+@query(
+    "f11_f12_f14_choices",
+    f"WITH t AS ({_LETTERED}), s AS (SELECT *, {_SUFFIX} AS suffix FROM t), c AS (SELECT *, {_ANS('answer')} AS cot FROM s), m AS (SELECT *, upper(regexp_extract(cot, '(?:^|[^\\p{{L}}\\p{{N}}_])([A-Ea-e])(?:[^\\p{{L}}\\p{{N}}_]|\\z)', 1)) AS picked, "
+    "translate(regexp_extract(cot, '(?:^|[^\\p{L}\\p{N}_])([1-5])(?:[^\\p{L}\\p{N}_]|\\z)', 1), '12345', 'ABCDE') AS digit FROM c) SELECT doc_id, CASE WHEN picked <> '' THEN picked ELSE digit END AS choice, md5(line) AS line, letter FROM m",
+)
 def choices(spark: SparkSession, d: str) -> DataFrame:
     line = T.final_answer_line(F.col("answer"))
-    return answers(spark, d).select("doc_id", T.choice_label(F.col("answer"), 5).alias("choice"), line.alias("line"), T.csqa_letter(line).alias("letter"))
+    return answers(spark, d).select("doc_id", T.choice_label(F.col("answer"), 5).alias("choice"), F.md5(line).alias("line"), T.csqa_letter(line).alias("letter"))
+
 
+_BENCH = "CASE doc_id % 4 WHEN 0 THEN 'fever' WHEN 1 THEN 'strategyqa' WHEN 2 THEN 'commonsense_qa' ELSE 'triviaqa' END"
+_GOLD = "CASE doc_id % 4 WHEN 0 THEN 'supports' WHEN 1 THEN 'yes' WHEN 2 THEN 'b' ELSE CASE WHEN doc_id % 8 = 3 THEN 'not enough info' ELSE text END END"
+_SCORED = f"SELECT *, {_NW('line')} AS plain, {_NORM('line')} = {_NORM('gold')} AS same, {_NW('gold')} AS g FROM (SELECT *, {_BENCH} AS benchmark, {_GOLD} AS gold FROM ({_LETTERED}) t) u"
 
-@query("f15_uniform_score")
+
+@query(
+    "f15_uniform_score",
+    f"WITH s AS ({_SCORED}), e AS (SELECT *, CASE benchmark WHEN 'fever' THEN CASE WHEN starts_with(plain, 'supports') THEN 1e0 ELSE 0e0 END WHEN 'strategyqa' THEN CASE WHEN string_split(plain, ' ')[1] = 'yes' THEN 1e0 ELSE 0e0 END "
+    "WHEN 'commonsense_qa' THEN CASE WHEN COALESCE(letter = 'B', FALSE) THEN 1e0 ELSE 0e0 END ELSE CASE WHEN same THEN 1e0 ELSE 0e0 END END AS em FROM s) "
+    "SELECT doc_id, benchmark, em, CASE WHEN benchmark = 'triviaqa' THEN greatest(em, CASE WHEN g <> '' AND contains(concat(' ', plain, ' '), concat(' ', g, ' ')) THEN 1e0 ELSE 0e0 END) END AS lenient_em FROM e",
+)
 def uniform(spark: SparkSession, d: str) -> DataFrame:
-    """Every document's answer scored by the rule of a benchmark that its id picks."""
-    names = F.array(*map(F.lit, ("fever", "strategyqa", "commonsense_qa", "triviaqa")))
-    bench = F.element_at(names, (F.col("doc_id") % 4 + 1).cast("int"))
-    gold = F.element_at(F.array(*map(F.lit, ("supports", "yes", "b", "paris"))), (F.col("doc_id") % 4 + 1).cast("int"))
+    """Every document's answer scored by the rule of a benchmark that its id picks; one without a rule would raise an error."""
+    bench, gold = F.expr(_BENCH), F.expr(_GOLD)
     scored = answers(spark, d).withColumn("benchmark", bench).withColumn("s", T.uniform_score(bench, F.col("answer"), F.array(gold), gold))
     return scored.select("doc_id", "benchmark", "s.em", "s.lenient_em")
 
@@ -110,17 +130,6 @@ def unstorable(spark: SparkSession, d: str) -> DataFrame:
     return answers(spark, d).select("doc_id", T.is_unstorable(made).alias("unstorable"))
 
 
-@query("f26_entities")
-def entities(spark: SparkSession, d: str) -> DataFrame:
-    runs = T.title_runs(F.col("text"))
-    return table(spark, d, "documents").select("doc_id", F.size(runs).alias("n"), F.md5(F.array_join(runs, "|")).alias("entities"))
-
-
-@query("f28_atomic_facts", f"WITH l AS (SELECT doc_id, list_filter(list_transform(string_split(text, chr(10)), lambda x: trim(regexp_replace(x, '^\\s*(?:[-*]|[0-9]+[.)])\\s*', ''))), lambda x: len({_WORDS('x')}) >= 4) AS k FROM documents) SELECT doc_id, len(list_filter(k, lambda x, i: list_position(list_transform(k, lambda y: lower(y)), lower(x)) = i))::INT AS n_facts FROM l")
-def atomic_facts(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "documents").select("doc_id", F.size(T.atomic_facts(F.col("text"))).alias("n_facts"))
-
-
 @query("f29_distinct_ngrams", f"WITH w AS (SELECT doc_id, {_WORDS('text')} AS t FROM documents), g AS (SELECT doc_id, len(t) AS n, list_transform(range(1, len(t) - 2), lambda i: array_to_string(t[i:i + 3], ' ')) AS g FROM w) SELECT doc_id, CASE WHEN n < 4 THEN 1e0 ELSE len(list_distinct(g))::DOUBLE / len(g) END AS ratio FROM g")
 def distinct_ngrams(spark: SparkSession, d: str) -> DataFrame:
     cut = table(spark, d, "documents").select("doc_id", T.words(F.col("text")).alias("t"))
@@ -140,36 +149,16 @@ def content_id(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "documents").select("doc_id", T.content_id(F.col("text")).alias("cid"))
 
 
-_QF = {
-    "q_token_len": f"len({_WORDS('text')})::DOUBLE",
-    "negation_present": "CASE WHEN regexp_matches(text, '(?i)\\b(?:not|never|no|none)\\b') THEN 1e0 ELSE 0e0 END",
-    "temporal_cue": "CASE WHEN regexp_matches(text, '(?i)\\b(?:when|year|date|before|after|during)\\b') THEN 1e0 ELSE 0e0 END",
-    "numerical_cue": "CASE WHEN regexp_matches(text, '[0-9]') THEN 1e0 ELSE 0e0 END",
-}
-_INTERROG = ("who", "what", "when", "where", "why", "how")
-_ANYQ = "regexp_matches(lower(trim(text)), '^(?:who|what|when|where|why|how)')"
-_QF |= {f"interrog_{w}": f"CASE WHEN starts_with(lower(trim(text)), '{w}') THEN 1e0 ELSE 0e0 END" for w in _INTERROG}
-_QF["interrog_yesno"] = f"CASE WHEN NOT {_ANYQ} AND regexp_matches(lower(trim(text)), '^(?:is|are|was|were|do|does|did|can|could|has|have|will)\\b') THEN 1e0 ELSE 0e0 END"
-
+_HINTS = (*T.TASKS, "unknown", None)
+_HINT = "CASE doc_id % " + str(len(_HINTS)) + " " + " ".join(f"WHEN {k} THEN {'NULL' if h is None else repr(h.upper() if k % 2 else h)}" for k, h in enumerate(_HINTS)) + " END"
+_ASK = "CASE doc_id % 5 WHEN 0 THEN concat('Answer with one of: SUPPORTS, REFUTES, NOT ENOUGH INFO. ', text) WHEN 1 THEN concat(' Answer yes or no. ', text) WHEN 2 THEN concat(text, ' Choices: (A) x. Give the multiple choice letter') WHEN 3 THEN concat('Choices: (A) x (E) ', text, ' multiple choice letter') ELSE text END"
+_FORM = "CASE WHEN starts_with(q, 'answer with one of: supports, refutes, not enough info.') THEN 'fever' WHEN starts_with(q, 'answer yes or no.') THEN 'strategyqa' WHEN contains(q, 'choices:') AND contains(q, 'multiple choice letter') THEN CASE WHEN contains(q, '(e)') THEN 'csqa' ELSE 'arc' END ELSE 'open' END"
 
-@query("f37_question_features", "SELECT conv_id, turn, " + ", ".join(f"{e} AS {n}" for n, e in _QF.items()) + " FROM conversations")
-def question_features(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "conversations").select("conv_id", "turn", *(c.alias(n) for n, c in T.question_features(F.col("text")).items()))
 
-
-@query("f20_f21_options")
-def options(spark: SparkSession, d: str) -> DataFrame:
-    """The choices of a made multiple-choice question, by letter."""
-    asked = F.concat(F.lit("Choices: (A) "), F.col("lang"), F.lit(". (B) "), F.col("source"), F.lit("; (C) both"))
-    found = table(spark, d, "documents").select("doc_id", T.options(asked).alias("o"))
-    return found.select("doc_id", *(F.element_at("o", k).alias(f"option_{k.lower()}") for k in "ABC"))
-
-
-@query("f40_query_task", "SELECT doc_id, CASE WHEN doc_id % 4 = 0 THEN 'fever' WHEN doc_id % 4 = 1 THEN 'strategyqa' WHEN doc_id % 4 = 2 THEN 'arc' ELSE 'open' END AS task FROM documents")
+@query("f40_query_task", f"WITH a AS (SELECT doc_id, lower(trim({_ASK})) AS q, lower({_HINT}) AS hint FROM documents) SELECT doc_id, CASE hint {' '.join(f'WHEN {k!r} THEN {v!r}' for k, v in T.TASKS.items())} ELSE {_FORM} END AS task FROM a")
 def query_task(spark: SparkSession, d: str) -> DataFrame:
-    k = F.col("doc_id") % 4
-    asked = F.when(k == 0, "Answer with one of: SUPPORTS, REFUTES, NOT ENOUGH INFO. x").when(k == 1, "Answer yes or no. x").when(k == 2, "Choices: (A) x. Give the multiple choice letter").otherwise("Who?")
-    return table(spark, d, "documents").select("doc_id", T.query_task(asked, F.when(k == 3, "unknown")).alias("task"))
+    """Tasks of queries that hold whole texts, with every hint, an unknown one and none."""
+    return table(spark, d, "documents").select("doc_id", T.query_task(F.expr(_ASK), F.expr(_HINT)).alias("task"))
 
 
 @query("f7_rouge_l")
@@ -178,3 +167,61 @@ def rouge(spark: SparkSession, d: str) -> DataFrame:
     from tallyvane.operators.loops import rouge_l
 
     return rouge_l(turns(spark, d), "pred", "gold").select("conv_id", "turn", "rouge_l")
+
+
+@query("f7b_spaced_rouge")
+def spaced_rouge(spark: SparkSession, d: str) -> DataFrame:
+    """The variant that keeps articles and turns punctuation into spaces."""
+    from tallyvane.operators.loops import spaced_rouge_l
+
+    return spaced_rouge_l(turns(spark, d), "pred", "gold").select("conv_id", "turn", "rouge_l")
+
+
+@query("f16_harness_score")
+def harness_score(spark: SparkSession, d: str) -> DataFrame:
+    """em and f1 of each turn and the next one as its gold, by the rule of a benchmark that the conversation picks."""
+    from tallyvane.operators.scoring import BENCHMARKS, harness_scores
+
+    names = F.array(*map(F.lit, (*BENCHMARKS, "other")))
+    pick = F.element_at(names, (F.col("conv_id") % (len(BENCHMARKS) + 1) + 1).cast("int"))
+    rows = turns(spark, d).select("conv_id", "turn", F.col("pred").alias("prediction"), F.array("gold", F.concat("gold", "pred")).alias("golds"), F.lit(None).cast("string").alias("gold_label"), pick.alias("benchmark"))
+    return harness_scores(rows).select("conv_id", "turn", "benchmark", "em", F.round("f1", 9).alias("f1"))
+
+
+_FORMAT = {
+    "empty": "trim(answer) = '' OR lower(trim(answer)) = 'reasoning:'",
+    "no_answer_line": "NOT regexp_matches(answer, '(?is)answer\\s*:')",
+    "empty_answer_line": "regexp_matches(answer, '(?is)answer\\s*:\\s*\\z')",
+    "refusal": "regexp_matches(right(answer, 120), '(?i)i do not know|i don.t know|cannot (?:be )?determine|not enough info')",
+    "fever_label_on_other": "benchmark <> 'fever' AND regexp_matches(answer, '(?i)answer\\s*:\\s*(?:supports|refutes|not enough info)(?:[^\\p{L}\\p{N}_]|\\z)')",
+    "letter_on_other": "benchmark <> 'commonsense_qa' AND regexp_matches(trim(answer), '(?i)answer\\s*:\\s*\\(?[A-E]\\)?\\s*\\.?\\s*\\z')",
+    "likely_truncated": "length(answer) > 300 AND NOT regexp_matches(answer, '(?is)answer\\s*:')",
+}
+_MADE = f"SELECT doc_id, {_BENCH} AS benchmark, CASE doc_id % 10 WHEN 0 THEN '' WHEN 1 THEN 'Reasoning: ' WHEN 2 THEN concat(answer, ' Answer: ') WHEN 3 THEN concat(answer, ' Answer: (B). ') WHEN 4 THEN concat(answer, ' I do not know') ELSE answer END AS answer FROM ({ANSWERS_SQL}) a"
+
+
+@query("a37_format_audit", f"WITH m AS ({_MADE}), c AS (SELECT benchmark, answer, count(*) AS same FROM m GROUP BY ALL), t AS (SELECT benchmark, max(same) AS identical FROM c GROUP BY benchmark) SELECT benchmark, count(*) AS n, {', '.join(f'count(*) FILTER ({e}) AS {n}' for n, e in _FORMAT.items())}, any_value(identical) AS identical FROM m JOIN t USING (benchmark) GROUP BY benchmark")
+def format_audit(spark: SparkSession, d: str) -> DataFrame:
+    """Counts of answers whose form is suspect, and of the most frequent one, by benchmark."""
+    from tallyvane.operators.scoring import format_counts
+
+    answers(spark, d).createOrReplaceTempView("format_answers")
+    return format_counts(spark.sql(_MADE.replace(f"({ANSWERS_SQL}) a", "format_answers")))
+
+
+@query("t7_entropy_vote", f"WITH t AS (SELECT conv_id, turn, {_NORM('substr(text, 1, 3)')} AS k FROM conversations), c AS (SELECT conv_id, k, count(*) AS c, min(turn) AS first FROM t GROUP BY ALL), n AS (SELECT *, sum(c) OVER (PARTITION BY conv_id) AS n FROM c), e AS (SELECT conv_id, abs(sum(-(c / n) * ln(c / n))) AS h, arg_max(first, {{'c': c, 'f': -first}}) AS mode FROM n GROUP BY conv_id) SELECT conv_id, round(h, 9) AS entropy, h >= 1.2e0 AS abstained, CASE WHEN h < 1.2e0 THEN mode END AS chosen FROM e")
+def entropy_vote(spark: SparkSession, d: str) -> DataFrame:
+    """Turns of a conversation as samples of one answer, alike when they begin alike: the mode, or none where they scatter."""
+    from tallyvane.operators.entropy import vote
+
+    said = table(spark, d, "conversations").select("conv_id", "turn", T.normalise(F.substring("text", 1, 3)).alias("k"))
+    return vote(said, "conv_id", "k", "turn", 1.2).withColumn("entropy", F.round("entropy", 9))
+
+
+@query("a28_surface_entropy", "WITH t AS (SELECT conv_id, regexp_replace(regexp_replace(lower(substr(text, 1, 4)), '[^\\p{L}\\p{N}_\\s]', '', 'g'), '^\\s+|\\s+\\z', '', 'g') AS k FROM conversations), c AS (SELECT conv_id, k, count(*) AS c FROM t GROUP BY ALL), n AS (SELECT *, sum(c) OVER (PARTITION BY conv_id) AS n FROM c) SELECT conv_id, max(n)::BIGINT AS n, count(*) AS clusters, round(abs(sum(-(c / n) * log2(c / n))), 9) AS entropy, round(CASE WHEN max(n) > 1 THEN abs(sum(-(c / n) * log2(c / n))) / log2(max(n)) ELSE 0e0 END, 9) AS h_norm FROM n GROUP BY conv_id")
+def surface_entropy(spark: SparkSession, d: str) -> DataFrame:
+    """Entropy over samples that are the same on the surface, here by how turns begin."""
+    from tallyvane.operators.entropy import cluster_entropy, surface_cluster
+
+    said = table(spark, d, "conversations").select("conv_id", surface_cluster(F.substring("text", 1, 4)).alias("k"))
+    return cluster_entropy(said, "conv_id", "k").withColumns({"entropy": F.round("entropy", 9), "h_norm": F.round("h_norm", 9)})

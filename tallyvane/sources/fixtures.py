@@ -54,9 +54,13 @@ MEMORY_COLUMNS = {
     "success_rate": "(vec_id % 5) / 4e0",
     "hit_counter": "vec_id % 15",
     "age_s": "(vec_id % 50) * 1e0",
+    "retroverified": "vec_id % 4 = 0",
+    "source_benchmark": "CASE label % 3 WHEN 0 THEN CASE WHEN vec_id % 2 = 0 THEN 'fever' ELSE 'triviaqa' END WHEN 1 THEN 'truthfulqa' END",
+    "merged_names": "CASE WHEN label % 3 = 0 AND vec_id % 5 = 0 THEN 'commonsense_qa,fever' WHEN label % 3 = 1 AND vec_id % 7 = 0 THEN 'strategyqa' ELSE '' END",
 }
 MEMORY_SQL = "SELECT " + ", ".join(f"{e.replace('AS STRING', 'AS VARCHAR')} AS {n}" for n, e in MEMORY_COLUMNS.items()) + " FROM embeddings"
 
 
 def memory(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "embeddings").selectExpr(*(f"{e} AS {n}" for n, e in MEMORY_COLUMNS.items()))
+    listed = F.when(F.col("merged_names") == "", F.array().cast("array<string>")).otherwise(F.split("merged_names", ","))
+    return table(spark, sf_dir, "embeddings").selectExpr(*(f"{e} AS {n}" for n, e in MEMORY_COLUMNS.items())).withColumn("merged_benchmarks", listed)

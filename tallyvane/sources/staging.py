@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 #: Spark's setting by which an execution removes its shuffle files when it ends.
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+#: Rows in an Arrow batch while a table is staged: rows hold whole texts, and a task has several batches in memory.
+BATCH, BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch", "2000"
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -33,12 +35,14 @@ class Scratch:
     def __call__(self, df: DataFrame, name: str, compression: str = "snappy") -> DataFrame:
         """Write df as Parquet and read it back. The shuffle files that it took are removed."""
         path = f"{self.folder}/{name}-{uuid.uuid4().hex[:8]}"
-        before = self.spark.conf.get(CLEANUP, "false")
+        before = {key: self.spark.conf.get(key, None) for key in (CLEANUP, BATCH)}
         self.spark.conf.set(CLEANUP, "true")
+        self.spark.conf.set(BATCH, str(min(int(before[BATCH] or BATCH_ROWS), int(BATCH_ROWS))))
         try:
             df.write.option("compression", compression).parquet(path)
         finally:
-            self.spark.conf.set(CLEANUP, before)
+            for key, value in before.items():
+                self.spark.conf.unset(key) if value is None else self.spark.conf.set(key, value)
         self.drop(name)
         self.tables[name] = path
         return self.spark.read.schema(df.schema).parquet(path)

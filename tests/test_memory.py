@@ -1,21 +1,22 @@
 import math
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from tallyvane.functions import confidence as C
-from tallyvane.operators import corpus, memory
+from tallyvane.operators import corpus, entropy, joins, memory, trajectory, vector
 from tallyvane.operators.graph import connected_components
 from tallyvane.operators.vector import knn_join
-from tallyvane.plans.episodes import write_shared
 from tallyvane.sources import files
+from tallyvane.sources.staging import stage as write_shared
 from tallyvane.streaming import cycles
 
-ENTRY = "entry_id long, embedding array<float>, pool string, answer string, u_stored double, storage_cycle int, retrieval_count long, success_rate double, hit_counter long, age_s double"
+ENTRY = "entry_id long, embedding array<float>, pool string, answer string, u_stored double, storage_cycle int, retrieval_count long, success_rate double, hit_counter long, age_s double, retroverified boolean, source_benchmark string, merged_benchmarks array<string>"
 
 
 def entries(spark, rows):
-    full = [(i, v, p, a, u, c, 0, 0.0, h, 0.0) for i, v, p, a, u, c, h in rows]
+    full = [(i, v, p, a, u, c, 0, 0.0, h, 0.0, None, None, None) for i, v, p, a, u, c, h in rows]
     return spark.createDataFrame(full, ENTRY)
 
 
@@ -58,8 +59,11 @@ def test_feedback_folds_in_order(spark):
 def test_retroverify(spark):
     rows = entries(spark, [(i, near(0), "a", "x", 0.7, 0, 9) for i in range(4)])
     scores = spark.createDataFrame([(0, 0.4), (1, 0.9), (2, None), (3, 0.7)], "entry_id long, new_u double")
-    got = {r["entry_id"]: (r["u_stored"], r["hit_counter"]) for r in memory.retroverify(rows, scores, 0.0).collect()}
-    assert got == {1: (0.9, 0), 2: (0.7, 9), 3: (0.7, 9)}
+    of = lambda **k: {r["entry_id"]: (r["u_stored"], r["hit_counter"], r["retroverified"]) for r in memory.retroverify(rows, scores, 0.0, **k).collect()}
+    assert of() == {1: (0.9, 0, True), 2: (0.7, 9, False), 3: (0.7, 0, True)}
+    assert of(loops=F.col("entry_id") == 2) == {1: (0.9, 0, True), 3: (0.7, 0, True)}
+    lower = spark.createDataFrame([(1, 0.6)], "entry_id long, new_u double")
+    assert {r["entry_id"]: r["u_stored"] for r in memory.retroverify(rows, lower, downgrade=False).collect()}[1] == 0.7
 
 
 def test_consolidate_guards(spark):
@@ -72,8 +76,112 @@ def test_consolidate_guards(spark):
             (7, near(0.0), "b", "x", 0.60, 0, 0),
         ],
     )
-    got = {r["root"]: (r["n"], r["outcome"], r["keeper"]) for r in memory.consolidate(rows, write_shared).collect()}
+    kept, audit = memory.consolidate(rows, write_shared)
+    got = {r["root"]: (r["n"], r["outcome"], r["keeper"]) for r in audit.filter("outcome <> 'cross_pool'").collect()}
     assert got == {1: (2, "merged", 2), 3: (2, "answer_mismatch", 3), 5: (2, "u_spread", 6)}
+    assert sorted(r["entry_id"] for r in kept.collect()) == [2, 3, 4, 5, 6, 7] and audit.filter("outcome = 'cross_pool'").count() == 4
+
+
+def test_consolidate_merges(spark):
+    rows = [
+        (1, near(0.0), "a", "The X", 0.60, 3, 4, 0.5, 2, 0.0, False, "fever", ["asqa"]), (2, near(0.01), "a", "x!", 0.65, 1, 6, 1.0, 3, 0.0, None, "triviaqa", None),
+        (3, near(0.02), "a", "x", 0.65, 2, 0, 0.9, 0, 0.0, True, None, ["triviaqa", "hotpotqa"]), (9, near(2.0), "a", "x", 0.1, 0, 1, 0.1, 1, 0.0, False, None, None),
+    ]
+    kept, _ = memory.consolidate(spark.createDataFrame(rows, ENTRY), write_shared)
+    got = {r["entry_id"]: r for r in kept.collect()}
+    assert set(got) == {2, 9} and kept.columns == spark.createDataFrame(rows, ENTRY).columns
+    r = got[2]
+    assert (r["retrieval_count"], r["hit_counter"], r["retroverified"], r["merged_benchmarks"]) == (10, 5, True, ["fever", "asqa", "hotpotqa"])
+    assert r["success_rate"] == pytest.approx(0.8) and got[9]["merged_benchmarks"] is None
+    assert memory.consolidate(kept.limit(0), write_shared)[0].count() == 0
+
+
+def test_add_remove_update(spark):
+    rows = entries(spark, [(5, near(0), "a", "x", 0.5, 0, 0)])
+    fresh = entries(spark, [(0, near(0), "a", "y", 0.3, 0, 0), (0, near(0), "a", "z", 0.2, 0, 0)])
+    got = {r["answer"]: r["entry_id"] for r in memory.add(rows, fresh, "u_stored").collect()}
+    assert got["x"] == 5 and 5 < got["z"] < got["y"]
+    with pytest.raises(RuntimeError):
+        memory.add(rows, fresh, "u_stored", capacity=2)
+    values = spark.createDataFrame([(5, 1.7), (6, 0.1)], "entry_id long, value double")
+    assert [r["u_stored"] for r in memory.update_scores(rows, values).collect()] == [1.0]
+    assert memory.remove(rows, values).count() == 0 and memory.get(rows, values).count() == 1
+
+
+def test_promotion_and_cache(spark):
+    done = spark.createDataFrame([(1, [1.0, 0.0], "promoted"), (2, [0.0, 1.0], "promoted"), (3, [0.0, 1.0], "kept")], "entry_id long, embedding array<float>, outcome string")
+    stored = spark.createDataFrame([(9, [1.0, 0.0])], "entry_id long, embedding array<float>")
+    assert {r["entry_id"]: r["inserted"] for r in memory.promote(done, stored).collect()} == {1: False, 2: True}
+    rows = spark.createDataFrame([(i, near(i / 10)) for i in range(6)], "id long, embedding array<float>")
+    asked = spark.createDataFrame([(100, "known", near(0)), (101, "short", near(0)), (102, "new", near(0.5))], "query_id long, question string, embedding array<float>")
+    cache = spark.createDataFrame([("known", [(7, 0.9), (8, 0.8), (9, 0.7)]), ("short", [(7, 0.9)])], "question string, results array<struct<id:long,similarity:double>>")
+    got = {(r["query_id"], r["rank"]): (r["id"], r["source"]) for r in memory.cached_search(asked, cache, rows, 2).collect()}
+    assert got == {(100, 1): (7, "cache"), (100, 2): (8, "cache"), (101, 1): (0, "live"), (101, 2): (1, "live"), (102, 1): (5, "live"), (102, 2): (4, "live")}
+
+
+def test_knn_over_blocks_equals_brute_force(spark, monkeypatch):
+    monkeypatch.setattr(vector, "BLOCK", 5)
+    monkeypatch.setattr(vector, "MEET", 2)
+    rows = [(i, [float((i * 7) % 13), float((i * 5) % 11)], "ab"[i % 2] if i % 9 else None) for i in range(60)] + [(99, None, "a")]
+    frame = spark.createDataFrame(rows, "id long, embedding array<float>, pool string")
+    for pool in (None, "pool"):
+        got = {(r["query_id"], r["rank"]): r["id"] for r in knn_join(frame, frame, 3, pool=pool).collect()}
+        for i, v, p in rows[:-1]:
+            others = sorted((-(v[0] * w[0] + v[1] * w[1]), j) for j, w, q in rows[:-1] if j != i and (pool is None or (p is not None and p == q)))[:3]
+            assert [got.get((i, k + 1)) for k in range(3)] == [j for _, j in others] + [None] * (3 - len(others))
+
+
+@pytest.mark.parametrize("decision,tag,icon,shown", [("STORE", "verified", "check", True), ("DEFERRED", "provisional", "tilde", True), ("DISCARD", "conflicting", "warning", True), ("ABSTAIN", "insufficient", "cross", False)])
+def test_envelope(spark, decision, tag, icon, shown):
+    got = spark.range(1).select(C.envelope(F.lit("Paris"), F.lit(1.7), F.lit(decision), cadence=F.lit("nightly")).alias("e")).first()["e"]
+    assert (got["tag"], got["icon"], got["show_answer"], got["confidence"], got["decision"]) == (tag, icon, shown, 1.0, decision)
+    assert (got["answer"] is None) == (not shown) and (got["caveat"] is None) == (decision in ("STORE", "ABSTAIN"))
+    assert decision != "DEFERRED" or got["caveat"] == "I'll reconsider this in my nightly learning cycle. Please ask again tomorrow."
+
+
+def test_envelope_of_unknown_decision_and_drift_bounds(spark):
+    row = spark.range(1).select(C.envelope(F.lit("x"), F.lit(0.5), F.lit(None).cast("string")).alias("a"), C.envelope(F.lit("x"), F.lit(0.5), F.lit("MAYBE")).alias("b")).first()
+    assert row["a"] is None and row["b"] is None
+    gates = spark.range(1).select(*(C.drift(F.lit(x)).alias(f"g{k}") for k, x in enumerate((0.0, 1e-3, 1.1e-3, 1e-2, 0.02)))).first()
+    assert tuple(gates) == ("SAFE", "SAFE", "WARN", "WARN", "UNSAFE")
+
+
+def test_directional_grounding(spark):
+    of = lambda label, *x: spark.range(1).select(C.directional(F.lit(label).cast("string"), *(F.lit(v).cast("double") for v in x)).alias("d")).first()["d"]
+    assert tuple(of("supports", 0.9, 0.8, None, None)) == (0.9, 0.8) and tuple(of("refutes", 0.9, 0.8, 0.2, 0.1)) == (0.2, 0.1)
+    assert of("refutes", 0.9, 0.8, None, None) is None and of(None, 0.9, 0.8, 0.1, 0.1) is None
+    assert tuple(of("not enough info", 0.55, 0.9, 0.45, 0.5)) == (pytest.approx(0.9), 0.0)
+
+
+def test_halt_and_stop(spark):
+    rates = spark.createDataFrame([(c, b, r) for c, b, r in [(0, "x", 0.1), (1, "x", 0.0), (2, "x", 0.0), (1, "y", 0.0), (2, "y", None), (0, "z", 0.0), (1, "z", 0.0), (2, "z", 0.1)]], "cycle int, benchmark string, rate double")
+    scores = spark.createDataFrame([(0.2,), (0.95,), (None,), (float("nan"),)], "collapse double")
+    got = [(r["action"], r["relax"]) for r in trajectory.halt(rates, scores).collect()]
+    assert got == [("relax_alpha", ["x"]), ("halt", []), ("relax_alpha", ["x"]), ("relax_alpha", ["x"])]
+    assert trajectory.halt(rates.filter("cycle = 0"), scores.limit(1)).first()["action"] == "continue"
+    cycles = spark.createDataFrame([(0, 0.5, 0.5, 1.0), (1, 0.501, 0.2, 0.93), (2, 0.502, 0.04, 0.92)], "cycle int, ces double, storage_rate double, retention double")
+    got = {r["cycle"]: (r["flat"], r["saturated"], r["retained"], r["should_stop"]) for r in trajectory.early_stop(cycles).collect()}
+    assert got == {0: (False, False, False, False), 1: (False, False, False, False), 2: (True, True, True, True)}
+
+
+def test_overlay_refuses_missing_labels(spark):
+    rows = spark.createDataFrame([(1, 0.0), (2, 1.0)], "id long, em double")
+    labels = spark.createDataFrame([(1, 1.0), (2, None)], "id long, label double")
+    assert {r["id"]: (r["em_stored"], r["em"]) for r in joins.overlay(rows, labels, "id", "em", "label").collect()} == {1: (0.0, 1.0), 2: (1.0, None)}
+    with pytest.raises(Exception, match="no label for 2"):
+        joins.overlay(rows, labels.filter("id = 1"), "id", "em", "label").collect()
+
+
+def test_entropies(spark):
+    rows = spark.createDataFrame([(1, "a"), (1, "a"), (1, "b"), (1, "b"), (2, "x")], "k long, c string")
+    got = {r["k"]: (r["entropy"], r["h_norm"]) for r in entropy.cluster_entropy(rows, "k", "c").collect()}
+    assert got == {1: (pytest.approx(1.0), pytest.approx(0.5)), 2: (0.0, 0.0)}
+    assert entropy.kernel_entropy_of(np.eye(4)) == pytest.approx(1.0) and entropy.kernel_entropy_of(np.ones((4, 4))) == pytest.approx(0.0, abs=1e-6) and entropy.kernel_entropy_of(np.ones((1, 1))) == 0.0
+    k = np.array([[1.0, 0.5], [0.5, 1.0]])
+    assert entropy.kernel_entropy_of(k) == pytest.approx(-(0.75 * math.log(0.75) + 0.25 * math.log(0.25)) / math.log(2))
+    samples = spark.createDataFrame([(i,) for i in range(4)], "sample_id long")
+    links = spark.createDataFrame([(0, 1, True, True), (1, 2, True, False), (2, 3, True, True)], "u long, v long, forward boolean, backward boolean")
+    assert {r["sample_id"]: r["cluster"] for r in entropy.entailment_clusters(samples, links, write_shared).collect()} == {0: 0, 1: 0, 2: 2, 3: 2}
 
 
 def test_deferred(spark):
@@ -110,11 +218,14 @@ def test_composite_skips_missing(spark):
 
 def test_chunks_and_sections(spark):
     docs = spark.createDataFrame([(1, " ".join(f"w{i}" for i in range(190))), (2, "too short"), (3, None)], "k long, t string")
-    got = corpus.chunks(docs, "k", "t").orderBy("chunk_no").collect()
+    got = corpus.chunks(docs, ["k"], "t").orderBy("chunk_no").collect()
     assert [(r["k"], r["chunk_no"], len(r["chunk"].split())) for r in got] == [(1, 0, 100), (1, 1, 100), (1, 2, 10)]
     article = "Title\n" + "one two three " * 8 + "\n\nplain paragraph\n\nReferences\nnoise\n\nmore noise"
     got = corpus.sections(spark.createDataFrame([(1, article)], "k long, t string"), "k", "t").orderBy("section_no").collect()
-    assert [(r["section_no"], r["title"]) for r in got] == [(0, "Title"), (1, "Title")]
+    assert [(r["section_no"], r["title"], r["body"][:10]) for r in got] == [(0, "Title", "one two th"), (1, "Title", "plain para"), (3, "References", "more noise")]
+    told = spark.createDataFrame([(1, " Art ", "plain words " * 12 + "\n\nSee also\nx y z\n\n" + "w " * 12)], "k long, a string, t string")
+    got = corpus.passages(told, "k", "t", "a").orderBy("section_no").collect()
+    assert [(r["section_no"], r["chunk"].split(" ", 2)[0]) for r in got] == [(0, "Art:"), (2, "See")]
 
 
 def test_files_round_trip(spark, tmp_path):

@@ -4,7 +4,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from tallyvane.operators import calibration, metrics, pools, splits, stats
-from tallyvane.operators.loops import lcs_length
+from tallyvane.operators.loops import best_rouge_l, lcs_length, spaced_rouge_l
+from tallyvane.operators.scoring import harness_scores
 
 SCHEMA = "em double, u_stored double, p_ground_atomic double, p_entail double, p_contra double, q_a_relevance double, decision string, prediction string"
 BASE = {"em": 0.0, "u_stored": 0.5, "p_ground_atomic": 0.5, "p_entail": 0.5, "p_contra": 0.0, "q_a_relevance": 0.8, "decision": "STORE", "prediction": "x"}
@@ -74,6 +75,67 @@ def test_mcnemar_and_holm(spark):
     assert [round(r["p_holm"], 9) for r in stats.holm(p, "p", [], "k").orderBy("k").collect()] == [0.03, 0.06, 0.06]
 
 
+def test_wilcoxon_equals_plain_ranks(spark):
+    values = [3.0, -1.0, 2.0, 2.0, -2.0, 0.0, 5.0, 1.0, -4.0, 6.0]
+    rows = spark.createDataFrame([("a", v) for v in values] + [("b", 0.0)], "g string, d double")
+    got = {r["g"]: r for r in stats.wilcoxon_p(stats.wilcoxon(rows, "d", ["g"])).collect()}
+    d = [v for v in values if v]
+    sizes = sorted(map(abs, d))
+    rank = lambda x: (sizes.index(x) + 1 + len(sizes) - sizes[::-1].index(x)) / 2
+    up, down = sum(rank(v) for v in d if v > 0), sum(rank(-v) for v in d if v < 0)
+    n, ties = len(d), sum(sizes.count(x) ** 3 - sizes.count(x) for x in set(sizes))
+    z = (min(up, down) - n * (n + 1) / 4) / math.sqrt((n * (n + 1) * (2 * n + 1) - ties / 2) / 24)
+    assert (got["a"]["n"], got["a"]["w"]) == (n, min(up, down)) and got["a"]["z"] == pytest.approx(z) and got["a"]["p"] == pytest.approx(math.erfc(abs(z) / math.sqrt(2)))
+    assert (got["b"]["n"], got["b"]["p"]) == (0, 1.0)
+
+
+def test_signal_matrix_and_clusters(spark):
+    rows = spark.createDataFrame([(float(i), float(i * i), float(i % 2), 1.0) for i in range(20)], "a double, b double, c double, k double")
+    names = ["a", "b", "c", "k"]
+    matrix = stats.signal_matrix(rows, names)
+    rho = {(r["a"], r["b"]): r["rho"] for r in matrix.collect()}
+    assert rho["a", "b"] == pytest.approx(1.0) and rho["a", "k"] is None and len(rho) == 6
+    assert {r["signal"]: r["cluster"] for r in stats.signal_clusters(matrix, names, 0.9).collect()} == {"a": "a", "b": "a", "c": "c", "k": "k"}
+
+
+def test_floors(spark):
+    rows = [("x", i / 100, float(i >= 40)) for i in range(100)] + [("few", 0.9, 1.0)] * 5 + [("never", i / 100, 0.0) for i in range(100)] + [("edge", 0.29, 1.0)] * 30 + [("edge", 0.28, 0.0)] * 60
+    got = {r["b"]: r["floor"] for r in metrics.floor_fit(spark.createDataFrame(rows, "b string, u double, em double"), "u", "em", "b", target=0.75).collect()}
+    plain = next(i * 0.01 for i in range(101) if sum(em for b, u, em in rows if b == "x" and u >= i * 0.01) >= 0.75 * sum(b == "x" and u >= i * 0.01 for b, u, _ in rows))
+    assert got == {"x": plain, "few": 0.38, "never": 0.38, "edge": 29 * 0.01}
+
+
+def test_axes_roll_up_skips_what_is_missing(spark):
+    rows = [(1, 10, 0, 0.5, 0.8, 1.0, None, 0.5), (1, 30, 10, 0.9, None, 1.0, 0.6, 0.5)]
+    got = metrics.roll_up_axes(spark.createDataFrame(rows, "g int, n_samples int, n_conf int, acc double, epi double, ret double, cal double, ver double"), ["g"]).first()
+    assert got["acc"] == pytest.approx(0.8) and got["epi"] == pytest.approx(0.8) and got["cal"] == pytest.approx(0.6)
+    assert got["ces"] == pytest.approx((0.8 * 0.8 * 1.0 * 0.6 * 0.5) ** 0.2)
+
+
+def test_shrinkage_and_platt(spark):
+    rows = spark.createDataFrame([("ab"[i % 2], (i % 10) / 10, float((i % 10) > (3 if i % 2 else 6))) for i in range(400)], "b string, s double, em double")
+    own = {(r["b"], r["x"]): r["y"] for r in calibration.shrunk_knots(rows, ["s"], "em", "b", alpha=1.0).collect()}
+    half = {(r["b"], r["x"]): r["y"] for r in calibration.shrunk_knots(rows, ["s"], "em", "b", alpha=0.5).collect()}
+    pooled = {(r["b"], r["x"]): r["y"] for r in calibration.shrunk_knots(rows, ["s"], "em", "b", alpha=0.0).collect()}
+    assert set(own) == set(half) == set(pooled) and all(half[k] == pytest.approx((own[k] + pooled[k]) / 2, abs=0.011) for k in own)
+    with pytest.raises(ValueError):
+        calibration.shrunk_knots(rows, ["s"], "em", "b", alpha=1.5)
+    line = spark.createDataFrame([("g", p, 1 / (1 + math.exp(-(0.5 * math.log(p / (1 - p)) + 1)))) for p in (0.1, 0.3, 0.5, 0.8)], "g string, p double, t double")
+    got = calibration.fit_platt(line, "p", "t", ["g"]).first()
+    assert got["a"] == pytest.approx(0.5) and got["b"] == pytest.approx(1.0) and got["mae_probability"] == pytest.approx(0.0, abs=1e-9)
+
+
+def test_rouge_variants_and_harness(spark):
+    rows = spark.createDataFrame([(1, "the cat sat", ["a dog", "the cat sat down"]), (2, "x", None)], "k int, p string, g array<string>")
+    got = {r["k"]: r["rouge_l"] for r in best_rouge_l(rows, "p", "g").collect()}
+    assert got[1] == pytest.approx(0.8) and got[2] == 0.0
+    pairs = spark.createDataFrame([("the cat's", "the cat s"), ("", ""), ("!", "a")], "p string, g string")
+    assert [r["rouge_l"] for r in spaced_rouge_l(pairs, "p", "g").collect()] == [1.0, 0.0, 0.0]
+    asked = [("truthfulqa", "Answer: cat sat", ["cat sat here"], None, 1.0), ("arc_challenge", "Answer: (b)", ["B"], None, 1.0), ("fever", "Answer: refutes", [], "refutes", 1.0), ("new", "Answer: Paris", ["paris"], None, 1.0), ("asqa", "zzz", ["cat"], None, 0.0), ("triviaqa", "Answer: Rome", ["x", "rome"], None, 1.0)]
+    frame = spark.createDataFrame([a[:4] for a in asked], "benchmark string, prediction string, golds array<string>, gold_label string")
+    assert {r["benchmark"]: r["em"] for r in harness_scores(frame).collect()} == {a[0]: a[4] for a in asked}
+
+
 def test_spearman_ties_and_constants(spark):
     rows = spark.createDataFrame([("a", 1.0, 2.0), ("a", 2.0, 4.0), ("a", 2.0, 4.0), ("b", 1.0, 1.0), ("b", 1.0, 2.0)], "g string, x double, y double")
     got = {r["g"]: r["rho"] for r in stats.spearman(rows, "x", "y", ["g"]).collect()}

@@ -1,6 +1,7 @@
 import pytest
 from pyspark.sql import functions as F
 
+from tallyvane.functions import answers as A
 from tallyvane.functions import text as T
 
 
@@ -64,7 +65,8 @@ def test_uniform_score(spark):
     assert score("commonsense_qa", "Answer: (B) foo", "b")["em"] == 1.0
     loose = score("triviaqa", "Answer: it was Paris of course", "paris")
     assert (loose["em"], loose["lenient_em"]) == (0.0, 1.0)
-    assert score("truthfulqa", "x", "x")["em"] is None
+    with pytest.raises(Exception, match="no uniform rule"):
+        score("truthfulqa", "x", "x")
 
 
 @pytest.mark.parametrize("given,wanted", [("", True), ("<concise factual answer>", True), ("The context doesn't mention it", True), ("none of the given options", True), ("Paris", False)])
@@ -85,11 +87,65 @@ def test_distinct_ngram_ratio(spark):
 
 
 def test_options_and_task(spark):
-    assert one(spark, T.options(F.lit("Choices: (A) foo. (B) bar; (C) baz"))) == {"A": "foo", "B": "bar", "C": "baz"}
+    assert one(spark, A.options(F.lit("Choices: (A) foo. (B) bar; (C) baz"))) == {"A": "foo", "B": "bar", "C": "baz"}
     assert one(spark, T.query_task(F.lit("Choices: (A) x (E) y. Give the multiple choice letter"), F.lit(None).cast("string"))) == "csqa"
     assert one(spark, T.query_task(F.lit("Who?"), F.lit("HotpotQA"))) == "hotpotqa"
 
 
 def test_atomic_facts(spark):
-    text = "- One two three four.\nshort\none TWO three four.\n2) five six seven eight"
-    assert one(spark, T.atomic_facts(F.lit(text))) == ["One two three four.", "five six seven eight"]
+    text = "Here are the facts:\n1. One two three four.\nshort\none TWO three four.\n2) five six seven eight\nlist of things to do\n3: Why is it so\n4- ends with a colon:"
+    assert one(spark, A.atomic_facts(F.lit(text), F.lit("why is it so?"), F.lit("x"))) == ["One two three four.", "five six seven eight"]
+    assert one(spark, A.atomic_facts(F.lit("a b c d\nno_facts"))) == [] and one(spark, A.atomic_facts(F.lit(None).cast("string"))) == []
+
+
+MC = "Which? Choices: (A) foo. (B) bar baz (C) q\nAnswer with just the letter."
+
+
+@pytest.mark.parametrize(
+    "query,answer,wanted",
+    [
+        (MC, "B", "Answer: bar baz."), (MC, "a.", "Answer: foo."), (MC, "E", "E"), ("Who?", "C", "C"), ("Who?", " Paris. ", "Answer: Paris."), ("Who?", "Answer: Paris.", "Answer: Paris."),
+        ("Who?", "yes", "yes"), ("Who?", "I don't know", "I don't know"), ("Who?", "It is Paris", "It is Paris"), ("Who?", "a b c d e f", "a b c d e f"), (None, None, ""), ("Who?", "...", "..."),
+    ],
+)
+def test_canonical_answer(spark, query, answer, wanted):
+    claim = lambda a: one(spark, A.canonical_answer(F.lit(query).cast("string"), F.lit(a).cast("string")))
+    assert claim(answer) == wanted and claim(claim(answer)) == wanted
+
+
+@pytest.mark.parametrize("given,wanted", [(MC, True), ("Choices: (A) x Answer with the multiple choice letter", True), ("Choices: x. Answer with the letter", False), (None, False)])
+def test_asks_for_letter(spark, given, wanted):
+    assert one(spark, A.asks_for_letter(F.lit(given).cast("string"))) is wanted
+
+
+def test_letters_and_repeated_options(spark):
+    assert one(spark, A.answer_letter(F.lit("so Answer : c, then"))) == "C" and one(spark, A.answer_letter(F.lit("Answer: Cat"))) is None
+    assert one(spark, A.options(F.lit("choices: (A) x (B)  (A) y; "))) == {"A": "y"} and one(spark, A.options(F.lit("(A) x"))) == {}
+
+
+@pytest.mark.parametrize("given,wanted", [("C.", "c"), ("It was Bill Clinton", "bill clinton"), ("The King of England", "england"), ("in 1999 it", "1999"), ("the red fox", "red"), ("", ""), (None, ""), ("Éa é", "")])
+def test_head_noun(spark, given, wanted):
+    got = one(spark, A.head_noun(F.lit(given).cast("string")))
+    assert got == wanted or (given == "The King of England" and got == "the king of england")
+
+
+def test_head_consistency(spark):
+    share = lambda *x: one(spark, A.head_consistency(F.array(*map(F.lit, x)).cast("array<string>")))
+    assert share("I saw Paris", "went to Paris", "to Rome") == pytest.approx(1 / 3) and share("Paris") == 0.5 and share() == 0.5
+
+
+@pytest.mark.parametrize(
+    "given,wanted",
+    [
+        ("It is not here", "It is here."), ("They don't go", "They do go."), ("He does not go!", "He go!"), ("It is here", "It is not here."), ("We can see", "We can not see."), ("It has been", None),
+        ("It has three", "It has not three."), ("nothing", None), ("", None), (None, None), ("It is not. It was", "It is not. It was not."),
+    ],
+)
+def test_negation(spark, given, wanted):
+    assert one(spark, A.negate(F.lit(given).cast("string"))) == wanted
+
+
+def test_entities_and_features(spark):
+    assert one(spark, A.entities(F.lit("Bill Clinton met the University of Cambridge in Été, and AAAAAAAAAAAAAAAAAAAAAAAAAAAAAAAAAAAAAAé"))) == ["Bill Clinton", "University of Cambridge"]
+    got = spark.range(1).select(*(c.alias(n) for n, c in A.question_features(F.lit("Is it true that nobody saw two in 1999?")).items())).first().asDict()
+    assert [got[n] for n in ("q_token_len", "negation_present", "temporal_cue", "numerical_cue", "myth_regex_hit", "interrog_yesno", "interrog_who")] == [9.0, 1.0, 1.0, 1.0, 1.0, 1.0, 0.0]
