@@ -7,15 +7,18 @@ parts, and every choice of n2 - k2 of these gives a signature. Similar sets shar
 
 Where a signature covers few n-grams (k2 = 0), an empty one would join a large part of all documents, so there are SPARE
 partitions more than k + 1: a set with fewer empty partitions than spare ones agrees with each similar set on a signature
-that is not empty. A set with more of them adds signatures by another hash. Sets that merely share a passage meet there as
-well; pairs that met are compared by sketches first, which tell surely that sets differ too much.
+that is not empty. A set with more of them adds signatures by another hash.
 
-Equal sets are one class throughout. Classes that share signatures form candidate groups; within a group every pair is
-compared exactly, in blocks of bounded size, and what leaves a block pair is a spanning forest and counts, never the pairs.
+Sets that merely share a passage meet there as well. So what met is compared by sketches, which tell surely that sets differ
+too much: pair by pair in a small bucket; in a large one in blocks of bounded size, of which a spanning forest is kept.
+
+Equal sets are one class throughout. Classes that may be similar form candidate groups; within a group every pair that size
+allows is compared exactly, in blocks, and what leaves a block pair is a spanning forest and counts, never the pairs.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from itertools import chain
 
@@ -24,15 +27,15 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
-from tallyvane.llm.common import join_bounded, stage, table
+from tallyvane.llm.common import join_bounded, table, unused
+from tallyvane.sources.staging import Scratch
 from tallyvane.operators.graph import connected_components
 
 #: Classes, and n-grams, in a block of a candidate group.
-BLOCK_SETS, BLOCK_GRAMS = 1024, 1_000_000
+BLOCK_SETS, BLOCK_GRAMS = 384, 400_000
 #: Groups up to this size compare pairs one by one; larger ones multiply matrices of so many n-grams at a time.
-SMALL_GROUP, COLUMNS = 24, 4096
+SMALL_GROUP, COLUMNS = 24, 2048
 #: Partitions beyond those that the differences can hit, in percent, and hashes that a set with too many empty partitions
 #: tries; by the last of them its empty signatures count too.
 SPARE, HASHES = 10, 6
@@ -178,12 +181,12 @@ def signature_rows(docs: DataFrame, words: int, percent: int) -> DataFrame:
     return docs.select(F.encode("text", "UTF-8").alias("body")).mapInArrow(run, "sig long, cls long")
 
 
-def bucket_links(sigs: DataFrame) -> DataFrame:
-    """(u, v, sure): the classes that meet in a bucket, as pairs in a small one, else linked to its first (sure). sigs has a
-    bucket's rows together, sorted by class; at most SMALL_BUCKET rows of it and one batch are kept in memory."""
+def bucket_pairs(sigs: DataFrame) -> DataFrame:
+    """(sig, u, v): the pairs of classes that meet in a small bucket, and (sig, u, null) for each class of a larger one.
+    sigs has a bucket's rows together, sorted by class; at most SMALL_BUCKET rows of it and one batch are kept in memory."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sig, cls, linked = np.zeros(0, np.int64), np.zeros(0, np.int64), False  # the open bucket; whether it is linked so far
+        sig, cls, opened = np.zeros(0, np.int64), np.zeros(0, np.int64), False  # the last bucket's rows; whether it is known to be large
         for batch in chain(batches, [None]):
             if batch is not None:
                 sig = np.concatenate([sig, batch.column("sig").to_numpy()])
@@ -195,33 +198,41 @@ def bucket_links(sigs: DataFrame) -> DataFrame:
             starts = np.flatnonzero(np.concatenate([[True], sig[1:] != sig[:-1]]))
             sizes = np.diff(np.append(starts, len(sig)))
             large = sizes > SMALL_BUCKET
-            large[0] |= linked
+            large[0] |= opened
             small = ~large
             if batch is not None:
                 small[-1] = False  # it may go on
             place = np.arange(len(sig)) - np.repeat(starts, sizes)
-            at = np.flatnonzero(np.repeat(large, sizes) & (place > 0))
-            u, v, n_sure = [cls[at]], [cls[at - place[at]]], len(at)
+            of_large = np.repeat(large, sizes)
+            if opened:
+                of_large[0] = False  # the row that was kept to go on from
+            at = np.flatnonzero(of_large)
+            members, s, u, v = len(at), [sig[at]], [cls[at]], [cls[at]]
             of_small = np.repeat(small, sizes)
             for back in range(1, SMALL_BUCKET):
                 at = np.flatnonzero(of_small & (place >= back))
                 if not len(at):
                     break
+                s.append(sig[at])
                 u.append(cls[at])
                 v.append(cls[at - back])
-            us, vs = np.concatenate(u), np.concatenate(v)
-            yield pa.RecordBatch.from_arrays([pa.array(us), pa.array(vs), pa.array(np.arange(len(us)) < n_sure)], names=["u", "v", "sure"])
-            linked = bool(large[-1])
-            last = slice(starts[-1], starts[-1] + 1 if linked else None)
+            ss, us, vs = np.concatenate(s), np.concatenate(u), np.concatenate(v)
+            yield pa.RecordBatch.from_arrays([pa.array(ss), pa.array(us), pa.array(vs, mask=np.arange(len(vs)) < members)], names=["sig", "u", "v"])
+            opened = bool(large[-1])
+            last = slice(len(sig) - 1 if opened else starts[-1], None)
             sig, cls = sig[last], cls[last]
 
-    return sigs.mapInArrow(run, "u long, v long, sure boolean")
+    return sigs.mapInArrow(run, "sig long, u long, v long")
+
+
+def sketches_of(sets: DataFrame, name: str) -> DataFrame:
+    """A row for each low half of a digest (two classes that share one have two): its name, size and sketch."""
+    kept = sets.filter("n_shingles > 0").groupBy("key_lo", "key_hi").agg(F.first("n_shingles").alias(f"n_{name}"), F.first("sketch").alias(f"sketch_{name}"))
+    return kept.drop("key_hi").withColumnRenamed("key_lo", name)
 
 
-def likely_links(sets: DataFrame, met: DataFrame, percent: int) -> DataFrame:
-    """(u, v) of met, without the pairs whose sketches show that their sets are not similar."""
-    sketches = sets.filter("n_shingles > 0").select("key_lo", "n_shingles", "sketch").distinct()
-    of = lambda c: sketches.select(F.col("key_lo").alias(c), F.col("n_shingles").alias(f"n_{c}"), F.col("sketch").alias(f"sketch_{c}"))
+def likely_pairs(sets: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
+    """(u, v) without the pairs whose sketches show that their sets are not similar."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -229,15 +240,60 @@ def likely_links(sets: DataFrame, met: DataFrame, percent: int) -> DataFrame:
             least = np.fromiter(map(least_difference, batch.column("sketch_u").to_pylist(), batch.column("sketch_v").to_pylist()), np.int64, len(n))
             yield batch.select(["u", "v"]).filter(pa.array((100 + percent) * least <= (100 - percent) * n))
 
-    compared = met.filter("not sure").select("u", "v").join(of("u"), "u").join(of("v"), "v")
-    return met.filter("sure").select("u", "v").union(compared.mapInArrow(run, "u long, v long"))
+    compared = pairs.join(sketches_of(sets, "u"), "u").join(sketches_of(sets, "v"), "v")
+    return compared.mapInArrow(run, "u long, v long")
+
+
+def folded(bits: np.ndarray, cells: int) -> np.ndarray:
+    """Sketches, a row each of 64-bit words, folded to so many cells."""
+    while bits.shape[1] * 64 > cells:
+        half = bits.shape[1] // 2
+        bits = bits[:, :half] ^ bits[:, half:]
+    return bits
+
+
+def may_link(sizes: np.ndarray, sketches: list[bytes], percent: int) -> np.ndarray:
+    """Boolean matrix of the pairs that neither sizes nor sketches show not to be similar."""
+    sizes = sizes.astype(np.int64)
+    out = 100 * np.minimum(sizes[:, None], sizes[None, :]) >= percent * np.maximum(sizes[:, None], sizes[None, :])
+    lengths = np.array([8 * len(x) for x in sketches])
+    for cells in np.unique(lengths):  # pairs whose shorter sketch has so many cells
+        rows = np.flatnonzero(lengths >= cells)
+        own = np.flatnonzero(lengths == cells)
+        bits = np.concatenate([folded(np.frombuffer(b"".join(sketches[i] for i in rows[lengths[rows] == c]), np.uint64).reshape(-1, c // 64), cells) for c in np.unique(lengths[rows])])
+        order = np.concatenate([rows[lengths[rows] == c] for c in np.unique(lengths[rows])])
+        mine = bits[: len(own)]  # the shortest come first
+        least = np.zeros((len(own), len(order)), np.int32)
+        for word in range(bits.shape[1]):
+            least += np.bitwise_count(mine[:, word, None] ^ bits[None, :, word])
+        fits = (100 + percent) * least <= (100 - percent) * (sizes[own][:, None] + sizes[order][None, :])
+        out[np.ix_(own, order)] &= fits
+        out[np.ix_(order, own)] &= fits.T
+    np.fill_diagonal(out, True)
+    return out
+
+
+def bucket_forests(sets: DataFrame, members: DataFrame, percent: int) -> DataFrame:
+    """(u, v): for each large bucket, forests that span the classes which sketches do not tell apart. members: sig, u."""
+    counts = members.groupBy("sig").agg(F.ceil(F.count("*") / BLOCK_SETS).cast("int").alias("n_blocks"))
+    dealt = members.join(counts, "sig").join(sketches_of(sets, "u"), "u").withColumn("block", F.pmod(F.xxhash64("u"), F.col("n_blocks")).cast("int"))
+    met = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("n_blocks") - 1)))
+
+    def compare(group: pa.Table) -> pa.Table:
+        ids = group.column("u").to_numpy()
+        linked = may_link(group.column("n_u").to_numpy(), group.column("sketch_u").to_pylist(), percent)
+        least = ids[link_labels(linked)]
+        return pa.table({"u": ids, "v": least}).filter(pa.array(ids != least))
+
+    met = met.select("sig", F.least("block", "other").alias("p"), F.greatest("block", "other").alias("q"), "u", "n_u", "sketch_u")
+    return met.groupBy("sig", "p", "q").applyInArrow(compare, "u long, v long")
 
 
 def link_labels(linked: np.ndarray) -> np.ndarray:
     """The least index of each row's component in a symmetric boolean matrix with a true diagonal."""
-    labels = np.arange(len(linked))
+    labels = np.arange(len(linked), dtype=np.int32)
     while True:
-        least = np.where(linked, labels[None, :], len(linked)).min(axis=1)
+        least = np.where(linked, labels[None, :], np.int32(len(linked))).min(axis=1)
         least = least[least]
         if (least == labels).all():
             return labels
@@ -272,18 +328,26 @@ def linked_pairs(sets: list[np.ndarray], percent: int) -> np.ndarray:
     return linked
 
 
-def verify_groups(classes: DataFrame, percent: int) -> DataFrame:
-    """(u, v, links, member): for each class of a candidate group, a component root in each block pair and the documents it
-    links to there. classes: comp, cls, n_docs, n_shingles, grams."""
-    weights = classes.groupBy("comp").agg(F.count("*").alias("m"), F.sum("n_shingles").alias("g"))
-    n_blocks = F.greatest(F.ceil(F.col("m") / BLOCK_SETS), F.ceil(F.col("g") / BLOCK_GRAMS)).cast("int")
-    dealt = classes.join(weights.select("comp", n_blocks.alias("n_blocks")), "comp").withColumn("block", F.pmod(F.xxhash64("cls"), F.col("n_blocks")).cast("int"))
-    # each block meets each other block of its group once, and itself
-    met = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("n_blocks") - 1)))
-    met = met.withColumns({"p": F.least("block", "other"), "q": F.greatest("block", "other")})
+def verify_groups(classes: DataFrame, percent: int, scratch: Scratch) -> DataFrame:
+    """(u, v, links): for each class of a candidate group, a component root in each block pair and the documents it links to
+    there. classes: comp, cls, n_docs, n_shingles, grams. A group of more than a block is cut into bands of sizes first:
+    classes link within a band or with the next."""
+    n_blocks = F.greatest(F.ceil(F.count("*") / BLOCK_SETS), F.ceil(F.sum("n_shingles") / BLOCK_GRAMS)).cast("int").alias("n_blocks")
+    # staged, so that joins with them can be split where one group is large
+    whole = scratch(classes.groupBy("comp").agg(n_blocks).select("comp", (F.col("n_blocks") > 1).alias("is_cut")), "whole")
+    width = math.log(100 / percent) * (1 + 1e-6) if percent < 100 else 1e-6  # a little more than similar sizes differ
+    banded = classes.join(whole, "comp").withColumn("band", F.when(F.col("is_cut"), F.floor(F.log("n_shingles") / width)).otherwise(0).cast("int"))
+    blocks = scratch(banded.groupBy("comp", "band").agg(n_blocks), "blocks")
+    dealt = banded.join(blocks, ["comp", "band"]).withColumn("block", F.pmod(F.xxhash64("cls"), F.col("n_blocks")).cast("int"))
+    # a block meets those of its own band and of the next, each once; smaller bands meet it in turn
+    near = F.transform(F.array(F.lit(-1), F.lit(0), F.lit(1)), lambda step: F.col("band") + step)
+    other = blocks.select("comp", F.col("band").alias("other_band"), F.explode(F.sequence(F.lit(0), F.col("n_blocks") - 1)).alias("other"))
+    met = dealt.withColumn("other_band", F.explode(near)).join(other, ["comp", "other_band"])
+    own, theirs = F.struct(F.col("band").alias("b"), F.col("block").alias("k")), F.struct(F.col("other_band").alias("b"), F.col("other").alias("k"))
+    met = met.withColumns({"p": F.least(own, theirs), "q": F.greatest(own, theirs)})
 
     def compare(group: pa.Table) -> pa.Table:
-        block = group.column("block").to_numpy()
+        block = group.column("band").to_numpy().astype(np.int64) << 32 | group.column("block").to_numpy()
         ids, docs = group.column("cls").to_numpy(), group.column("n_docs").to_numpy()
         sets = [np.frombuffer(x, np.uint64) for x in group.column("grams").to_pylist()]
         linked = linked_pairs(sets, percent)
@@ -292,7 +356,7 @@ def verify_groups(classes: DataFrame, percent: int) -> DataFrame:
         links = counted.astype(np.int64) @ docs
         return pa.table({"u": ids, "v": ids[link_labels(linked)], "links": links})
 
-    return met.select("comp", "p", "q", "block", "cls", "n_docs", "grams").groupBy("comp", "p", "q").applyInArrow(compare, "u long, v long, links long")
+    return met.select("comp", "p", "q", "band", "block", "cls", "n_docs", "grams").groupBy("comp", "p", "q").applyInArrow(compare, "u long, v long, links long")
 
 
 def jaccard_components(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
@@ -304,42 +368,42 @@ def jaccard_components(docs: DataFrame, words: int = 5, percent: int = 80) -> Da
     other; other columns are ignored; an empty table gives no rows.
     """
     docs = docs.select("doc_id", "text")
-    wide = PartEnum(percent).k2 > 0  # signatures cover so many n-grams that sets rarely meet without being similar
-    sets = stage(shingle_sets(docs, words, False, not wide), "jaccard-sets")
-    sigs = signature_rows(docs, words, percent).repartition("sig")
-    if wide:
-        # the first class of a bucket stands for it: links run to it alone, and nothing but the row before is kept in memory
-        in_bucket = F.first("cls").over(Window.partitionBy("sig").orderBy("cls").rowsBetween(Window.unboundedPreceding, Window.currentRow))
-        edges = sigs.select("cls", in_bucket.alias("rep")).filter("cls <> rep").select(F.col("cls").alias("u"), F.col("rep").alias("v"))
-    else:
-        met = stage(bucket_links(sigs.sortWithinPartitions("sig", "cls")).distinct(), "jaccard-met")
-        edges = likely_links(sets, met, percent)
-        sets = sets.drop("sketch")
-    groups = stage(connected_components(edges, stage).select(F.col("node").alias("key_lo"), F.col("component").alias("comp")), "jaccard-groups")
+    scratch = Scratch(docs.sparkSession)
+    sets = scratch(shingle_sets(docs, words, False, True), "sets")
+    sigs = signature_rows(docs, words, percent).repartition("sig").sortWithinPartitions("sig", "cls")
+    met = scratch(bucket_pairs(sigs), "met")
+    likely = likely_pairs(sets, met.filter("v is not null").select("u", "v").distinct(), percent)
+    edges = likely.union(bucket_forests(sets, met.filter("v is null").select("sig", "u"), percent))
+    groups = scratch(connected_components(edges, scratch).select(F.col("node").alias("key_lo"), F.col("component").alias("comp")), "groups")
+    scratch.drop("met", "cc")
     n_grouped = groups.count()
     # one document of each class in a group brings its n-grams
-    classes = stage(
-        join_bounded(sets.filter("n_shingles > 0"), groups, ["key_lo"], "inner", n_grouped)
+    classes = scratch(
+        join_bounded(sets.filter("n_shingles > 0").drop("sketch"), groups, ["key_lo"], "inner", n_grouped)
         .groupBy("key_lo", "key_hi", "comp").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("n_docs")),
-        "jaccard-classes",
+        "classes",
     )
     ids = classes.select("doc_id").distinct()
     chosen = join_bounded(docs, ids.withColumnRenamed("doc_id", "chosen"), docs["doc_id"].cast("long").eqNullSafe(F.col("chosen")), "left_semi", n_grouped)
     brought = shingle_sets(chosen, words, True).groupBy("key_lo", "key_hi").agg(F.first("grams").alias("grams"), F.first("n_shingles").alias("n_shingles"))
     # a class is named by a number of its own: the digest's halves could clash one by one
     named = classes.drop("doc_id").join(brought, ["key_lo", "key_hi"]).withColumn("cls", F.xxhash64("key_lo", "key_hi"))
-    verified = stage(verify_groups(named.select("comp", "cls", "n_docs", "n_shingles", "grams"), percent), "jaccard-verified")
-    component = connected_components(verified.select("u", "v"), stage)
+    named = scratch(named.select("comp", "cls", "n_docs", "n_shingles", "grams"), "named")
+    verified = scratch(verify_groups(named, percent, scratch), "verified")
+    scratch.drop("named", "groups")
+    component = connected_components(verified.select("u", "v"), scratch)
     links = verified.groupBy(F.col("u").alias("cls")).agg((F.sum("links") - 1).alias("n_links"))
     keyed = classes.select("key_lo", "key_hi", F.xxhash64("key_lo", "key_hi").alias("cls"), F.col("doc_id").alias("class_doc"))
     found = keyed.join(component.withColumnRenamed("node", "cls"), "cls", "left").join(links, "cls", "left").withColumn("component", F.coalesce("component", "cls"))
-    found = stage(found, "jaccard-found")
+    found = scratch(found, "found")
+    scratch.drop("verified", "cc", "classes")
     least = found.groupBy("component").agg(F.min("class_doc").alias("group_doc"))
     found = found.join(least, "component").select("key_lo", "key_hi", "group_doc", "n_links")
     # classes outside the groups: copies of each other and nothing else
     alone = sets.filter("n_shingles > 0").groupBy("key_lo", "key_hi").agg(F.min("doc_id").alias("copy_doc"), F.count("*").alias("copies"))
     known = alone.join(found, ["key_lo", "key_hi"], "left")
     known = known.select("key_lo", "key_hi", F.coalesce("group_doc", "copy_doc").alias("component_doc"), F.coalesce("n_links", F.col("copies") - 1).alias("known_links"))
+    known = scratch(known, "known")  # so that both sides of the last join can be split where one class has many copies
     out = sets.join(known, ["key_lo", "key_hi"], "left")
     empty = F.col("n_shingles") == 0
     return out.select(
@@ -354,9 +418,20 @@ def drop_near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) ->
 
     Rows with null ids stay. Of repeated rows with one id and text one stays.
     """
-    kept = jaccard_components(docs, words, percent).filter("component_id is null or doc_id = component_id").select("doc_id").distinct()
-    stays = docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])
-    return stays.unionByName(docs.filter("doc_id is null"))
+    scratch = Scratch(docs.sparkSession)
+    judged = scratch(jaccard_components(docs, words, percent).filter("doc_id is not null").select("doc_id", (F.col("doc_id") != F.col("component_id")).alias("goes")), "judged")
+    n_gone = judged.filter("goes").count()
+    marked = unused(docs, "marked_id")
+    gone = judged.filter("goes").select(F.col("doc_id").alias(marked))
+    stays = join_bounded(docs, gone, docs["doc_id"].cast("long") == F.col(marked), "left_anti", n_gone)
+    # only ids that occur again can be repeated rows; the others' texts are not shuffled
+    again = scratch(judged.filter("not goes").groupBy(F.col("doc_id").alias(marked)).count().filter("count > 1").select(marked), "again")
+    n_again = again.count()
+    if not n_again:
+        return stays
+    on = stays["doc_id"].cast("long") == F.col(marked)
+    once = join_bounded(stays, again, on, "left_anti", n_again)
+    return once.unionByName(join_bounded(stays, again, on, "left_semi", n_again).dropDuplicates(["doc_id", "text"]))
 
 
 def op5_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
