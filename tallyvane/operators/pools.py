@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from tallyvane.operators.ranks import numbered
 from tallyvane.operators.splits import seeded_key
 
 FLOOR, SHARE_CAP, ROUNDS, REPEAT_CAP = 50, 0.40, 10, 3.0
@@ -52,7 +53,9 @@ def reweight(rows: DataFrame, group: str, key: str, total: int, temperature: flo
     per = {g: (min(t, math.ceil(repeat_cap) * counts[g]), counts[g]) for g, t in targets.items()}
     whole = F.create_map(*[F.lit(x) for g, (t, n) in per.items() for x in (g, t // n)]) if per else F.create_map()
     rest = F.create_map(*[F.lit(x) for g, (t, n) in per.items() for x in (g, t % n)]) if per else F.create_map()
-    rank = F.row_number().over(Window.partitionBy(group).orderBy(seeded_key(key), key))
-    copies = F.element_at(whole, F.col(group)) + F.when(F.col("_rank") <= F.element_at(rest, F.col(group)), 1).otherwise(0)
-    kept = rows.withColumn("_rank", rank).withColumn("_copies", copies).filter("_copies > 0")
-    return kept.withColumn("copy_no", F.explode(F.sequence(F.lit(1), F.col("_copies").cast("int")))).drop("_rank", "_copies")
+    hashed = rows.withColumn("_hash", seeded_key(key))
+    # the hash's first digits cut a group into even pieces
+    ranked = numbered(hashed, [group], "_hash", key, piece=F.conv(F.substring("_hash", 1, 2), 16, 10).cast("int"))
+    copies = F.element_at(whole, F.col(group)) + F.when(F.col("rank") <= F.element_at(rest, F.col(group)), 1).otherwise(0)
+    kept = ranked.withColumn("_copies", copies).filter("_copies > 0")
+    return kept.select(*rows.columns, F.explode(F.sequence(F.lit(1), F.col("_copies").cast("int"))).alias("copy_no"))

@@ -8,6 +8,7 @@ from pyspark.sql.window import Window
 
 from tallyvane.operators import joins, stats
 from tallyvane.operators import metrics as M
+from tallyvane.operators.ranks import numbered
 from tallyvane.plans.queries import query
 from tallyvane.sources.fixtures import SAMPLES_SQL, samples, table
 
@@ -168,21 +169,21 @@ def carry_forward(spark: SparkSession, d: str) -> DataFrame:
 
 @query("w9_selective_accuracy", "WITH v AS (SELECT event_type, value, event_id, CASE WHEN event_id % 3 = 0 THEN 1e0 ELSE 0e0 END AS em, row_number() OVER (PARTITION BY event_type ORDER BY value DESC, event_id) AS rn, count(*) OVER (PARTITION BY event_type) AS n FROM events) SELECT event_type, count(*) AS kept, sum(em) / count(*) AS accuracy FROM v WHERE rn <= greatest(1, round_even(n * 0.5e0, 0)) GROUP BY event_type")
 def selective_accuracy(spark: SparkSession, d: str) -> DataFrame:
-    by = Window.partitionBy("event_type")
     e = table(spark, d, "events").select("event_type", "event_id", "value", (F.col("event_id") % 3 == 0).cast("double").alias("em"))
-    ranked = e.withColumns({"rn": F.row_number().over(by.orderBy(F.desc("value"), "event_id")), "n": F.count("*").over(by)})
-    return ranked.filter(F.col("rn") <= F.greatest(F.lit(1.0), F.rint(F.col("n") * 0.5))).groupBy("event_type").agg(F.count("*").alias("kept"), F.avg("em").alias("accuracy"))
+    ranked = numbered(e, ["event_type"], "value", "event_id", descending=True)
+    kept = ranked.filter(F.col("rank") <= F.greatest(F.lit(1.0), F.rint(F.col("group_n") * 0.5)))
+    return kept.groupBy("event_type").agg(F.count("*").alias("kept"), F.avg("em").alias("accuracy"))
 
 
 @query("w10_precision_cliff", "WITH v AS (SELECT event_type, row_number() OVER w AS k, avg(CASE WHEN event_id % 3 = 0 THEN 1e0 ELSE 0e0 END) OVER (PARTITION BY event_type ORDER BY value DESC, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS prec FROM events WINDOW w AS (PARTITION BY event_type ORDER BY value DESC, event_id)), f AS (SELECT event_type, k, min(CASE WHEN k >= 10 AND prec < 0.3e0 THEN 0 ELSE 1 END) OVER (PARTITION BY event_type ORDER BY k) AS ok FROM v) SELECT event_type, max(CASE WHEN ok = 1 AND k >= 10 THEN k END) AS cliff FROM f GROUP BY event_type")
 def precision_cliff(spark: SparkSession, d: str) -> DataFrame:
     """The last rank of at least 10 before running precision first falls below 0.3."""
-    by = Window.partitionBy("event_type").orderBy(F.desc("value"), "event_id")
-    run = by.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    hit = (F.col("event_id") % 3 == 0).cast("double")
-    v = table(spark, d, "events").select("event_type", "value", "event_id").withColumns({"k": F.row_number().over(by), "prec": F.avg(hit).over(run)})
-    ok = F.min(F.when((F.col("k") >= 10) & (F.col("prec") < 0.3), 0).otherwise(1)).over(run)
-    return v.withColumn("ok", ok).groupBy("event_type").agg(F.max(F.when((F.col("ok") == 1) & (F.col("k") >= 10), F.col("k").cast("long"))).alias("cliff"))
+    e = table(spark, d, "events").select("event_type", "value", "event_id")
+    ranked = numbered(e, ["event_type"], "value", "event_id", descending=True, sums={"hits": (F.col("event_id") % 3 == 0).cast("long")})
+    falls = (F.col("rank") >= 10) & (F.col("hits") / F.col("rank") < 0.3)
+    ends = ranked.groupBy("event_type").agg(F.min(F.when(falls, F.col("rank"))).alias("fall"), F.max("rank").alias("n"))
+    last = F.coalesce(F.col("fall") - 1, F.col("n"))
+    return ends.select("event_type", F.when(last >= 10, last).alias("cliff"))
 
 
 @query("t5_contamination", f"{S}, w AS (SELECT okey, u_stored, latency_ms, row_number() OVER (ORDER BY u_stored DESC, latency_ms DESC, okey) AS rn FROM s WHERE decision = 'STORE' AND COALESCE(em, 0e0) = 0e0) SELECT okey, u_stored, latency_ms FROM w WHERE rn <= 10")

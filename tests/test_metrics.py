@@ -3,7 +3,7 @@ import math
 import pytest
 from pyspark.sql import functions as F
 
-from tallyvane.operators import calibration, metrics, pools, splits, stats
+from tallyvane.operators import calibration, metrics, pools, ranks, splits, stats
 from tallyvane.operators.loops import best_rouge_l, lcs_length, spaced_rouge_l
 from tallyvane.operators.scoring import harness_scores
 
@@ -177,5 +177,19 @@ def test_split_is_disjoint_and_whole(spark):
         splits.disjoint_split(spark.range(5), "id", (("x", 0.5),))
 
 
+@pytest.mark.parametrize("descending", [False, True])
+def test_ranks_and_running_sums_by_pieces(spark, descending):
+    rows = [(i, "ab"[i % 3 == 0], float((i * 37) % 50) if i % 11 else None, i % 4) for i in range(400)] + [(1000 + i, "a", 7.0, 1) for i in range(100)] + [(2000, None, 1.0, 1)]
+    frame = spark.createDataFrame(rows, "k long, g string, v double, x long")
+    got = {r["k"]: (r["rank"], r["group_n"], r["s"]) for r in ranks.numbered(frame, ["g"], "v", "k", descending, {"s": F.col("x")}).collect()}
+    wanted = {}
+    for g in "ab":
+        own = sorted((r for r in rows if r[1] == g and r[2] is not None), key=lambda r: (-r[2] if descending else r[2], r[0]))
+        for n, r in enumerate(own):
+            wanted[r[0]] = (n + 1, len(own), sum(x[3] for x in own[: n + 1]))
+    assert got == wanted
+    assert ranks.numbered(frame.limit(0), [], "v", "k").count() == 0
+
+
 def test_lcs():
     assert lcs_length("a b c d".split(), "b x d".split()) == 2 and lcs_length([], ["a"]) == 0 and lcs_length(["a", "a"], ["a"]) == 1
