@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -41,6 +42,37 @@ def load_triviaqa(rows: DataFrame) -> DataFrame:
     return _benchmark(rows, "triviaqa", F.col("question"), answers, F.lit(None).cast("string"), F.col("id"))
 
 
+def load_natural_questions(rows: DataFrame) -> DataFrame:
+    """All accepted answers; rows without any are left out."""
+    kept = rows.filter(F.size("answer") > 0)
+    return _benchmark(kept, "natural_questions", F.col("question"), F.col("answer"), F.lit(None).cast("string"), F.col("id"))
+
+
+def load_truthfulqa(rows: DataFrame) -> DataFrame:
+    """The correct answers; rows without any are left out."""
+    kept = rows.filter(F.size("correct_answers") > 0)
+    return _benchmark(kept, "truthfulqa", F.col("question"), F.col("correct_answers"), F.lit(None).cast("string"), F.col("id"))
+
+
+def load_asqa(rows: DataFrame) -> DataFrame:
+    """The long answers of the annotations, else the single answer; rows without a question or an answer are left out."""
+    none = F.lit(None).cast("string")
+    at = lambda c: F.col(c) if c in rows.columns else none
+    filled = lambda c: F.nullif(F.coalesce(c, F.lit("")), F.lit(""))
+    question = F.coalesce(filled(at("ambiguous_question")), filled(at("question")))
+    long = F.filter(F.transform("annotations", lambda a: a["long_answer"]), lambda x: x.isNotNull() & (x != "")) if "annotations" in rows.columns else F.array().cast("array<string>")
+    single = F.array_compact(F.array(filled(at("answer"))))
+    answers = F.when(F.coalesce(F.size(long), F.lit(0)) > 0, long).otherwise(single)
+    made = _benchmark(rows, "asqa", question, answers, none, at("sample_id"))
+    return made.filter(F.col("question").isNotNull() & (F.size("answers") > 0))
+
+
+def load_hotpotqa(rows: DataFrame) -> DataFrame:
+    """One answer a question; rows without either are left out."""
+    kept = rows.filter("coalesce(question, '') <> '' and coalesce(answer, '') <> ''")
+    return _benchmark(kept, "hotpotqa", F.col("question"), F.array("answer"), F.lit(None).cast("string"), F.col("id"))
+
+
 def load_choices(rows: DataFrame, name: str) -> DataFrame:
     question = F.concat(F.col("question"), F.lit(" "), _choices(F.col("choices.label"), F.col("choices.text")), F.lit(" Give the multiple choice letter."))
     return _benchmark(rows, name, question, F.array("answer"), F.col("answer"), F.col("id"))
@@ -50,7 +82,10 @@ LOADERS: dict[str, Callable[[DataFrame], DataFrame]] = {
     "fever": load_fever,
     "strategyqa": load_strategyqa,
     "triviaqa": load_triviaqa,
-    "natural_questions": load_triviaqa,
+    "natural_questions": load_natural_questions,
+    "truthfulqa": load_truthfulqa,
+    "asqa": load_asqa,
+    "hotpotqa": load_hotpotqa,
     "arc_challenge": lambda rows: load_choices(rows, "arc_challenge"),
     "commonsense_qa": lambda rows: load_choices(rows, "commonsense_qa"),
 }
@@ -100,6 +135,31 @@ def write_jsonl(df: DataFrame, path: str, append: bool = False) -> None:
     df.write.mode("append" if append else "overwrite").json(path)
 
 
+def write_signals(df: DataFrame, path: str, cycle: int, benchmark: str) -> None:
+    """Signal records as lines of JSON, each under this cycle and benchmark, whatever it had there before."""
+    write_jsonl(df.withColumns({"cycle": F.lit(cycle), "benchmark": F.lit(benchmark)}), path)
+
+
+def append_audit(audit: DataFrame, path: str) -> None:
+    """Outcomes of a consolidation after those of the ones before."""
+    write_jsonl(audit, path, append=True)
+
+
+def write_atomic(df: DataFrame, path: str) -> None:
+    """A table as JSON that is at `path` whole or not at all: written beside it, then renamed into its place."""
+    spark = df.sparkSession
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    beside, there = (jvm.org.apache.hadoop.fs.Path(p) for p in (f"{path}.writing-{uuid.uuid4().hex}", path))
+    files = there.getFileSystem(conf)
+    try:
+        df.write.json(beside.toString())
+        files.delete(there, True)
+        if not files.rename(beside, there):
+            raise OSError(f"could not move {beside} to {path}")
+    finally:
+        files.delete(beside, True)
+
+
 def save_snapshot(entries: DataFrame, folder: str, cycle: int) -> None:
     """A cycle's snapshot; writing the same cycle again replaces it alone."""
     entries.write.mode("overwrite").parquet(f"{folder}/cycle={cycle}")

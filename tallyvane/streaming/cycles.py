@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from tallyvane.operators import corpus
+
 
 def event_windows(events: DataFrame, size: str = "1 day", slide: str | None = None, late: str = "1 day") -> DataFrame:
     """Counts and sums of events (ts, event_type, value) per time window and type; rows later than `late` are dropped by the
@@ -29,5 +31,12 @@ def maintain(stream: DataFrame, cycle: Callable[[DataFrame, int], None], checkpo
     return stream.writeStream.foreachBatch(cycle).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+def scan_corpus(spark: SparkSession, folder: str, schema: str, sink: Callable[[DataFrame, int], None], checkpoint: str, files: int = 100) -> StreamingQuery:
+    """The passages of articles (id, title, text) in the Parquet files of a folder, so many files at a time: `sink(passages,
+    number)` is called for each batch, and a later call goes on with files that are new since."""
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", files).parquet(folder)
+    return maintain(stream, lambda batch, number: sink(corpus.passages(batch, "id", "text", "title"), number), checkpoint)
+
+
 def read_events(spark: SparkSession, folder: str, schema: str) -> DataFrame:
     return spark.readStream.schema(schema).parquet(folder)

@@ -253,6 +253,37 @@ def test_loaders(spark):
     assert [r["gold_label"] for r in files.synthetic_samples(spark, "fever", 4).orderBy("id").collect()] == ["supports", "refutes", "not enough info", "supports"]
     with pytest.raises(ValueError):
         files.load_benchmark("unknown", rows)
+    nq = spark.createDataFrame([("q", ["a", "b"], 1), ("r", [], 2)], "question string, answer array<string>, id int")
+    assert [r["answers"] for r in files.load_benchmark("natural_questions", nq).collect()] == [["a", "b"]]
+    truth = nq.withColumnRenamed("answer", "correct_answers")
+    assert [(r["id"], r["benchmark"]) for r in files.load_benchmark("truthfulqa", truth).collect()] == [("1", "truthfulqa")]
+    asqa = spark.createDataFrame([("q", "", [("long",), ("",)], "z", "s1"), ("", "r", [], "single", "s2"), ("x", "", None, "", "s3"), ("", "", [("a",)], "", "s4")], "ambiguous_question string, question string, annotations array<struct<long_answer:string>>, answer string, sample_id string")
+    assert sorted((r["id"], r["question"], tuple(r["answers"])) for r in files.load_benchmark("asqa", asqa).collect()) == [("s1", "q", ("long",)), ("s2", "r", ("single",))]
+    hotpot = spark.createDataFrame([("q", "a", "h1"), ("", "a", "h2"), ("q", None, "h3")], "question string, answer string, id string")
+    assert [(r["id"], r["answers"]) for r in files.load_benchmark("hotpotqa", hotpot).collect()] == [("h1", ["a"])]
+
+
+def test_sinks(spark, tmp_path):
+    rows = spark.createDataFrame([(1, 9, "old")], "k long, cycle int, benchmark string")
+    files.write_signals(rows, str(tmp_path / "signals"), 3, "fever")
+    assert spark.read.json(str(tmp_path / "signals")).select("k", "cycle", "benchmark").first() == (1, 3, "fever")
+    for _ in range(2):
+        files.append_audit(rows, str(tmp_path / "audit"))
+    assert spark.read.json(str(tmp_path / "audit")).count() == 2
+    files.write_atomic(rows, str(tmp_path / "result"))
+    files.write_atomic(rows.union(rows), str(tmp_path / "result"))
+    with pytest.raises(Exception):
+        files.write_atomic(rows.withColumn("x", F.raise_error(F.lit("stop")).cast("int")), str(tmp_path / "result"))
+    assert spark.read.json(str(tmp_path / "result")).count() == 2 and sorted(p.name for p in tmp_path.iterdir()) == ["audit", "result", "signals"]
+
+
+def test_corpus_scan_goes_on_with_new_files(spark, tmp_path):
+    article = lambda k: spark.createDataFrame([(k, f"T{k}", "some words " * 30)], "id long, title string, text string")
+    seen = []
+    for k in (1, 2):
+        article(k).write.mode("append").parquet(str(tmp_path / "in"))
+        cycles.scan_corpus(spark, str(tmp_path / "in"), "id long, title string, text string", lambda p, n: seen.append((n, sorted(r["chunk"][:3] for r in p.collect()))), str(tmp_path / "cp")).awaitTermination()
+    assert seen == [(0, ["T1:"]), (1, ["T2:"])]
 
 
 def test_stream_cycles_and_windows(spark, tmp_path):
