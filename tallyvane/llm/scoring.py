@@ -28,7 +28,7 @@ BACKOFF = 0.4
 #: Longest n-gram.
 ORDER = 2
 #: Words in a block, n-grams in a partition of the count table.
-BLOCK_WORDS, TABLE_GRAMS = 1_000_000, 2_000_000
+BLOCK_WORDS, TABLE_GRAMS = 500_000, 1_000_000
 
 
 def _mix(a: np.ndarray, b: np.ndarray | np.uint64) -> np.ndarray:
