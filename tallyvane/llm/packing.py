@@ -283,7 +283,8 @@ def curve_keys(ids: np.ndarray, lengths: np.ndarray, vocabulary: int) -> np.ndar
     """Hilbert key of each document from the ids of all, one after the other."""
     bucket, sign, projection = _tables(vocabulary)
     at = np.repeat(np.arange(len(lengths)) * BUCKETS, lengths) + bucket[ids]
-    vectors = np.bincount(at, weights=sign[ids], minlength=len(lengths) * BUCKETS).reshape(-1, BUCKETS)
+    vectors = np.bincount(at, weights=sign[ids], minlength=len(lengths) * BUCKETS)
+    vectors = vectors.astype(np.float64).reshape(-1, BUCKETS)  # of no ids at all bincount makes integers
     norms = np.linalg.norm(vectors, axis=1, keepdims=True)
     projected = np.divide(vectors, norms, out=np.zeros_like(vectors), where=norms > 0) @ projection
     spread = 1 / (1 + np.exp(-1.702 * projected))  # about the normal distribution function: coordinates become even

@@ -80,6 +80,14 @@ def test_packing_round_trip(docs, rows, nothing):
     assert packing.pack(nothing).count() == 0
 
 
+@pytest.mark.parametrize("texts", [[None], ["", ""], ["   "], [None, "", "\t\n"]])
+def test_packing_of_blank_texts_alone(spark, texts):
+    """A slice of texts without a single id: each is a document of one token."""
+    got = packing.piece_digests(packing.pack(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1))).collect()
+    assert sorted(r["doc_id"] for r in got) == list(range(len(texts)))
+    assert all((r["start"], r["length"], r["doc_tokens"]) == (0, 1, 1) and r["ids_crc32"] == zlib.crc32(struct.pack("<I", packing.END_ID)) for r in got)
+
+
 def test_packing_puts_copies_together(docs, rows):
     keys = {r["doc_id"]: r["curve_key"] for r in packing.pack(docs).select("doc_id", "curve_key").collect()}
     assert keys[0] == keys[13] == keys[17]
