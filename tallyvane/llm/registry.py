@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tallyvane.llm import audio, collocation, jaccard, mixing, packing, pii, scoring, sharding, substring, topk, toxicity
+from tallyvane.llm import audio, collocation, jaccard, lines, mixing, packing, pii, scoring, sharding, substring, topk, toxicity
 
 QUERIES = {
     "op1_packing": packing.op1_packing,
@@ -16,5 +16,6 @@ QUERIES = {
     "op9_audio": audio.op9_audio,
     "op10_sharding": sharding.op10_sharding,
     "op11_collocation": collocation.op11_collocation,
+    "op12_lines": lines.op12_lines,
 }
-ORACLE_SQL = {"op4_topk": topk.ORACLE_SQL, "op3_mixing": mixing.ORACLE_SQL, "op11_collocation": collocation.ORACLE_SQL}
+ORACLE_SQL = {"op4_topk": topk.ORACLE_SQL, "op3_mixing": mixing.ORACLE_SQL, "op11_collocation": collocation.ORACLE_SQL, "op12_lines": lines.ORACLE_SQL}
