@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tallyvane.llm import audio, collocation, jaccard, lines, mixing, packing, pii, scoring, sharding, substring, topk, toxicity
+from tallyvane.llm import audio, collocation, jaccard, lines, mixing, packing, pii, scoring, sharding, substring, topk, toxicity, trie
 
 QUERIES = {
     "op1_packing": packing.op1_packing,
@@ -17,5 +17,6 @@ QUERIES = {
     "op10_sharding": sharding.op10_sharding,
     "op11_collocation": collocation.op11_collocation,
     "op12_lines": lines.op12_lines,
+    "op13_trie": trie.op13_trie,
 }
-ORACLE_SQL = {"op4_topk": topk.ORACLE_SQL, "op3_mixing": mixing.ORACLE_SQL, "op11_collocation": collocation.ORACLE_SQL, "op12_lines": lines.ORACLE_SQL}
+ORACLE_SQL = {"op4_topk": topk.ORACLE_SQL, "op3_mixing": mixing.ORACLE_SQL, "op11_collocation": collocation.ORACLE_SQL, "op12_lines": lines.ORACLE_SQL, "op13_trie": trie.ORACLE_SQL}
