@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from tallyvane.operators.ranks import upto
+
 from tallyvane.functions.text import MEASURED_EVASIVE, MEASURED_LEAK, any_of
 
 SUBTYPES = (
@@ -83,13 +85,12 @@ def auroc(rows: DataFrame, score: str, label: str, by: list[str], one_class: flo
     """Area under the ROC curve from counts per distinct score: ties count half; one class alone gives `one_class`, which may
     be null.
 
-    Sorting happens on distinct scores, never on all rows of a group.
+    Sorting happens on distinct scores, and on pieces of their order, never on all of a group.
     """
     counts = rows.filter(F.col(score).isNotNull()).groupBy(*by, score).agg(
         F.count(F.when(F.col(label) == 1, 1)).alias("pos"), F.count(F.when(F.coalesce(F.col(label) != 1, F.lit(True)), 1)).alias("neg")
     )
-    before = Window.partitionBy(*by).orderBy(score).rowsBetween(Window.unboundedPreceding, -1)
-    ranked = counts.withColumn("below", F.coalesce(F.sum("neg").over(before), F.lit(0)))
+    ranked = upto(counts, by, score, {"below": "neg"})
     wins = F.sum(F.col("pos") * (F.col("below") * 2 + F.col("neg")))
     both = F.sum("pos") * F.sum("neg")
     return ranked.groupBy(*by).agg(F.sum("pos").alias("n_pos"), F.sum("neg").alias("n_neg"), F.coalesce(wins / F.nullif(both * 2, F.lit(0)), F.lit(one_class).cast("double")).alias("auroc"))

@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 from pyspark.sql.window import Window
 
+from tallyvane.operators.ranks import upto
+
 
 def average_rank(column: str, by: list[str]):
     """Rank with ties at their mean."""
@@ -19,14 +21,14 @@ def average_rank(column: str, by: list[str]):
 def spearman(rows: DataFrame, x: str, y: str, by: list[str]) -> DataFrame:
     """Correlation of average ranks per group; 0 where a side is constant.
 
-    Ranks come from counts of distinct values by partial sums, so a value shared by many rows is sorted once.
+    Ranks come from counts of distinct values by partial sums, so a value shared by many rows is sorted once, and from pieces
+    of their order, so that no task has all values of a group.
     """
     known = rows.filter(F.col(x).isNotNull() & F.col(y).isNotNull()).groupBy(*by, x, y).agg(F.count("*").alias("_w"))
 
     def ranked(side: str, name: str) -> DataFrame:
         counts = known.groupBy(*by, side).agg(F.sum("_w").alias("_c"))
-        before = Window.partitionBy(*by).orderBy(side).rowsBetween(Window.unboundedPreceding, -1)
-        return counts.select(*by, side, (F.coalesce(F.sum("_c").over(before), F.lit(0)) + (F.col("_c") + 1) / 2.0).alias(name))
+        return upto(counts, by, side, {"_before": "_c"}).select(*by, side, (F.col("_before") + (F.col("_c") + 1) / 2.0).alias(name))
 
     both = known.join(ranked(x, "_rx"), [*by, x]).join(ranked(y, "_ry"), [*by, y])
     w = F.col("_w")
@@ -71,9 +73,8 @@ def wilcoxon(pairs: DataFrame, difference: str, by: list[str]) -> DataFrame:
     """
     d = F.col(difference)
     sizes = pairs.filter(d != 0).groupBy(*by, F.abs(d).alias("size")).agg(F.count(F.when(d > 0, 1)).alias("up"), F.count(F.when(d < 0, 1)).alias("down"))
-    before = Window.partitionBy(*by).orderBy("size").rowsBetween(Window.unboundedPreceding, -1)
     t = F.col("up") + F.col("down")
-    ranked = sizes.withColumn("rank", F.coalesce(F.sum(t).over(before), F.lit(0)) + (t + 1) / 2.0)
+    ranked = upto(sizes.withColumn("t", t), by, "size", {"below": "t"}).withColumn("rank", F.col("below") + (t + 1) / 2.0)
     sums = ranked.groupBy(*by).agg(F.sum(t).alias("n"), F.sum(F.col("rank") * F.col("up")).alias("r_up"), F.sum(F.col("rank") * F.col("down")).alias("r_down"), F.sum((t * t * t - t).cast("double")).alias("ties"))
     n = F.col("n").cast("double")
     spread = F.sqrt((n * (n + 1) * (2 * n + 1) - F.col("ties") / 2) / 24)

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tallyvane.operators import metrics as M
+from tallyvane.operators.ranks import exact_quantiles
 from tallyvane.plans.queries import query
 from tallyvane.sources.fixtures import SAMPLES_SQL, samples, table
 
@@ -158,7 +159,9 @@ def grounding_exceedance(spark: SparkSession, d: str) -> DataFrame:
 
 @query("a21_signal_medians", f"{S} SELECT benchmark, median(u_stored) AS u_stored, median(p_ground_max) AS p_ground_max, median(p_entail) AS p_entail FROM s WHERE decision = 'STORE' AND {RIGHT} GROUP BY benchmark")
 def signal_medians(spark: SparkSession, d: str) -> DataFrame:
-    return samples(spark, d).filter((F.col("decision") == "STORE") & M.is_correct()).groupBy("benchmark").agg(*(F.median(c).alias(c) for c in ("u_stored", "p_ground_max", "p_entail")))
+    """Medians by counting pieces of each signal's order: no task has a benchmark's rows."""
+    right, signals = samples(spark, d).filter((F.col("decision") == "STORE") & M.is_correct()), ("u_stored", "p_ground_max", "p_entail")
+    return exact_quantiles(right, ["benchmark"], signals, {"median": (0.5, True)}).select("benchmark", *(F.col(f"{c}_median").alias(c) for c in signals))
 
 
 @query("a22_u_buckets", f"{S} SELECT CASE WHEN u_stored < 0.2e0 THEN 0 WHEN u_stored < 0.45e0 THEN 1 WHEN u_stored < 0.6e0 THEN 2 WHEN u_stored < 0.8e0 THEN 3 WHEN u_stored < 1e0 THEN 4 END AS bucket, count(*) AS n, count(*) FILTER ({RIGHT}) AS correct FROM s WHERE u_stored < 1e0 GROUP BY 1")
@@ -238,10 +241,11 @@ def delivered(spark: SparkSession, d: str) -> DataFrame:
 
 @query("a35_latency", f"{S} SELECT tier, round(avg(latency_ms), 2) AS mean, median(latency_ms) AS median, quantile_disc(latency_ms, 0.95) AS p95, quantile_disc(latency_ms, 0.99) AS p99, min(latency_ms) AS lo, max(latency_ms) AS hi, round(stddev_pop(latency_ms), 4) AS sd FROM s GROUP BY tier")
 def latency(spark: SparkSession, d: str) -> DataFrame:
-    return samples(spark, d).groupBy("tier").agg(
-        F.round(F.avg("latency_ms"), 2).alias("mean"), F.median("latency_ms").alias("median"), F.expr("percentile_disc(0.95) WITHIN GROUP (ORDER BY latency_ms)").alias("p95"),
-        F.expr("percentile_disc(0.99) WITHIN GROUP (ORDER BY latency_ms)").alias("p99"), F.min("latency_ms").alias("lo"), F.max("latency_ms").alias("hi"), F.round(F.stddev_pop("latency_ms"), 4).alias("sd"),
-    )
+    """Percentiles are exact, by counting pieces of the order; the rest are plain aggregates."""
+    rows, wanted = samples(spark, d), {"median": (0.5, True), "p95": (0.95, False), "p99": (0.99, False)}
+    found = exact_quantiles(rows, ["tier"], ["latency_ms"], wanted).select("tier", *(F.col(f"latency_ms_{name}").alias(name) for name in wanted))
+    plain = rows.groupBy("tier").agg(F.round(F.avg("latency_ms"), 2).alias("mean"), F.min("latency_ms").alias("lo"), F.max("latency_ms").alias("hi"), F.round(F.stddev_pop("latency_ms"), 4).alias("sd"))
+    return plain.alias("a").join(found.alias("b"), F.col("a.tier").eqNullSafe(F.col("b.tier"))).select("a.*", *(F.col(f"b.{name}") for name in wanted))
 
 
 @query("a36_signal_profile", f"{S}, m AS (SELECT q_a_relevance, count(*) AS c FROM s WHERE q_a_relevance IS NOT NULL GROUP BY 1) SELECT (SELECT count(*) FILTER (q_a_relevance IS NULL) FROM s) AS missing, (SELECT count(DISTINCT q_a_relevance) FROM s) AS n_distinct, (SELECT max(c)::DOUBLE / sum(c) FROM m) AS modal_share")
