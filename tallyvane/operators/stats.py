@@ -3,8 +3,11 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
@@ -41,16 +44,22 @@ def spearman(rows: DataFrame, x: str, y: str, by: list[str]) -> DataFrame:
     return sums.select(*by, F.when((vx <= 0) | (vy <= 0), 0.0).otherwise(top / F.sqrt(vx) / F.sqrt(vy)).alias("rho"))
 
 
-def signal_matrix(rows: DataFrame, signals: list[str]) -> DataFrame:
-    """a, b, rho for each pair of signals: rank correlation over rows that have both; null where a side is constant."""
-    one, out = rows.withColumn("_all", F.lit(1)), None
-    for i, a in enumerate(signals):
-        for b in signals[i + 1 :]:
-            varied = rows.filter(F.col(a).isNotNull() & F.col(b).isNotNull()).agg((F.min(a) != F.max(a)).alias("va"), (F.min(b) != F.max(b)).alias("vb"))
-            found = spearman(one, a, b, ["_all"]).crossJoin(F.broadcast(varied))  # one row
-            pair = found.select(F.lit(a).alias("a"), F.lit(b).alias("b"), F.when(F.col("va") & F.col("vb"), F.col("rho")).alias("rho"))
-            out = pair if out is None else out.unionByName(pair)
-    return out
+def signal_matrix(rows: DataFrame, signals: list[str], by: list[str] | None = None) -> DataFrame:
+    """by, a, b, n, rho for each pair of signals: rank correlation over the rows that have both; null below three of them and
+    where a side is constant. NaN counts as missing. One scan serves all pairs.
+    """
+    by = by or []
+    pairs = [(a, b) for i, a in enumerate(signals) for b in signals[i + 1 :]]
+    known = lambda c: F.when(~F.isnan(F.col(c).cast("double")), F.col(c).cast("double"))
+    each = F.array(*(F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), known(a).alias("x"), known(b).alias("y")) for a, b in pairs))
+    long = rows.select(*by, F.explode(each).alias("e")).select(*by, "e.*")
+    keys = [*by, "a", "b"]
+    both = F.col("x").isNotNull() & F.col("y").isNotNull()
+    facts = long.groupBy(*keys).agg(F.count(F.when(both, 1)).alias("n"), *(f(F.when(both, F.col(c))).alias(f"{c}_{f.__name__}") for c in ("x", "y") for f in (F.min, F.max)))
+    found = spearman(long, "x", "y", keys)
+    varied = (F.col("n") >= 3) & (F.col("x_min") != F.col("x_max")) & (F.col("y_min") != F.col("y_max"))
+    joined = facts.join(found, keys, "left") if not by else facts.alias("f").join(found.alias("r"), [F.col(f"f.{k}").eqNullSafe(F.col(f"r.{k}")) for k in keys], "left").select("f.*", "r.rho")
+    return joined.select(*keys, "n", F.when(varied, F.col("rho")).alias("rho"))
 
 
 def signal_clusters(matrix: DataFrame, signals: list[str], limit: float) -> DataFrame:
@@ -129,3 +138,51 @@ def bootstrap_mean(rows: DataFrame, value: str, by: list[str], draws: int = 200,
     means = weighed.groupBy(*by, "draw").agg((F.sum(F.col("w") * F.col("v")) / F.nullif(F.sum("w"), F.lit(0.0))).alias("m"))
     bounds = means.groupBy(*by).agg(F.expr("percentile(m, 0.025)").alias("lo"), F.expr("percentile(m, 0.975)").alias("hi"))
     return counted.groupBy(*by).agg((F.sum(F.col("v") * F.col("n")) / F.sum("n")).alias("mean")).join(bounds, by)
+
+
+def poisson_weights(keys: np.ndarray, draws: int, seed: int) -> np.ndarray:
+    """Exact Poisson(1) weights, a row a key and a column a draw, by inverse distribution from a hash of both."""
+    with np.errstate(over="ignore"):
+        h = keys.view(np.uint64)[:, None] + (np.arange(draws, dtype=np.uint64) + np.uint64(seed * draws + 1)) * np.uint64(0x9E3779B97F4A7C15)
+        h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+        h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    uniform = ((h ^ (h >> np.uint64(31))) >> np.uint64(11)).astype(np.float64) / (1 << 53)
+    # beyond 20 the distribution is 1 in doubles
+    steps = np.cumsum([math.exp(-1) / math.factorial(k) for k in range(20)])
+    return np.searchsorted(steps, uniform, side="right").astype(np.float64)
+
+
+def paired_bootstrap(pairs: DataFrame, key: str, a: str, b: str, by: list[str], draws: int = 1000, level: float = 0.95, seed: int = 7) -> DataFrame:
+    """by, n, mean_a, mean_b, delta and the interval lo to hi of delta = mean of a - b, by Poisson bootstrap.
+
+    A pair has one weight in a draw, the same for both systems, from a hash of its key, so pairs are drawn together; a task
+    adds up the draws of its rows as they stream by, and what is shuffled is a row a group, task and draw. Pairs that lack a
+    side or a key are left out; repeated keys share their weights; null groups are groups.
+    """
+    groups = [f"g{i}" for i in range(len(by))]
+    known = pairs.filter(F.col(a).isNotNull() & F.col(b).isNotNull() & F.col(key).isNotNull())
+    rows = known.select(F.struct(*(F.col(c).alias(g) for c, g in zip(by, groups, strict=True)), F.lit(0).alias("one")).alias("g"), F.xxhash64(key).alias("k"), (F.col(a) - F.col(b)).cast("double").alias("d"))
+    group_type = rows.schema["g"].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[tuple, list] = {}
+        for batch in batches:
+            values = batch.column("g").to_pylist()
+            ids = {}
+            code = np.array([ids.setdefault(tuple(v.values()), len(ids)) for v in values])
+            keys, d = batch.column("k").to_numpy(), batch.column("d").to_numpy()
+            for group, c in ids.items():
+                at = code == c
+                w = poisson_weights(keys[at], draws, seed)
+                kept = held.setdefault(group, [batch.column("g")[int(np.flatnonzero(at)[0])], np.zeros(draws), np.zeros(draws)])
+                kept[1] += w.sum(axis=0)
+                kept[2] += d[at] @ w
+        for value, n, total in held.values():
+            arrays = [pa.repeat(value, draws), pa.array(np.arange(draws)), pa.array(n), pa.array(total)]
+            yield pa.RecordBatch.from_arrays(arrays, names=["g", "draw", "w", "t"])
+
+    drawn = rows.mapInArrow(run, f"g {group_type}, draw long, w double, t double").groupBy("g", "draw").agg((F.sum("t") / F.nullif(F.sum("w"), F.lit(0.0))).alias("m"))
+    tail = (1 - level) / 2
+    bounds = drawn.groupBy("g").agg(F.expr(f"percentile(m, {tail})").alias("lo"), F.expr(f"percentile(m, {1 - tail})").alias("hi"))  # `draws` values a group
+    means = known.groupBy(F.struct(*(F.col(c).alias(g) for c, g in zip(by, groups, strict=True)), F.lit(0).alias("one")).alias("g")).agg(F.count("*").alias("n"), F.avg(a).alias("mean_a"), F.avg(b).alias("mean_b"), F.avg(F.col(a) - F.col(b)).alias("delta"))
+    return means.join(bounds, "g").select(*(F.col(f"g.{g}").alias(c) for c, g in zip(by, groups, strict=True)), "n", "mean_a", "mean_b", "delta", "lo", "hi")

@@ -7,10 +7,10 @@ from pyspark.sql import functions as F
 
 from tallyvane.functions import confidence as C
 from tallyvane.functions.text import is_unstorable
-from tallyvane.operators import calibration, trajectory
+from tallyvane.operators import calibration, trajectory, validation
 from tallyvane.operators import metrics as M
 from tallyvane.plans.queries import query
-from tallyvane.sources.fixtures import SAMPLES_SQL, samples, table
+from tallyvane.sources.fixtures import SAMPLE_COLUMNS, SAMPLES_SQL, samples, table
 
 S = f"WITH s AS ({SAMPLES_SQL})"
 _CLIP = lambda x: f"greatest(0e0, least(1e0, {x}))"
@@ -144,6 +144,46 @@ def logistic(spark: SparkSession, d: str) -> DataFrame:
     return calibration.fit_logistic(samples(spark, d), ["u_stored", "p_ground_max", "u_internal"], "em")
 
 
+#: Answer records with a key of their own.
+_KEYED = "l_orderkey * 8 + l_linenumber"
+_FEATURES = ["u_stored", "p_ground_max", "u_internal"]
+
+
+def _keyed(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "lineitem").selectExpr(f"{_KEYED} AS id", *(f"{SAMPLE_COLUMNS[c]} AS {c}" for c in ("benchmark", "em", *_FEATURES)))
+
+
+@query("ml11_folds", f"WITH s AS (SELECT {_KEYED} AS id, COALESCE({SAMPLE_COLUMNS['em']}, 0e0) AS em FROM lineitem), r AS (SELECT id, em, row_number() OVER (PARTITION BY em ORDER BY substr(sha256('42:' || id::VARCHAR), 1, 15), id) - 1 AS k FROM s) SELECT id, (k % 5)::INT AS outer, ((k // 5) % 5)::INT AS inner FROM r".replace("AS outer", 'AS "outer"').replace("AS inner", 'AS "inner"'))
+def folds(spark: SparkSession, d: str) -> DataFrame:
+    """Outer and inner folds, even within each label."""
+    return validation.hash_folds(_keyed(spark, d).withColumn("em", F.coalesce("em", F.lit(0.0))), "id", "em").select("id", "outer", "inner")
+
+
+@query("ml11_nested_cv")
+def nested_cv(spark: SparkSession, d: str) -> DataFrame:
+    """Nested cross-validation: each outer fold's best c and area, the grid behind it, and areas by benchmark."""
+    folds, grid, areas = validation.nested_cv(_keyed(spark, d), _FEATURES, "em", "id", "benchmark")
+    null = lambda kind: F.lit(None).cast(kind)
+    return (
+        folds.select(F.lit("fold").alias("kind"), F.col("outer").cast("string").alias("name"), F.col("best_c").alias("c"), null("long").alias("n"), F.round("auroc", 6).alias("auroc"))
+        .unionByName(grid.select(F.lit("grid").alias("kind"), F.col("outer").cast("string").alias("name"), "c", null("long").alias("n"), F.round("auroc", 6).alias("auroc")))
+        .unionByName(areas.select(F.when(F.col("pooled"), "pooled").otherwise("benchmark").alias("kind"), F.col("benchmark").alias("name"), null("double").alias("c"), "n", F.round("auroc", 6).alias("auroc")))
+    )
+
+
+@query("ml12_leave_one_out")
+def leave_one_out(spark: SparkSession, d: str) -> DataFrame:
+    """Each benchmark under a model of all others."""
+    found = validation.leave_one_out(_keyed(spark, d), _FEATURES, "em", "benchmark")
+    return found.select("benchmark", "pooled", "n_test", *(F.round(c, 6).alias(c) for c in ("auroc", "accuracy", "pos_rate")))
+
+
+@query("ml12_held_out_sizes", f"{S}, k AS (SELECT benchmark, avg(CASE WHEN em >= 1 THEN 1e0 ELSE 0e0 END) AS pos_rate, count(*) AS n_test FROM s GROUP BY benchmark) SELECT benchmark, FALSE AS pooled, n_test, round(pos_rate, 6) AS pos_rate FROM k UNION ALL SELECT NULL, TRUE, sum(n_test)::BIGINT, round(sum(n_test * pos_rate) / sum(n_test), 6) FROM k")
+def held_out_sizes(spark: SparkSession, d: str) -> DataFrame:
+    """What each model is judged on."""
+    return validation.leave_one_out(_keyed(spark, d), _FEATURES, "em", "benchmark").select("benchmark", "pooled", "n_test", F.round("pos_rate", 6).alias("pos_rate"))
+
+
 _HALT = f"{S}, a AS (SELECT cycle, benchmark, avg(CASE WHEN decision = 'STORE' AND benchmark <> 'fever' THEN 1e0 ELSE 0e0 END) AS rate FROM s GROUP BY ALL), w AS (SELECT DISTINCT cycle FROM s ORDER BY cycle DESC LIMIT 2), z AS (SELECT benchmark FROM a JOIN w USING (cycle) GROUP BY benchmark HAVING count(rate) = 2 AND max(rate) = 0)"
 
 

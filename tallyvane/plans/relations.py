@@ -193,6 +193,21 @@ def contamination(spark: SparkSession, d: str) -> DataFrame:
     return wrong.orderBy(F.desc("u_stored"), F.desc("latency_ms"), "okey").limit(10)
 
 
+@query("d10_paired_delta", f"WITH p AS ({_PAIR}) SELECT family, count(*) AS n, avg(em_a) AS mean_a, avg(em_b) AS mean_b, round(avg(em_a - em_b), 9) AS delta, TRUE AS inside FROM p GROUP BY family")
+def paired_delta(spark: SparkSession, d: str) -> DataFrame:
+    """Two systems' difference by family, which must lie inside its own interval."""
+    a, b = systems(spark, d)
+    found = stats.paired_bootstrap(a.join(b, "id"), "id", "em_a", "em_b", ["family"])
+    return found.select("family", "n", "mean_a", "mean_b", F.round("delta", 9).alias("delta"), F.col("delta").between(F.col("lo"), F.col("hi")).alias("inside"))
+
+
+@query("d10_paired_intervals")
+def paired_intervals(spark: SparkSession, d: str) -> DataFrame:
+    """95 % intervals of the difference of two systems, from weights that both share."""
+    a, b = systems(spark, d)
+    return stats.paired_bootstrap(a.join(b, "id"), "id", "em_a", "em_b", ["family"])
+
+
 @query("d10_bootstrap_ci")
 def bootstrap_ci(spark: SparkSession, d: str) -> DataFrame:
     """95 % interval of mean em per benchmark from Poisson bootstrap weights."""

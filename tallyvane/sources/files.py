@@ -146,20 +146,36 @@ def append_audit(audit: DataFrame, path: str) -> None:
 
 
 def write_atomic(df: DataFrame, path: str) -> None:
-    """A table as JSON that is at `path` whole or not at all: written beside it, then renamed into its place."""
-    spark = df.sparkSession
+    """A table as JSON that is at `path` whole or not at all: written beside it, then renamed into its place. If that fails the
+    table that was there is there again; if the process ends in between, it lies beside the place as `.before-`."""
+    spark, mark = df.sparkSession, uuid.uuid4().hex
     jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
-    beside, there = (jvm.org.apache.hadoop.fs.Path(p) for p in (f"{path}.writing-{uuid.uuid4().hex}", path))
+    beside, before, there = (jvm.org.apache.hadoop.fs.Path(p) for p in (f"{path}.writing-{mark}", f"{path}.before-{mark}", path))
     files = there.getFileSystem(conf)
     try:
         df.write.json(beside.toString())
-        files.delete(there, True)
-        if not files.rename(beside, there):
-            raise OSError(f"could not move {beside} to {path}")
+        swap(files, beside, there, before)
     finally:
         files.delete(beside, True)
 
 
+def swap(files, beside, there, before) -> None:
+    """Put what is beside in its place; what was there goes only once the new one is, and comes back if it cannot be."""
+    held = files.exists(there)
+    if held and not files.rename(there, before):
+        raise OSError(f"could not move {there} aside")
+    moved = False
+    try:
+        moved = files.rename(beside, there)
+        if not moved:
+            raise OSError(f"could not move {beside} to {there}")
+    finally:
+        if held and not moved:
+            files.rename(before, there)
+    if held:
+        files.delete(before, True)
+
+
 def save_snapshot(entries: DataFrame, folder: str, cycle: int) -> None:
     """A cycle's snapshot; writing the same cycle again replaces it alone."""
     entries.write.mode("overwrite").parquet(f"{folder}/cycle={cycle}")
