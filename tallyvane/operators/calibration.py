@@ -9,11 +9,14 @@ import numpy as np
 import pandas as pd
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.regression import IsotonicRegression
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tallyvane.operators.ranks import _place, edges_of
+
 LEAST_ROWS = 50
+#: Pieces of an order whose blocks are pooled together.
+MERGED = 32
 #: Scores are counted on a grid of log odds, so many steps a unit, before a temperature is fitted: a group is a bounded number
 #: of rows, whatever its size.
 GRID = 1_000
@@ -69,18 +72,55 @@ def fit_temperatures(rows: DataFrame, score: str, label: str, by: str, least: in
     return own.crossJoin(F.broadcast(pooled)).select(F.col("key").alias(by), "rows", F.coalesce("temperature", "pooled", F.lit(1.0)).alias("temperature"))  # one row
 
 
-def isotonic_knots(rows: DataFrame, signals: list[str], label: str) -> DataFrame:
-    """signal, x, y: the knots of each signal's isotonic regression, held to [0.02, 0.98]; none under LEAST_ROWS rows."""
-    y = F.coalesce(F.col(label), F.lit(0.0))
-    facts = rows.agg(*(F.corr(c, y).alias(f"c_{c}") for c in signals), *(F.count(c).alias(f"n_{c}") for c in signals)).first()
-    spark, out = rows.sparkSession, []
-    for c in signals:
-        if facts[f"n_{c}"] < LEAST_ROWS:
-            continue
-        means = rows.filter(F.col(c).isNotNull()).groupBy(F.col(c).alias("feature")).agg(F.avg(y).alias("label"), F.count("*").cast("double").alias("weight"))
-        model = IsotonicRegression(featuresCol="feature", labelCol="label", weightCol="weight", isotonic=(facts[f"c_{c}"] or 0.0) >= 0).fit(means)
-        out += [(c, float(x), float(min(0.98, max(0.02, p)))) for x, p in zip(model.boundaries, model.predictions, strict=True)]
-    return spark.createDataFrame(out, "signal string, x double, y double")
+def pool_violators(low: np.ndarray, high: np.ndarray, mean: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Blocks in order, each of a range, a mean and a weight, with neighbours whose means do not rise pooled into one."""
+    out: list[list[float]] = []
+    for block in zip(low.tolist(), high.tolist(), mean.tolist(), weight.tolist(), strict=True):
+        out.append(list(block))
+        while len(out) > 1 and out[-2][2] >= out[-1][2]:
+            _, top, m, w = out.pop()
+            last = out[-1]
+            last[1], last[2], last[3] = top, (last[2] * last[3] + m * w) / (last[3] + w), last[3] + w
+    columns = zip(*out, strict=True) if out else ([], [], [], [])
+    return tuple(np.array(c, float) for c in columns)
+
+
+def isotonic_knots(rows: DataFrame, signals: list[str], label: str, by: str | None = None, least: int = LEAST_ROWS) -> DataFrame:
+    """signal, x, y (and `by` before them): the knots of each signal's isotonic regression, in each group of `by`, rising or
+    falling as the signal and the label correlate, y held to [0.02, 0.98]; none for groups of fewer than `least` rows.
+
+    Rows are counted by distinct value, the values' order is cut into pieces, and violators are pooled in each piece; what is
+    left of MERGED pieces at a time, few blocks each, is pooled again until one is left. Pooling parts first does not change
+    the result. A null group is a group; NaN counts as missing.
+    """
+    group = (F.col(by).cast("string") if by else F.lit(None).cast("string")).alias("g")
+    known = lambda c: F.when(~F.isnan(F.col(c).cast("double")), F.col(c).cast("double"))
+    long = rows.select(group, F.coalesce(F.col(label).cast("double"), F.lit(0.0)).alias("y"), F.explode(F.array(*(F.struct(F.lit(c).alias("signal"), known(c).alias("x")) for c in signals))).alias("e"))
+    long = long.select("g", "y", "e.*").filter("x is not null")
+    facts = long.groupBy("g", "signal").agg(F.count("*").alias("n"), F.covar_pop("x", "y").alias("c")).filter(F.col("n") >= least)
+    counted = long.groupBy("g", "signal", "x").agg(F.avg("y").alias("m"), F.count("*").cast("double").alias("w"))
+    sign = F.when(F.col("c") >= 0, 1.0).otherwise(-1.0)
+    joined = counted.alias("a").join(facts.select("g", "signal", sign.alias("up")).alias("b"), F.col("a.g").eqNullSafe(F.col("b.g")) & (F.col("a.signal") == F.col("b.signal")))
+    (edges,) = edges_of(counted, "x")
+    blocks = joined.select("a.g", "a.signal", "up", _place(F.col("x"), edges).cast("long").alias("piece"), F.col("x").alias("low"), F.col("x").alias("high"), (F.col("m") * F.col("up")).alias("m"), "w")
+    schema = "g string, signal string, up double, piece long, low double, high double, m double, w double"
+
+    def pooled(part: pd.DataFrame) -> pd.DataFrame:
+        part = part.sort_values("low")
+        low, high, m, w = pool_violators(*(part[c].to_numpy() for c in ("low", "high", "m", "w")))
+        first = part.iloc[0]
+        return pd.DataFrame({"g": first["g"], "signal": first["signal"], "up": first["up"], "piece": first["piece"], "low": low, "high": high, "m": m, "w": w})
+
+    pieces = 2 * len(edges) + 1
+    while True:
+        blocks = blocks.groupBy("g", "signal", "piece").applyInPandas(pooled, schema)
+        if pieces == 1:
+            break
+        pieces = -(-pieces // MERGED)
+        blocks = blocks.withColumn("piece", F.floor(F.col("piece") / MERGED))
+    y = F.greatest(F.lit(0.02), F.least(F.lit(0.98), F.col("m") * F.col("up")))
+    ends = F.when(F.col("low") == F.col("high"), F.array("low")).otherwise(F.array("low", "high"))
+    return blocks.select(*([F.col("g").alias(by)] if by else []), "signal", F.explode(ends).alias("x"), y.alias("y"))
 
 
 def fit_logistic(rows: DataFrame, features: list[str], label: str, c: float = 1.0) -> DataFrame:
@@ -97,24 +137,87 @@ def shrunk_knots(rows: DataFrame, signals: list[str], label: str, by: str, alpha
     """by, signal, x, y: each group's own isotonic knots, drawn towards the curve of all rows: alpha of the former, the rest of
     the latter, held to [0.02, 0.98]. `masks` names signals that a group leaves out; a signal without a pooled curve stays.
 
-    Groups are benchmarks, few and named; knots, not rows, reach the driver.
+    All groups are fitted at once; a signal's knots, far fewer than its rows, meet its pooled curve in one task.
     """
     if not 0.0 <= alpha <= 1.0:
         raise ValueError("alpha must lie in [0, 1]")
-    pooled: dict[str, tuple[list[float], list[float]]] = {}
-    for r in isotonic_knots(rows, signals, label).orderBy("signal", "x").collect():
-        xs, ys = pooled.setdefault(r["signal"], ([], []))
-        xs.append(r["x"])
-        ys.append(r["y"])
-    out = []
-    for (group,) in rows.select(by).distinct().orderBy(by).collect():
-        own = [s for s in signals if s not in (masks or {}).get(group, ())]
-        for r in isotonic_knots(rows.filter(F.col(by).eqNullSafe(F.lit(group))), own, label).collect():
-            y = r["y"]
-            if r["signal"] in pooled:
-                y = min(0.98, max(0.02, alpha * y + (1 - alpha) * float(np.interp(r["x"], *pooled[r["signal"]]))))
-            out.append((group, r["signal"], r["x"], float(y)))
-    return rows.sparkSession.createDataFrame(out, f"`{by}` string, signal string, x double, y double")
+    own = isotonic_knots(rows, signals, label, by)
+    for group, left_out in (masks or {}).items():
+        own = own.filter(~(F.col(by).eqNullSafe(F.lit(group)) & F.col("signal").isin(*left_out)))
+
+    def drawn(mine: pd.DataFrame, all_: pd.DataFrame) -> pd.DataFrame:
+        curve = all_.sort_values("x")
+        if len(mine) and len(curve):
+            mine["y"] = np.clip(alpha * mine["y"] + (1 - alpha) * np.interp(mine["x"], curve["x"], curve["y"]), 0.02, 0.98)
+        return mine
+
+    pooled = isotonic_knots(rows, signals, label)
+    return own.groupBy("signal").cogroup(pooled.groupBy("signal")).applyInPandas(drawn, own.schema)
+
+
+def _saturating(theta: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """c_inf - a exp(-k x) and its derivatives by the three."""
+    e = np.exp(-theta[2] * x)
+    return theta[0] - theta[1] * e, np.stack([np.ones_like(x), -e, theta[1] * x * e], axis=1)
+
+
+def saturation_of(x: np.ndarray, n: np.ndarray, mean: np.ndarray, within: float, low: float, high: float, steps: int = 5000) -> tuple[np.ndarray, float, np.ndarray]:
+    """The parameters of least squares, R² and their covariance, by Gauss-Newton steps damped as long as they do not help.
+
+    x: cycles, of which each has n values of some mean; within: what the values deviate from their cycle's mean, squared and
+    summed; low and high: the least and largest value.
+    """
+    loss = lambda f: float((n * (mean - f) ** 2).sum())
+    theta, damping = np.array([high + 0.1 * abs(high) + 0.05, max(high - low, 1e-3), 0.5]), 1e-3
+    f, j = _saturating(theta, x)
+    now = loss(f)
+    for _ in range(steps):
+        a, g = j.T @ (n[:, None] * j), j.T @ (n * (mean - f))
+        step = np.linalg.lstsq(a + damping * np.diag(np.maximum(np.diag(a), 1e-12)), g, rcond=None)[0]
+        tried = theta + step
+        with np.errstate(over="ignore", invalid="ignore"):
+            f_new, j_new = _saturating(tried, x)
+            new = loss(f_new)
+        if np.isfinite(new) and new <= now:
+            settled = now - new <= 1e-15 * max(now, 1e-300) and np.abs(step).max() <= 1e-9 * max(1.0, np.abs(theta).max())
+            theta, f, j, now, damping = tried, f_new, j_new, new, max(damping / 3, 1e-12)
+            if settled:
+                break
+        elif damping > 1e12:
+            break
+        else:
+            damping *= 4
+    else:
+        raise RuntimeError("the saturation fit did not converge")
+    total, sse = n.sum(), now + within
+    around = float((n * (mean - (n * mean).sum() / total) ** 2).sum()) + within
+    spread = sse / (total - 3) if total > 3 else np.inf
+    cov = np.linalg.pinv(j.T @ (n[:, None] * j)) * spread if np.isfinite(spread) else np.full((3, 3), np.inf)
+    return theta, 1 - sse / around if around > 0 else 0.0, cov
+
+
+def fit_saturation(rows: DataFrame, by: str, cycle: str, value: str, eps: float = 0.01) -> DataFrame:
+    """by, n_cycles, c_inf, a, k, r2, cov (row by row) and c_star of value = c_inf - a exp(-k cycle), for each group.
+
+    c_star is the cycle from which the gap is below `eps` of c_inf: 1 if it always was; null without convergence (k, a or
+    c_inf not above 0). Rows are summed by cycle first, so a group is a row a cycle. Fewer than three cycles are an error.
+    Rows without cycle or value are left out; a null group is a group; no rows give none.
+    """
+    v = F.col(value).cast("double")
+    known = rows.filter(F.col(cycle).isNotNull() & v.isNotNull() & ~F.isnan(v))
+    sums = known.groupBy(F.col(by).cast("string").alias("g"), F.col(cycle).cast("double").alias("x")).agg(F.count("*").cast("double").alias("n"), F.avg(v).alias("mean"), (F.var_pop(v) * F.count("*")).alias("within"), F.min(v).alias("low"), F.max(v).alias("high"))
+
+    def fit(part: pd.DataFrame) -> pd.DataFrame:
+        if len(part) < 3:
+            raise ValueError(f"{part['g'].iloc[0]}: a saturation fit needs three cycles at least, not {len(part)}")
+        part = part.sort_values("x")
+        theta, r2, cov = saturation_of(*(part[c].to_numpy() for c in ("x", "n", "mean")), float(part["within"].sum()), part["low"].min(), part["high"].max())
+        return pd.DataFrame({"g": [part["g"].iloc[0]], "n_cycles": [len(part)], "c_inf": [theta[0]], "a": [theta[1]], "k": [theta[2]], "r2": [r2], "cov": [cov.ravel().tolist()]})
+
+    found = sums.groupBy("g").applyInPandas(fit, "g string, n_cycles long, c_inf double, a double, k double, r2 double, cov array<double>")
+    ratio = F.col("a") / (F.lit(eps) * F.col("c_inf"))
+    star = F.when((F.col("k") > 0) & (F.col("c_inf") > 0) & (F.col("a") > 0), F.when(ratio <= 1, 1.0).otherwise(F.log(ratio) / F.col("k")))
+    return found.withColumn("c_star", star).withColumnRenamed("g", by)
 
 
 def fit_platt(rows: DataFrame, raw: str, target: str, by: list[str], eps: float = 1e-6) -> DataFrame:

@@ -184,6 +184,14 @@ def held_out_sizes(spark: SparkSession, d: str) -> DataFrame:
     return validation.leave_one_out(_keyed(spark, d), _FEATURES, "em", "benchmark").select("benchmark", "pooled", "n_test", F.round("pos_rate", 6).alias("pos_rate"))
 
 
+@query("ml14_saturation", f"{S}, k AS (SELECT benchmark, count(DISTINCT cycle) AS n_cycles, 0.6e0 + length(benchmark) / 100e0 AS c_inf FROM s GROUP BY benchmark) SELECT benchmark, n_cycles, round(c_inf, 6) AS c_inf, 0.5e0 AS a, 0.4e0 AS k, 1e0 AS r2, round(ln(0.5e0 / (0.01e0 * c_inf)) / 0.4e0, 4) AS c_star FROM k")
+def saturation(spark: SparkSession, d: str) -> DataFrame:
+    """The curve that each benchmark's records follow, found again from them."""
+    value = 0.6 + F.length("benchmark") / 100 - 0.5 * F.exp(-0.4 * F.col("cycle"))
+    found = calibration.fit_saturation(samples(spark, d).select("benchmark", "cycle", value.alias("ces")), "benchmark", "cycle", "ces")
+    return found.select("benchmark", "n_cycles", *(F.round(c, 6).alias(c) for c in ("c_inf", "a", "k", "r2")), F.round("c_star", 4).alias("c_star"))
+
+
 _HALT = f"{S}, a AS (SELECT cycle, benchmark, avg(CASE WHEN decision = 'STORE' AND benchmark <> 'fever' THEN 1e0 ELSE 0e0 END) AS rate FROM s GROUP BY ALL), w AS (SELECT DISTINCT cycle FROM s ORDER BY cycle DESC LIMIT 2), z AS (SELECT benchmark FROM a JOIN w USING (cycle) GROUP BY benchmark HAVING count(rate) = 2 AND max(rate) = 0)"
 
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tallyvane.operators import corpus, entropy, memory
-from tallyvane.operators.vector import knn_join, mean_pairwise
+from tallyvane.operators.vector import knn_join, mean_pairwise, threshold_forest
 from tallyvane.plans.queries import query
 from tallyvane.sources.fixtures import MEMORY_SQL, table
 from tallyvane.sources.fixtures import memory as entries_of
@@ -204,9 +204,10 @@ _LINKS = f"SELECT a.vec_id AS u, b.vec_id AS v FROM embeddings a JOIN embeddings
 def semantic_entropy(spark: SparkSession, d: str) -> DataFrame:
     """Entropy of each label's vectors over clusters of mutual entailment; near vectors entail, but for some one way only."""
     e = table(spark, d, "embeddings").select(F.col("vec_id").alias("sample_id"), "label", "embedding")
-    near = knn_join(e, e, 1_000_000, key="sample_id", pool="label", least=0.25).filter("query_id < id")
-    links = near.select(F.col("query_id").alias("u"), F.col("id").alias("v"), F.lit(True).alias("forward"), ((F.col("query_id") + F.col("id")) % 5 != 0).alias("backward"))
-    clustered = entropy.entailment_clusters(e.select("sample_id", "label"), links, Scratch(spark))
+    scratch = Scratch(spark)
+    forest = threshold_forest(e, "sample_id", "embedding", 0.25, "label", lambda a, b: (a[:, None] + b[None, :]) % 5 != 0, scratch)
+    links = forest.select("u", "v", F.lit(True).alias("forward"), F.lit(True).alias("backward"))
+    clustered = entropy.entailment_clusters(e.select("sample_id", "label"), links, scratch)
     return entropy.cluster_entropy(clustered, "label", "cluster").withColumns({"entropy": F.round("entropy", 9), "h_norm": F.round("h_norm", 9)})
 
 
