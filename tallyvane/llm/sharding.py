@@ -7,6 +7,7 @@ record's slot never does.
 
 from __future__ import annotations
 
+import bisect
 import heapq
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -14,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tallyvane.llm.common import inline_rows, table
-from tallyvane.sources.staging import stage
+from tallyvane.sources.staging import Scratch
 
 N_SLOTS = 8192
 #: The map is kept on the driver while it is edited, and broadcast; this bounds it.
@@ -43,24 +44,47 @@ def first_map(loads: dict[int, tuple[int, int]], n_slots: int, n_shards: int) ->
 
 
 def rebalance(old: list[dict], loads: dict[int, tuple[int, int]], n_shards: int, slack: float = 0.01) -> list[dict]:
-    """The next version: moves slots from the fullest to the emptiest shard while that narrows the gap by more than slack."""
+    """The next version: moves slots from the fullest to the emptiest shard while that narrows the gap by more than slack.
+
+    Of the fullest shard's slots the one nearest half the gap goes; a shard without a slot that helps is left as it is. Heaps
+    and sorted slots find each move without a look at all slots.
+    """
     placed = {r["slot"]: r["shard"] for r in old}
-    totals = {s: 0 for s in range(n_shards)}
+    size = lambda slot: loads.get(slot, (0, 0))[0]
+    own: list[list[tuple[int, int]]] = [[] for _ in range(n_shards)]
     for slot, shard in placed.items():
-        totals[shard] += loads.get(slot, (0, 0))[0]
-    mean = sum(totals.values()) / max(1, n_shards)
-    for _ in range(len(placed)):
-        full, empty = max(totals, key=lambda s: (totals[s], -s)), min(totals, key=lambda s: (totals[s], s))
-        gap = totals[full] - totals[empty]
-        if gap <= slack * mean:
+        if size(slot):
+            own[shard].append((size(slot), slot))
+    for slots in own:
+        slots.sort()
+    totals = [sum(b for b, _ in slots) for slots in own]
+    mean = sum(totals) / max(1, n_shards)
+    full, empty = [(-t, s) for s, t in enumerate(totals)], [(t, s) for s, t in enumerate(totals)]
+    heapq.heapify(full)
+    heapq.heapify(empty)
+    for _ in range(4 * len(placed)):
+        while full and -full[0][0] != totals[full[0][1]]:
+            heapq.heappop(full)
+        while empty and empty[0][0] != totals[empty[0][1]]:
+            heapq.heappop(empty)
+        if not full or not empty:
             break
-        fits = [(loads.get(k, (0, 0))[0], -k) for k, s in placed.items() if s == full and 0 < loads.get(k, (0, 0))[0] < gap]
-        if not fits:
+        (top, giver), (low, taker) = full[0], empty[0]
+        gap = -top - low
+        if gap <= slack * mean:
             break
-        size, slot = min(fits, key=lambda x: (abs(x[0] - gap / 2), x[1]))
-        placed[-slot] = empty
-        totals[full] -= size
-        totals[empty] += size
+        at = bisect.bisect_left(own[giver], (gap // 2, 0))
+        near = [k for k in (at - 1, at) if 0 <= k < len(own[giver]) and own[giver][k][0] < gap]
+        if not near:
+            heapq.heappop(full)
+            continue
+        moved = own[giver].pop(min(near, key=lambda k: (abs(2 * own[giver][k][0] - gap), k)))
+        bisect.insort(own[taker], moved)
+        placed[moved[1]] = taker
+        for shard, change in ((giver, -moved[0]), (taker, moved[0])):
+            totals[shard] += change
+            heapq.heappush(full, (-totals[shard], shard))
+            heapq.heappush(empty, (totals[shard], shard))
     return _rows(old[0]["version"] + 1 if old else 1, placed, loads)
 
 
@@ -100,23 +124,28 @@ def _rows(version: int, placed: dict[int, int], loads: dict[int, tuple[int, int]
     return out
 
 
-def store_map(spark: SparkSession, rows: list[dict]) -> DataFrame:
-    """Write one version of the map as a table in the shared folder."""
-    return stage(inline_rows(spark, rows, MAP_SCHEMA).coalesce(1), "slot-map")
+def store_map(spark: SparkSession, rows: list[dict], path: str) -> DataFrame:
+    """Write one version of the map into the folder of its path; a version that is there already is an error."""
+    inline_rows(spark, rows, MAP_SCHEMA).coalesce(1).write.parquet(f"{path}/version-{rows[0]['version']}")
+    return stored_map(spark, path, rows[0]["version"])
+
 
+def stored_map(spark: SparkSession, path: str, version: int) -> DataFrame:
+    return spark.read.schema(MAP_SCHEMA).parquet(f"{path}/version-{version}")
 
-def load_map(stored: DataFrame) -> list[dict]:
+
+def load_map(spark: SparkSession, path: str, version: int) -> list[dict]:
     """The rows of one stored version, at most MAX_SLOTS of them."""
-    rows = [r.asDict() for r in stored.select("version", "slot", "shard", "bytes", "n_rows", "first_row").limit(MAX_SLOTS + 1).collect()]
-    if len(rows) > MAX_SLOTS or len({r["version"] for r in rows}) > 1:
+    rows = [r.asDict() for r in stored_map(spark, path, version).limit(MAX_SLOTS + 1).collect()]
+    if len(rows) > MAX_SLOTS or {r["version"] for r in rows} != {version}:
         raise ValueError("not one version of a map")
     return sorted(rows, key=lambda r: r["slot"])
 
 
-def edit_map(stored: DataFrame, records: DataFrame, n_shards: int, more: bool) -> DataFrame:
-    """The version after a stored one, stored in turn: one more shard, or the same ones rebalanced, by the records' loads now."""
-    old, loads = load_map(stored), slot_loads(records)
-    return store_map(stored.sparkSession, grow(old, loads, n_shards) if more else rebalance(old, loads, n_shards))
+def edit_map(spark: SparkSession, path: str, version: int, loads: dict[int, tuple[int, int]], n_shards: int, more: bool) -> DataFrame:
+    """The version after a stored one, stored in turn: one more shard, or the same ones rebalanced, by the slots' loads now."""
+    old = load_map(spark, path, version)
+    return store_map(spark, grow(old, loads, n_shards) if more else rebalance(old, loads, n_shards), path)
 
 
 def place(records: DataFrame, stored: DataFrame) -> DataFrame:
@@ -129,9 +158,12 @@ def slot_loads(records: DataFrame) -> dict[int, tuple[int, int]]:
     return {r["v_slot"]: (r["b"], r["n"]) for r in records.groupBy("v_slot").agg(F.sum("size").alias("b"), F.count("*").alias("n")).collect()}
 
 
-def shard_documents(docs: DataFrame, n_shards: int = 40, n_slots: int = N_SLOTS) -> DataFrame:
+def shard_documents(docs: DataFrame, n_shards: int = 40, n_slots: int = N_SLOTS, path: str | None = None, scratch: Scratch | None = None) -> DataFrame:
     """Place each record of docs (doc_id, text) in a shard so that the shards' bytes are near equal.
 
+    The map is stored in `path`, by default a folder of the job: version 1 by the slots' loads, and version 2, which is what
+    records are placed by, from the stored version 1 by rebalancing.
+
     Returns doc_id, size, text_crc32, shard, position (in the shard, gapless from 0), v_slot, version. A null text counts no
     bytes but the record's own and has a null crc; a null doc_id is hashed by its text, or by its place without one; repeated rows are records of their
     own, next to each other; other columns are ignored; an empty table gives no rows. The text itself is read once and never
@@ -139,8 +171,8 @@ def shard_documents(docs: DataFrame, n_shards: int = 40, n_slots: int = N_SLOTS)
     """
     if not 0 < n_shards <= n_slots <= MAX_SLOTS:
         raise ValueError(f"need 0 < shards <= slots <= {MAX_SLOTS}")
-    text = F.col("text")
-    records = stage(
+    spark, text, scratch = docs.sparkSession, F.col("text"), scratch or Scratch(docs.sparkSession)
+    records = scratch(
         docs.select(
             F.col("doc_id"),
             (F.coalesce(F.octet_length(text), F.lit(0)) + RECORD_BYTES).cast("long").alias("size"),
@@ -149,7 +181,9 @@ def shard_documents(docs: DataFrame, n_shards: int = 40, n_slots: int = N_SLOTS)
         ).withColumn("v_slot", slot_of(F.col("doc_id"), F.coalesce("text_crc32", F.monotonically_increasing_id()), n_slots)),
         "shard-records",
     )
-    mapped = store_map(docs.sparkSession, first_map(slot_loads(records), n_slots, n_shards))
+    loads, path = slot_loads(records), path or f"{scratch.folder}/slot-map"
+    store_map(spark, first_map(loads, n_slots, n_shards), path)
+    mapped = edit_map(spark, path, 1, loads, n_shards, more=False)
     within = Window.partitionBy("v_slot").orderBy(F.col("doc_id"), F.col("size"), F.col("text_crc32"))
     return (
         records.withColumn("n_in_slot", F.row_number().over(within) - 1)

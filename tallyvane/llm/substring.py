@@ -1,9 +1,8 @@
 """Incremental deduplication of repeated passages with a log-structured fingerprint index.
 
 Each window of WINDOW words has a fingerprint: the least hash of its GRAM-word n-grams. Neighbouring windows mostly share
-one, so a document has few, and equal windows always have equal ones. The index is a list of immutable runs, each sorted by
-fingerprint, of (fingerprint, doc_id). A batch of documents becomes a new run and is merge-joined with the older ones; only
-windows whose fingerprint is found in another document are looked at again, in the texts, and compared by a second hash of
+one, so a document has few, and equal windows always have equal ones. The index is a list of immutable runs, each in buckets
+sorted by fingerprint. A batch of documents becomes a new run and is merge-joined with the older ones as they lie; only windows whose fingerprint is found in another document are looked at again, in the texts, and compared by a second hash of
 all their words. When there are too many runs they are merged into one.
 """
 
@@ -19,13 +18,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyvane.llm.common import table
-from tallyvane.sources.staging import Scratch, stage
+from tallyvane.sources.staging import Scratch
 
 WINDOW, GRAM = 50, 16
 #: Runs that an index may have before they are merged.
 MAX_RUNS = 4
-#: Batches in which the query takes the documents, in order of their ids.
-BATCHES = 2
+#: Batches in which the query takes the documents, in order of their ids: the third meets what the first two were merged into.
+BATCHES = 3
 
 
 def _mix(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -78,34 +77,45 @@ def fingerprints(docs: DataFrame) -> DataFrame:
 
 
 class FingerprintIndex:
-    """Sorted immutable runs of (fp, doc_id) in the shared folder."""
+    """Immutable runs (fp, lo, hi) in sorted buckets: the least and largest document of each fingerprint, so that a fingerprint
+    that very many documents have is one row of a run; and, beside them, the documents of all fingerprints as they came."""
 
-    def __init__(self, max_runs: int = MAX_RUNS) -> None:
-        self.runs: list[DataFrame] = []
-        self.max_runs = max_runs
+    def __init__(self, scratch: Scratch, max_runs: int = MAX_RUNS) -> None:
+        self.scratch, self.max_runs = scratch, max_runs
+        self.runs: list[tuple[str, DataFrame]] = []
+        self.postings: list[DataFrame] = []
+        self.written = 0
+
+    def _write(self, rows: DataFrame) -> DataFrame:
+        self.written += 1
+        name = f"run-{self.written}"
+        self.runs.append((name, self.scratch.bucketed(rows, name, ["fp"])))
+        return self.runs[-1][1]
 
     def append(self, rows: DataFrame) -> DataFrame:
-        """Write a new run."""
-        self.runs.append(stage(rows.distinct().repartitionByRange("fp", "doc_id").sortWithinPartitions("fp", "doc_id"), "fp-run"))
-        return self.runs[-1]
+        """Write a new run of rows (fp, doc_id)."""
+        self.postings.append(self.scratch(rows, f"postings-{len(self.postings)}"))
+        return self._write(self.postings[-1].groupBy("fp").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")))
 
-    def rows(self) -> DataFrame:
-        return reduce(DataFrame.union, self.runs)
+    @staticmethod
+    def merged(left: DataFrame, right: DataFrame, how: str) -> DataFrame:
+        """Two runs by a merge join of their buckets, which are neither shuffled nor sorted again."""
+        both = left.join(right.select("fp", F.col("lo").alias("lo_"), F.col("hi").alias("hi_")).hint("merge"), "fp", how)
+        return both.select("fp", F.least("lo", "lo_").alias("lo"), F.greatest("hi", "hi_").alias("hi"))
 
     def shared_with(self, batch: DataFrame) -> DataFrame:
-        """(fp, doc_id) of all runs for the fingerprints of a batch, itself a run, that more than one document has."""
-        spread = self.rows().groupBy("fp").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).filter("lo < hi").select("fp")
-        if len(self.runs) > 1:
-            spread = spread.join(batch.select("fp").distinct(), "fp", "left_semi")
+        """(fp, doc_id) of all documents for the fingerprints of the last run, that of a batch, that more than one document has."""
+        older = [run for _, run in self.runs[:-1]]
+        spread = reduce(lambda rows, old: self.merged(rows, old, "left"), older, batch).filter("lo < hi").select("fp")
         # staged, so that the join can be split where one fingerprint is very common
-        return self.rows().join(stage(spread, "fp-spread"), "fp", "left_semi")
+        return reduce(DataFrame.union, self.postings).join(self.scratch(spread, "spread"), "fp", "left_semi")
 
     def compact(self) -> None:
-        """Merge all runs into one when there are too many."""
+        """Merge all runs into one when there are too many; those it replaces are removed."""
         if len(self.runs) > self.max_runs:
-            rows = self.rows()
-            self.runs = []
-            self.append(rows)
+            old, self.runs = self.runs, []
+            self._write(reduce(lambda a, b: self.merged(a, b, "full"), (run for _, run in old)))
+            self.scratch.drop(*(name for name, _ in old))
 
 
 def _stretches(docs: DataFrame, shared: DataFrame) -> DataFrame:
@@ -147,14 +157,13 @@ def _windows(stretches: DataFrame) -> DataFrame:
     return stretches.mapInArrow(run, "fp long, hash long, doc_id long, pos long")
 
 
-def repeated_windows(docs: DataFrame, shared: DataFrame) -> DataFrame:
+def repeated_windows(docs: DataFrame, shared: DataFrame, scratch: Scratch) -> DataFrame:
     """(doc_id, pos, n): n windows from pos on that also start in a document of smaller id.
 
     A whole stretch seen in a smaller document is settled at once. Only the first document of each distinct stretch goes on
     to be compared window by window, with the other distinct ones. Either step takes the least document of a group by partial
     aggregates and joins it back, so that no group of equal passages is bound to one task.
     """
-    scratch = Scratch(docs.sparkSession)
     stretches = scratch(_stretches(docs, shared), "stretches", compression="zstd")
     firsts = scratch(stretches.groupBy("fp", "rs").agg(F.min("doc_id").alias("first_doc")), "first-stretches")
     again = stretches.select("fp", "rs", "doc_id", "pos", "n").join(firsts, ["fp", "rs"]).filter("first_doc < doc_id").select("doc_id", "pos", "n")
@@ -194,16 +203,20 @@ def ingest(index: FingerprintIndex, history: DataFrame, batch: DataFrame) -> Dat
 
     history holds the texts of the documents already in the index; only those that share a fingerprint with the batch are
     read. Ids of the batch are expected to be larger than those of the history, as with ids given in order of arrival:
-    documents once returned are not judged again.
+    documents once returned are not judged again. What the batch alone needed is removed when it is done.
     """
+    scratch = index.scratch
     run = index.append(fingerprints(batch))
-    shared = stage(index.shared_with(run), "fp-shared")
-    repeated = repeated_windows(history.select("doc_id", "text").union(batch.select("doc_id", "text")), shared)
+    shared = scratch(index.shared_with(run), "shared")
+    scratch.drop("spread")
+    repeated = repeated_windows(history.select("doc_id", "text").union(batch.select("doc_id", "text")), shared, scratch)
+    found = scratch(repeated, f"repeated-{len(index.postings)}")
+    scratch.drop("shared", "stretches", "first-stretches", "windows", "first-windows")
     index.compact()
-    return cut(batch, stage(repeated, "repeated"))
+    return cut(batch, found)
 
 
-def remove_repeats(docs: DataFrame, batches: int = BATCHES, max_runs: int = MAX_RUNS) -> DataFrame:
+def remove_repeats(docs: DataFrame, batches: int = BATCHES, max_runs: int = MAX_RUNS, scratch: Scratch | None = None) -> DataFrame:
     """doc_id, n_words, n_removed, kept for each row of docs (doc_id, text): words in windows that also start in a document
     of smaller id are removed; windows are judged on the texts as given.
 
@@ -216,7 +229,7 @@ def remove_repeats(docs: DataFrame, batches: int = BATCHES, max_runs: int = MAX_
     points = [k / batches for k in range(1, batches)]
     edges = docs.agg(F.percentile_approx("doc_id", points, 1000)).first()[0] if points else []
     edges = sorted(set(edges or []))
-    index, out = FingerprintIndex(max_runs), []
+    index, out = FingerprintIndex(scratch or Scratch(docs.sparkSession), max_runs), []
     for low, high in zip([None, *edges], [*edges, None], strict=True):
         part = docs
         history = docs.limit(0) if low is None else docs.filter(F.col("doc_id") <= low)

@@ -119,11 +119,12 @@ def _unpacked(raw: bytes) -> np.ndarray:
 
 
 def _blocks(vectors: DataFrame, rows: int, scratch: Scratch, name: str) -> DataFrame:
-    """(dims, block, ids, body): integer vectors of one length, about `rows` at a time, as packed bytes."""
+    """(dims, block, ids, body): integer vectors of one length, about `rows` at a time, as packed bytes. A row is dealt by its
+    content and its place, which was fixed when it was staged, so a task that is done again deals it to the same block."""
     sized = vectors.withColumn("dims", F.size("v"))
     counts = scratch(sized.groupBy("dims").agg(F.ceil(F.count("*") / rows).cast("long").alias("n_blocks")), f"{name}-counts")
     dealt = join_bounded(sized, counts, ["dims"], "inner", counts.count())
-    dealt = dealt.withColumn("block", F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.col("n_blocks")))
+    dealt = dealt.withColumn("block", F.pmod(F.xxhash64("place", "vec_id", "v"), F.col("n_blocks")))
 
     def pack(group: pa.Table) -> pa.Table:
         flat = group.column("v").combine_chunks().flatten().to_numpy(zero_copy_only=False)
@@ -134,7 +135,7 @@ def _blocks(vectors: DataFrame, rows: int, scratch: Scratch, name: str) -> DataF
     return scratch(dealt.select("dims", "block", "vec_id", "v").groupBy("dims", "block").applyInArrow(pack, "dims int, block long, ids binary, body binary"), name)
 
 
-def top_k(vectors: DataFrame, is_query: Column, k: int = K) -> DataFrame:
+def top_k(vectors: DataFrame, is_query: Column, k: int = K, scratch: Scratch | None = None) -> DataFrame:
     """query_id, rank, vec_id, score: for each row of vectors (vec_id, embedding) that is a query, the k highest integer
     inner products with other rows, ties to smaller vec_id.
 
@@ -145,9 +146,12 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = K) -> DataFrame:
     A task takes MEET_ROWS blocks of the index and MEET_QUERIES blocks of queries; each side is sent as often as the other has
     such groups, so neither is ever held whole anywhere and no key has more than one task's blocks.
     """
-    usable, scratch = _usable(vectors), Scratch(vectors.sparkSession)
+    scratch = scratch or Scratch(vectors.sparkSession)
+    usable = scratch(_usable(vectors).withColumn("place", F.monotonically_increasing_id()), "vectors")
     index = _blocks(usable, BLOCK_ROWS, scratch, "index")
-    queries = _blocks(usable.filter(is_query).dropDuplicates(["vec_id", "v"]), BLOCK_QUERIES, scratch, "queries")
+    asking = usable.filter(is_query).select("vec_id", "v", F.lit(0).cast("long").alias("place")).distinct()
+    queries = _blocks(asking, BLOCK_QUERIES, scratch, "queries")
+    scratch.drop("vectors")
     group = lambda size: F.floor(F.col("block") / size).cast("long")
     groups = lambda side, size, name: side.groupBy("dims").agg((F.max(group(size)) + 1).alias(name))
     counts = scratch(groups(index, MEET_ROWS, "n_r").join(groups(queries, MEET_QUERIES, "n_q"), "dims"), "groups")

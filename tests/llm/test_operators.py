@@ -7,6 +7,7 @@ import math
 import random
 import re
 import struct
+import time
 import zlib
 
 import numpy as np
@@ -17,6 +18,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from tallyvane.llm import audio, jaccard, mixing, packing, pii, scoring, sharding, substring, topk, toxicity
+from tallyvane.sources.staging import Scratch
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, size long, score double, ids string, position int, fp string"
 WORDS = "alpha beta gamma delta epsilon zeta eta theta iota kappa lam mu nu xi omicron pi rho sigma tau upsilon".split()
@@ -288,6 +290,18 @@ def test_topk_equals_brute_force(spark, monkeypatch, rows, asked):
     assert topk.top_k(frame.limit(0), F.lit(True)).count() == 0
 
 
+def test_rows_are_dealt_alike_when_a_task_is_redone(spark):
+    """The block of a row hangs on its content and its staged place alone, not on the order in which rows arrive."""
+    frame = spark.createDataFrame([(i % 40, [float(i % 7), 1.0], i) for i in range(200)], "vec_id long, v array<double>, place long")
+    scratch = Scratch(spark)
+    members = []
+    for k, rows in enumerate((frame.repartition(3), frame.orderBy(F.desc("place")).repartition(5))):
+        blocks = topk._blocks(rows, 37, scratch, f"blocks-{k}").collect()
+        members.append({r["block"]: sorted(topk._unpacked(r["ids"]).tolist()) for r in blocks})
+    assert members[0] == members[1] and len(members[0]) > 3
+    scratch.close()
+
+
 def test_impact_index_never_loses_a_member():
     rng = np.random.default_rng(4)
     for scale in (1, 30, 10_000):
@@ -568,20 +582,28 @@ def plain_cut(rows):
     return out
 
 
-@pytest.mark.parametrize("batches", [1, 3])
-def test_substring_equals_brute_force(docs, rows, nothing, batches):
-    got = collections.Counter((r["doc_id"], r["n_words"], r["n_removed"], bytes(r["kept"])) for r in substring.remove_repeats(docs, batches).collect())
+@pytest.mark.parametrize("batches,max_runs", [(1, 4), (3, 1), (5, 2)])
+def test_substring_equals_brute_force(docs, rows, nothing, batches, max_runs):
+    got = collections.Counter((r["doc_id"], r["n_words"], r["n_removed"], bytes(r["kept"])) for r in substring.remove_repeats(docs, batches, max_runs).collect())
     assert got == plain_cut(rows)
     if batches == 1:
         assert substring.remove_repeats(nothing, 2).count() == 0
 
 
 def test_index_compacts(spark):
-    index = substring.FingerprintIndex(max_runs=2)
+    """With one run at most, the third batch meets what the first two were merged into; replaced runs are gone."""
+    index = substring.FingerprintIndex(Scratch(spark), max_runs=1)
     for k in range(4):
-        index.append(spark.createDataFrame([(k, k), (9, k)], "fp long, doc_id long"))
+        run = index.append(spark.createDataFrame([(k, k), (9, k)], "fp long, doc_id long"))
+        shared = sorted(tuple(r) for r in index.shared_with(run).collect())
+        assert shared == ([(9, i) for i in range(k + 1)] if k else [])
+        with index.scratch._settings():
+            plans = [index.merged(run, old, "left")._jdf.queryExecution().executedPlan().toString() for _, old in index.runs[:-1]]
+        assert len(plans) == min(k, 1) and not any("Exchange" in p or "Sort [" in p for p in plans)
         index.compact()
-    assert len(index.runs) <= 2 and index.rows().count() == 8
+    assert len(index.runs) == 1 and sorted(tuple(r) for r in index.runs[0][1].collect()) == [(0, 0, 0), (1, 1, 1), (2, 2, 2), (3, 3, 3), (9, 0, 3)]
+    assert sum(name.startswith("run-") for name in index.scratch.tables) == 1
+    index.scratch.close()
 
 
 # --- audio
@@ -689,20 +711,39 @@ def test_map_edits():
     assert max(after.values()) <= 1.1 * min(after.values()) and sum(a["shard"] != b["shard"] for a, b in zip(first, again, strict=True)) < 100
 
 
-def test_a_stored_map_is_loaded_and_edited(spark):
+def test_a_stored_map_is_loaded_and_edited(spark, tmp_path):
+    path = str(tmp_path / "map")
     records = spark.createDataFrame([(i, i % 64, 10 + i % 7) for i in range(1000)], "doc_id long, v_slot int, size long")
-    first = sharding.store_map(spark, sharding.first_map(sharding.slot_loads(records), 64, 4))
-    second = sharding.edit_map(first, records, 4, more=True)
-    a, b = sharding.load_map(first), sharding.load_map(second)
+    first = sharding.store_map(spark, sharding.first_map(sharding.slot_loads(records), 64, 4), path)
+    second = sharding.edit_map(spark, path, 1, sharding.slot_loads(records), 4, more=True)
+    a, b = sharding.load_map(spark, path, 1), sharding.load_map(spark, path, 2)
     assert {r["version"] for r in a} == {1} and {r["version"] for r in b} == {2} and [r["slot"] for r in a] == [r["slot"] for r in b] == list(range(64))
     moved = {y["shard"] for x, y in zip(a, b, strict=True) if x["shard"] != y["shard"]}
     assert moved == {4}
     before, after = ({r["doc_id"]: r["shard"] for r in sharding.place(records, m).collect()} for m in (first, second))
     assert all(after[i] in (s, 4) for i, s in before.items()) and set(after.values()) == {0, 1, 2, 3, 4}
-    third = sharding.edit_map(second, records.union(records.filter("v_slot < 5")), 5, more=False)
-    assert sharding.load_map(third)[0]["version"] == 3
-    with pytest.raises(ValueError):
-        sharding.load_map(first.union(second))
+    sharding.edit_map(spark, path, 2, sharding.slot_loads(records.union(records.filter("v_slot < 5"))), 5, more=False)
+    assert sharding.load_map(spark, path, 3)[0]["version"] == 3
+    with pytest.raises(Exception, match="already exists"):
+        sharding.store_map(spark, sharding.load_map(spark, path, 2), path)
+
+
+def test_documents_lie_where_the_second_version_says(spark, docs, tmp_path):
+    path = str(tmp_path / "map")
+    got = sharding.shard_documents(docs, 5, 64, path).collect()
+    second = {r["slot"]: r["shard"] for r in sharding.load_map(spark, path, 2)}
+    assert {r["version"] for r in sharding.load_map(spark, path, 1)} == {1} and all(r["version"] == 2 and second[r["v_slot"]] == r["shard"] for r in got)
+
+
+def test_many_slots_are_rebalanced_soon():
+    rng = random.Random(5)
+    loads = {k: (int(rng.paretovariate(1.5) * 1000), 3) for k in range(1 << 16)}
+    full = [{"version": 1, "slot": k, "shard": 0, "bytes": 0, "n_rows": 0, "first_row": 0} for k in range(1 << 16)]
+    began = time.time()
+    after = collections.Counter()
+    for r in sharding.rebalance(full, loads, 40):
+        after[r["shard"]] += r["bytes"]
+    assert time.time() - began < 20 and len(after) == 40 and max(after.values()) - min(after.values()) <= max(0.011 * sum(after.values()) / 40, max(b for b, _ in loads.values()))
 
 
 def test_rows_without_id_and_text_spread(spark):
