@@ -202,3 +202,15 @@ def cohens_d(rows: DataFrame, signal: str, label: str, by: list[str]) -> DataFra
     pooled = F.sqrt(((F.col("n1") - 1) * F.col("v1") + (F.col("n0") - 1) * F.col("v0")) / (F.col("n1") + F.col("n0") - 2))
     d = F.when((F.col("n1") >= 2) & (F.col("n0") >= 2), (F.col("m1") - F.col("m0")) / F.nullif(pooled, F.lit(0.0)))
     return stats.select(*by, "n1", "n0", d.alias("d"))
+
+
+def spectrum_collapse(spectra: DataFrame, matrix: str, value: str, top: int = 8) -> DataFrame:
+    """n, collapse: the mean over matrices of the share of the largest singular value among the `top` largest, 1 where all
+    weight lies on it; null without a matrix that has a value above 0.
+
+    spectra has a row a singular value; a matrix has few, its rank at most.
+    """
+    order = Window.partitionBy(matrix).orderBy(F.desc(value))
+    kept = spectra.filter(F.col(value).isNotNull()).withColumn("place_", F.row_number().over(order)).filter(F.col("place_") <= top)
+    ratios = kept.groupBy(matrix).agg((F.max(value) / F.nullif(F.sum(F.when(F.col(value) > 0, F.col(value))), F.lit(0.0))).alias("r"))
+    return ratios.agg(F.count("r").alias("n"), F.avg("r").alias("collapse"))

@@ -22,6 +22,8 @@ from tallyvane.functions.text import let, words
 # How an option and a bare name are written as hypotheses, and answers that are no name.
 OPTION_HYPOTHESIS, NAME_HYPOTHESIS = "The answer to the question is: ", "Answer: "
 NO_NAME = (*A.REFUSALS, *A.DECLARATIVE)
+#: Answers shorter than this are not split into facts.
+LEAST_TOKENS = 12
 #: Kinds of hypotheses, the first that applies counts.
 KINDS = ("directional", "multichoice", "entity", "plain")
 
@@ -126,6 +128,14 @@ def ground(rows: DataFrame, key: str, scorer: Scorer | str, output: str = "entai
     return best.select(F.col("k").alias(key), "b.kind", "b.p_ground_max", "b.p_ground_mean").filter("kind is not null")
 
 
+def atomic_grounding(rows: DataFrame, facts: DataFrame, key: str, answer: str = "answer", mean: str = "p_ground_mean", fact: str = "fact", score: str = "score") -> DataFrame:
+    """key, p_ground_atomic: the least over an answer's facts (key, fact, score) of the most over passages; the mean grounding
+    of answers of fewer than LEAST_TOKENS words, and of those without scored facts."""
+    best = facts.groupBy(key, fact).agg(F.max(score).alias("best")).groupBy(key).agg(F.min("best").alias("least"))
+    joined = rows.select(key, F.size(words(F.col(answer))).alias("n"), F.col(mean).alias("mean")).join(best, key, "left")
+    return joined.select(key, F.when(F.col("n") < LEAST_TOKENS, F.col("mean")).otherwise(F.coalesce("least", "mean")).alias("p_ground_atomic"))
+
+
 def verify(rows: DataFrame, key: str, scorer: Scorer | str, knots: Mapping[str, Sequence[tuple[float, float]]], weights: Mapping[str, float] | None = None, intercept: float = 0.0, output: str = "entail") -> DataFrame:
     """From signals to a decision: rows (key, query, answer, passages, u_token, u_dropout and other signals) with u_internal,
     kind, p_ground_max, p_ground_mean, early, u_stored and decision.
@@ -143,6 +153,39 @@ def verify(rows: DataFrame, key: str, scorer: Scorer | str, knots: Mapping[str,
     return judged.withColumn("decision", F.when(F.col("early"), "DISCARD").otherwise(C.decide(F.col("u_stored"), bare)))
 
 
+def ensemble(name: str, parts: Sequence[Scorer], how: str, output: str = "entail") -> Scorer:
+    """One score of several scorers: the least ("min"), the largest ("max"), or 1 where more than half reach one half and 0
+    elsewhere ("majority"). What a scorer leaves out counts for neither side."""
+    if how not in ("min", "max", "majority") or not parts:
+        raise ValueError("an ensemble is the min, max or majority of some scorers")
+
+    def score(premises: pa.Array, texts: pa.Array) -> dict[str, pa.Array]:
+        found = [pc.cast(p.function(premises, texts)[output], pa.float64()) for p in parts]
+        if how != "majority":
+            return {output: (pc.min_element_wise if how == "min" else pc.max_element_wise)(*found)}
+        votes = [pc.fill_null(pc.greater_equal(x, 0.5), False).cast(pa.int64()) for x in found]
+        total = votes[0]
+        for v in votes[1:]:
+            total = pc.add(total, v)
+        return {output: pc.greater(pc.multiply(total, 2), len(found)).cast(pa.float64())}
+
+    return Scorer(name, score, (output,))
+
+
+def by_length(name: str, short: Scorer, long: Scorer, words_: int = 408, output: str = "entail") -> Scorer:
+    """Pairs of at most so many words go to one scorer, longer ones to another; each sees its own pairs alone."""
+
+    def score(premises: pa.Array, texts: pa.Array) -> dict[str, pa.Array]:
+        n = pc.list_value_length(pc.utf8_split_whitespace(pc.utf8_trim_whitespace(pc.binary_join_element_wise(premises, texts, " "))))
+        small = pc.less_equal(n, words_)
+        at = pc.indices_nonzero(small), pc.indices_nonzero(pc.invert(small))
+        parts = [pc.cast(s.function(premises.take(i), texts.take(i))[output], pa.float64()) if len(i) else pa.array([], pa.float64()) for s, i in zip((short, long), at, strict=True)]
+        order = pc.sort_indices(pa.concat_arrays([*at]))
+        return {output: pa.concat_arrays(parts).take(order)}
+
+    return Scorer(name, score, (output,))
+
+
 def _overlap(premises: pa.Array, hypotheses_: pa.Array) -> dict[str, pa.Array]:
     """Share of a hypothesis' words that the premise has; 0 without words."""
     split = lambda x: pc.split_pattern(pc.utf8_lower(x), " ").to_pylist()

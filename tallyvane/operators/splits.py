@@ -49,3 +49,20 @@ def disjoint_split(rows: DataFrame, key: str, shares: Sequence[tuple[str, float]
     for name, top in reversed(edges):
         pool = F.when(at < top, name).otherwise(pool)
     return placed.withColumn("pool", pool).drop("position", "n_rows")
+
+
+def sized_split(rows: DataFrame, key: str, sizes: Sequence[tuple[str, int]], clamp: bool = False, seed: int = SEED) -> DataFrame:
+    """rows with the pool that their position in hash order falls into, pools of stated sizes one after the other; what is left
+    over is in none.
+
+    Too few rows are an error; with `clamp`, as for benchmarks that are only transferred to, the first pools are filled as far
+    as rows go and the last ones are smaller or empty.
+    """
+    wanted, there = sum(n for _, n in sizes), rows.count()
+    if there < wanted and not clamp:
+        raise ValueError(f"{there} rows are too few for {' + '.join(f'{name}={n}' for name, n in sizes)}")
+    placed, pool, upto = seeded_position(rows, key, seed), F.lit(None).cast("string"), wanted
+    for name, n in reversed(sizes):
+        pool = F.when(F.col("position") < upto, name).otherwise(pool)
+        upto -= n
+    return placed.withColumn("pool", pool).filter("pool is not null").drop("position", "n_rows")

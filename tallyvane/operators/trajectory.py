@@ -56,3 +56,15 @@ def tier_batches(rows: DataFrame, size: int) -> DataFrame:
     within = F.row_number().over(Window.partitionBy("tier", "_stretch").orderBy("ordinal")) - 1
     ranked = cut.withColumn("_k", within).join(starts, ["tier", "_stretch"]).withColumn("_k", F.col("_k") + F.col("_start"))
     return ranked.withColumns({"batch": F.floor(F.col("_k") / size), "slot": (F.col("_k") % size).cast("int")}).select(*rows.columns, "batch", "slot")
+
+
+def retention(scores: DataFrame, probe: str, base: str, now: str, floor: float = RETENTION, tiny: float = 1e-6) -> DataFrame:
+    """abort, worst, worst_ratio: whether a probe keeps less than `floor` of what it had, and the one that keeps least.
+
+    A probe whose base is missing or at most `tiny`, or that has no score now, has no ratio and stops nothing; without any
+    ratio nothing is worst. Ties go to the first name.
+    """
+    known = F.col(base).isNotNull() & ~F.isnan(F.col(base)) & (F.col(base) > tiny) & F.col(now).isNotNull() & ~F.isnan(F.col(now))
+    ratios = scores.select(F.col(probe).alias("p"), F.when(known, F.col(now) / F.col(base)).alias("r"))
+    worst = F.min(F.when(F.col("r").isNotNull(), F.struct("r", "p")))
+    return ratios.agg(F.coalesce(F.bool_or(F.col("r") < floor), F.lit(False)).alias("abort"), worst.alias("w")).select("abort", F.col("w.p").alias("worst"), F.col("w.r").alias("worst_ratio"))

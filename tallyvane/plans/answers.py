@@ -9,7 +9,7 @@ from tallyvane.functions import answers as A
 from tallyvane.functions import confidence as C
 from tallyvane.functions import text as T
 from tallyvane.operators.entities import alias_overlap, alias_table
-from tallyvane.plans.queries import query
+from tallyvane.plans.queries import over, query
 from tallyvane.plans.texts import _NORM, _WORDS, turns
 from tallyvane.sources.fixtures import table
 
@@ -200,8 +200,7 @@ _DIR = lambda side: f"CASE WHEN label = 'supports' THEN pos_{side} WHEN neg_max
 @query("v7_v9_directional", f"WITH s AS ({_SCORES}), g AS (SELECT label, {_DIR('max')} AS gmax, {_DIR('mean')} AS gmean, pos_max, pos_mean FROM s) SELECT label, count(*) AS n, count(gmax) AS directional, round(avg(COALESCE(gmax, pos_max)), 9) AS p_ground_max, round(avg(COALESCE(gmean, pos_mean)), 9) AS p_ground_mean FROM g GROUP BY label")
 def directional(spark: SparkSession, d: str) -> DataFrame:
     """Grounding by the answer's direction; what has none falls back to the plain scores."""
-    table(spark, d, "lineitem").createOrReplaceTempView("directional_lineitem")
-    s = spark.sql(_SCORES.replace("FROM lineitem", "FROM directional_lineitem"))
+    s = over(spark, _SCORES, lineitem=table(spark, d, "lineitem"))
     g = s.withColumn("g", C.directional(F.col("label"), *map(F.col, ("pos_max", "pos_mean", "neg_max", "neg_mean"))))
     mean = lambda side: F.round(F.avg(F.coalesce(f"g.p_ground_{side}", f"pos_{side}")), 9).alias(f"p_ground_{side}")
     return g.groupBy("label").agg(F.count("*").alias("n"), F.count("g.p_ground_max").alias("directional"), mean("max"), mean("mean"))
@@ -233,11 +232,14 @@ def question_hash(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "conversations").select("conv_id", "turn", T.question_hash(F.col("text")).alias("qhash"))
 
 
-@query("f8_label_accuracy", "SELECT doc_id, CASE WHEN lower(trim(concat(' ', source))) = lower(trim(lang)) OR doc_id % 3 = 0 THEN 1e0 ELSE 0e0 END AS accuracy FROM documents")
+_VERDICTS = "SELECT l_suppkey % 3 AS batch, CASE l_partkey % 4 WHEN 0 THEN ' Supports' WHEN 1 THEN 'REFUTES ' WHEN 2 THEN 'not enough info' ELSE 'unsure' END AS said, CASE l_orderkey % 3 WHEN 0 THEN 'SUPPORTS' WHEN 1 THEN 'REFUTES' ELSE 'NOT ENOUGH INFO' END AS gold FROM lineitem"
+
+
+@query("f8_label_accuracy", f"SELECT batch, count(*) AS n, avg(CASE WHEN lower(trim(said)) = lower(trim(gold)) THEN 1e0 ELSE 0e0 END) AS accuracy FROM ({_VERDICTS}) v GROUP BY batch")
 def label_accuracy(spark: SparkSession, d: str) -> DataFrame:
-    """A label against itself in other case and spacing, and against another column."""
-    gold = F.when(F.col("doc_id") % 3 == 0, F.upper(F.concat(F.lit("  "), "source"))).otherwise(F.col("lang"))
-    return table(spark, d, "documents").select("doc_id", T.label_accuracy(F.concat(F.lit(" "), "source"), gold).alias("accuracy"))
+    """Verdicts on claims against their gold labels, whatever case and spacing they come in."""
+    rows = over(spark, _VERDICTS, lineitem=table(spark, d, "lineitem"))
+    return rows.groupBy("batch").agg(F.count("*").alias("n"), F.avg(T.label_accuracy(F.col("said"), F.col("gold"))).alias("accuracy"))
 
 
 _F1 = lambda p, g: f"CASE WHEN len({p}) = 0 AND len({g}) = 0 THEN 1e0 WHEN len({p}) = 0 OR len({g}) = 0 THEN 0e0 ELSE 2e0 * COALESCE(list_sum(list_transform(list_distinct({p}), lambda x: least(len(list_filter({p}, lambda y: y = x)), len(list_filter({g}, lambda y: y = x))))), 0) / (len({p}) + len({g})) END"

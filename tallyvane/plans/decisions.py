@@ -233,8 +233,8 @@ def tier_batches(spark: SparkSession, d: str) -> DataFrame:
 @query("p9_retention", f"{S}, r AS (SELECT benchmark, avg(COALESCE(em, 0e0)) FILTER (cycle = 5) / nullif(avg(COALESCE(em, 0e0)) FILTER (cycle = 0), 0) AS ratio FROM s GROUP BY benchmark) SELECT count(*) FILTER (ratio < 0.93e0) > 0 AS abort, min_by(benchmark, ratio) AS worst, round(min(ratio), 9) AS worst_ratio FROM r")
 def retention(spark: SparkSession, d: str) -> DataFrame:
     at = lambda c: F.avg(F.when(F.col("cycle") == c, F.coalesce("em", F.lit(0.0))))
-    r = samples(spark, d).groupBy("benchmark").agg((at(5) / F.nullif(at(0), F.lit(0.0))).alias("ratio"))
-    return r.agg(F.coalesce(F.bool_or(F.col("ratio") < 0.93), F.lit(False)).alias("abort"), F.min_by("benchmark", "ratio").alias("worst"), F.round(F.min("ratio"), 9).alias("worst_ratio"))
+    scores = samples(spark, d).groupBy("benchmark").agg(at(0).alias("base"), at(5).alias("now"))
+    return trajectory.retention(scores, "benchmark", "base", "now").withColumn("worst_ratio", F.round("worst_ratio", 9))
 
 
 @query("v4_v5_grounding", "WITH f AS (SELECT l_orderkey AS okey, l_linenumber AS fact, l_quantity / 50e0 AS score FROM lineitem), m AS (SELECT okey, fact, max(score) AS best FROM f GROUP BY ALL) SELECT m.okey, min(best) AS atomic, (SELECT NULL) AS unused, max(best) AS top FROM m GROUP BY m.okey".replace("(SELECT NULL) AS unused, ", ""))

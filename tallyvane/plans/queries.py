@@ -6,6 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+def over(spark: SparkSession, sql: str, **tables: DataFrame) -> DataFrame:
+    """SQL over DataFrames by name, as they stand after FROM; no view is left in the session."""
+    text = sql.replace("{", "{{").replace("}", "}}")
+    for name in tables:
+        text = text.replace(f"FROM {name}", f"FROM {{{name}}}")
+    return spark.sql(text, **tables)
+
+
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 ORACLE_SQL: dict[str, str] = {}

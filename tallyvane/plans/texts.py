@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyvane.functions import text as T
-from tallyvane.plans.queries import query
+from tallyvane.plans.queries import over, query
 from tallyvane.sources.fixtures import table
 
 _PUNCT = T.PUNCTUATION.replace("'", "''")
@@ -24,8 +24,7 @@ ANSWERS_SQL = """SELECT doc_id, text, lang, source, CASE doc_id % 8
 
 
 def answers(spark: SparkSession, d: str) -> DataFrame:
-    table(spark, d, "documents").createOrReplaceTempView("answer_documents")
-    return spark.sql(ANSWERS_SQL.replace("FROM documents", "FROM answer_documents"))
+    return over(spark, ANSWERS_SQL, documents=table(spark, d, "documents"))
 
 
 @query("f1_normalise", f"SELECT doc_id, md5({_NORM('text')}) AS norm FROM documents")
@@ -205,23 +204,27 @@ def format_audit(spark: SparkSession, d: str) -> DataFrame:
     """Counts of answers whose form is suspect, and of the most frequent one, by benchmark."""
     from tallyvane.operators.scoring import format_counts
 
-    answers(spark, d).createOrReplaceTempView("format_answers")
-    return format_counts(spark.sql(_MADE.replace(f"({ANSWERS_SQL}) a", "format_answers")))
+    return format_counts(over(spark, _MADE.replace(f"({ANSWERS_SQL}) a", "made"), made=answers(spark, d)))
 
 
-@query("t7_entropy_vote", f"WITH t AS (SELECT conv_id, turn, {_NORM('substr(text, 1, 3)')} AS k FROM conversations), c AS (SELECT conv_id, k, count(*) AS c, min(turn) AS first FROM t GROUP BY ALL), n AS (SELECT *, sum(c) OVER (PARTITION BY conv_id) AS n FROM c), e AS (SELECT conv_id, abs(sum(-(c / n) * ln(c / n))) AS h, arg_max(first, {{'c': c, 'f': -first}}) AS mode FROM n GROUP BY conv_id) SELECT conv_id, round(h, 9) AS entropy, h >= 1.2e0 AS abstained, CASE WHEN h < 1.2e0 THEN mode END AS chosen FROM e")
+#: Answers to one question, an order's lines, some alike but for case and marks.
+_ANSWER = "CASE l_partkey % 5 WHEN 0 THEN 'The Answer: Paris!' WHEN 1 THEN 'answer paris' WHEN 2 THEN concat('It is ', l_linestatus, '.') WHEN 3 THEN concat('it is ', l_linestatus) ELSE concat('No. ', l_returnflag, ', ', l_linestatus) END"
+_SAID = f"SELECT l_orderkey AS okey, l_linenumber AS line, {_ANSWER} AS said FROM lineitem"
+
+
+@query("t7_entropy_vote", f"WITH t AS (SELECT okey, line, {_NORM('said')} AS k FROM ({_SAID}) z), c AS (SELECT okey, k, count(*) AS c, min(line) AS first FROM t GROUP BY ALL), n AS (SELECT *, sum(c) OVER (PARTITION BY okey) AS n FROM c), e AS (SELECT okey, abs(sum(-(c / n) * ln(c / n))) AS h, arg_max(first, {{'c': c, 'f': -first}}) AS mode FROM n GROUP BY okey) SELECT okey, round(h, 9) AS entropy, h >= 1.2e0 AS abstained, CASE WHEN h < 1.2e0 THEN mode END AS chosen FROM e")
 def entropy_vote(spark: SparkSession, d: str) -> DataFrame:
-    """Turns of a conversation as samples of one answer, alike when they begin alike: the mode, or none where they scatter."""
+    """An order's answers as samples of one: the most frequent, or none where they scatter."""
     from tallyvane.operators.entropy import vote
 
-    said = table(spark, d, "conversations").select("conv_id", "turn", T.normalise(F.substring("text", 1, 3)).alias("k"))
-    return vote(said, "conv_id", "k", "turn", 1.2).withColumn("entropy", F.round("entropy", 9))
+    said = table(spark, d, "lineitem").selectExpr("l_orderkey AS okey", "l_linenumber AS line", f"{_ANSWER} AS said").select("okey", "line", T.normalise(F.col("said")).alias("k"))
+    return vote(said, "okey", "k", "line", 1.2).withColumn("entropy", F.round("entropy", 9))
 
 
-@query("a28_surface_entropy", "WITH t AS (SELECT conv_id, regexp_replace(regexp_replace(lower(substr(text, 1, 4)), '[^\\p{L}\\p{N}_\\s]', '', 'g'), '^\\s+|\\s+\\z', '', 'g') AS k FROM conversations), c AS (SELECT conv_id, k, count(*) AS c FROM t GROUP BY ALL), n AS (SELECT *, sum(c) OVER (PARTITION BY conv_id) AS n FROM c) SELECT conv_id, max(n)::BIGINT AS n, count(*) AS clusters, round(abs(sum(-(c / n) * log2(c / n))), 9) AS entropy, round(CASE WHEN max(n) > 1 THEN abs(sum(-(c / n) * log2(c / n))) / log2(max(n)) ELSE 0e0 END, 9) AS h_norm FROM n GROUP BY conv_id")
+@query("a28_surface_entropy", "WITH t AS (SELECT okey, regexp_replace(regexp_replace(lower(said), '[^\\p{L}\\p{N}_\\s]', '', 'g'), '^\\s+|\\s+\\z', '', 'g') AS k FROM (" + _SAID + ") z), c AS (SELECT okey, k, count(*) AS c FROM t GROUP BY ALL), n AS (SELECT *, sum(c) OVER (PARTITION BY okey) AS n FROM c) SELECT okey, max(n)::BIGINT AS n, count(*) AS clusters, round(abs(sum(-(c / n) * log2(c / n))), 9) AS entropy, round(CASE WHEN max(n) > 1 THEN abs(sum(-(c / n) * log2(c / n))) / log2(max(n)) ELSE 0e0 END, 9) AS h_norm FROM n GROUP BY okey")
 def surface_entropy(spark: SparkSession, d: str) -> DataFrame:
-    """Entropy over samples that are the same on the surface, here by how turns begin."""
+    """Entropy over an order's answers that are the same on the surface."""
     from tallyvane.operators.entropy import cluster_entropy, surface_cluster
 
-    said = table(spark, d, "conversations").select("conv_id", surface_cluster(F.substring("text", 1, 4)).alias("k"))
-    return cluster_entropy(said, "conv_id", "k").withColumns({"entropy": F.round("entropy", 9), "h_norm": F.round("h_norm", 9)})
+    said = table(spark, d, "lineitem").selectExpr("l_orderkey AS okey", f"{_ANSWER} AS said").select("okey", surface_cluster(F.col("said")).alias("k"))
+    return cluster_entropy(said, "okey", "k").withColumns({"entropy": F.round("entropy", 9), "h_norm": F.round("h_norm", 9)})

@@ -98,11 +98,12 @@ def load_benchmark(name: str, rows: DataFrame) -> DataFrame:
     return LOADERS[name](rows)
 
 
-def synthetic_samples(spark: SparkSession, benchmark: str, n: int) -> DataFrame:
-    """n made samples whose labels go round."""
+def synthetic_samples(spark: SparkSession, benchmark: str, n: int, seed: int = 42) -> DataFrame:
+    """n made samples whose labels go round, in the order of a hash of seed and number."""
     labels = {"fever": ("supports", "refutes", "not enough info"), "strategyqa": ("yes", "no"), "arc_challenge": tuple("ABCD"), "commonsense_qa": tuple("ABCDE")}.get(benchmark, ("answer",))
     label = F.element_at(F.array(*map(F.lit, labels)), (F.col("id") % len(labels) + 1).cast("int"))
-    return spark.range(n).select(F.concat(F.lit(f"{benchmark} question "), F.col("id").cast("string")).alias("question"), F.array(label).alias("answers"), label.alias("gold_label"), F.concat(F.lit(f"{benchmark}-"), F.col("id").cast("string")).alias("id"), F.lit(benchmark).alias("benchmark"))
+    number = F.substring(F.sha2(F.concat(F.lit(f"{seed}:"), F.col("id").cast("string")), 256), 1, 8)
+    return spark.range(n).select(F.concat(F.lit(f"{benchmark} question "), number, F.lit(" "), F.col("id").cast("string")).alias("question"), F.array(label).alias("answers"), label.alias("gold_label"), F.concat(F.lit(f"{benchmark}-"), F.col("id").cast("string")).alias("id"), F.lit(benchmark).alias("benchmark"))
 
 
 def read_cycle_results(spark: SparkSession, folder: str) -> DataFrame:

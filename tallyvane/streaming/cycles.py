@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from tallyvane.operators import corpus
+from tallyvane.sources.staging import Scratch
 
 
 def event_windows(events: DataFrame, size: str = "1 day", slide: str | None = None, late: str = "1 day") -> DataFrame:
@@ -31,12 +32,40 @@ def maintain(stream: DataFrame, cycle: Callable[[DataFrame, int], None], checkpo
     return stream.writeStream.foreachBatch(cycle).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def scan_corpus(spark: SparkSession, folder: str, schema: str, sink: Callable[[DataFrame, int], None], checkpoint: str, files: int = 100) -> StreamingQuery:
+def scan_corpus(spark: SparkSession, folder: str, schema: str, sink: Callable[[DataFrame, int], None], checkpoint: str, files: int = 100, max_passages: int | None = None) -> StreamingQuery:
     """The passages of articles (id, title, text) in the Parquet files of a folder, so many files at a time: `sink(passages,
-    number)` is called for each batch, and a later call goes on with files that are new since."""
+    number)` is called for each batch, and a later call goes on with files that are new since. With `max_passages` the scan
+    hands on no more than that, of the last batch those of smallest hash, and passes by what comes after."""
+    left = [max_passages]
+
+    def bounded(passages: DataFrame, number: int) -> None:
+        if left[0] is None:
+            return sink(passages, number)
+        if left[0] > 0:
+            kept = passages.orderBy(F.xxhash64(*passages.columns), *passages.columns).limit(left[0]).persist()
+            try:
+                sink(kept, number)
+                left[0] -= kept.count()
+            finally:
+                kept.unpersist()
+
     stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", files).parquet(folder)
-    return maintain(stream, lambda batch, number: sink(corpus.passages(batch, "id", "text", "title"), number), checkpoint)
+    return maintain(stream, lambda batch, number: bounded(corpus.passages(batch, "id", "text", "title"), number), checkpoint)
 
 
 def read_events(spark: SparkSession, folder: str, schema: str) -> DataFrame:
     return spark.readStream.schema(schema).parquet(folder)
+
+
+def windows_now(spark: SparkSession, folder: str, schema: str, scratch: Scratch, size: str = "1 day") -> DataFrame:
+    """Windows over a stream of event files, all that are there now: each micro-batch writes the whole result so far, and the
+    last one's is returned."""
+    events, last = read_events(spark, folder, schema), {}
+    events = events.withColumn("ts", F.col("ts").cast("timestamp"))  # a watermark needs an instant; windows are given back without zone
+
+    def keep(result: DataFrame, number: int) -> None:
+        last["table"] = scratch(result.withColumn("start", F.col("start").cast("timestamp_ntz")), "windows")
+
+    query = event_windows(events, size).writeStream.outputMode("complete").foreachBatch(keep).option("checkpointLocation", f"{scratch.folder}/windows-checkpoint").trigger(availableNow=True).start()
+    query.awaitTermination()
+    return last["table"]
