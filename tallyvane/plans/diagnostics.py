@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tallyvane.functions import confidence as C
 from tallyvane.operators import loops, metrics, scorers, splits
-from tallyvane.plans.queries import ORACLE_SQL, over, query
+from tallyvane.plans.queries import over, query
 from tallyvane.sources.fixtures import MEMORY_SQL, SAMPLES_SQL, samples, table
 from tallyvane.sources.fixtures import memory as entries_of
 from tallyvane.sources.staging import Scratch
@@ -128,7 +128,7 @@ def u_internal(spark: SparkSession, d: str) -> DataFrame:
     return samples(spark, d).groupBy("benchmark").agg(F.round(F.avg(C.u_internal(F.col("u_stored"), F.col("u_internal"))), 9).alias("u_internal"))
 
 
-@query("stream_windows_now", ORACLE_SQL.get("stream_event_windows"))
+@query("stream_windows_now", "SELECT date_trunc('day', ts) AS start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY ALL")
 def windows_now(spark: SparkSession, d: str) -> DataFrame:
     """The windows of stream_event_windows from a stream of the events' files, by micro-batches until none is left."""
     schema = table(spark, d, "events").schema
