@@ -9,8 +9,11 @@ Where a signature covers few n-grams (k2 = 0), an empty one would join a large p
 partitions more than k + 1: a set with fewer empty partitions than spare ones agrees with each similar set on a signature
 that is not empty. A set with more of them adds signatures by another hash.
 
-Sets that merely share a passage meet there as well. So what met is compared by sketches, which tell surely that sets differ
-too much: pair by pair in a small bucket; in a large one in blocks of bounded size, of which a spanning forest is kept.
+Sets that merely share a passage meet there as well, and a passage that many texts share makes a large bucket. The classes of
+large buckets are told apart once more: similar sets share one of the first n-grams of any common order, as many as they may
+differ in and one, and rare n-grams come first, so that texts meet by what few have and not by the shared passage. What met is
+compared by sketches, which tell surely that sets differ too much: pair by pair in a small bucket; in a large one in blocks of
+bounded size, which meet where sizes allow links and of which a spanning forest is kept.
 
 Equal sets are one class throughout. Classes that may be similar form candidate groups; within a group every pair that size
 allows is compared exactly, in blocks, and what leaves a block pair is a spanning forest and counts, never the pairs.
@@ -25,7 +28,7 @@ from itertools import chain
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyvane.llm.common import join_bounded, table, unused
@@ -41,6 +44,8 @@ SMALL_GROUP, COLUMNS = 24, 2048
 SPARE, HASHES = 10, 6
 #: Classes of a bucket up to which each pair is compared by sketches; the classes of a larger one are linked at once.
 SMALL_BUCKET = 12
+#: Cells in which n-grams are counted to tell rare ones from frequent ones; any order of n-grams is right, this one is quick.
+CELLS = 1 << 18
 
 
 def gram_hashes(text: bytes | None, words: int) -> np.ndarray:
@@ -273,11 +278,27 @@ def may_link(sizes: np.ndarray, sketches: list[bytes], percent: int) -> np.ndarr
     return out
 
 
-def bucket_forests(sets: DataFrame, members: DataFrame, percent: int) -> DataFrame:
+def in_blocks(rows: DataFrame, group: str, member: str, size: str, n_blocks: Column, percent: int, scratch: Scratch) -> DataFrame:
+    """rows once for each pair (p, q) of blocks that they take part in, with their own band and block. n_blocks counts the
+    blocks that rows fill. A group of more than one is cut into bands of sizes first: members link within a band or with the
+    next, so other bands never meet."""
+    # staged, so that joins with them can be split where one group is large
+    whole = scratch(rows.groupBy(group).agg(n_blocks.alias("n_blocks")).select(group, (F.col("n_blocks") > 1).alias("is_cut")), "whole")
+    width = math.log(100 / percent) * (1 + 1e-6) if percent < 100 else 1e-6  # a little more than similar sizes differ
+    banded = rows.join(whole, group).withColumn("band", F.when(F.col("is_cut"), F.floor(F.log(size) / width)).otherwise(0).cast("int"))
+    blocks = scratch(banded.groupBy(group, "band").agg(n_blocks.alias("n_blocks")), "blocks")
+    dealt = banded.join(blocks, [group, "band"]).withColumn("block", F.pmod(F.xxhash64(member), F.col("n_blocks")).cast("int"))
+    # a block meets those of its own band and of the next, each once; smaller bands meet it in turn
+    near = F.transform(F.array(F.lit(-1), F.lit(0), F.lit(1)), lambda step: F.col("band") + step)
+    other = blocks.select(group, F.col("band").alias("other_band"), F.explode(F.sequence(F.lit(0), F.col("n_blocks") - 1)).alias("other"))
+    met = dealt.withColumn("other_band", F.explode(near)).join(other, [group, "other_band"])
+    own, theirs = F.struct(F.col("band").alias("b"), F.col("block").alias("k")), F.struct(F.col("other_band").alias("b"), F.col("other").alias("k"))
+    return met.withColumns({"p": F.least(own, theirs), "q": F.greatest(own, theirs)}).drop("is_cut", "n_blocks", "other_band", "other")
+
+
+def bucket_forests(sets: DataFrame, members: DataFrame, percent: int, scratch: Scratch) -> DataFrame:
     """(u, v): for each large bucket, forests that span the classes which sketches do not tell apart. members: sig, u."""
-    counts = members.groupBy("sig").agg(F.ceil(F.count("*") / BLOCK_SETS).cast("int").alias("n_blocks"))
-    dealt = members.join(counts, "sig").join(sketches_of(sets, "u"), "u").withColumn("block", F.pmod(F.xxhash64("u"), F.col("n_blocks")).cast("int"))
-    met = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("n_blocks") - 1)))
+    met = in_blocks(members.join(sketches_of(sets, "u"), "u"), "sig", "u", "n_u", F.ceil(F.count("*") / BLOCK_SETS).cast("int"), percent, scratch)
 
     def compare(group: pa.Table) -> pa.Table:
         ids = group.column("u").to_numpy()
@@ -285,8 +306,71 @@ def bucket_forests(sets: DataFrame, members: DataFrame, percent: int) -> DataFra
         least = ids[link_labels(linked)]
         return pa.table({"u": ids, "v": least}).filter(pa.array(ids != least))
 
-    met = met.select("sig", F.least("block", "other").alias("p"), F.greatest("block", "other").alias("q"), "u", "n_u", "sketch_u")
-    return met.groupBy("sig", "p", "q").applyInArrow(compare, "u long, v long")
+    return met.select("sig", "p", "q", "u", "n_u", "sketch_u").groupBy("sig", "p", "q").applyInArrow(compare, "u long, v long")
+
+
+def gram_counts(sets: DataFrame) -> np.ndarray:
+    """How many n-grams of sets (grams) fall into each of CELLS cells; a task brings one row a cell at most."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(CELLS, np.int64)
+        for batch in batches:
+            for at in range(0, batch.num_rows, 2048):
+                grams = np.frombuffer(b"".join(batch.column("grams").slice(at, 2048).to_pylist()), np.uint64)
+                total += np.bincount(gram_cells(grams), minlength=CELLS)
+        at = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(total[at])], names=["cell", "n"])
+
+    rows = sets.select("grams").mapInArrow(run, "cell int, n long").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
+    out = np.zeros(CELLS, np.int64)
+    out[rows.column("cell").to_numpy()] = rows.column("n").to_numpy()
+    return out
+
+
+def gram_cells(grams: np.ndarray) -> np.ndarray:
+    with np.errstate(over="ignore"):
+        return (grams * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(64 - CELLS.bit_length() + 1)).astype(np.int64)
+
+
+def rare_grams(grams: np.ndarray, counts: np.ndarray, percent: int) -> np.ndarray:
+    """The first n-grams of a set in the order of their cells' counts, one more than may be missing from a similar set:
+    two similar sets have one of these in common."""
+    n = len(grams)
+    return grams[np.lexsort((grams, counts[gram_cells(grams)]))[: n - -(-percent * n // 100) + 1]]
+
+
+def rare_rows(sets: DataFrame, counts: np.ndarray, percent: int) -> DataFrame:
+    """(sig, cls): the rare n-grams of each class. sets: cls, grams."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 256):
+                part = batch.slice(at, 256)
+                found = [rare_grams(np.frombuffer(x, np.uint64), counts, percent) for x in part.column("grams").to_pylist()]
+                yield pa.RecordBatch.from_arrays([_signed(np.concatenate(found)), pa.array(np.repeat(part.column("cls").to_numpy(), [len(x) for x in found]))], names=["sig", "cls"])
+
+    return sets.select("cls", "grams").mapInArrow(run, "sig long, cls long")
+
+
+def crowd_edges(docs: DataFrame, sets: DataFrame, crowd: DataFrame, words: int, percent: int, scratch: Scratch) -> DataFrame:
+    """(u, v): edges that join all similar classes among those of large buckets. crowd: u, the low halves of their digests."""
+    n_crowd = crowd.count()
+    if not n_crowd:
+        return crowd.select("u", F.col("u").alias("v"))
+    of_crowd = join_bounded(sets.filter("n_shingles > 0"), crowd.withColumnRenamed("u", "key_lo"), ["key_lo"], "left_semi", n_crowd)
+    chosen = scratch(of_crowd.groupBy("key_lo", "key_hi").agg(F.min("doc_id").alias("chosen")).select("chosen").distinct(), "chosen")
+    brought = shingle_sets(bringing(docs, chosen, n_crowd), words, True).filter("n_shingles > 0")
+    grams = scratch(brought.select(F.col("key_lo").alias("cls"), "grams"), "grams")
+    rows = rare_rows(grams, gram_counts(grams), percent).repartition("sig").sortWithinPartitions("sig", "cls")
+    met = scratch(bucket_pairs(rows), "rare")
+    scratch.drop("grams", "chosen")
+    likely = likely_pairs(sets, met.filter("v is not null").select("u", "v").distinct(), percent)
+    return likely.union(bucket_forests(sets, met.filter("v is null").select("sig", "u"), percent, scratch))
+
+
+def bringing(docs: DataFrame, chosen: DataFrame, rows: int) -> DataFrame:
+    """The documents whose ids are in chosen, null among them; rows bounds how many these are."""
+    return join_bounded(docs, chosen, docs["doc_id"].cast("long").eqNullSafe(F.col("chosen")), "left_semi", rows)
 
 
 def link_labels(linked: np.ndarray) -> np.ndarray:
@@ -330,21 +414,9 @@ def linked_pairs(sets: list[np.ndarray], percent: int) -> np.ndarray:
 
 def verify_groups(classes: DataFrame, percent: int, scratch: Scratch) -> DataFrame:
     """(u, v, links): for each class of a candidate group, a component root in each block pair and the documents it links to
-    there. classes: comp, cls, n_docs, n_shingles, grams. A group of more than a block is cut into bands of sizes first:
-    classes link within a band or with the next."""
-    n_blocks = F.greatest(F.ceil(F.count("*") / BLOCK_SETS), F.ceil(F.sum("n_shingles") / BLOCK_GRAMS)).cast("int").alias("n_blocks")
-    # staged, so that joins with them can be split where one group is large
-    whole = scratch(classes.groupBy("comp").agg(n_blocks).select("comp", (F.col("n_blocks") > 1).alias("is_cut")), "whole")
-    width = math.log(100 / percent) * (1 + 1e-6) if percent < 100 else 1e-6  # a little more than similar sizes differ
-    banded = classes.join(whole, "comp").withColumn("band", F.when(F.col("is_cut"), F.floor(F.log("n_shingles") / width)).otherwise(0).cast("int"))
-    blocks = scratch(banded.groupBy("comp", "band").agg(n_blocks), "blocks")
-    dealt = banded.join(blocks, ["comp", "band"]).withColumn("block", F.pmod(F.xxhash64("cls"), F.col("n_blocks")).cast("int"))
-    # a block meets those of its own band and of the next, each once; smaller bands meet it in turn
-    near = F.transform(F.array(F.lit(-1), F.lit(0), F.lit(1)), lambda step: F.col("band") + step)
-    other = blocks.select("comp", F.col("band").alias("other_band"), F.explode(F.sequence(F.lit(0), F.col("n_blocks") - 1)).alias("other"))
-    met = dealt.withColumn("other_band", F.explode(near)).join(other, ["comp", "other_band"])
-    own, theirs = F.struct(F.col("band").alias("b"), F.col("block").alias("k")), F.struct(F.col("other_band").alias("b"), F.col("other").alias("k"))
-    met = met.withColumns({"p": F.least(own, theirs), "q": F.greatest(own, theirs)})
+    there. classes: comp, cls, n_docs, n_shingles, grams."""
+    n_blocks = F.greatest(F.ceil(F.count("*") / BLOCK_SETS), F.ceil(F.sum("n_shingles") / BLOCK_GRAMS)).cast("int")
+    met = in_blocks(classes, "comp", "cls", "n_shingles", n_blocks, percent, scratch)
 
     def compare(group: pa.Table) -> pa.Table:
         block = group.column("band").to_numpy().astype(np.int64) << 32 | group.column("block").to_numpy()
@@ -373,9 +445,10 @@ def jaccard_components(docs: DataFrame, words: int = 5, percent: int = 80) -> Da
     sigs = signature_rows(docs, words, percent).repartition("sig").sortWithinPartitions("sig", "cls")
     met = scratch(bucket_pairs(sigs), "met")
     likely = likely_pairs(sets, met.filter("v is not null").select("u", "v").distinct(), percent)
-    edges = likely.union(bucket_forests(sets, met.filter("v is null").select("sig", "u"), percent))
+    crowd = scratch(met.filter("v is null").select("u").distinct(), "crowd")
+    edges = likely.union(crowd_edges(docs, sets, crowd, words, percent, scratch))
     groups = scratch(connected_components(edges, scratch).select(F.col("node").alias("key_lo"), F.col("component").alias("comp")), "groups")
-    scratch.drop("met", "cc")
+    scratch.drop("met", "cc", "crowd", "rare", "whole", "blocks")
     n_grouped = groups.count()
     # one document of each class in a group brings its n-grams
     classes = scratch(
@@ -383,8 +456,7 @@ def jaccard_components(docs: DataFrame, words: int = 5, percent: int = 80) -> Da
         .groupBy("key_lo", "key_hi", "comp").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("n_docs")),
         "classes",
     )
-    ids = classes.select("doc_id").distinct()
-    chosen = join_bounded(docs, ids.withColumnRenamed("doc_id", "chosen"), docs["doc_id"].cast("long").eqNullSafe(F.col("chosen")), "left_semi", n_grouped)
+    chosen = bringing(docs, classes.select(F.col("doc_id").alias("chosen")).distinct(), n_grouped)
     brought = shingle_sets(chosen, words, True).groupBy("key_lo", "key_hi").agg(F.first("grams").alias("grams"), F.first("n_shingles").alias("n_shingles"))
     # a class is named by a number of its own: the digest's halves could clash one by one
     named = classes.drop("doc_id").join(brought, ["key_lo", "key_hi"]).withColumn("cls", F.xxhash64("key_lo", "key_hi"))

@@ -431,6 +431,54 @@ def test_long_near_copies_in_many_blocks_equal_brute_force(spark, monkeypatch):
     assert got == plain_components(rows, 5, 80)
 
 
+@pytest.mark.parametrize("percent", [90, 80])
+def test_similar_sets_share_a_rare_gram_whatever_the_counts(percent):
+    rng = np.random.default_rng(12)
+    for cells in (1, 50, 10**6):  # all counts alike, many ties, none
+        counts = rng.integers(0, cells, jaccard.CELLS)
+        for _ in range(200):
+            a = np.unique(rng.integers(0, 1 << 63, int(rng.integers(1, 300)), dtype=np.uint64))
+            b = np.unique(np.concatenate([a[rng.random(len(a)) < rng.choice([0.85, 0.95, 1.0])], rng.integers(0, 1 << 63, int(rng.integers(0, 1 + len(a) // 8)), dtype=np.uint64)]))
+            both = len(np.intersect1d(a, b))
+            if 100 * both >= percent * (len(a) + len(b) - both):
+                assert len(np.intersect1d(jaccard.rare_grams(a, counts, percent), jaccard.rare_grams(b, counts, percent)))
+
+
+def test_texts_that_share_a_passage_do_not_meet_by_it(spark):
+    """20,000 texts, half of each a licence: rows that meet stay near the number of texts, and near copies are found."""
+    rng = np.random.default_rng(13)
+    passage, n = " ".join(f"licence{i}" for i in range(60)), 20_000
+    own = [" ".join(x) for x in np.char.add("w", rng.integers(0, 10**9, (n, 60)).astype(str))]
+    rows = [(i, f"{passage} {x}") for i, x in enumerate(own)] + [(n + i, f"{passage} {x} more") for i, x in enumerate(own[:300])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    scratch = Scratch(spark)
+    sets = scratch(jaccard.shingle_sets(docs, 5, True), "sets").withColumnRenamed("key_lo", "cls")
+    counts = jaccard.gram_counts(sets)
+    met = jaccard.bucket_pairs(jaccard.rare_rows(sets, counts, 80).repartition("sig").sortWithinPartitions("sig", "cls"))
+    assert counts.sum() == sets.agg(F.sum("n_shingles")).first()[0]
+    assert met.count() < 2 * n and met.filter("v is null").isEmpty()
+    scratch.close()
+    got = {r["doc_id"]: (r["component_id"], r["n_links"]) for r in jaccard.jaccard_components(docs, 5, 80).collect()}
+    assert got == {i: (i % n, int(i % n < 300)) for i, _ in rows}
+
+
+def test_members_of_a_bucket_meet_where_sizes_allow(spark, monkeypatch):
+    monkeypatch.setattr(jaccard, "BLOCK_SETS", 4)
+    sizes = [int(100 * 1.3**k) for k in range(12) for _ in range(6)] + [5, 6]
+    rows = [(1, i, n) for i, n in enumerate(sizes)] + [(2, 1000, 9), (2, 1001, 900)]
+    scratch = Scratch(spark)
+    n_blocks = F.ceil(F.count("*") / 4).cast("int")
+    met = jaccard.in_blocks(spark.createDataFrame(rows, "sig long, u long, n_u long"), "sig", "u", "n_u", n_blocks, 80, scratch).collect()
+    scratch.close()
+    groups = collections.defaultdict(set)
+    for r in met:
+        assert r["u"] not in groups[r["sig"], r["p"], r["q"]]
+        groups[r["sig"], r["p"], r["q"]].add(r["u"])
+    together = {(a, b) for ids in groups.values() for a in ids for b in ids if a < b}
+    assert {(i, j) for i, a in enumerate(sizes) for j, b in enumerate(sizes) if i < j and 100 * min(a, b) >= 80 * max(a, b)} <= together
+    assert (1000, 1001) in together and (0, 70) not in together and len(met) < 8 * len(rows)
+
+
 def test_near_copies_keep_every_column(spark):
     rows = [(1, "a b c d e f", "x", 7, "k"), (2, "a b c d e f", "y", 8, "k"), (3, "other words here", "z", 9, None)]
     frame = spark.createDataFrame(rows, "doc_id long, text string, marked_id string, component_id long, goes string")
