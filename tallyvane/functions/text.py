@@ -23,6 +23,18 @@ EVASIVE = (
     r"cannot\s+(?:determine|verify|be\s+determined)",
     r"(?:none\s+of\s+the\s+given|none\s+of\s+the\s+listed)\s+(?:options|choices|models|items)",
 )
+# Where an answer stands in a text, the labels it may be, and how queries of a task open.
+ANSWER_IS = r"(?i)(?:^|\W)(?:so|therefore)?,?\s*the\s+answer\s+is[:\s]+(.+?)(?:[.!?](?:\s|$)|$)"
+ANSWER_MARK = "Answer:"
+ANSWER_LINE = r"(?i)answer\s*:\s*([^\n]*)"
+ANSWER_AGAIN = r"(?i)^(?:answer\s*:\s*)+"
+REASONING_FIRST = r"(?i)^\s*reasoning\s*:\s*"
+FEVER_FORMS = r"\b(?:not enough info(?:rmation)?|refut(?:e|es|ed)|support(?:s|ed)?)\b"
+YES_NO = r"\b(?:yes|no)\b"
+OPENING_LETTER = r"^\(?\[?([A-Ea-e])\)?\]?(?:[\s.:)\-].*)?$"
+LONE_LETTER = r"(?:^|[\s(\[|,/])([A-E])(?=$|[\s)\].:,|/])"
+FEVER_QUERY, YES_NO_QUERY = "answer with one of: supports, refutes, not enough info.", "answer yes or no."
+CHOICE_QUERY, FIFTH_CHOICE = ("choices:", "multiple choice letter"), "(e)"
 
 
 #: Those that the hallucination rates look for.
@@ -51,8 +63,8 @@ def norm_words(text: Column) -> Column:
 
 def cot_answer(text: Column) -> Column:
     """What follows the last "Answer:"; else what "the answer is" names, up to the end of its sentence; else all."""
-    suffix = F.regexp_extract(text, r"(?i)(?:^|\W)(?:so|therefore)?,?\s*the\s+answer\s+is[:\s]+(.+?)(?:[.!?](?:\s|$)|$)", 1)
-    return F.when(F.contains(text, F.lit("Answer:")), F.trim(F.element_at(F.split(text, "Answer:"), -1))).when(suffix != "", F.trim(suffix)).otherwise(F.trim(text))
+    suffix = F.regexp_extract(text, ANSWER_IS, 1)
+    return F.when(F.contains(text, F.lit(ANSWER_MARK)), F.trim(F.element_at(F.split(text, ANSWER_MARK), -1))).when(suffix != "", F.trim(suffix)).otherwise(F.trim(text))
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -104,12 +116,12 @@ def last_match(text: Column, pattern: str) -> Column:
 
 def fever_label(text: Column) -> Column:
     """The label family that the right-most mention belongs to, else ""."""
-    found = F.lower(last_match(text, r"\b(?:not enough info(?:rmation)?|refut(?:e|es|ed)|support(?:s|ed)?)\b"))
+    found = F.lower(last_match(text, FEVER_FORMS))
     return F.when(found.startswith("not"), "not enough info").when(found.startswith("refut"), "refutes").when(found.startswith("support"), "supports").otherwise("")
 
 
 def strategyqa_label(text: Column) -> Column:
-    return F.lower(last_match(text, r"\b(?:yes|no)\b"))
+    return F.lower(last_match(text, YES_NO))
 
 
 def choice_label(text: Column, n_choices: int = 4) -> Column:
@@ -125,17 +137,17 @@ def choice_label(text: Column, n_choices: int = 4) -> Column:
 def final_answer_line(text: Column) -> Column:
     """First line after the last "answer:"; without one, the last line after a leading "reasoning:"."""
     body = F.coalesce(text, F.lit(""))
-    marked = F.regexp_extract_all(body, F.lit(r"(?i)answer\s*:\s*([^\n]*)"), F.lit(1))
-    line = F.regexp_replace(F.trim(F.element_at(marked, -1)), r"(?i)^(?:answer\s*:\s*)+", "")
-    rest = F.regexp_replace(F.regexp_replace(body, r"(?i)^\s*reasoning\s*:\s*", ""), r"^\s+|\s+$", "")
+    marked = F.regexp_extract_all(body, F.lit(ANSWER_LINE), F.lit(1))
+    line = F.regexp_replace(F.trim(F.element_at(marked, -1)), ANSWER_AGAIN, "")
+    rest = F.regexp_replace(F.regexp_replace(body, REASONING_FIRST, ""), r"^\s+|\s+$", "")
     return F.when(F.size(marked) > 0, line).otherwise(F.element_at(F.split(rest, "\n"), -1))
 
 
 def csqa_letter(answer: Column) -> Column:
     """The one letter A-E that an answer opens with; null if there is none, or another is named too."""
     a = F.trim(F.coalesce(answer, F.lit("")))
-    first = F.upper(F.regexp_extract(a, r"^\(?\[?([A-Ea-e])\)?\]?(?:[\s.:)\-].*)?$", 1))
-    others = F.array_distinct(F.regexp_extract_all(a, F.lit(r"(?:^|[\s(\[|,/])([A-E])(?=$|[\s)\].:,|/])"), F.lit(1)))
+    first = F.upper(F.regexp_extract(a, OPENING_LETTER, 1))
+    others = F.array_distinct(F.regexp_extract_all(a, F.lit(LONE_LETTER), F.lit(1)))
     return F.when((first != "") & (F.size(F.array_union(others, F.array(first))) == 1), first)
 
 
@@ -199,10 +211,10 @@ def query_task(query: Column, hint: Column) -> Column:
     """The hint's task family; without a known hint, by the query's form."""
     known = F.create_map(*[F.lit(x) for pair in TASKS.items() for x in pair])
     q = F.lower(F.trim(query))
-    choices = F.contains(q, F.lit("choices:")) & F.contains(q, F.lit("multiple choice letter"))
+    choices = F.contains(q, F.lit(CHOICE_QUERY[0])) & F.contains(q, F.lit(CHOICE_QUERY[1]))
     form = (
-        F.when(q.startswith("answer with one of: supports, refutes, not enough info."), "fever")
-        .when(q.startswith("answer yes or no."), "strategyqa")
-        .when(choices & F.contains(q, F.lit("(e)")), "csqa").when(choices, "arc").otherwise("open")
+        F.when(q.startswith(FEVER_QUERY), "fever")
+        .when(q.startswith(YES_NO_QUERY), "strategyqa")
+        .when(choices & F.contains(q, F.lit(FIFTH_CHOICE)), "csqa").when(choices, "arc").otherwise("open")
     )
     return F.coalesce(F.element_at(known, F.lower(hint)), form)

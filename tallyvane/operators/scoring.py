@@ -11,6 +11,12 @@ from tallyvane.operators.loops import best_rouge_l
 # Benchmarks with a rule, and the LCS F1 beyond which a long answer counts as right.
 UNIFORM = ("fever", "strategyqa", "commonsense_qa", "triviaqa", "natural_questions")
 LONG_FORM = {"truthfulqa": 0.15, "asqa": 0.20}
+# Forms of answers that the audit counts, and how long an answer without a mark may be.
+MARKED, MARK_LAST, REASONING_ONLY = r"(?is)answer\s*:", r"(?is)answer\s*:\s*\z", "reasoning:"
+REFUSAL, REFUSAL_TAIL = r"(?i)i do not know|i don.t know|cannot (?:be )?determine|not enough info", 120
+FEVER_MARKED = r"(?i)answer\s*:\s*(?:supports|refutes|not enough info)(?:[^\p{L}\p{N}_]|\z)"
+LETTER_MARKED = r"(?i)answer\s*:\s*\(?[A-E]\)?\s*\.?\s*\z"
+LONG_ANSWER = 300
 BENCHMARKS = (*UNIFORM, *LONG_FORM, "arc_challenge")
 
 
@@ -43,16 +49,16 @@ def format_counts(rows: DataFrame) -> DataFrame:
     """benchmark, n, and for each fault of form the number of answers that have it; `identical` is how often the most frequent
     answer of the benchmark comes."""
     x = F.coalesce("answer", F.lit(""))
-    marked = x.rlike(r"(?is)answer\s*:")
+    marked = x.rlike(MARKED)
     on = lambda name: F.col("benchmark") != name
     faults = {
-        "empty": (F.trim(x) == "") | (F.lower(F.trim(x)) == "reasoning:"),
+        "empty": (F.trim(x) == "") | (F.lower(F.trim(x)) == REASONING_ONLY),
         "no_answer_line": ~marked,
-        "empty_answer_line": x.rlike(r"(?is)answer\s*:\s*\z"),
-        "refusal": F.right(x, F.lit(120)).rlike(r"(?i)i do not know|i don.t know|cannot (?:be )?determine|not enough info"),
-        "fever_label_on_other": on("fever") & x.rlike(r"(?i)answer\s*:\s*(?:supports|refutes|not enough info)(?:[^\p{L}\p{N}_]|\z)"),
-        "letter_on_other": on("commonsense_qa") & F.trim(x).rlike(r"(?i)answer\s*:\s*\(?[A-E]\)?\s*\.?\s*\z"),
-        "likely_truncated": (F.length(x) > 300) & ~marked,
+        "empty_answer_line": x.rlike(MARK_LAST),
+        "refusal": F.right(x, F.lit(REFUSAL_TAIL)).rlike(REFUSAL),
+        "fever_label_on_other": on("fever") & x.rlike(FEVER_MARKED),
+        "letter_on_other": on("commonsense_qa") & F.trim(x).rlike(LETTER_MARKED),
+        "likely_truncated": (F.length(x) > LONG_ANSWER) & ~marked,
     }
     flagged = rows.select("benchmark", F.xxhash64(x).alias("h"), F.md5(x).alias("k"), *(c.cast("int").alias(n) for n, c in faults.items()))
     same = flagged.groupBy("benchmark", "h", "k").agg(F.count("*").alias("c"), *(F.sum(n).alias(n) for n in faults))
