@@ -52,6 +52,11 @@ PHRASING = {
 }
 EXPECTS = {"year": (r"\b(?:what\s+year|when\s+(?:did|was|were|is))\b", r"\b(?:19|20)[0-9]{2}\b"), "number": (r"\bhow\s+(?:many|much)\b", r"\b[0-9]+(?:\.[0-9]+)?\b")}
 INTERROGATIVES = ("who", "what", "when", "where", "why", "how")
+# What asks for a verdict or a yes or no, the line that a name opens, and an answer of yes or no.
+ASKS_VERDICT = r"(?i)supports\s*,\s*refutes\s*,\s*not enough info"
+ASKS_YES_NO = rf"(?i)^\s*answer\s+yes\s+or\s+no(?:{NOT_A_WORD}|\z)"
+NAMED_LINE = r":\s*(.+?)(?:\s*\z|\n)"
+ANSWERS_YES_NO = rf"(?i)answer\s*:\s*(yes|no)(?:{NOT_A_WORD}|\z)"
 # Rules of negation in order: what goes first, then what is added where none of those is found.
 UNDO = (
     (r"\b(is|are|was|were)\s+not\s+", "$2 "), (r"\b(does|do|did)\s+not\s+", ""), (r"\b(cannot|can't)\b", "can"), (r"\bwon't\b", "will"), (r"\bwouldn't\b", "would"),
@@ -243,12 +248,12 @@ def phrasing_features(question: Column, passage: Column) -> dict[str, Column]:
 def claim_task(query: Column) -> Column:
     """"fever", "strategyqa" or null, by what a query asks for."""
     q = F.coalesce(query, F.lit(""))
-    return F.when(q.rlike(r"(?i)supports\s*,\s*refutes\s*,\s*not enough info"), "fever").when(q.rlike(rf"(?i)^\s*answer\s+yes\s+or\s+no(?:{NOT_A_WORD}|\z)"), "strategyqa")
+    return F.when(q.rlike(ASKS_VERDICT), "fever").when(q.rlike(ASKS_YES_NO), "strategyqa")
 
 
 def claim_of(query: Column) -> Column:
     """The line after "Claim:" or "Question:", by the query's task; null without one."""
-    after = lambda name: F.nullif(stripped(F.regexp_extract(query, rf"(?s){name}:\s*(.+?)(?:\s*\z|\n)", 1)), F.lit(""))
+    after = lambda name: F.nullif(stripped(F.regexp_extract(query, "(?s)" + name + NAMED_LINE, 1)), F.lit(""))
     return F.when(claim_task(query) == "fever", after("Claim")).when(claim_task(query) == "strategyqa", after("Question"))
 
 
@@ -256,5 +261,5 @@ def claim_label(query: Column, answer: Column) -> Column:
     """The label after "Answer:" in the terms of the query's task; null without one."""
     a = F.coalesce(answer, F.lit(""))
     fever = F.regexp_replace(F.lower(F.regexp_extract(a, LABELS, 1)), r"\s+", " ")
-    yes_no = F.lower(F.regexp_extract(a, rf"(?i)answer\s*:\s*(yes|no)(?:{NOT_A_WORD}|\z)", 1))
+    yes_no = F.lower(F.regexp_extract(a, ANSWERS_YES_NO, 1))
     return F.nullif(F.when(claim_task(query) == "fever", fever).when(claim_task(query) == "strategyqa", yes_no), F.lit(""))
