@@ -81,14 +81,15 @@ def routing_distribution(samples: DataFrame, by: list[str]) -> DataFrame:
     )
 
 
-def auroc(rows: DataFrame, score: str, label: str, by: list[str], one_class: float | None = 0.5) -> DataFrame:
+def auroc(rows: DataFrame, score: str, label: str, by: list[str], one_class: float | None = 0.5, times: str | None = None) -> DataFrame:
     """Area under the ROC curve from counts per distinct score: ties count half; one class alone gives `one_class`, which may
-    be null.
+    be null. `times` may name a column that says how many rows one stands for.
 
     Sorting happens on distinct scores, and on pieces of their order, never on all of a group.
     """
+    number = lambda which: F.sum(F.when(which, F.col(times) if times else F.lit(1)).otherwise(0))
     counts = rows.filter(F.col(score).isNotNull()).groupBy(*by, score).agg(
-        F.count(F.when(F.col(label) == 1, 1)).alias("pos"), F.count(F.when(F.coalesce(F.col(label) != 1, F.lit(True)), 1)).alias("neg")
+        number(F.col(label) == 1).alias("pos"), number(F.coalesce(F.col(label) != 1, F.lit(True))).alias("neg")
     )
     ranked = upto(counts, by, score, {"below": "neg"})
     wins = F.sum(F.col("pos") * (F.col("below") * 2 + F.col("neg")))

@@ -2,7 +2,8 @@
 
 Rows are dealt to cells: pairs of outer and inner folds, or the benchmark they come from. A model is trained on some cells, so
 what it is standardised by are sums over cells, and a Newton step of all models is one pass over the rows: each task sums the
-gradients and curvatures of all models for its rows. Only such sums reach the driver, a few numbers a model.
+gradients and curvatures of all models for its rows. Only such sums reach the driver, a few numbers a model. Rows that agree in
+cell, label and features are one with a multiplicity, so that what is read again and again are the distinct ones.
 """
 
 from __future__ import annotations
@@ -24,27 +25,36 @@ LEAST_ROWS = 5
 #: Cells that rows may be dealt to; the driver keeps a few sums of each.
 MAX_CELLS = 10_000
 STEPS, CLOSE = 40, 1e-9
+#: Bits of the hash that folds are dealt by, and those of its first ones by which its order is cut.
+HASH_BITS, PIECE_BITS = 60, 12
 
 
-def hash_folds(rows: DataFrame, key: str, label: str, outer: int = 5, inner: int = 5, seed: int = 42) -> DataFrame:
-    """rows with outer and inner: folds of near equal size within each label, dealt in the order of a hash of a key.
+def hash_folds(rows: DataFrame, key: str, label: str, outer: int = 5, inner: int = 5, seed: int = 42, ties: Sequence[str] = ()) -> DataFrame:
+    """rows with outer and inner: folds of near equal size within each label, dealt in the order of a hash of a key; rows of one
+    key in the order of the columns `ties`, so that what they hold decides and not how they are spread.
 
     The rows of one outer fold are themselves dealt evenly to inner folds, so those of all others are too.
     """
     order = F.conv(F.substring(F.sha2(F.concat(F.lit(f"{seed}:"), F.col(key).cast("string")), 256), 1, 15), 16, 10).cast("long")
-    ranked = numbered(rows.withColumn("fold_hash_", order), [label], "fold_hash_", key, rank="fold_rank_", size="fold_n_")
+    # hashes are even, so their first bits cut them into even pieces: no percentiles are needed
+    piece = F.shiftright("fold_hash_", HASH_BITS - PIECE_BITS).cast("int")
+    ranked = numbered(rows.withColumns({"fold_hash_": order, "fold_tie_": F.struct(key, *ties)}), [label], "fold_hash_", "fold_tie_", piece=piece, rank="fold_rank_", size="fold_n_")
     at = F.col("fold_rank_") - 1
-    return ranked.withColumns({"outer": (at % outer).cast("int"), "inner": (F.floor(at / outer) % inner).cast("int")}).drop("fold_hash_", "fold_rank_", "fold_n_")
+    return ranked.withColumns({"outer": (at % outer).cast("int"), "inner": (F.floor(at / outer) % inner).cast("int")}).drop("fold_hash_", "fold_tie_", "fold_rank_", "fold_n_")
 
 
 def _moments(rows: DataFrame, n_cells: int, p: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Of each cell: rows, rows of label 1, and mean and squared deviation of each feature."""
     x = lambda j: F.element_at("x", j + 1)
-    found = rows.groupBy("cell").agg(F.count("*").alias("n"), F.sum("y").alias("pos"), *(f for j in range(p) for f in (F.avg(x(j)), F.var_pop(x(j)))))
     n, pos, mean, dev = np.zeros(n_cells), np.zeros(n_cells), np.zeros((n_cells, p)), np.zeros((n_cells, p))
+    found = rows.groupBy("cell").agg(F.sum("times"), F.sum(F.col("times") * F.col("y")), *(F.sum(F.col("times") * x(j)) / F.sum("times") for j in range(p)))
     for r in found.collect():  # a row a cell
-        n[r[0]], pos[r[0]] = r[1], r[2]
-        mean[r[0]], dev[r[0]] = np.array(r[3::2], float), np.array(r[4::2], float) * r[1]
+        n[r[0]], pos[r[0]], mean[r[0]] = r[1], r[2], r[3:]
+    # deviations from the means themselves: sums of squares would lose what small deviations from large means hold
+    means = F.broadcast(rows.sparkSession.createDataFrame([(c, mean[c].tolist()) for c in np.flatnonzero(n).tolist()], "cell int, mean array<double>"))
+    around = rows.join(means, "cell").groupBy("cell").agg(F.count("*"), *(F.sum(F.col("times") * (x(j) - F.element_at("mean", j + 1)) ** 2) for j in range(p)))
+    for r in around.collect():
+        dev[r[0]] = r[2:]
     return n, pos, mean, dev
 
 
@@ -61,7 +71,8 @@ def _pooled(n: np.ndarray, mean: np.ndarray, dev: np.ndarray, member: np.ndarray
 def fit_many(rows: DataFrame, member: np.ndarray, c: Sequence[float], balanced: bool, partial_models: int = 1024) -> np.ndarray:
     """Coefficients and, last, the intercept of one logistic model a column of `member`, which says on what cells it is trained.
 
-    rows: cell int, y double (0 or 1), x array<double>, staged: they are read once a step. Features are standardised by each
+    rows: cell int, y double (0 or 1), x array<double>, times long (how many rows it stands for), staged: they are read once a
+    step. Features are standardised by each
     model's own rows; all weights, that of the constant among them, are held by an L2 penalty against `c` times the loss;
     `balanced` weighs the classes equally. A model whose rows have one class alone gets NaN.
     """
@@ -98,7 +109,7 @@ def fit_many(rows: DataFrame, member: np.ndarray, c: Sequence[float], balanced:
                 x = batch.column("x").flatten().to_numpy(zero_copy_only=False).reshape(-1, p)
                 a = np.concatenate([(x - all_centre) / all_scale, np.ones((len(x), 1))], axis=1)
                 y = batch.column("y").to_numpy(zero_copy_only=False)
-                s = member[batch.column("cell").to_numpy()][:, models] * weight[models][:, y.astype(int)].T
+                s = member[batch.column("cell").to_numpy()][:, models] * weight[models][:, y.astype(int)].T * batch.column("times").to_numpy()[:, None]
                 z = a @ at.T
                 prob = 1 / (1 + np.exp(-np.clip(z, -700, 700)))
                 out[:, 0] += (s * (np.logaddexp(0, z) - y[:, None] * z)).sum(axis=0)
@@ -107,7 +118,7 @@ def fit_many(rows: DataFrame, member: np.ndarray, c: Sequence[float], balanced:
             k = np.tile(np.arange(out.shape[1]), len(models))
             yield pa.RecordBatch.from_arrays([pa.array(np.repeat(models, out.shape[1])), pa.array(k), pa.array(out.ravel())], names=["model", "k", "value"])
 
-        found = rows.select("cell", "y", "x").mapInArrow(run, "model long, k long, value double").groupBy("model", "k").agg(F.sum("value").alias("value"))
+        found = rows.select("cell", "y", "x", "times").mapInArrow(run, "model long, k long, value double").groupBy("model", "k").agg(F.sum("value").alias("value"))
         values = {int(m): np.zeros(1 + p + 1 + len(ia)) for m in models}
         for r in found.collect():  # some numbers a model
             values[r["model"]][r["k"]] = r["value"]
@@ -151,6 +162,11 @@ def _prepared(rows: DataFrame, features: Sequence[str], label: str, cell: Column
     return known.select(cell.cast("int").alias("cell"), y.alias("y"), F.array(*(F.col(f).cast("double") for f in features)).alias("x"), *keep)
 
 
+def _alike(rows: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """The distinct values of some columns, and as times how many rows have them."""
+    return rows.groupBy(*columns).agg(F.count("*").alias("times"))
+
+
 def _probability(weights: Column) -> Column:
     z = F.aggregate(F.zip_with("x", F.slice(weights, 1, F.size("x")), lambda a, b: a * b), F.element_at(weights, -1), lambda s, v: s + v)
     return 1.0 / (1.0 + F.exp(-z))
@@ -170,24 +186,25 @@ def nested_cv(rows: DataFrame, features: Sequence[str], label: str, key: str, by
     """
     scratch = scratch or Scratch(rows.sparkSession)
     ready = _prepared(rows.filter(F.col(key).isNotNull()), features, label, F.lit(0), [F.col(key).alias("key"), F.col(by).cast("string").alias("by")])
-    data = scratch(hash_folds(ready, "key", "y", outer, inner, seed).withColumn("cell", F.col("outer") * inner + F.col("inner")), "folded")
+    folded = hash_folds(ready, "key", "y", outer, inner, seed, ["by", "x"]).withColumn("cell", F.col("outer") * inner + F.col("inner"))
+    data = scratch(_alike(folded, ["outer", "inner", "cell", "by", "y", "x"]), "folded")
     cells = np.arange(outer * inner)
     inside = [(f, j, c) for f in range(outer) for j in range(inner) for c in grid]
     member = np.stack([(cells // inner != f) & (cells % inner != j) for f, j, _ in inside], axis=1)
     weights = fit_many(data, member, [c for *_, c in inside], balanced=True)
     fitted = _models(rows, ["f", "j", "c"], "f int, j int, c double", [(*m, w.tolist()) for m, w in zip(inside, weights, strict=True) if not np.isnan(w).any()])
-    tried = data.join(fitted, (F.col("inner") == F.col("j")) & (F.col("outer") != F.col("f"))).select("f", "j", "c", "y", _probability(F.col("w")).alias("score"))
-    areas = scratch(auroc(tried, "score", "y", ["f", "j", "c"], None).filter("auroc is not null").groupBy(F.col("f").alias("outer"), "c").agg(F.avg("auroc").alias("auroc")), "grid")
+    tried = data.join(fitted, (F.col("inner") == F.col("j")) & (F.col("outer") != F.col("f"))).select("f", "j", "c", "y", "times", _probability(F.col("w")).alias("score"))
+    areas = scratch(auroc(tried, "score", "y", ["f", "j", "c"], None, "times").filter("auroc is not null").groupBy(F.col("f").alias("outer"), "c").agg(F.avg("auroc").alias("auroc")), "grid")
     best = {r["outer"]: r["best"] for r in areas.groupBy("outer").agg(F.max(F.struct("auroc", -F.col("c"))).alias("best")).collect()}  # a row a fold
     chosen = [(f, -best[f][1] if f in best else 0.05, best[f][0] if f in best else None) for f in range(outer)]
     final = fit_many(data, np.stack([cells // inner != f for f in range(outer)], axis=1), [c for _, c, _ in chosen], balanced=True)
     outside = _models(rows, ["f", "c", "inner_auroc"], "f int, c double, a double", [(*m, w.tolist()) for m, w in zip(chosen, final, strict=True) if not np.isnan(w).any()])
-    scored = scratch(data.join(outside, F.col("outer") == F.col("f")).select("key", "by", "outer", F.col("c").alias("best_c"), "inner_auroc", "y", _probability(F.col("w")).alias("score")), "out-of-fold")
-    folds = scored.select("outer", "best_c", "inner_auroc").distinct().join(auroc(scored, "score", "y", ["outer"], None).select("outer", "auroc"), "outer")
-    counts = scored.groupBy("by").agg(F.count("*").alias("n"))
-    own = auroc(scored, "score", "y", ["by"], None).alias("a").join(counts.alias("b"), F.col("a.by").eqNullSafe(F.col("b.by")))
+    scored = scratch(data.join(outside, F.col("outer") == F.col("f")).select("by", "outer", F.col("c").alias("best_c"), "inner_auroc", "y", "times", _probability(F.col("w")).alias("score")), "out-of-fold")
+    folds = scored.select("outer", "best_c", "inner_auroc").distinct().join(auroc(scored, "score", "y", ["outer"], None, "times").select("outer", "auroc"), "outer")
+    counts = scored.groupBy("by").agg(F.sum("times").alias("n"))
+    own = auroc(scored, "score", "y", ["by"], None, "times").alias("a").join(counts.alias("b"), F.col("a.by").eqNullSafe(F.col("b.by")))
     each = own.select(F.col("a.by").alias("by"), F.lit(False).alias("pooled"), "n", F.when(F.col("n") >= LEAST_ROWS, F.col("auroc")).alias("auroc"))
-    pooled = auroc(scored, "score", "y", [], None).select(F.lit(None).cast("string").alias("by"), F.lit(True).alias("pooled"), (F.col("n_pos") + F.col("n_neg")).alias("n"), "auroc")
+    pooled = auroc(scored, "score", "y", [], None, "times").select(F.lit(None).cast("string").alias("by"), F.lit(True).alias("pooled"), (F.col("n_pos") + F.col("n_neg")).alias("n"), "auroc")
     return folds, areas, each.unionByName(pooled).withColumnRenamed("by", by)
 
 
@@ -201,13 +218,15 @@ def leave_one_out(rows: DataFrame, features: Sequence[str], label: str, by: str,
     scratch = scratch or Scratch(rows.sparkSession)
     names = sorted(r[0] for r in rows.select(F.col(by).cast("string")).distinct().limit(MAX_CELLS + 1).collect() if r[0] is not None)
     numbers = F.broadcast(rows.sparkSession.createDataFrame(list(enumerate(names)), "number int, name string"))  # a row a benchmark
-    data = scratch(_prepared(rows.join(numbers, F.col(by).cast("string") == F.col("name")), features, label, F.col("number"), ["name"]), "by-benchmark")
+    named = _prepared(rows.join(numbers, F.col(by).cast("string") == F.col("name")), features, label, F.col("number"), ["name"])
+    data = scratch(_alike(named, ["cell", "name", "y", "x"]), "by-benchmark")
     weights = fit_many(data, ~np.eye(len(names), dtype=bool), [c] * len(names), balanced=False) if names else np.zeros((0, 1))
     fitted = _models(rows, ["m"], "m int", [(m, w.tolist()) for m, w in enumerate(weights) if not np.isnan(w).any()])
-    scored = scratch(data.join(fitted, F.col("cell") == F.col("m"), "left").select("name", "y", F.when(F.col("w").isNotNull(), _probability(F.col("w"))).alias("score")), "held-out")
-    facts = scored.groupBy("name").agg(F.count("*").alias("n_test"), F.avg("y").alias("pos_rate"), F.avg(((F.col("score") > 0.5).cast("double") == F.col("y")).cast("double")).alias("accuracy"))
-    areas = auroc(scored, "score", "y", ["name"], None).select("name", "auroc")
+    scored = scratch(data.join(fitted, F.col("cell") == F.col("m"), "left").select("name", "y", "times", F.when(F.col("w").isNotNull(), _probability(F.col("w"))).alias("score")), "held-out")
+    share = lambda value: F.sum(F.col("times") * value) / F.sum("times")
+    facts = scored.groupBy("name").agg(F.sum("times").alias("n_test"), share(F.col("y")).alias("pos_rate"), share(((F.col("score") > 0.5).cast("double") == F.col("y")).cast("double")).alias("accuracy"))
+    areas = auroc(scored, "score", "y", ["name"], None, "times").select("name", "auroc")
     both = facts.join(areas, "name", "left").select(F.col("name").alias(by), F.lit(False).alias("pooled"), "n_test", "auroc", F.when(F.col("auroc").isNotNull(), F.col("accuracy")).alias("accuracy"), "pos_rate")
     judged = scored.join(areas.filter("auroc is not null").select("name"), "name", "left_semi")
-    pooled = auroc(judged, "score", "y", [], None).select(F.lit(None).cast("string").alias(by), F.lit(True).alias("pooled"), (F.col("n_pos") + F.col("n_neg")).alias("n_test"), "auroc", F.lit(None).cast("double").alias("accuracy"), (F.col("n_pos") / (F.col("n_pos") + F.col("n_neg"))).alias("pos_rate"))
+    pooled = auroc(judged, "score", "y", [], None, "times").select(F.lit(None).cast("string").alias(by), F.lit(True).alias("pooled"), (F.col("n_pos") + F.col("n_neg")).alias("n_test"), "auroc", F.lit(None).cast("double").alias("accuracy"), (F.col("n_pos") / (F.col("n_pos") + F.col("n_neg"))).alias("pos_rate"))
     return both.unionByName(pooled)

@@ -117,3 +117,16 @@ def test_validation_of_little(spark):
     assert [r["auroc"] for r in validation.leave_one_out(nothing, ["a", "b"], "em", "bench").collect() if not r["pooled"]] == []
     folds, areas, by = validation.nested_cv(nothing, ["a"], "em", "id", "bench")
     assert folds.count() == 0 and areas.count() == 0 and by.filter("not pooled").count() == 0
+
+
+def test_rows_that_agree_are_read_as_one(spark):
+    from tallyvane.sources.staging import Scratch
+
+    rows = [(i, "arc" if i % 2 else "nq", float(i % 4), float(i % 3 == 0), 7.0, float(i % 7 < 3), "", "", 0) for i in range(1200)]
+    scratch = Scratch(spark)
+    folds, areas, by = validation.nested_cv(spark.createDataFrame(rows, SCHEMA), ["a", "b", "k"], "em", "id", "bench", (0.1, 1.0), 3, 3, scratch=scratch)
+    staged = spark.read.parquet(scratch.tables["folded"][0])
+    # 9 cells, 2 benchmarks, 2 labels, 4 and 2 values of the features: never more rows than these, however many there are
+    assert staged.count() <= 9 * 2 * 2 * 8 and staged.agg(F.sum("times")).first()[0] == 1200
+    assert {r["bench"]: r["n"] for r in by.collect()} == {"arc": 600, "nq": 600, None: 1200} and folds.count() == 3 and areas.count() == 6
+    scratch.close()
