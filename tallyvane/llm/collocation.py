@@ -9,11 +9,13 @@ buckets: they are asked for by requests shuffled to the part's key, and answered
 
 from __future__ import annotations
 
+import math
 import tempfile
 from collections import Counter
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 from functools import reduce
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -34,8 +36,11 @@ ENDS, UPPER = b".,;:!?\x0a\x0b\x0c\x0d", bytes(range(65, 91))
 PLAIN = bytes.maketrans(UPPER + ENDS + b"\t", UPPER.lower() + b"\n" * len(ENDS) + b" ")
 #: Distinct pieces that a task holds before it passes their counts on.
 HELD = 100_000
-#: Memory of one count in duckdb; beyond it the count goes to disk.
+#: Memory of one count in duckdb; beyond it the count goes to disk. What is on disk costs memory too, so a count that grew with
+#: the input would fail: rows that a task may count in several goes, and those that a hash bucket may be expected to have, in
+#: bytes.
 MEMORY = "160MB"
+RUN_BYTES, BUCKET_BYTES = 192 << 20, 192 << 20
 #: log2 of the bits of the filter of frequent n-grams (16 MB), and of those in one row while it is made.
 FILTER_BITS, CHUNK_BITS = 27, 16
 #: Parts in which a language's phrases are ranked before the best of each meet.
@@ -84,14 +89,23 @@ def counter() -> Iterator[object]:
 
 def added_up(least: int = 0, make: Callable[[pa.RecordBatch], pa.RecordBatch] | None = None) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """A function of a task's batches: `make` gives rows (lang, phrase, f) of each; f of equal phrases is added up in duckdb,
-    and sums from `least` on are returned."""
+    and sums from `least` on are returned. Without `least` a phrase may come again with a part of its sum each time: after
+    RUN_BYTES a new count begins."""
+    limit = math.inf if least else RUN_BYTES
+
+    def upto(rows: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch]:
+        while size < limit and (batch := next(rows, None)) is not None:
+            size += batch.nbytes
+            yield batch
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows = pa.RecordBatchReader.from_batches(COUNTS, (make(b) if make else b for b in batches))
-        with counter() as db:
-            db.register("rows", rows)
-            sums = db.sql(f"SELECT lang, phrase, sum(f)::BIGINT AS f FROM rows GROUP BY lang, phrase HAVING sum(f) >= {int(least)}")
-            yield from sums.to_arrow_reader(20_000)
+        made = (make(b) if make else b for b in batches)
+        for first in made:
+            rows = pa.RecordBatchReader.from_batches(COUNTS, chain([first], upto(made, first.nbytes)))
+            with counter() as db:
+                db.register("rows", rows)
+                sums = db.sql(f"SELECT lang, phrase, sum(f)::BIGINT AS f FROM rows GROUP BY lang, phrase HAVING sum(f) >= {int(least)}")
+                yield from sums.to_arrow_reader(20_000)
 
     return run
 
@@ -160,6 +174,7 @@ def frequent_filter(frequent: DataFrame, n: int) -> bytes:
 def count_ngrams(found: DataFrame, longest: int, least: int, scratch: Scratch) -> list[DataFrame]:
     """For n = 1 to longest: (lang, phrase, f) of the n-grams that occur at least `least` times in pieces (lang, piece, m)."""
     spark, out = found.sparkSession, []
+    n_bytes = found.agg(F.sum(F.octet_length("piece"))).first()[0] or 0
     for n in range(1, longest + 1):
         known = spark.sparkContext.broadcast(frequent_filter(out[-1], n - 1)) if n > 1 else None
 
@@ -176,7 +191,8 @@ def count_ngrams(found: DataFrame, longest: int, least: int, scratch: Scratch) -
 
         schema = "lang string, phrase string, f long"
         partial = found.mapInArrow(added_up(make=make), schema)
-        buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+        # n-grams of all pieces have at most n times their bytes, before they are counted
+        buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-n * n_bytes // BUCKET_BYTES))
         out.append(scratch(partial.repartition(buckets, "lang", "phrase").mapInArrow(added_up(least), schema), f"frequent-{n}"))
         if known is not None:
             known.unpersist()

@@ -68,3 +68,28 @@ def test_products_beyond_64_bits(spark):
     candidates = spark.createDataFrame([("en", "a b", big)], "lang string, phrase string, a long")
     counts = spark.createDataFrame([("en", "a", big + 1), ("en", "b", 2 * big - 1)], "lang string, phrase string, f long")
     assert collocation.scored(candidates, counts).first()["score"] == collocation.SCALE * big * big // ((big + 1) * (2 * big - 1))
+
+
+def test_a_task_counts_in_goes(spark, monkeypatch):
+    """What one count in duckdb takes is bounded: with too many phrases it would fail for want of memory, disk or not."""
+    import pyarrow as pa
+
+    monkeypatch.setattr(collocation, "MEMORY", "20MB")
+    monkeypatch.setattr(collocation, "RUN_BYTES", 16 << 20, raising=False)
+
+    def batches():
+        for at in range(0, 2_000_000, 20_000):
+            phrases = pa.array([f"palabra{i % 997} wort{i} {i * 7919}" for i in range(at, at + 20_000)])
+            yield pa.RecordBatch.from_arrays([pa.repeat("es", 20_000), phrases, pa.repeat(pa.scalar(1, pa.int64()), 20_000)], schema=collocation.COUNTS)
+
+    assert sum(sum(b.column("f").to_pylist()) for b in collocation.added_up()(batches())) == 2_000_000
+
+
+def test_buckets_are_as_many_as_the_bytes_ask_for(spark, monkeypatch):
+    from tallyvane.sources.staging import Scratch
+
+    monkeypatch.setattr(collocation, "BUCKET_BYTES", 500, raising=False)
+    found = spark.createDataFrame([("en", f"w{i % 50} v{i % 7} u{i}", 3) for i in range(400)], "lang string, piece string, m long")
+    ones = collocation.count_ngrams(found, 2, 10, Scratch(spark))[0]
+    assert len(ones.inputFiles()) > int(spark.conf.get("spark.sql.shuffle.partitions"))
+    assert {r["phrase"]: r["f"] for r in ones.filter("phrase like 'w%'").collect()} == {f"w{i}": 24 for i in range(50)}
