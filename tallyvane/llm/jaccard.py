@@ -23,6 +23,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from functools import reduce
 from itertools import chain
 
 import numpy as np
@@ -44,6 +45,8 @@ SMALL_GROUP, COLUMNS = 24, 2048
 SPARE, HASHES = 10, 6
 #: Classes of a bucket up to which each pair is compared by sketches; the classes of a larger one are linked at once.
 SMALL_BUCKET = 12
+#: N-grams that are moved at once while groups are compared, or those of all classes in groups, if these are more.
+ROUND_GRAMS = 1 << 27
 #: Cells in which n-grams are counted to tell rare ones from frequent ones; any order of n-grams is right, this one is quick.
 CELLS = 1 << 18
 
@@ -414,9 +417,15 @@ def linked_pairs(sets: list[np.ndarray], percent: int) -> np.ndarray:
 
 def verify_groups(classes: DataFrame, percent: int, scratch: Scratch) -> DataFrame:
     """(u, v, links): for each class of a candidate group, a component root in each block pair and the documents it links to
-    there. classes: comp, cls, n_docs, n_shingles, grams."""
+    there. classes: comp, cls, n_docs, n_shingles, grams, key_lo, key_hi, in sorted buckets of these two.
+
+    Classes are dealt to block pairs without their n-grams, which join them in rounds: the block pairs of one hold about as
+    many n-grams as the classes do, however large groups are, and its shuffle files go before the next."""
     n_blocks = F.greatest(F.ceil(F.count("*") / BLOCK_SETS), F.ceil(F.sum("n_shingles") / BLOCK_GRAMS)).cast("int")
-    met = in_blocks(classes, "comp", "cls", "n_shingles", n_blocks, percent, scratch)
+    places = scratch(in_blocks(classes.drop("grams"), "comp", "cls", "n_shingles", n_blocks, percent, scratch), "places")
+    scratch.drop("whole", "blocks")
+    n_met, n_own = (rows.agg(F.sum("n_shingles")).first()[0] or 0 for rows in (places, classes))
+    rounds = max(1, -(-n_met // max(ROUND_GRAMS, n_own)))
 
     def compare(group: pa.Table) -> pa.Table:
         block = group.column("band").to_numpy().astype(np.int64) << 32 | group.column("block").to_numpy()
@@ -428,7 +437,14 @@ def verify_groups(classes: DataFrame, percent: int, scratch: Scratch) -> DataFra
         links = counted.astype(np.int64) @ docs
         return pa.table({"u": ids, "v": ids[link_labels(linked)], "links": links})
 
-    return met.select("comp", "p", "q", "band", "block", "cls", "n_docs", "grams").groupBy("comp", "p", "q").applyInArrow(compare, "u long, v long, links long")
+    out = []
+    for k in range(rounds):
+        mine = places.filter(F.pmod(F.xxhash64("comp", "p", "q"), F.lit(rounds)) == k) if rounds > 1 else places
+        met = mine.join(classes.select("key_lo", "key_hi", "grams"), ["key_lo", "key_hi"])
+        found = met.select("comp", "p", "q", "band", "block", "cls", "n_docs", "grams").groupBy("comp", "p", "q").applyInArrow(compare, "u long, v long, links long")
+        out.append(scratch(found, f"verified-{k}"))
+    scratch.drop("places")
+    return reduce(DataFrame.union, out)
 
 
 def jaccard_components(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
@@ -460,15 +476,15 @@ def jaccard_components(docs: DataFrame, words: int = 5, percent: int = 80) -> Da
     brought = shingle_sets(chosen, words, True).groupBy("key_lo", "key_hi").agg(F.first("grams").alias("grams"), F.first("n_shingles").alias("n_shingles"))
     # a class is named by a number of its own: the digest's halves could clash one by one
     named = classes.drop("doc_id").join(brought, ["key_lo", "key_hi"]).withColumn("cls", F.xxhash64("key_lo", "key_hi"))
-    named = scratch(named.select("comp", "cls", "n_docs", "n_shingles", "grams"), "named")
-    verified = scratch(verify_groups(named, percent, scratch), "verified")
+    named = scratch.bucketed(named.select("comp", "cls", "n_docs", "n_shingles", "grams", "key_lo", "key_hi"), "named", ["key_lo", "key_hi"])
+    verified = verify_groups(named, percent, scratch)
     scratch.drop("named", "groups")
     component = connected_components(verified.select("u", "v"), scratch)
     links = verified.groupBy(F.col("u").alias("cls")).agg((F.sum("links") - 1).alias("n_links"))
     keyed = classes.select("key_lo", "key_hi", F.xxhash64("key_lo", "key_hi").alias("cls"), F.col("doc_id").alias("class_doc"))
     found = keyed.join(component.withColumnRenamed("node", "cls"), "cls", "left").join(links, "cls", "left").withColumn("component", F.coalesce("component", "cls"))
     found = scratch(found, "found")
-    scratch.drop("verified", "cc", "classes")
+    scratch.drop(*(x for x in list(scratch.tables) if x.startswith("verified-")), "cc", "classes")
     least = found.groupBy("component").agg(F.min("class_doc").alias("group_doc"))
     found = found.join(least, "component").select("key_lo", "key_hi", "group_doc", "n_links")
     # classes outside the groups: copies of each other and nothing else

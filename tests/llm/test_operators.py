@@ -798,3 +798,29 @@ def test_rows_without_id_and_text_spread(spark):
     frame = spark.createDataFrame([(None, None)] * 200, "doc_id long, text string")
     got = sharding.shard_documents(frame, 4, 64).collect()
     assert len(got) == 200 and len({r["v_slot"] for r in got}) > 20 and {r["text_crc32"] for r in got} == {None}
+
+
+def test_groups_are_compared_in_rounds(spark, monkeypatch):
+    """No round moves more n-grams than the classes have, though each class takes part in many pairs of blocks."""
+    for name, value in (("BLOCK_SETS", 4), ("BLOCK_GRAMS", 2_000), ("ROUND_GRAMS", 1)):
+        monkeypatch.setattr(jaccard, name, value, raising=False)
+    rng = random.Random(3)
+    base = [f"w{rng.randrange(500)}" for _ in range(120)]
+    rows = []
+    for i in range(40):
+        words = base[:]
+        words[rng.randrange(120)] = f"x{i}"
+        rows.append((i, " ".join(words)))
+    staged = []
+    write = Scratch.__call__
+
+    def watched(self, df, name, *args, **options):
+        staged.append((name, set(df.columns)))
+        return write(self, df, name, *args, **options)
+
+    monkeypatch.setattr(Scratch, "__call__", watched)
+    got = sorted(tuple(r) for r in jaccard.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string"), 5, 80).collect())
+    sets = [set(jaccard.gram_hashes(t.encode(), 5).tolist()) for _, t in rows]
+    links = [sum(100 * len(a & b) >= 80 * len(a | b) for b in sets) - 1 for a in sets]
+    assert got == [(i, len(sets[i]), 0, links[i]) for i in range(40)]
+    assert sum(name.startswith("verified-") for name, _ in staged) > 5 and all("grams" not in columns for name, columns in staged if name == "places")
