@@ -14,13 +14,12 @@ import tempfile
 from collections import Counter
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
-from functools import reduce
+from functools import cached_property, reduce
 from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -45,6 +44,8 @@ RUN_BYTES, BUCKET_BYTES = 192 << 20, 192 << 20
 FILTER_BITS, CHUNK_BITS = 27, 16
 #: Parts in which a language's phrases are ranked before the best of each meet.
 RANK_PARTS = 64
+#: An odd number, by whose powers hashes tell places apart.
+STEP = np.uint64(0x9E3779B97F4A7C15)
 COUNTS = pa.schema([("lang", pa.string()), ("phrase", pa.string()), ("f", pa.int64())])
 
 
@@ -64,8 +65,11 @@ def pieces(docs: DataFrame) -> DataFrame:
         for batch in batches:
             for lang, text in zip(batch.column("lang").to_pylist(), batch.column("text").cast(pa.binary()).to_pylist(), strict=True):
                 if text:
-                    counts = held.setdefault(lang, Counter())
-                    counts.update(filter(None, (b" ".join(x.split()) for x in text.translate(PLAIN).split(b"\n"))))
+                    text = text.translate(PLAIN)
+                    while b"  " in text:
+                        text = text.replace(b"  ", b" ")
+                    text = text.replace(b" \n", b"\n").replace(b"\n ", b"\n").strip(b" ")
+                    held.setdefault(lang, Counter()).update(filter(None, text.split(b"\n")))
                     if sum(map(len, held.values())) > HELD:
                         yield from passed_on()
         yield from passed_on()
@@ -112,13 +116,30 @@ def added_up(least: int = 0, make: Callable[[pa.RecordBatch], pa.RecordBatch] |
 
 def _mix(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     with np.errstate(over="ignore"):
-        h = a * np.uint64(0x9E3779B97F4A7C15) + b
+        h = a * STEP + b
         h = (h ^ (h >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
         return h ^ (h >> np.uint64(29))
 
 
-def _hashes(strings: list[str]) -> np.ndarray:
-    return np.fromiter(map(xxhash.xxh3_64_intdigest, strings), np.uint64, len(strings))
+#: A number for each byte, of which hashes of strings are made.
+OF_BYTE = _mix(np.arange(1, 257, dtype=np.uint64), STEP)
+
+
+def _hashes(strings: pa.Array, at_once: int = 1 << 16) -> np.ndarray:
+    """Hashes of strings, the same in every task, from their bytes in Arrow: no string becomes a Python object. Sums of a number
+    for each byte times a power for its place in the string; two strings may share one, which a filter can bear."""
+    if len(strings) > at_once:
+        return np.concatenate([_hashes(strings.slice(i, at_once), at_once) for i in range(0, len(strings), at_once)])
+    _, offsets, body = strings.buffers()
+    ends = np.frombuffer(offsets, np.int32)[strings.offset : strings.offset + len(strings) + 1].astype(np.int64)
+    sizes = np.diff(ends)
+    if not sizes.any():
+        return _mix(np.zeros(len(sizes), np.uint64), sizes.astype(np.uint64))
+    powers = np.multiply.accumulate(np.full(sizes.max(), STEP, np.uint64))
+    places = np.arange(ends[0], ends[-1]) - np.repeat(ends[:-1], sizes)
+    sums = np.zeros(len(places) + 1, np.uint64)
+    np.cumsum(OF_BYTE[np.frombuffer(body, np.uint8)[ends[0] : ends[-1]]] * powers[places], out=sums[1:])
+    return _mix(sums[ends[1:] - ends[0]] - sums[ends[:-1] - ends[0]], sizes.astype(np.uint64))
 
 
 class Words:
@@ -126,11 +147,14 @@ class Words:
 
     def __init__(self, batch: pa.RecordBatch) -> None:
         split = pc.split_pattern(batch.column("piece"), " ")
-        coded, langs = split.flatten().dictionary_encode(), batch.column("lang").dictionary_encode()
+        coded, self.langs = split.flatten().dictionary_encode(), batch.column("lang").dictionary_encode()
         self.words, self.codes = coded.dictionary, coded.indices.to_numpy()
         self.piece = np.repeat(np.arange(batch.num_rows), pc.list_value_length(split).to_numpy(zero_copy_only=False))
-        of_lang = _hashes(langs.dictionary.to_pylist())[langs.indices.to_numpy()]
-        self.hash = _mix(of_lang[self.piece], _hashes(self.words.to_pylist())[self.codes])
+
+    @cached_property
+    def hash(self) -> np.ndarray:
+        of_lang = _hashes(self.langs.dictionary)[self.langs.indices.to_numpy()]
+        return _mix(of_lang[self.piece], _hashes(self.words)[self.codes])
 
     def starts(self, n: int) -> np.ndarray:
         """Where an n-gram begins."""
